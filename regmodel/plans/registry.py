@@ -1,6 +1,8 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""All queries by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import base, buildings, corpus, graph, layouts, logs, retrieval  # noqa: F401  they register their queries
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
