@@ -1 +1,211 @@
 """Queries of vector and graph tables (E, F)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clauses, kgraph, vectors
+from .base import fixture, query, table
+
+
+# --- E --------------------------------------------------------------------------------------------------------------
+def _points(spark, d):
+    return table(spark, d, "embeddings")
+
+
+@query("e1_embed")
+def e1(spark, d):
+    rows = vectors.embed(table(spark, d, "documents").select("doc_id", "text"), "text", dim=64)
+    return rows.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm2"))
+
+
+@query("e2_point_id")
+def e2(spark, d):
+    a = fixture(spark, d, "fx_articles").select(F.when(F.col("std_id") % 5 > 0, F.col("std_id").cast("string")).alias("source_id"), F.col("ordinal").alias("source_index"), F.col("content").alias("text"))
+    return vectors.point_id(a, "qcvn")
+
+
+@query("e3_source_index", "SELECT std_id, ordinal, row_number() OVER (PARTITION BY std_id ORDER BY ordinal) - 1 AS source_index FROM fx_articles")
+def e3(spark, d):
+    return vectors.source_index(fixture(spark, d, "fx_articles"), "std_id").select("std_id", "ordinal", "source_index")
+
+
+_INDEX = "SELECT concat(CAST(std_id AS STRING), '-', CAST(ordinal AS STRING)) AS id, CASE WHEN std_id % 10 > 0 THEN CAST(std_id AS STRING) END AS source_id, q AS v FROM fx_articles"
+
+
+def _index(spark, d):
+    return fixture(spark, d, "fx_articles").select(F.concat(F.col("std_id").cast("string"), F.lit("-"), F.col("ordinal").cast("string")).alias("id"), F.when(F.col("std_id") % 10 > 0, F.col("std_id").cast("string")).alias("source_id"), F.col("q").alias("v"))
+
+
+@query("e4_upsert_by_source", f"""WITH i AS ({_INDEX}), n AS (SELECT id, source_id, v + 1000 AS v FROM i WHERE v % 4 = 0)
+SELECT id, source_id, v FROM n UNION ALL SELECT id, source_id, v FROM i WHERE (source_id IS NULL OR source_id NOT IN (SELECT source_id FROM n WHERE source_id IS NOT NULL)) AND id NOT IN (SELECT id FROM n)""")
+def e4(spark, d):
+    i = _index(spark, d)
+    return vectors.upsert_by_source(i, i.where("v % 4 = 0").withColumn("v", F.col("v") + 1000))
+
+
+@query("e5_prune_sources", f"WITH i AS ({_INDEX}) SELECT * FROM i WHERE source_id IN (SELECT CAST(std_id AS STRING) FROM fx_standards WHERE family % 3 = 0)")
+def e5(spark, d):
+    keep = fixture(spark, d, "fx_standards").where("family % 3 = 0").select(F.col("std_id").cast("string").alias("k"))
+    return vectors.prune_sources(_index(spark, d), keep)
+
+
+@query("e7_index_info", "SELECT count(*) AS points, count(embedding) AS vectors, count(DISTINCT label) AS sources, 'ok' AS status FROM embeddings")
+def e7(spark, d):
+    return vectors.index_info(_points(spark, d), "label")
+
+
+# --- F --------------------------------------------------------------------------------------------------------------
+def _flat(spark, d):
+    a = fixture(spark, d, "fx_articles").join(fixture(spark, d, "fx_standards").select("std_id", "standard_code"), "std_id")
+    return clauses.flatten_standards(a)
+
+
+_EDGES = """SELECT DISTINCT 'Standard' AS src_label, standard_code AS src, 'CONTAINS' AS rel, 'Chapter' AS dst_label, concat(standard_code, '_ch', chapter_number) AS dst FROM fx_articles JOIN fx_standards USING (std_id)
+UNION ALL SELECT DISTINCT 'Chapter', concat(standard_code, '_ch', substr(section_number, 1, 1)), 'HAS_SECTION', 'Section', concat(standard_code, '_sec', section_number) FROM fx_articles JOIN fx_standards USING (std_id)
+UNION ALL SELECT DISTINCT 'Section', concat(standard_code, '_sec', section_number), 'HAS_ARTICLE', 'Article', concat(standard_code, '_art', article_number) FROM fx_articles JOIN fx_standards USING (std_id)
+UNION ALL SELECT DISTINCT 'Article', concat(standard_code, '_art', article_number), 'SPECIFIES', 'Requirement', concat(standard_code, '_art', article_number, '_req', CAST(i AS STRING)) FROM fx_articles JOIN fx_standards USING (std_id), (VALUES (0), (1)) v(i)"""
+
+
+@query("f1_build_nodes_edges", _EDGES)
+def f1(spark, d):
+    return kgraph.build_edges(*_flat(spark, d))
+
+
+@query("f2_domain_nodes", "SELECT material, arg_max(unit_weight, req_id) AS unit_weight, 'kg/m³' AS unit FROM fx_materials GROUP BY material")
+def f2(spark, d):
+    c = fixture(spark, d, "fx_classifies").withColumn("req_id", F.concat_ws("_", "std_id", "req_no"))
+    return kgraph.domain_nodes(c, fixture(spark, d, "fx_materials"))[0]
+
+
+_REFS = "SELECT std_id, supersedes_id AS target, CASE WHEN std_id % 2 = 0 THEN 'SUPERSEDES' ELSE 'RELATED_TO' END AS rel FROM fx_refs"
+
+
+def _refs(spark, d):
+    return fixture(spark, d, "fx_refs").select("std_id", F.col("supersedes_id").alias("target"), F.when(F.col("std_id") % 2 == 0, "SUPERSEDES").otherwise("RELATED_TO").alias("rel"))
+
+
+@query("f3_reference_edges", f"WITH r AS ({_REFS}) SELECT target, CASE WHEN bool_or(rel = 'SUPERSEDES') THEN 'superseded' END AS status FROM r WHERE target NOT IN (SELECT std_id FROM fx_standards WHERE std_id % 3 > 0) GROUP BY target")
+def f3(spark, d):
+    return kgraph.reference_edges(fixture(spark, d, "fx_standards").where("std_id % 3 > 0"), _refs(spark, d))[0]
+
+
+@query("f4_rebuild_standards", "SELECT std_id, ordinal, q FROM fx_articles WHERE std_id % 4 > 0 UNION ALL SELECT std_id, ordinal, q + 100 FROM fx_articles WHERE std_id % 4 = 0 AND ordinal = 1")
+def f4(spark, d):
+    a = fixture(spark, d, "fx_articles").select("std_id", "ordinal", "q")
+    return kgraph.rebuild_standards(a, a.where("std_id % 4 = 0 AND ordinal = 1").withColumn("q", F.col("q") + 100), "std_id")
+
+
+@query("f5_prune_standards", "SELECT std_id FROM fx_standards WHERE family % 2 = 0 OR std_id NOT IN (SELECT std_id FROM fx_articles)")
+def f5(spark, d):
+    s = fixture(spark, d, "fx_standards")
+    return kgraph.prune_standards(s, fixture(spark, d, "fx_articles"), s.where("family % 2 = 0"), "std_id").select("std_id")
+
+
+@query("f6_graph_stats", f"""WITH e AS ({_EDGES}) SELECT rel AS name, count(*) AS n, 'relationship' AS kind FROM e GROUP BY rel
+UNION ALL SELECT l, count(*), 'label' FROM (SELECT src_label AS l, src AS k FROM e UNION SELECT dst_label, dst FROM e) t GROUP BY l""")
+def f6(spark, d):
+    return kgraph.graph_stats(kgraph.build_edges(*_flat(spark, d)))
+
+
+@query("f7_keyword_search", """WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda t: t <> '')) AS terms FROM benchmark WHERE item_id % 10 = 0),
+w AS (SELECT query_id, unnest(terms) AS term FROM q), s AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda t: t <> '') AS ts FROM documents),
+g AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM s), h AS (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM s),
+tf AS (SELECT term, doc_id, len, count(*) AS tf FROM h WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+r AS (SELECT query_id, doc_id AS key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM tf JOIN df USING (term) JOIN w USING (term), g GROUP BY ALL)
+SELECT query_id, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM r) t WHERE rank <= 10""")
+def f7(spark, d):
+    q = table(spark, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return kgraph.keyword_search(table(spark, d, "documents"), q).select("query_id", "key", "rank")
+
+
+_TYPED = "SELECT DISTINCT concat(standard_code, '_art', article_number) AS article_id, concat(standard_code, '_art', article_number, '_req0') AS req_id, building_type FROM fx_articles JOIN fx_standards USING (std_id) JOIN fx_classifies c ON c.std_id = fx_articles.std_id AND c.req_no = fx_articles.ordinal"
+
+
+def _typed(spark, d):
+    a = fixture(spark, d, "fx_articles").join(fixture(spark, d, "fx_standards").select("std_id", "standard_code"), "std_id")
+    c = fixture(spark, d, "fx_classifies").withColumnRenamed("req_no", "ordinal")
+    return a.join(c, ["std_id", "ordinal"]).select(F.concat("standard_code", F.lit("_art"), F.col("article_number")).alias("article_id"), F.concat("standard_code", F.lit("_art"), F.col("article_number"), F.lit("_req0")).alias("req_id"), "building_type").distinct()
+
+
+@query("f8_requirements_for_building_type", f"WITH t AS ({_TYPED}) SELECT building_type, standard_code, article_id, req_id FROM t JOIN (SELECT DISTINCT standard_code, concat(standard_code, '_art', article_number) AS article_id FROM fx_articles JOIN fx_standards USING (std_id)) a USING (article_id) WHERE building_type IN ('F1', 'F3')")
+def f8(spark, d):
+    edges = kgraph.build_edges(*_flat(spark, d)).unionByName(kgraph.edges_of(_typed(spark, d), "Requirement", "req_id", "CLASSIFIES", "BuildingType", "building_type"))
+    return kgraph.requirements_for_building_type(edges, ["F1", "F3"]).select("building_type", "standard_code", "article_id", "req_id")
+
+
+def _named(spark, d):
+    return fixture(spark, d, "fx_articles").join(fixture(spark, d, "fx_standards").select("std_id", "standard_code", "family"), "std_id").withColumn("article_id", F.concat("standard_code", F.lit("_art"), F.col("article_number")))
+
+
+@query("f9_requirements_for_topic", "SELECT a.standard_code, a.article_id, t.i AS req_no FROM (SELECT standard_code, concat(standard_code, '_art', article_number) AS article_id, content, title FROM fx_articles JOIN fx_standards USING (std_id)) a, (VALUES (0), (1)) t(i) WHERE contains(lower(title), 'lối đi 3') OR contains(lower(content), 'lối đi 3')")
+def f9(spark, d):
+    rows = _named(spark, d)
+    reqs = clauses.extract_requirements(rows.select("article_id", "article_number", "content")).select("article_id", "req_no")
+    return kgraph.requirements_for_topic(rows, reqs, "Lối đi 3").select("standard_code", "article_id", "req_no")
+
+
+@query("f10_related_standards", f"""WITH r AS ({_REFS}), c AS (SELECT CAST(std_id AS STRING) AS std_id FROM fx_standards WHERE family = (SELECT min(family) FROM fx_standards))
+SELECT c.std_id, coalesce(string_agg(DISTINCT CAST(target AS STRING), ',' ORDER BY CAST(target AS STRING)) FILTER (rel = 'RELATED_TO'), '') AS related, coalesce(string_agg(DISTINCT CAST(target AS STRING), ',' ORDER BY CAST(target AS STRING)) FILTER (rel = 'SUPERSEDES'), '') AS superseded FROM c LEFT JOIN r ON CAST(r.std_id AS STRING) = c.std_id GROUP BY c.std_id""")
+def f10(spark, d):
+    s = fixture(spark, d, "fx_standards")
+    codes = [str(r[0]) for r in s.join(s.agg(F.min("family").alias("family")), "family").select("std_id").collect()]  # one customer's
+    refs = _refs(spark, d).select(F.col("std_id").cast("string").alias("std_id"), "rel", F.col("target").cast("string").alias("target"))
+    return kgraph.related_standards(refs, codes).select("std_id", F.array_join("related", ",").alias("related"), F.array_join("superseded", ",").alias("superseded"))
+
+
+@query("f11_material_properties", "SELECT m.material, m.unit_weight, CAST(e.req_id AS STRING) AS req_id, CASE WHEN e.req_id % 2 = 0 THEN concat('a', CAST(e.std_id AS STRING)) END AS article_id FROM (SELECT material, arg_max(unit_weight, req_id) AS unit_weight FROM fx_materials GROUP BY material) m JOIN fx_materials e ON m.material = e.material WHERE contains(lower(m.material), 'steel')")
+def f11(spark, d):
+    m = fixture(spark, d, "fx_materials")
+    c = fixture(spark, d, "fx_classifies").withColumn("req_id", F.concat_ws("_", "std_id", "req_no"))
+    nodes, edges = kgraph.domain_nodes(c, m)
+    own = kgraph.edges_of(m.where("req_id % 2 = 0").withColumn("a", F.concat(F.lit("a"), F.col("std_id").cast("string"))), "Article", "a", "SPECIFIES", "Requirement", "req_id")
+    return kgraph.material_properties(nodes, edges.unionByName(own), "steel").select("material", "unit_weight", "req_id", "article_id")
+
+
+@query("f12_cross_reference", f"""WITH o AS (SELECT standard_code, row_number() OVER (ORDER BY std_id) AS k FROM fx_standards WHERE std_id IN (SELECT std_id FROM fx_articles)), a AS (SELECT standard_code, concat(standard_code, '_art', article_number) AS article_id, title, content FROM fx_articles JOIN fx_standards USING (std_id)),
+x AS (SELECT a.* FROM a JOIN o USING (standard_code) WHERE k = 1), y AS (SELECT a.* FROM a JOIN o USING (standard_code) WHERE k = 2), t AS ({_TYPED})
+SELECT DISTINCT x.article_id AS article1, y.article_id AS article2 FROM x, y WHERE contains(x.content, y.title) OR contains(y.content, x.title) OR EXISTS (SELECT 1 FROM t t1 JOIN t t2 USING (building_type) WHERE t1.article_id = x.article_id AND t2.article_id = y.article_id) ORDER BY 1, 2 LIMIT 15""")
+def f12(spark, d):
+    rows = _named(spark, d)
+    one, two = [r[0] for r in rows.select("standard_code", "std_id").distinct().orderBy("std_id").limit(2).collect()]
+    return kgraph.cross_reference(rows, _typed(spark, d), one, two).select("article1", "article2")
+
+
+@query("f13_check_unique_keys", "SELECT 'Item' AS label, CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS key, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'Standard', standard_code, count(*) FROM fx_standards GROUP BY ALL HAVING count(*) > 1")
+def f13(spark, d):
+    items = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
+    return kgraph.check_unique_keys({"Item": (items, "key"), "Standard": (fixture(spark, d, "fx_standards"), "standard_code")})
+
+
+_CYPHER = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'MATCH (n) RETURN n' WHEN 1 THEN 'match (n) delete n return n' WHEN 2 THEN '' WHEN 3 THEN 'MATCH (n) RETURN n; MATCH (m) RETURN m'
+ WHEN 4 THEN 'RETURN 1' WHEN 5 THEN 'MATCH (n:Offset) WHERE n.created = 1' WHEN 6 THEN concat('MATCH (n) RETURN ', repeat('n', 2100)) ELSE 'WITH 1 AS x SET x = 2 RETURN x' END AS q FROM events"""
+
+
+@query("f14_audit_generated_queries", f"SELECT event_id, event_id % 8 = 0 AS ok, CASE event_id % 8 WHEN 1 THEN 'keyword' WHEN 2 THEN 'empty' WHEN 3 THEN 'multiple' WHEN 4 THEN 'start' WHEN 5 THEN 'no_return' WHEN 6 THEN 'too_long' WHEN 7 THEN 'keyword' END AS reason FROM ({_CYPHER}) t")
+def f14(spark, d):
+    from .base import sql
+
+    return kgraph.audit_generated_queries(sql(spark, d, _CYPHER), "q").select("event_id", "ok", "reason")
+
+
+@query("f15_rows_to_context", "SELECT std_id, string_agg(concat('article_number: ', article_number, chr(10), 'title: ', title), chr(10) || chr(10) ORDER BY ordinal) AS context FROM fx_articles WHERE ordinal <= 2 GROUP BY std_id")
+def f15(spark, d):
+    a = fixture(spark, d, "fx_articles").withColumn("note", F.lit(""))
+    return kgraph.rows_to_context(a, "std_id", "ordinal", ["article_number", "note", "title"], 2)
+
+
+@query("f16_citation_graph", "SELECT answer_id, src, dst FROM (SELECT std_id AS answer_id, concat('S', chapter_number) AS src, concat('art_', CAST(ordinal AS STRING)) AS dst FROM fx_articles UNION ALL SELECT a.std_id, building_type, concat('art_', CAST(ordinal AS STRING)) FROM fx_articles a JOIN (SELECT DISTINCT std_id, building_type FROM fx_classifies) c ON a.std_id = c.std_id) t")
+def f16(spark, d):
+    c = fixture(spark, d, "fx_articles").select(F.col("std_id").alias("answer_id"), F.col("ordinal").alias("idx"), F.concat(F.lit("S"), F.col("chapter_number")).alias("standard_code"), "article_number")
+    t = fixture(spark, d, "fx_classifies").select(F.col("std_id").alias("answer_id"), "building_type")
+    return kgraph.citation_graph(c, t)[1]
+
+
+@query("e6_search", """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT id AS query_id, v AS qv FROM e WHERE id % 50 = 0)
+SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv))) DESC, id) AS rank FROM e, q) t WHERE rank <= 10""")
+def e6(spark, d):
+    p = _points(spark, d)
+    key = p.columns[0]
+    rows = p.select(F.col(key).alias("id"), "embedding")
+    return vectors.search(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")).select("query_id", "id", "rank")
