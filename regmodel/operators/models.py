@@ -255,7 +255,7 @@ CHECKS = ["classes", "openings", "walls", "columns", "spaces", "extent", "clashe
 
 def check_report(issues: DataFrame, models: DataFrame, checks: list[str] = CHECKS) -> DataFrame:
     """H9: a row a model with the number of issues by check, zeros included, checks in a fixed order."""
-    counts = issues.groupBy("model").pivot("check", checks).agg(F.count("*"))
+    counts = issues.groupBy("model").pivot("check", checks).agg(F.count(F.lit(1)))
     return models.select("model").distinct().join(counts, "model", "left").na.fill(0, checks).select("model", *checks)
 
 

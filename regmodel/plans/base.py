@@ -111,7 +111,10 @@ def oracle(text: str) -> str:
     text = text.strip()
     if not views:
         return text
-    return f"WITH {', '.join(views)}" + (f", {text[5:]}" if text[:5].upper() == "WITH " else f" {text}")
+    found = re.match(r"WITH\s+(RECURSIVE\s+)?", text, re.IGNORECASE)
+    if not found:
+        return f"WITH {', '.join(views)} {text}"
+    return f"WITH {found[1] or ''}{', '.join(views)}, {text[found.end() :]}"
 
 
 def query(name: str, expected: str | None = None) -> Callable[[Query], Query]:

@@ -1 +1,285 @@
-"""Queries."""
+"""Queries of building models, checks and specifications (G, H, I)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import models, specs
+from .base import fixture, query, table
+
+
+# --- G --------------------------------------------------------------------------------------------------------------
+@query("g1_explode_models", "SELECT model AS filename, global_id, ifc_type, storey FROM fx_elements")
+def g1(spark, d):
+    e = fixture(spark, d, "fx_elements")
+    row = F.struct("global_id", "ifc_type", F.col("global_id").alias("name"), "storey", "material")
+    nested = e.groupBy(F.col("model").alias("filename")).agg(F.collect_list(row).alias("elements"), F.collect_list(F.struct(F.col("storey").alias("name"), F.col("z0").alias("elevation"))).alias("storeys"), F.collect_list(F.struct("global_id", F.lit(0.0).alias("area"))).alias("spaces"))
+    return models.explode_models(nested)[1].select("filename", "global_id", "ifc_type", "storey")
+
+
+@query("g2_element_counts", "SELECT model, ifc_type, count(*) AS n FROM fx_elements GROUP BY ALL")
+def g2(spark, d):
+    return models.element_counts(fixture(spark, d, "fx_elements"))
+
+
+@query("g2_materials", "SELECT model, string_agg(DISTINCT material, ',' ORDER BY material) AS materials FROM fx_elements WHERE material <> '' GROUP BY model")
+def g2b(spark, d):
+    return models.materials(fixture(spark, d, "fx_elements")).select("model", F.array_join("materials", ",").alias("materials"))
+
+
+def _step(spark, d):
+    """Statements of a model for each order: a storey, its elements, materials, a property set and a space with its area."""
+    o = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("file"), F.col("o_custkey").alias("k"))
+    row = lambda i, kind, args, refs: F.struct(F.lit(i).cast("long").alias("id"), F.lit(kind).alias("class"), (args if not isinstance(args, str) else F.lit(args)).alias("args"), F.array(*[F.lit(r).cast("long") for r in refs]).alias("refs"))
+    name = F.concat(F.lit("'g',#1,'Tầng "), (F.col("k") % 5).cast("string"), F.lit("',$"))
+    area = F.concat(F.lit("'a',$,$,"), (F.col("k") % 50).cast("string"), F.lit(".5"))
+    mat = F.concat(F.lit("'M"), (F.col("k") % 3).cast("string"), F.lit("'"))
+    rows = [
+        row(2, "IFCBUILDINGSTOREY", name, [1]), row(3, "IFCWALL", "'w'", [1]), row(4, "IFCDOOR", "'d'", [1]), row(5, "IFCSPACE", "'s'", [1]),
+        row(6, "IFCRELCONTAINEDINSPATIALSTRUCTURE", "", [1, 3, 5, 2]), row(7, "IFCRELAGGREGATES", "", [1, 2, 5]), row(8, "IFCRELCONTAINEDINSPATIALSTRUCTURE", "", [1, 4, 5]),
+        row(9, "IFCMATERIAL", mat, []), row(10, "IFCMATERIAL", "'Vữa'", []), row(11, "IFCMATERIALLAYER", "", [9]), row(12, "IFCMATERIALLAYER", "", [10]), row(13, "IFCMATERIALLAYERSET", "", [11, 12]),
+        row(14, "IFCMATERIALLAYERSETUSAGE", "", [13]), row(15, "IFCRELASSOCIATESMATERIAL", "", [1, 3, 14]), row(16, "IFCRELASSOCIATESMATERIAL", "", [1, 4, 9]),
+        row(17, "IFCPROPERTYSINGLEVALUE", "'FireRating',$,IFCLABEL('REI 60'),$", []), row(18, "IFCPROPERTYSINGLEVALUE", "'Other',$,IFCLABEL('x'),$", []), row(19, "IFCPROPERTYSET", "", [1, 17, 18]), row(20, "IFCRELDEFINESBYPROPERTIES", "", [1, 3, 19]),
+        row(21, "IFCQUANTITYAREA", area, []), row(22, "IFCELEMENTQUANTITY", "", [1, 21]), row(23, "IFCRELDEFINESBYPROPERTIES", "", [1, 5, 22]),
+    ]
+    step = o.select("file", F.explode(F.array(*rows)).alias("x")).select("file", "x.*")
+    return step, step.where(F.col("class").isin("IFCWALL", "IFCDOOR"))
+
+
+@query("g3_element_storey", "SELECT concat('o', CAST(o_orderkey AS STRING)) AS file, id, concat('Tầng ', CAST(o_custkey % 5 AS STRING)) AS storey FROM orders, (VALUES (3), (4)) v(id)")
+def g3(spark, d):
+    return models.element_storey(*_step(spark, d))
+
+
+@query("g4_element_material", "SELECT concat('o', CAST(o_orderkey AS STRING)) AS file, id, concat('M', CAST(o_custkey % 3 AS STRING), CASE WHEN id = 3 THEN ' + Vữa' ELSE '' END) AS material FROM orders, (VALUES (3), (4)) v(id)")
+def g4(spark, d):
+    return models.element_material(*_step(spark, d))
+
+
+@query("g5_element_properties", "SELECT concat('o', CAST(o_orderkey AS STRING)) AS file, id, CASE WHEN id = 3 THEN 'FireRating=REI 60' ELSE '' END AS properties FROM orders, (VALUES (3), (4)) v(id)")
+def g5(spark, d):
+    pairs = F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return models.element_properties(*_step(spark, d)).select("file", "id", F.array_join(pairs, ",").alias("properties"))
+
+
+@query("g6_space_areas", "SELECT concat('o', CAST(o_orderkey AS STRING)) AS file, 5 AS id, o_custkey % 50 + 0.5 AS area FROM orders")
+def g6(spark, d):
+    return models.space_areas(_step(spark, d)[0])
+
+
+@query("g7_build_bim_graph", """SELECT DISTINCT model AS src, 'HAS_STOREY' AS rel, concat(model, '::', storey) AS dst FROM fx_elements WHERE storey <> ''
+UNION ALL SELECT concat(model, '::', storey), 'CONTAINS', global_id FROM fx_elements WHERE storey <> '' UNION ALL SELECT global_id, 'MADE_OF', material FROM fx_elements WHERE material <> ''""")
+def g7(spark, d):
+    return models.build_bim_graph(fixture(spark, d, "fx_elements"))[1]
+
+
+@query("g8_building_summary", """WITH c AS (SELECT model, substr(ifc_type, 4) AS label, count(*) AS n FROM fx_elements GROUP BY ALL)
+SELECT model, storeys, materials, counts FROM (SELECT model, coalesce(string_agg(DISTINCT storey, ',' ORDER BY storey) FILTER (storey <> ''), '') AS storeys, coalesce(string_agg(DISTINCT material, ',' ORDER BY material) FILTER (material <> ''), '') AS materials FROM fx_elements GROUP BY model) a
+JOIN (SELECT model, string_agg(concat(label, '=', CAST(n AS STRING)), ',' ORDER BY n DESC, label) AS counts FROM c GROUP BY model) b USING (model)""")
+def g8(spark, d):
+    return models.building_summary(fixture(spark, d, "fx_elements"))
+
+
+@query("g9_elements_on_storey", "SELECT model, ifc_type, global_id, storey FROM fx_elements WHERE storey = 'Tầng 3'")
+def g9(spark, d):
+    return models.elements_on_storey(fixture(spark, d, "fx_elements"), "Tầng 3")
+
+
+@query("g10_material_usage", "SELECT model, global_id, ifc_type, storey, material FROM fx_elements WHERE contains(lower(material), 'liệu 2')")
+def g10(spark, d):
+    return models.material_usage(fixture(spark, d, "fx_elements"), "liệu 2")
+
+
+@query("g11_mesh_bounds", "SELECT model, global_id, ifc_type, x0, y0, z0, x1, y1, z1 FROM fx_elements")
+def g11(spark, d):
+    e = fixture(spark, d, "fx_elements")
+    v = F.array("x0", "y0", "z0", "x1", "y0", "z1", "x0", "y1", "z0")
+    return models.mesh_bounds(e.select("model", "global_id", "ifc_type", v.alias("v"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("f")))
+
+
+@query("g12_quantity_takeoff", "SELECT model, ifc_type, n, volume, area, CAST(round(100.0 * n / sum(n) OVER (PARTITION BY model)) AS INT) AS share FROM (SELECT model, ifc_type, count(*) AS n, round(sum((x1 - x0) * (y1 - y0) * (z1 - z0)), 6) AS volume, round(sum((x1 - x0) * (y1 - y0)), 6) AS area FROM fx_elements GROUP BY ALL) t")
+def g12(spark, d):
+    return models.quantity_takeoff(fixture(spark, d, "fx_elements"))
+
+
+# --- H --------------------------------------------------------------------------------------------------------------
+_WANTED = ", ".join(f"('{c}')" for c in models.REQUIRED_CLASSES)
+_H1 = f"SELECT model, 'classes' AS \"check\", c AS element FROM (SELECT DISTINCT model FROM fx_elements) m, (VALUES {_WANTED}) v(c) WHERE NOT EXISTS (SELECT 1 FROM fx_elements e WHERE e.model = m.model AND e.ifc_type = c)"
+
+
+@query("h1_check_required_classes", _H1)
+def h1(spark, d):
+    return models.check_required_classes(fixture(spark, d, "fx_elements")).select("model", "check", "element")
+
+
+def _parts(spark, d):
+    """Doors, fills, voids, walls and wall connections that miss some, by the element's number."""
+    e = fixture(spark, d, "fx_elements").select("model", F.col("global_id").alias("element"), "ifc_type", F.crc32(F.col("global_id").cast("binary")).alias("h"))
+    doors = e.where("ifc_type IN ('IfcDoor', 'IfcWindow')")
+    opening = F.concat(F.lit("O"), F.col("element"))
+    wall = F.concat(F.lit("W"), F.col("element"))
+    fills = doors.where("substring(element, -1) <> '3'").select("model", "element", opening.alias("opening"))
+    voids = fills.where("substring(element, -1) <> '2'").select("model", "opening", wall.alias("wall")).withColumn("wall", F.concat(F.lit("W"), F.substring("opening", 2, 99)))
+    walls = doors.select("model", wall.alias("element"))
+    return e, doors, fills, voids, walls
+
+
+@query("h2_check_openings", "SELECT model, global_id AS element FROM fx_elements WHERE ifc_type IN ('IfcDoor', 'IfcWindow') AND right(global_id, 1) IN ('2', '3')")
+def h2(spark, d):
+    _, doors, fills, voids, walls = _parts(spark, d)
+    return models.check_openings(doors, fills, voids, walls).select("model", "element")
+
+
+@query("h3_check_wall_connections", "SELECT model, global_id AS element FROM (SELECT *, count(*) OVER (PARTITION BY model) AS n FROM fx_elements WHERE ifc_type = 'IfcWall') t WHERE n >= 2 AND right(global_id, 1) NOT IN ('1', '2')")
+def h3(spark, d):
+    walls = fixture(spark, d, "fx_elements").where("ifc_type = 'IfcWall'").select("model", F.col("global_id").alias("element"))
+    one = walls.where("substring(element, -1) = '1'").select("model", F.col("element").alias("a"), F.lit("x").alias("b"))
+    two = walls.where("substring(element, -1) = '2'").select("model", F.lit("y").alias("a"), F.col("element").alias("b"))
+    return models.check_wall_connections(walls, one.unionByName(two)).select("model", "element")
+
+
+@query("h4_check_columns_on_grid", """WITH c AS (SELECT concat('M', CAST(l_orderkey % 60 AS STRING)) AS model, l_partkey AS element, CAST(l_partkey % 30 AS DOUBLE) AS x, CAST(l_suppkey % 20 AS DOUBLE) AS y FROM lineitem WHERE l_quantity < 5),
+g AS (SELECT u.model, u.ax0 AS gx, v.ay0 AS gy FROM fx_axes u JOIN fx_axes v ON u.model = v.model AND u.axis = 'U' AND v.axis = 'V'),
+n AS (SELECT c.model, c.element, min(sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy))) AS d FROM c JOIN g USING (model) GROUP BY ALL)
+SELECT model, CAST(element AS STRING) AS element FROM n WHERE d * 1000 > 10 UNION ALL SELECT DISTINCT model, NULL FROM c WHERE model NOT IN (SELECT model FROM g)""")
+def h4(spark, d):
+    li = table(spark, d, "lineitem").where("l_quantity < 5")
+    cols = li.select(F.concat(F.lit("M"), (F.col("l_orderkey") % 60).cast("string")).alias("model"), F.col("l_partkey").alias("element"), (F.col("l_partkey") % 30).cast("double").alias("x"), (F.col("l_suppkey") % 20).cast("double").alias("y"))
+    return models.check_columns_on_grid(cols, fixture(spark, d, "fx_axes")).select("model", "element")
+
+
+@query("h5_check_spaces", "SELECT DISTINCT model, storey AS element FROM fx_elements WHERE storey NOT IN ('', 'Tầng 2', 'Tầng 5')")
+def h5(spark, d):
+    s = fixture(spark, d, "fx_elements").where("storey <> ''").select("model", F.col("storey").alias("element")).distinct()
+    return models.check_spaces(s, s.where("element IN ('Tầng 2', 'Tầng 5')").select("model", F.col("element").alias("storey"))).select("model", "element")
+
+
+@query("h6_check_extent", "SELECT model, global_id AS element FROM fx_elements WHERE greatest(abs(x1), abs(y1), abs(z1)) * 30 > 1000")
+def h6(spark, d):
+    e = fixture(spark, d, "fx_elements").select("model", F.col("global_id").alias("element"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("z1").alias("z"), F.lit(30).alias("unit_scale"))
+    return models.check_extent(e).select("model", "element")
+
+
+@query("h7_check_clashes", """SELECT a.model, a.global_id AS element, b.global_id AS other FROM fx_elements a JOIN fx_elements b ON a.model = b.model AND a.global_id < b.global_id
+ AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0.002 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0.002 AND least(a.z1, b.z1) - greatest(a.z0, b.z0) > 0.002""")
+def h7(spark, d):
+    return models.check_clashes(fixture(spark, d, "fx_elements")).select("model", "element", "other")
+
+
+@query("h8_resolve_placements", "SELECT concat('o', CAST(o_custkey AS STRING)) AS model, o_orderkey AS id, CAST(sum(1 + o_orderkey % 7) OVER w AS DOUBLE) AS x, CAST(row_number() OVER w AS DOUBLE) AS z FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def h8(spark, d):
+    from pyspark.sql import Window
+
+    o = table(spark, d, "orders")
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    p = o.select(F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("model"), F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(by).alias("parent"), (1.0 + F.col("o_orderkey") % 7).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"), F.lit(0.0).alias("angle"))
+    return models.resolve_placements(p).select("model", "id", "x", "z")
+
+
+def _issues(spark, d):
+    e = fixture(spark, d, "fx_elements")
+    far = e.select("model", F.col("global_id").alias("element"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("z1").alias("z"), F.lit(25).alias("unit_scale"))
+    return models.run_checks({"classes": lambda: models.check_required_classes(e), "extent": lambda: models.check_extent(far)})
+
+
+_REPORT = f"""WITH i AS ({_H1} UNION ALL SELECT model, 'extent', global_id FROM fx_elements WHERE greatest(abs(x1), abs(y1), abs(z1)) * 25 > 1000), m AS (SELECT DISTINCT model FROM fx_elements)"""
+
+
+@query("h9_check_report", f"{_REPORT} SELECT m.model, {', '.join(f'count(*) FILTER (i.\"check\" = {c!r}) AS {c}' for c in models.CHECKS)} FROM m LEFT JOIN i USING (model) GROUP BY m.model")
+def h9(spark, d):
+    return models.check_report(_issues(spark, d), fixture(spark, d, "fx_elements"))
+
+
+@query("h10_compare_baseline", f"""{_REPORT}, n AS (SELECT model, "check", count(*) AS n FROM i GROUP BY ALL), b AS (SELECT model, "check", CASE WHEN "check" = 'extent' THEN n - 1 ELSE n END AS old FROM n WHERE right(model, 1) <> '3' AND NOT ("check" = 'classes' AND right(model, 1) = '4'))
+SELECT n.model, n."check", b.old, n.n FROM n LEFT JOIN b USING (model, "check") WHERE n.model IN (SELECT model FROM b) AND (b.old IS NULL OR n.n > b.old) UNION ALL SELECT DISTINCT model, NULL, NULL, NULL FROM n WHERE model NOT IN (SELECT model FROM b)""")
+def h10(spark, d):
+    n = _issues(spark, d).groupBy("model", "check").agg(F.count("*").alias("n"))
+    last = F.substring("model", -1, 1)
+    base = n.where((last != "3") & ~((F.col("check") == "classes") & (last == "4"))).withColumn("n", F.col("n") - (F.col("check") == "extent").cast("int"))
+    return models.compare_baseline(n, base)
+
+
+# --- I --------------------------------------------------------------------------------------------------------------
+def _bounds_sql(kind: str, fields: list[str], view: str) -> str:
+    rows = []
+    for f in fields:
+        lo, hi = specs.BOUNDS[kind][f]
+        rows.append(f"SELECT spec_id, '{f}' AS field, CAST({f} AS DOUBLE) AS value FROM {view} WHERE {f} < {lo} OR {f} > {hi}")
+    return " UNION ALL ".join(rows)
+
+
+_BUILDING = ["num_storeys", "storey_height", "footprint_length", "footprint_width", "slab_thickness", "column_size", "column_spacing_x", "column_spacing_y", "num_staircases", "doors_per_storey"]
+_BRIDGE = ["total_length", "num_spans", "deck_width", "num_lanes", "lane_width", "girder_height", "num_girders", "clearance_height"]
+
+
+@query("i1_validate_bounds", f"SELECT 'building' AS kind, * FROM ({_bounds_sql('building', _BUILDING, 'fx_buildings')}) a UNION ALL SELECT 'bridge', * FROM ({_bounds_sql('bridge', _BRIDGE, 'fx_bridges')}) b")
+def i1(spark, d):
+    a, b = (specs.validate_bounds(fixture(spark, d, f"fx_{k}s"), k).select(F.lit(k).alias("kind"), "spec_id", "field", "value") for k in ("building", "bridge"))
+    return a.unionByName(b)
+
+
+@query("i2_derive_bridge", "SELECT spec_id, num_spans - 1 AS num_piers, total_length / num_spans AS span_length, CASE WHEN deck_width <> 12000 THEN deck_width ELSE 12000 END AS abutment_width FROM fx_bridges")
+def i2(spark, d):
+    return specs.derive_bridge(fixture(spark, d, "fx_bridges")).select("spec_id", "num_piers", "span_length", "abutment_width")
+
+
+_I3 = [
+    ("stairs", "num_storeys > 3 AND num_staircases < 2"), ("exits", "doors_per_storey < 2 AND num_storeys > 2"), ("escape", "footprint_length > 40000"), ("high_rise", "num_storeys * storey_height / 1000 > 28"),
+    ("fire_rating", "building_type IN ('F1', 'F2', 'F3') AND num_storeys > 5"), ("storey_home", "building_function = 'Nhà ở' AND storey_height < 2700"), ("storey_other", "building_function <> 'Nhà ở' AND storey_height < 3000"),
+    ("floor_area", "footprint_length / 1000 * (footprint_width / 1000) < 20"), ("slab", "slab_thickness < CASE WHEN footprint_length / 1000 * (footprint_width / 1000) < 50 THEN 100 ELSE 150 END"),
+    ("slab_span", "slab_thickness < greatest(column_spacing_x, column_spacing_y) / 30"), ("span", "greatest(column_spacing_x, column_spacing_y) > 8000"), ("column_5", "num_storeys > 5 AND column_size < 500"), ("column_10", "num_storeys > 10 AND column_size < 600"),
+    ("aspect", "footprint_length / footprint_width > 5"), ("super_high", "num_storeys * storey_height / 1000 > 75"), ("stairs_ok", "num_staircases >= 2 AND num_storeys > 3"), ("storey_ok", "storey_height >= 3000"),
+]
+
+
+@query("i3_check_building", " UNION ALL ".join(f"SELECT spec_id, '{c}' AS code FROM fx_buildings WHERE {w}" for c, w in _I3))
+def i3(spark, d):
+    return specs.check_building(fixture(spark, d, "fx_buildings")).select("spec_id", "code")
+
+
+_I4 = [
+    ("lane", "lane_width < 3500"), ("lane_ok", "lane_width >= 3500"), ("deck_width", "deck_width < num_lanes * lane_width + 3000"), ("span", "total_length / num_spans > 40000"),
+    ("slender", "total_length / num_spans / girder_height > 20"), ("slender_high", "total_length / num_spans / girder_height > 16 AND total_length / num_spans / girder_height <= 20"), ("slender_ok", "total_length / num_spans / girder_height <= 16"),
+    ("girders", "num_girders < greatest(2, floor(deck_width / 3000))"), ("barrier_ok", "TRUE"), ("clearance_road", "bridge_function = 'Đường bộ' AND clearance_height < 4500"), ("clearance_rail", "bridge_function = 'Đường sắt' AND clearance_height < 5500"),
+    ("clearance_ok", "NOT (bridge_function = 'Đường bộ' AND clearance_height < 4500) AND NOT (bridge_function = 'Đường sắt' AND clearance_height < 5500)"), ("mean_span", "total_length / num_spans > 35000"), ("load", "TRUE"),
+]
+
+
+@query("i4_check_bridge", " UNION ALL ".join(f"SELECT spec_id, '{c}' AS code FROM fx_bridges WHERE {w}" for c, w in _I4))
+def i4(spark, d):
+    return specs.check_bridge(fixture(spark, d, "fx_bridges")).select("spec_id", "code")
+
+
+@query("i5_expand_building", """WITH g AS (SELECT *, CAST(ceil(footprint_length / column_spacing_x) AS INT) AS nx, CAST(ceil(footprint_width / column_spacing_y) AS INT) AS ny FROM fx_buildings),
+gx AS (SELECT spec_id, least(i * column_spacing_x, footprint_length) AS x FROM g, range(0, 100) r(i) WHERE i <= nx), gy AS (SELECT spec_id, least(i * column_spacing_y, footprint_width) AS y FROM g, range(0, 100) r(i) WHERE i <= ny),
+bx AS (SELECT spec_id, count(*) AS k FROM (SELECT spec_id, lead(x) OVER (PARTITION BY spec_id ORDER BY x) - x AS s FROM gx) t JOIN g USING (spec_id) WHERE s - column_size > 500 GROUP BY spec_id),
+by_ AS (SELECT spec_id, count(*) AS k FROM (SELECT spec_id, lead(y) OVER (PARTITION BY spec_id ORDER BY y) - y AS s FROM gy) t JOIN g USING (spec_id) WHERE s - column_size > 500 GROUP BY spec_id),
+ix AS (SELECT spec_id, count(*) AS k FROM gx JOIN g USING (spec_id) WHERE x >= 201 AND x <= footprint_length - 201 GROUP BY spec_id), iy AS (SELECT spec_id, count(*) AS k FROM gy JOIN g USING (spec_id) WHERE y >= 201 AND y <= footprint_width - 201 GROUP BY spec_id),
+n AS (SELECT g.spec_id, num_storeys AS s, num_storeys + 1 AS slabs, 4 * num_storeys AS walls, num_storeys * coalesce(ix.k, 0) * coalesce(iy.k, 0) AS cols, num_storeys * (coalesce(bx.k, 0) * (ny + 1) + coalesce(by_.k, 0) * (nx + 1)) AS beams, num_storeys * doors_per_storey AS doors, num_storeys * 4 AS windows, num_storeys * num_staircases AS stairs, (nx + 1) * (ny + 1) AS footings
+ FROM g LEFT JOIN bx USING (spec_id) LEFT JOIN by_ USING (spec_id) LEFT JOIN ix USING (spec_id) LEFT JOIN iy USING (spec_id))
+SELECT spec_id, ifc_type, CAST(n AS BIGINT) AS n FROM (SELECT spec_id, 'IfcSlab' AS ifc_type, slabs AS n FROM n UNION ALL SELECT spec_id, 'IfcWall', walls FROM n UNION ALL SELECT spec_id, 'IfcColumn', cols FROM n UNION ALL SELECT spec_id, 'IfcBeam', beams FROM n UNION ALL SELECT spec_id, 'IfcDoor', doors FROM n UNION ALL SELECT spec_id, 'IfcWindow', windows FROM n UNION ALL SELECT spec_id, 'IfcStair', stairs FROM n UNION ALL SELECT spec_id, 'IfcFooting', footings FROM n) t WHERE n > 0""")
+def i5(spark, d):
+    return specs.expand_building(fixture(spark, d, "fx_buildings")).groupBy("spec_id", "ifc_type").agg(F.count("*").alias("n"))
+
+
+@query("i6_expand_bridge", """SELECT spec_id, part, CAST(n AS BIGINT) AS n FROM (SELECT spec_id, 'abutment' AS part, 2 AS n FROM fx_bridges UNION ALL SELECT spec_id, 'pier', num_spans - 1 FROM fx_bridges UNION ALL SELECT spec_id, 'girder', num_spans * num_girders FROM fx_bridges
+UNION ALL SELECT spec_id, 'deck', num_spans FROM fx_bridges UNION ALL SELECT spec_id, 'post', 2 * (floor(total_length / 2000) + 1) FROM fx_bridges UNION ALL SELECT spec_id, 'bearing', (num_spans + 1) * num_girders FROM fx_bridges) t WHERE n > 0""")
+def i6(spark, d):
+    return specs.expand_bridge(fixture(spark, d, "fx_bridges")).groupBy("spec_id", "part").agg(F.count("*").alias("n"))
+
+
+@query("i6_foundation_supports", "SELECT spec_id, i AS support, CASE WHEN i = 0 OR i = num_spans THEN 'abutment' ELSE 'pier' END AS kind, i * (total_length / num_spans) AS x, 4 AS piles FROM fx_bridges, range(0, 7) r(i) WHERE i <= num_spans")
+def i6b(spark, d):
+    return specs.foundation_supports(fixture(spark, d, "fx_bridges")).select("spec_id", F.posexplode("supports").alias("support", "s")).select("spec_id", "support", "s.kind", "s.x", F.size("s.piles").alias("piles"))
+
+
+@query("i7_extract_spec", """SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 30000 ELSE 30000 END AS total_length, 3 AS num_spans, 2 AS num_lanes, CASE conv_id % 5 WHEN 1 THEN 5 ELSE 3 END AS num_storeys, CASE conv_id % 5 WHEN 1 THEN 14142 ELSE 9797 END AS footprint_length, CASE conv_id % 5 WHEN 1 THEN 2 ELSE 1 END AS num_staircases
+FROM fx_questions""")
+def i7(spark, d):
+    q = fixture(spark, d, "fx_questions").withColumn("question", F.substring_index("question", ". ", 1)).withColumn("question", F.concat("question", F.lit(" ")))
+    return specs.extract_spec(q, "question").select("conv_id", "turn", "total_length", "num_spans", "num_lanes", "num_storeys", "footprint_length", "num_staircases")
+
+
+@query("i8_material_for_element", "SELECT global_id, CASE ifc_type WHEN 'IfcWall' THEN CASE WHEN x0 = 0 THEN 'Tường gạch sơn ngoài' ELSE 'Tường gạch sơn trong' END WHEN 'IfcSlab' THEN 'Sàn bê tông lát gạch men' WHEN 'IfcDoor' THEN 'Gỗ' WHEN 'IfcWindow' THEN 'Kính' ELSE 'Bê tông cốt thép' END AS material_name, CASE ifc_type WHEN 'IfcWall' THEN 'brick' WHEN 'IfcDoor' THEN 'wood' WHEN 'IfcWindow' THEN 'glass' ELSE 'concrete' END AS category, CASE ifc_type WHEN 'IfcWindow' THEN 0.5 ELSE 0.0 END AS transparency FROM fx_elements")
+def i8(spark, d):
+    return specs.material_for_element(fixture(spark, d, "fx_elements").withColumn("is_external", F.col("x0") == 0)).select("global_id", "material_name", "category", "transparency")

@@ -1 +1,149 @@
-"""Queries."""
+"""Queries of room programs and layouts (J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import layouts
+from .base import fixture, query
+
+_KINDS = [("san", 1.5, 4.0, 5.0, False, True, False), ("bep", 1.8, 6.0, 3.0, True, False, False), ("ngu", 2.4, 9.0, 2.5, True, False, False), ("wc", 1.2, 2.5, 3.0, False, False, True)]
+_KINDS_SQL = ", ".join(f"('{k}', {w}, {a}, {r}, {str(dl).lower()}, {str(o).lower()}, {str(lw).lower()})" for k, w, a, r, dl, o, lw in _KINDS)
+_KINDS_SQL = f"(VALUES {_KINDS_SQL}) k(kind, min_width_m, min_area_m2, max_aspect, needs_daylight, outdoor, light_well)"
+
+
+def kinds(spark):
+    return spark.createDataFrame(_KINDS, "kind string, min_width_m double, min_area_m2 double, max_aspect double, needs_daylight boolean, outdoor boolean, light_well boolean")
+
+
+def _rooms(spark, d):
+    return fixture(spark, d, "fx_rooms").withColumn("floor_idx", (F.substring("room_id", 2, 9).cast("int") % 3))
+
+
+@query("j1_apply_room_defaults", f"SELECT program, room_id, min_width_m, min_area_m2, max_aspect, needs_daylight, target_area_m2, CASE CAST(substr(room_id, 2) AS INT) % 5 WHEN 0 THEN 3.9 WHEN 1 THEN 3.6 ELSE 3.3 END AS height_m FROM fx_rooms JOIN {_KINDS_SQL} USING (kind)")
+def j1(spark, d):
+    r = layouts.apply_room_defaults(fixture(spark, d, "fx_rooms"), kinds(spark))
+    return r.withColumn("height_m", layouts.storey_height(F.substring("room_id", 2, 9).cast("int") % 5)).select("program", "room_id", "min_width_m", "min_area_m2", "max_aspect", "needs_daylight", "target_area_m2", "height_m")
+
+
+_PROG = f"""WITH r AS (SELECT *, CAST(substr(room_id, 2) AS INT) % 3 AS floor_idx, CAST(substr(room_id, 2) AS INT) % 4 = 0 AS entrance, CAST(substr(room_id, 2) AS INT) % 5 = 0 AS projecting, CASE WHEN program % 7 = 0 AND room_id = 'r1' THEN 'attic' ELSE kind END AS k2 FROM fx_rooms),
+fl AS (SELECT DISTINCT program, floor_idx, CASE WHEN program % 5 = 0 THEN 2.9 WHEN program % 5 = 1 THEN 3.35 ELSE 3.3 END AS height_m, program % 2 = 0 AS has_stair FROM r),
+lt AS (SELECT DISTINCT program, CASE WHEN program % 4 = 0 THEN 4.05 ELSE 4.0 END AS width_m, CAST(program % 14 AS DOUBLE) AS street_width_m FROM r),
+j AS (SELECT r.*, k.outdoor FROM r LEFT JOIN {_KINDS_SQL} ON r.k2 = k.kind), en AS (SELECT program, floor_idx, count(*) FILTER (entrance) AS n FROM r GROUP BY ALL)
+"""
+
+
+@query("j2_validate_program", _PROG + """SELECT program, NULL::INT AS floor_idx, NULL::VARCHAR AS room_id, 'lot_grid' AS rule FROM lt WHERE width_m = 4.05
+UNION ALL SELECT program, floor_idx, NULL, 'height' FROM fl WHERE height_m < 3 UNION ALL SELECT program, floor_idx, NULL, 'height_grid' FROM fl WHERE height_m = 3.35
+UNION ALL SELECT program, NULL, NULL, 'stair' FROM fl GROUP BY program HAVING count(*) >= 2 AND NOT bool_or(has_stair)
+UNION ALL SELECT program, floor_idx, room_id, 'unknown_kind' FROM j WHERE outdoor IS NULL UNION ALL SELECT program, floor_idx, room_id, 'projecting_indoor' FROM j WHERE projecting AND NOT outdoor
+UNION ALL SELECT program, floor_idx, room_id, 'projecting_ground' FROM r WHERE projecting AND floor_idx < 1 UNION ALL SELECT program, floor_idx, room_id, 'projecting_street' FROM r JOIN lt USING (program) WHERE projecting AND street_width_m < 7
+UNION ALL SELECT program, floor_idx, NULL, 'entrance' FROM en WHERE floor_idx = 0 AND n <> 1 UNION ALL SELECT program, floor_idx, NULL, 'entrance_above' FROM en WHERE floor_idx > 0 AND n > 0
+UNION ALL SELECT program, floor_idx, room_id, 'unknown_adjacent' FROM r WHERE adjacent_to IS NOT NULL""")
+def j2(spark, d):
+    n = F.substring("room_id", 2, 9).cast("int")
+    r = fixture(spark, d, "fx_rooms").withColumns({
+        "floor_idx": n % 3, "entrance": n % 4 == 0, "projecting": n % 5 == 0, "kind": F.when((F.col("program") % 7 == 0) & (F.col("room_id") == "r1"), "attic").otherwise(F.col("kind")),
+        "adjacent_to": F.when(F.col("adjacent_to").isNotNull(), F.array("adjacent_to")).otherwise(F.array().cast("array<string>")),
+    })
+    p = F.col("program")
+    fl = r.select("program", "floor_idx").distinct().withColumns({"height_m": F.when(p % 5 == 0, 2.9).when(p % 5 == 1, 3.35).otherwise(3.3), "has_stair": p % 2 == 0})
+    lt = r.select("program").distinct().withColumns({"width_m": F.when(p % 4 == 0, 4.05).otherwise(4.0), "depth_m": F.lit(12.0), "street_width_m": (p % 14).cast("double")})
+    return layouts.validate_program(r, fl, lt, kinds(spark).select("kind", "outdoor"))
+
+
+@query("j3_floor_connectivity", """WITH RECURSIVE e AS (SELECT program, room_id AS a, adjacent_to AS b FROM fx_rooms WHERE adjacent_to IS NOT NULL UNION SELECT program, adjacent_to, room_id FROM fx_rooms WHERE adjacent_to IS NOT NULL),
+s(program, room_id) AS (SELECT DISTINCT program, 'r1' FROM fx_rooms UNION SELECT e.program, e.b FROM s JOIN e ON s.program = e.program AND s.room_id = e.a)
+SELECT program, room_id FROM fx_rooms EXCEPT SELECT program, room_id FROM s""")
+def j3(spark, d):
+    return layouts.floor_connectivity(fixture(spark, d, "fx_rooms"))
+
+
+@query("j4_light_well_continuity", """WITH w AS (SELECT program, kind AS room_id, CAST(substr(room_id, 2) AS INT) % 4 AS floor_idx FROM fx_rooms), t AS (SELECT program, max(floor_idx) AS top FROM w GROUP BY program), l AS (SELECT program, room_id, min(floor_idx) AS low FROM w WHERE room_id = 'wc' GROUP BY ALL)
+SELECT program, room_id, CAST(f AS INT) AS floor_idx FROM l JOIN t USING (program), range(0, 4) g(f) WHERE f BETWEEN low AND top EXCEPT SELECT program, room_id, CAST(floor_idx AS INT) FROM w""")
+def j4(spark, d):
+    w = fixture(spark, d, "fx_rooms").select("program", F.col("kind").alias("room_id"), (F.substring("room_id", 2, 9).cast("int") % 4).alias("floor_idx"))
+    return layouts.light_well_continuity(w.where("room_id = 'wc'").distinct(), w)
+
+
+@query("j5_balcony_projection", "SELECT lot_id, CASE WHEN street_width_m >= 7 THEN 1.2 ELSE 0.0 END AS max_projection_m FROM fx_lots")
+def j5(spark, d):
+    return layouts.balcony_projection(fixture(spark, d, "fx_lots")).select("lot_id", "max_projection_m")
+
+
+@query("j6_typical_floors", """WITH s AS (SELECT program, CAST(substr(room_id, 2) AS INT) % 3 AS floor_idx, string_agg(kind, ',' ORDER BY kind) AS sign FROM fx_rooms GROUP BY ALL) SELECT program, floor_idx, min(floor_idx) OVER (PARTITION BY program, sign) AS same_as FROM s""")
+def j6(spark, d):
+    return layouts.typical_floors(_rooms(spark, d), ["kind"])
+
+
+_PAIRS = "fx_rects a JOIN fx_rects b ON a.program = b.program AND a.floor_idx = b.floor_idx AND a.room_id < b.room_id"
+_SHARED = f"""SELECT a.program, a.floor_idx, a.room_id AS room_a, b.room_id AS room_b,
+ CASE WHEN a.x_mm + a.w_mm = b.x_mm AND greatest(a.y_mm, b.y_mm) < least(a.y_mm + a.d_mm, b.y_mm + b.d_mm) THEN b.x_mm WHEN a.x_mm + a.w_mm <> b.x_mm AND b.x_mm + b.w_mm = a.x_mm AND greatest(a.y_mm, b.y_mm) < least(a.y_mm + a.d_mm, b.y_mm + b.d_mm) THEN a.x_mm END AS v,
+ CASE WHEN a.y_mm + a.d_mm = b.y_mm AND greatest(a.x_mm, b.x_mm) < least(a.x_mm + a.w_mm, b.x_mm + b.w_mm) THEN b.y_mm WHEN a.y_mm + a.d_mm <> b.y_mm AND b.y_mm + b.d_mm = a.y_mm AND greatest(a.x_mm, b.x_mm) < least(a.x_mm + a.w_mm, b.x_mm + b.w_mm) THEN a.y_mm END AS h,
+ greatest(a.y_mm, b.y_mm) AS vlo, least(a.y_mm + a.d_mm, b.y_mm + b.d_mm) AS vhi, greatest(a.x_mm, b.x_mm) AS hlo, least(a.x_mm + a.w_mm, b.x_mm + b.w_mm) AS hhi FROM {_PAIRS}"""
+
+
+@query("j7_shared_segments", f"SELECT program, floor_idx, room_a, room_b, CASE WHEN v IS NOT NULL THEN 'v' ELSE 'h' END AS orient, coalesce(v, h) AS c, CASE WHEN v IS NOT NULL THEN vlo ELSE hlo END AS lo, CASE WHEN v IS NOT NULL THEN vhi ELSE hhi END AS hi FROM ({_SHARED}) t WHERE v IS NOT NULL OR h IS NOT NULL")
+def j7(spark, d):
+    return layouts.shared_segments(fixture(spark, d, "fx_rects"))
+
+
+@query("j8_layout_violations", f"""SELECT program, floor_idx, 'bounds' AS rule, room_id AS room_a, NULL AS room_b FROM fx_rects WHERE x_mm + w_mm > 7000 OR y_mm + d_mm > 6000
+UNION ALL SELECT program, floor_idx, 'width', room_id, NULL FROM fx_rects WHERE least(w_mm, d_mm) < 2000 UNION ALL SELECT program, floor_idx, 'aspect', room_id, NULL FROM fx_rects WHERE greatest(w_mm, d_mm) > 2 * least(w_mm, d_mm)
+UNION ALL SELECT a.program, a.floor_idx, 'overlap', a.room_id, b.room_id FROM {_PAIRS} AND a.x_mm < b.x_mm + b.w_mm AND b.x_mm < a.x_mm + a.w_mm AND a.y_mm < b.y_mm + b.d_mm AND b.y_mm < a.y_mm + a.d_mm
+UNION ALL SELECT program, floor_idx, 'cover', NULL, NULL FROM fx_rects GROUP BY ALL HAVING sum(w_mm * d_mm) <> 42000000""".replace("room_id AS room_a, NULL AS room_b", "room_id AS room_a, NULL::VARCHAR AS room_b"))
+def j8(spark, d):
+    return layouts.layout_violations(fixture(spark, d, "fx_rects"), 7000, 6000, max_aspect=2.0, min_width_mm=2000)
+
+
+@query("j9_area_feasibility", "SELECT program, sum(target_area_m2 / 8) AS need_m2 FROM fx_rooms GROUP BY program HAVING sum(target_area_m2 / 8) > (4 + program % 3) * 5.5 OR sum(ceil(round(target_area_m2 / 8 * 100, 6))) > (4 + program % 3) * 550")
+def j9(spark, d):
+    r = fixture(spark, d, "fx_rooms").select("program", (F.col("target_area_m2") / 8).alias("min_area_m2"))
+    lots = r.select("program").distinct().withColumns({"width_m": (4 + F.col("program") % 3).cast("double"), "depth_m": F.lit(5.5)})
+    return layouts.area_feasibility(r, lots).select("program", "need_m2")
+
+
+_MERGED = """m AS (SELECT *, max(hi) OVER (PARTITION BY program, floor_idx, orient, c ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM iv),
+isl AS (SELECT *, sum(CASE WHEN mx IS NULL OR lo > mx THEN 1 ELSE 0 END) OVER (PARTITION BY program, floor_idx, orient, c ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM m), ln AS (SELECT program, floor_idx, orient, c, min(lo) AS lo, max(hi) AS hi FROM isl GROUP BY program, floor_idx, orient, c, k)"""
+
+
+@query("j10_merge_intervals", f"WITH iv AS (SELECT program, floor_idx, 'h' AS orient, y_mm AS c, x_mm AS lo, x_mm + w_mm AS hi FROM fx_rects), {_MERGED} SELECT program, floor_idx, c, lo, hi FROM ln")
+def j10(spark, d):
+    r = fixture(spark, d, "fx_rects").select("program", "floor_idx", F.col("y_mm").alias("c"), F.col("x_mm").alias("lo"), (F.col("x_mm") + F.col("w_mm")).alias("hi"))
+    return layouts.merge_intervals(r, ["program", "floor_idx", "c"])
+
+
+@query("j11_axis_positions", "SELECT spec_id AS span_id, CAST(i AS INT) AS i, CASE WHEN i = n THEN footprint_length ELSE round_even(footprint_length * i / n / 100, 0) * 100 END AS pos_mm FROM (SELECT *, greatest(CAST(ceil(footprint_length / 5000) AS INT), 1) AS n FROM fx_buildings) t, range(0, 40) r(i) WHERE i <= n")
+def j11(spark, d):
+    return layouts.axis_positions(fixture(spark, d, "fx_buildings").select(F.col("spec_id").alias("span_id"), F.col("footprint_length").alias("length_mm")))
+
+
+@query("j12_area_deviation", "SELECT program, round(sum(abs(CAST(w_mm AS DOUBLE) * d_mm / 1e6 - target_area_m2)), 6) AS deviation FROM fx_rects JOIN fx_rooms USING (program, room_id) GROUP BY program")
+def j12(spark, d):
+    return layouts.area_deviation(fixture(spark, d, "fx_rects"), fixture(spark, d, "fx_rooms"))
+
+
+_SEGMENTS = f"""iv AS (SELECT program, floor_idx, 'v' AS orient, x_mm AS c, y_mm AS lo, y_mm + d_mm AS hi FROM fx_rects UNION ALL SELECT program, floor_idx, 'v', x_mm + w_mm, y_mm, y_mm + d_mm FROM fx_rects UNION ALL SELECT program, floor_idx, 'h', y_mm, x_mm, x_mm + w_mm FROM fx_rects UNION ALL SELECT program, floor_idx, 'h', y_mm + d_mm, x_mm, x_mm + w_mm FROM fx_rects), {_MERGED},
+ct AS (SELECT l.*, o.c AS cut FROM ln l JOIN ln o ON l.program = o.program AND l.floor_idx = o.floor_idx AND l.orient <> o.orient AND o.c BETWEEN l.lo AND l.hi AND l.c BETWEEN o.lo AND o.hi UNION SELECT *, lo FROM ln UNION SELECT *, hi FROM ln),
+sg AS (SELECT program, floor_idx, orient, c, cut AS a, lead(cut) OVER (PARTITION BY program, floor_idx, orient, c, lo, hi ORDER BY cut) AS b FROM ct)"""
+
+
+@query("j13_wall_segments", f"WITH {_SEGMENTS} SELECT program, floor_idx, orient, c, a, b, c = 0 OR c = CASE WHEN orient = 'v' THEN 7000 ELSE 6000 END AS is_ext, CASE WHEN c = 0 OR c = CASE WHEN orient = 'v' THEN 7000 ELSE 6000 END THEN 200 ELSE 100 END AS thick FROM sg WHERE b IS NOT NULL")
+def j13(spark, d):
+    return layouts.wall_segments(fixture(spark, d, "fx_rects"), 7000, 6000)
+
+
+@query("j14_wall_joints", f"""WITH {_SEGMENTS}, s AS (SELECT *, concat_ws(':', orient, c, a, b) AS sid FROM sg WHERE b IS NOT NULL),
+p AS (SELECT program, floor_idx, sid, CASE WHEN orient = 'v' THEN c ELSE a END AS px, CASE WHEN orient = 'v' THEN a ELSE c END AS py FROM s UNION ALL SELECT program, floor_idx, sid, CASE WHEN orient = 'v' THEN c ELSE b END, CASE WHEN orient = 'v' THEN b ELSE c END FROM s)
+SELECT DISTINCT x.program, x.floor_idx, x.sid AS seg_a, y.sid AS seg_b FROM p x JOIN p y ON x.program = y.program AND x.floor_idx = y.floor_idx AND x.px = y.px AND x.py = y.py AND x.sid < y.sid""")
+def j14(spark, d):
+    return layouts.wall_joints(layouts.wall_segments(fixture(spark, d, "fx_rects"), 7000, 6000))[0]
+
+
+@query("j15_openings", f"""WITH {_SEGMENTS}, t AS ({_SHARED}), cn AS (SELECT program, floor_idx, room_a, room_b, CASE WHEN v IS NOT NULL THEN 'v' ELSE 'h' END AS orient, coalesce(v, h) AS c, CASE WHEN v IS NOT NULL THEN (vlo + vhi) / 2 ELSE (hlo + hhi) / 2 END AS mid FROM t WHERE v IS NOT NULL OR h IS NOT NULL),
+k AS (SELECT cn.*, CASE WHEN floor_idx > 0 AND (ka.kind = 'wc') <> (kb.kind = 'wc') THEN 'window' ELSE 'door' END AS kind FROM cn JOIN fx_rooms ka ON cn.program = ka.program AND room_a = ka.room_id JOIN fx_rooms kb ON cn.program = kb.program AND room_b = kb.room_id)
+SELECT k.program, k.floor_idx, room_a, room_b, kind, k.orient, k.c, mid, min(sg.a) AS a FROM k JOIN sg ON k.program = sg.program AND k.floor_idx = sg.floor_idx AND k.orient = sg.orient AND k.c = sg.c AND sg.b IS NOT NULL AND mid BETWEEN sg.a AND sg.b GROUP BY ALL""")
+def j15(spark, d):
+    r = fixture(spark, d, "fx_rects")
+    wells = fixture(spark, d, "fx_rooms").select("program", "room_id", (F.col("kind") == "wc").alias("light_well"))
+    return layouts.openings(layouts.shared_segments(r), wells, layouts.wall_segments(r, 7000, 6000)).drop("b")

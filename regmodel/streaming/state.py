@@ -34,7 +34,7 @@ def rate_limit_stream(stream: DataFrame, limit: int, window: float, kind: str =
         state.setTimeoutTimestamp(max(late, (state.getCurrentWatermarkMs() or 0) + 1))
         yield rows.assign(accepted=[a for a, _ in got], retry_after=[w for _, w in got])[["event_id", "k", "ts", "accepted", "retry_after"]]
 
-    rows = stream.select("event_id", "k", "ts").withWatermark("ts", f"{int(window)} seconds")
+    rows = stream.select("event_id", "k", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", f"{int(window)} seconds")
     return rows.groupBy("k").applyInPandasWithState(run, _HIT, "own string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
