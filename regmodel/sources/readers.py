@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 REQUIREMENT = "struct<type:string,description:string,min_value:double,max_value:double,unit:string,building_element:string,applies_to:string,condition:string,exception:string,values:string>"
 ARTICLE = f"struct<number:string,title:string,content:string,requirements:array<{REQUIREMENT}>>"
@@ -60,7 +61,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return with_kind(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     r"""``\X2\hhhh\X0\`` holds UTF-16 code units."""
     run = re.compile(r"\\X2\\([0-9A-Fa-f]*)\\X0\\")
