@@ -70,7 +70,7 @@ FROM (SELECT l_orderkey, l_partkey, l_quantity, {_ORDERED_ITEMS}) t""",
     WHEN 3 THEN 'Tiêu chuẩn TCVN 2737' ELSE 'Nghị định về xây dựng' END AS title,
   CASE WHEN o_custkey % 7 = 0 THEN 'Bản dịch' WHEN o_custkey % 7 = 1 THEN 'Văn bản hợp nhất' ELSE 'Thông tư' END AS doc_type, CAST(o_orderdate AS STRING) AS issue_date,
   CASE o_orderkey % 7 WHEN 0 THEN 'Còn hiệu lực' WHEN 1 THEN 'Hết hiệu lực toàn bộ' WHEN 2 THEN 'hết hiệu lực một phần' WHEN 3 THEN 'Chưa có hiệu lực' WHEN 4 THEN 'Ngưng hiệu lực' WHEN 5 THEN 'khác' ELSE NULL END AS eff_status,
-  CAST(o_totalprice AS BIGINT) % 20000 AS html_chars, CAST(o_custkey % 15000 AS BIGINT) AS text_chars, CASE o_custkey % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'pdf' ELSE 'docx' END AS kind, o_custkey % 5 = 0 AS scanned,
+  CAST(floor(o_totalprice) AS BIGINT) % 20000 AS html_chars, CAST(o_custkey % 15000 AS BIGINT) AS text_chars, CASE o_custkey % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'pdf' ELSE 'docx' END AS kind, o_custkey % 5 = 0 AS scanned,
   CASE WHEN o_orderkey % 3 = 0 THEN concat('QCVN_07-', CAST(1 + o_orderkey % 9 AS STRING), '.docx') ELSE 'van_ban.docx' END AS file_name FROM orders""",
     "fx_clauses": """SELECT std_id AS doc_id, CAST(ordinal * 2 AS BIGINT) AS line_no, concat(article_number, ' Quy định về lối đi số ', CAST(q AS STRING), CASE WHEN q % 2 = 0 THEN '.' ELSE '' END) AS line FROM fx_articles
 UNION ALL SELECT std_id AS doc_id, CAST(ordinal * 2 + 1 AS BIGINT) AS line_no, CASE q % 5 WHEN 0 THEN concat('Điều ', CAST(q AS STRING), '. Phạm vi') WHEN 1 THEN concat(CAST(q AS STRING), '.5 m chiều cao') WHEN 2 THEN 'a) mục nhỏ' WHEN 3 THEN 'phần tiếp theo của câu' ELSE 'PHỤ LỤC A' END AS line FROM fx_articles""",
