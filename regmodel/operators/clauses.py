@@ -157,6 +157,50 @@ def assign_lines(lines: DataFrame, skeleton: DataFrame) -> DataFrame:
     return at.select("doc_id", "line_no", F.coalesce("rest", "line").alias("line"), F.coalesce(F.last("number", ignorenulls=True).over(by), F.lit("0")).alias("clause"), F.coalesce(F.split(F.last("number", ignorenulls=True).over(by), r"\.")[0], F.lit("0")).alias("chapter"))
 
 
+def is_upper(text: Column) -> Column:
+    """Three letters or more, none of them small."""
+    return (F.length(F.regexp_replace(text, r"\P{L}", "")) >= 3) & ~text.rlike(r"\p{Ll}")
+
+
+def heading_title(line: Column, top: Column) -> Column:
+    """The title of a line that heads the chapter or annex ``top``, else null."""
+    word = r"^(?:CHƯƠNG|Chương|PHẦN|Phần)\s+(\d{1,2})(?![\p{L}\p{N}_])[.:]?\s*(.*)$"
+    number = r"^(\d{1,2})\.?\s+(\S.*)$"
+    title = F.trim(F.regexp_extract(line, number, 2))
+    words = F.size(F.regexp_extract_all(title, F.lit(r"(\p{L}{2,})"), 1))
+    plain = (words >= 2) & ~title.rlike(MEASUREMENT) & (F.length(title) <= 150) & ~title.rlike(r"[,;]$")
+    rest = F.trim(F.regexp_extract(line, ANNEX, 2))
+    annex = (F.regexp_extract(line, ANNEX, 1) == top) & ~line.rlike(r"^(?:PHỤ\s+LỤC|Phụ\s+lục)\s+[A-ZĐ][.,;:]")
+    return (
+        F.when(F.regexp_extract(line, word, 1) == top, F.trim(F.regexp_extract(line, word, 2)))
+        .when((F.regexp_extract(line, number, 1) == top) & plain, title)
+        .when(annex, F.rtrim(F.concat(F.lit("Phụ lục "), top, F.lit(" "), rest)))
+    )
+
+
+def chapter_titles(lines: DataFrame, skeleton: DataFrame, reach: int = 6) -> DataFrame:
+    """C4 (headings): doc_id, chapter, kind, title, first_line, last_line of each chapter whose heading is among the last ``reach`` lines
+    before its first clause.  Upper-case lines and lines in brackets right after the heading belong to the title."""
+    top = F.split("number", r"\.")[0]
+    by = Window.partitionBy("doc_id").orderBy("line_no")
+    starts = skeleton.select("doc_id", F.col("line_no").alias("at"), top.alias("chapter")).withColumn("before", F.lag("chapter").over(Window.partitionBy("doc_id").orderBy("at")))
+    first = starts.where("before IS NULL OR before <> chapter").groupBy("doc_id", "chapter").agg(F.min("at").alias("at"))
+    marked = lines.join(skeleton.select("doc_id", "line_no", "number"), ["doc_id", "line_no"], "left")
+    nxt = F.first(F.when(F.col("number").isNotNull(), F.col("line_no")), ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    pending = marked.withColumn("at", nxt).where("number IS NULL AND at IS NOT NULL").join(first, ["doc_id", "at"])
+    near = pending.withColumn("r_", F.row_number().over(Window.partitionBy("doc_id", "at").orderBy(F.desc("line_no")))).where(F.col("r_") <= reach)
+    rows = near.groupBy("doc_id", "chapter").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    found = F.get(F.filter(F.transform("ls", lambda x, i: F.struct(heading_title(x["line"], F.col("chapter")).alias("title"), i.alias("i"))), lambda x: x["title"].isNotNull()), F.lit(0))
+    tail = F.slice("ls", F.col("h.i") + 2, reach)
+    stop = F.get(F.filter(F.transform(tail, lambda x, i: F.when(~(is_upper(x["line"]) | x["line"].startswith("(")), i)), lambda i: i.isNotNull()), F.lit(0))
+    more = F.slice("tail_", 1, F.coalesce(F.col("stop_"), F.size("tail_")))
+    out = rows.withColumn("h", found).where("h IS NOT NULL").withColumn("tail_", tail).withColumn("stop_", stop).withColumn("more_", more)
+    title = F.trim(F.array_join(F.concat(F.array("h.title"), F.transform("more_", lambda x: x["line"])), " "))
+    kind = F.when(F.col("chapter").rlike(r"^\d"), "chapter").otherwise("annex")
+    head = F.get("ls", F.col("h.i"))["line_no"]
+    return out.select("doc_id", "chapter", kind.alias("kind"), title.alias("title"), head.alias("first_line"), (head + F.size("more_")).alias("last_line"))
+
+
 def parse_articles_by_heading(lines: DataFrame) -> DataFrame:
     """Clauses by "Điều N" headings: doc_id, ordinal from 1, number, content.  Lines before the first are left out."""
     head = F.regexp_extract("line", ARTICLE, 1)

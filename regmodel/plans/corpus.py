@@ -263,6 +263,14 @@ def c4(spark, d):
     return clauses.assign_lines(*_skeleton(spark, d))
 
 
+@query("c4_chapter_titles")
+def c4b(spark, d):
+    lines = fixture(spark, d, "fx_clauses")
+    heads = lines.where("line_no % 10 = 3").withColumn("line", F.concat(F.lit("Chương "), (1 + F.col("line_no") % 5).cast("string"), F.lit(" QUY ĐỊNH CHUNG")))
+    lines = lines.where("line_no % 10 <> 3").unionByName(heads)
+    return clauses.chapter_titles(lines, clauses.clause_skeleton(clauses.clause_candidates(lines)))
+
+
 @query("c5_parse_articles_by_heading", """WITH h AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^Điều\\s+\\d{1,3}') THEN regexp_extract(line, '^Điều\\s+(\\d{1,3})', 1) ELSE '' END AS head, CASE WHEN regexp_matches(line, '^Điều\\s+\\d{1,3}') THEN 'Phạm vi' ELSE line END AS line FROM fx_clauses),
 o AS (SELECT *, CAST(count(*) FILTER (head <> '') OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS ordinal FROM h)
 SELECT doc_id, ordinal, concat('Điều ', max(head)) AS number, string_agg(line, chr(10) ORDER BY line_no) AS content FROM o WHERE ordinal > 0 GROUP BY doc_id, ordinal""")

@@ -50,6 +50,13 @@ def test_skeleton(spark):
     assert assigned[0].clause == "0" and assigned[4].clause == "1.1.1" and assigned[8].clause == "2.1.1"
 
 
+def test_chapter_titles(spark):
+    text = "Mở đầu\n1 QUY ĐỊNH CHUNG\nCỦA QUY CHUẨN\n(quy định)\nlời dẫn\n1.1 Phạm vi\nChương 2. Yêu cầu kỹ thuật\n2.1 Lối đi\nxa\nPHỤ LỤC A (quy định)\nA.1 Bảng số"
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text.split("\n"))], "doc_id long, line_no long, line string")
+    got = clauses.chapter_titles(lines, clauses.clause_skeleton(clauses.clause_candidates(lines))).orderBy("first_line").collect()
+    assert [(r.chapter, r.kind, r.title, r.first_line, r.last_line) for r in got] == [("1", "chapter", "QUY ĐỊNH CHUNG CỦA QUY CHUẨN (quy định)", 1, 3), ("2", "chapter", "Yêu cầu kỹ thuật", 6, 6), ("A", "annex", "Phụ lục A (quy định)", 9, 9)]
+
+
 def test_order_key():
     assert sorted(["B.1", "Đ.1", "D.1", "10.1", "2.1", "E.1"], key=clauses.order_key) == ["2.1", "10.1", "B.1", "D.1", "Đ.1", "E.1"]
 
