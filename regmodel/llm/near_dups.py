@@ -6,12 +6,14 @@ register keeps the shingle that arrived first; a shingle is given up as soon as
 ones.  Two documents agree in a register with the probability Jaccard similarity of their weighted shingles.
 
 Equal texts are one node from the start.  Nodes that agree in all registers of a band are candidates.  First every bucket
-is compared with one of its nodes only; what then still lies in one bucket without being connected is compared with
-all of the smaller part, so that no candidate pair is left out between classes, and no class is expanded into pairs.
-Candidates are verified exactly: Jaccard similarity of their shingle sets of ``THRESHOLD`` or more makes a link.  Classes
+is compared with one of its nodes only, the one with most bucket mates, which makes most classes whole.  What then still
+lies in one bucket without being connected may pair up too, but most of it can be ruled out exactly: a text shares at
+most those shingles that any other open text has, which for the usual edited copy is too few for the threshold.  Only pairs
+that this bound leaves are compared, each in its first common bucket; no class is expanded into pairs, and no candidate
+that could be a link is left out.  Candidates are verified exactly: Jaccard similarity of their shingle sets of ``THRESHOLD`` or more makes a link.  Classes
 are the connected components of links, found by spreading the smallest label along links until nothing changes.
 
-Defined cases: a null text counts as empty, and empty texts are one class; a text of one to four words is one shingle; rows with
+Defined cases: a null text counts as empty; texts without words are near duplicates only of equal texts; a text of one to four words is one shingle; rows with
 equal texts have one class whatever their ids; class_id is the smallest doc_id of the class (null if all are null);
 an empty table gives an empty result; extra columns are ignored (``classes``) or kept (``keep_one``).
 """
@@ -83,7 +85,7 @@ def prob_min_hash(g: np.ndarray, d: np.ndarray, weight: np.ndarray, n: int, m: i
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (16 bytes: a digest of the text), bands (a hash of each).  docs: doc_id, text."""
+    """doc_id, node (16 bytes: a digest of the text), bands (a hash of each; none for a text without words).  docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,9 +96,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _SEED, n, axis=0)
                 for k in range(ROWS):
                     bands = words.mix(bands + sig[:, k::ROWS][:, :BANDS])
-                bands[counts == 0] = np.arange(BANDS, dtype=np.uint64)
-                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))], names=["doc_id", "node", "bands"])
+                some = counts > 0
+                offsets = pa.array(np.concatenate([[0], np.cumsum(some)]).astype(np.int32) * BANDS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.ListArray.from_arrays(offsets, pa.array(bands[some].ravel().view(np.int64)))], names=["doc_id", "node", "bands"])
 
     return docs.select("doc_id", "text", _node(F.col("text")).alias("node")).mapInArrow(run, "doc_id long, node binary, bands array<long>")
 
@@ -160,33 +162,81 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def unshared(sets: DataFrame) -> DataFrame:
+    """node, n, k: the size of each shingle set, and how many of its shingles another set of the table has too."""
+    schema = pa.schema([("x", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">i8").reshape(-1, 2).astype(np.int64)
+            parts = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(1)]
+            row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            x = np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(nodes[row, 0]), pa.array(nodes[row, 1])], schema=schema)
+
+    halves = [F.conv(F.hex(F.substring("node", at, 8)), 16, -10).cast("long").alias(name) for at, name in ((1, "hi"), (9, "lo"))]
+    single = sets.select("node", "s").mapInArrow(spread, "x long, hi long, lo long").groupBy("x").agg(F.count("*").alias("c"), F.min("hi").alias("hi"), F.min("lo").alias("lo")).where("c = 1")
+    own = single.groupBy("hi", "lo").agg(F.count("*").alias("u"))
+    sized = sets.select("node", F.floor(F.octet_length("s") / 4).alias("n"), *halves)
+    return sized.join(own, ["hi", "lo"], "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("k"))
+
+
+def still_open(rows: DataFrame, sets: DataFrame, threshold: float, rounds: int = 2) -> DataFrame:
+    """Of rows (band, h, node, label) those that could link to another class of their bucket, with n and k.  A link needs a common part of
+    threshold / (1 + threshold) of both sizes together, and k bounds it from above; each round counts k among what is left."""
+    share = threshold / (1 + threshold)
+    for _ in range(rounds):
+        size = unshared(sets.join(rows.select("node").distinct(), "node", "left_semi"))
+        sized = rows.select("band", "h", "node", "label").join(size, "node")
+        least = sized.groupBy("band", "h").agg(F.min("n").alias("least"))
+        could = sized.join(least, ["band", "h"]).where(F.col("k") + 1e-9 >= share * (F.col("n") + F.greatest(F.col("least").cast("double"), threshold * F.col("n")))).drop("least")
+        mixed = could.groupBy("band", "h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "h")
+        rows = common.materialize(could.join(mixed, ["band", "h"], "left_semi"), "open-rows")
+    return rows
+
+
 def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node of every row; node, label of the nodes with links).  docs: doc_id, text."""
     sig = common.materialize(signatures(docs), "signatures")
     nodes = sig.groupBy("node").agg(F.first("bands").alias("bands"))
-    entries = nodes.select("node", F.posexplode("bands").alias("band", "h"))
-    entries = common.materialize(entries, "band-entries")
-    shared = entries.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    buckets = common.materialize(entries.join(shared, ["band", "h"]).select("band", "h", "node", "centre"), "buckets")
-    star = common.materialize(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = buckets.select("node").distinct()
-    texts = docs.select(_node(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    entries = common.materialize(nodes.select("node", F.posexplode("bands").alias("band", "h")), "band-entries")
+    shared = entries.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = common.materialize(entries.join(shared, ["band", "h"]), "buckets")
+    mates = buckets.groupBy("node").agg(F.sum("size").alias("mates"))
+    known = common.materialize(buckets.select("band", "h", "node").join(mates, "node"), "bucket-mates")
+    centres = known.groupBy("band", "h").agg(F.max(F.struct("mates", "node")).alias("c")).select("band", "h", F.col("c.node").alias("centre"))
+    star = known.join(centres, ["band", "h"]).where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+    star = common.materialize(star.distinct(), "pairs")
+    texts = docs.select(_node(F.col("text")).alias("node"), "text").join(mates.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = common.materialize(shingle_sets(texts), "shingle-sets")
     links = common.materialize(verified(star, sets, threshold), "links")
     first = components(links)
 
-    # what shares a bucket and is not connected yet: all of the bucket's smaller classes against all others in it
-    own = buckets.join(first, "node", "left").select("band", "h", "node", F.coalesce("label", "node").alias("label"))
-    own = common.materialize(own, "bucket-labels")
-    parts = own.groupBy("band", "h", "label").agg(F.count("*").alias("k"))
-    major = parts.groupBy("band", "h").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("band", "h", F.col("top.label").alias("major"))
-    open_ = common.materialize(own.join(major, ["band", "h"]), "open-buckets")
-    minor = open_.where("label <> major").select("band", "h", F.col("node").alias("a"), F.col("label").alias("la"))
-    cross = minor.join(open_.select("band", "h", F.col("node").alias("b"), F.col("label").alias("lb")), ["band", "h"]).where("la <> lb")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = verified(cross, sets, threshold)
-    every = common.materialize(links.union(more), "all-links")
-    return sig.select("doc_id", "node"), components(every)
+    # what shares a bucket and is not connected yet
+    own = buckets.select("band", "h", "node").join(first, "node", "left").select("band", "h", "node", F.coalesce("label", "node").alias("label"))
+    mixed = own.groupBy("band", "h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "h")
+    rows = common.materialize(own.join(mixed, ["band", "h"], "left_semi"), "bucket-labels")
+    rows = still_open(rows, sets, threshold).join(nodes.join(rows.select("node").distinct(), "node", "left_semi"), "node")
+    rows = common.materialize(rows, "open-buckets")
+    parts = rows.groupBy("band", "h", "label").agg(F.count("*").alias("size"))
+    major = parts.groupBy("band", "h").agg(F.max(F.struct("size", "label")).alias("top")).select("band", "h", F.col("top.label").alias("major"))
+    side = lambda p, df: df.select("band", "h", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "label", "n", "k", "bands")])
+    minor = side("a", rows.join(major, ["band", "h"]).where("label <> major"))
+    other = side("b", rows).join(major, ["band", "h"])
+    c = F.col
+    earlier = F.exists(F.zip_with(F.slice("a_bands", 1, c("band")), F.slice("b_bands", 1, c("band")), lambda x, y: x == y), lambda x: x)
+    fits = (F.least("a_n", "b_n") + 1e-9 >= threshold * F.greatest("a_n", "b_n")) & (F.least("a_k", "b_k") + 1e-9 >= threshold / (1 + threshold) * (c("a_n") + c("b_n")))
+    once = (c("b_label") == c("major")) | (c("a_node") < c("b_node"))
+    pairs = minor.join(other, ["band", "h"]).where((c("a_label") != c("b_label")) & fits & once & ~earlier)
+    pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), F.least("a_label", "b_label").alias("la"), F.greatest("a_label", "b_label").alias("lb"))
+    pairs = common.materialize(pairs.dropDuplicates(["a", "b"]).join(star, ["a", "b"], "left_anti"), "cross-pairs")
+    more = common.materialize(verified(pairs.select("a", "b"), sets, threshold).join(pairs, ["a", "b"]).select("la", "lb").distinct().toDF("a", "b"), "class-links")
+    if not more.limit(1).count():
+        return sig.select("doc_id", "node"), first
+    joined = components(more).toDF("label", "joined")
+    alone = joined.select(F.col("label").alias("node"), "label").join(first.select("node"), "node", "left_anti")  # texts that are linked only now
+    both = first.unionByName(alone.select("node", "label")).join(joined, "label", "left")
+    return sig.select("doc_id", "node"), both.select("node", F.coalesce("joined", "label").alias("label"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
