@@ -98,7 +98,7 @@ def nfc(text: pd.Series) -> pd.Series:
 def normalize_text(text: Column, compose: bool = True) -> Column:
     """NFC; line ends, tabs and no-break spaces; zero-width spaces go; runs of spaces are one; lines are trimmed."""
     text = nfc(text) if compose else text
-    flat = F.replace(F.replace(F.translate(F.regexp_replace(text, "\r\n|\r", "\n"), " \t", "  "), F.lit("​"), F.lit("")), F.lit("﻿"), F.lit(""))
+    flat = F.replace(F.replace(F.translate(F.regexp_replace(text, "\r\n|\r", "\n"), "\u00a0\t", "  "), F.lit("\u200b"), F.lit("")), F.lit("\ufeff"), F.lit(""))
     return F.array_join(F.transform(F.split(F.regexp_replace(flat, " {2,}", " "), "\n"), lambda x: F.trim(x)), "\n")
 
 
