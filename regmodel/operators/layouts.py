@@ -54,7 +54,7 @@ def validate_program(rooms: DataFrame, floors: DataFrame, lots: DataFrame, kinds
         return df.select("program", (F.lit(None).cast("int") if floor is None else floor.cast("int")).alias("floor_idx"), room.cast("string").alias("room_id"), F.lit(rule).alias("rule"))
 
     f, r = F.col("floor_idx"), F.col("room_id")
-    known = rooms.join(F.broadcast(kinds.limit(1000)), "kind", "left")
+    known = rooms.join(kinds, "kind", "left")
     reach = balcony_projection(lots).select("program", "max_projection_m")
     ends = rooms.select("program", "floor_idx", "room_id", F.explode("adjacent_to").alias("target"))
     there = rooms.select("program", "floor_idx", F.col("room_id").alias("target")).union(floors.where("has_stair").select("program", "floor_idx", F.lit("stair")))
