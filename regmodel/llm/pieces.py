@@ -3,8 +3,9 @@
 The best segmentation of a text is the one whose pieces have the largest sum of the model's scores; characters that no
 piece covers become byte pieces.  The search keeps back pointers only since the last committed boundary: the open paths
 end within the longest piece's length, and as soon as all of them run through one boundary the ids up to it are
-committed.  A model none of whose pieces holds a space mark after another character commits at every word's start by
-that rule, so words are encoded apart and kept in a bounded cache.
+committed.  All paths meet between two characters that stand side by side in no piece; so a model none of whose pieces
+holds a space mark after another character commits at every word's start, and words are encoded apart and kept in a
+bounded cache.
 
 Ties go to the longest last piece.  Decoding joins pieces, turns byte pieces back into characters and drops the space
 that encoding put in front.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 3 << 18
 CACHED_LENGTH = 64
 #: What a character costs that has to be written as bytes: worse than any piece.
 BYTE_COST = 1e6
@@ -49,13 +50,19 @@ class Pieces:
         self.table = {self.names[i]: (max(float(scores[i]), float(floor)), i) for i in range(n) if i not in special}
         self.longest = max(map(len, self.table))
         self.apart = not any(MARK in x.lstrip(MARK) for x in self.table)
-        self.prefixes = {x[:k] for x in self.table for k in range(1, len(x) + 1)}
+        #: Each beginning of a piece, with score and id if it is a piece itself.
+        self.begins: dict[str, tuple[float, int] | None] = dict.fromkeys(x[:k] for x in self.table for k in range(1, len(x)))
+        self.begins.update(self.table)
+        #: No piece spans two characters that are not in here: all paths meet between them.
+        self.pairs = {x[k : k + 2] for x in self.table for k in range(len(x) - 1)}
         self.cache: dict[str, bytes] = {}
         self.reverse = {i: b for b, i in self.bytes.items()}
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of a text in which spaces are marks already."""
-        n, longest, table, prefixes = len(text), self.longest, self.table, self.prefixes
+        if len(text) <= CACHED_LENGTH:
+            return self._short(text)
+        n, longest, begins = len(text), self.longest, self.begins
         out: list[int] = []
         base = 0  # the last committed boundary
         score = [0.0]  # by boundary since base
@@ -73,8 +80,8 @@ class Pieces:
             if here - BYTE_COST > score[at]:
                 score[at], back[at] = here - BYTE_COST, (pos, -1)
             reach = max(reach, end)
-            while end <= last and (part := text[pos:end]) in prefixes:
-                if got := table.get(part):
+            while end <= last and (got := begins.get(text[pos:end], False)) is not False:
+                if got:
                     at = end - base
                     if here + got[0] > score[at]:
                         score[at], back[at] = here + got[0], (pos, got[1])
@@ -96,6 +103,44 @@ class Pieces:
                     base = meet
         return out
 
+    def _short(self, text: str) -> list[int]:
+        """A text that is no longer than the window: one table, one way back."""
+        n, get = len(text), self.begins.get
+        best, back, ids = [0.0] + [float("-inf")] * n, [0] * (n + 1), [-1] * (n + 1)
+        for pos in range(n):
+            here, end = best[pos], pos + 1
+            if here - BYTE_COST > best[end]:
+                best[end], back[end], ids[end] = here - BYTE_COST, pos, -1
+            while end <= n and (got := get(text[pos:end], False)) is not False:
+                if got and here + got[0] > best[end]:
+                    best[end], back[end], ids[end] = here + got[0], pos, got[1]
+                end += 1
+        out: list[int] = []
+        at = n
+        while at:
+            out.extend([ids[at]] if ids[at] >= 0 else [self.bytes[b] for b in reversed(text[back[at] : at].encode())])
+            at = back[at]
+        return out[::-1]
+
+    def _word(self, word: str) -> bytes:
+        """A word that is not in the cache, cut where no piece goes across; its parts are cached too."""
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
+            part = word[a:b]
+            ids = self.cache.get(part)
+            if ids is None:
+                ids = self._keep(part, np.array(self.viterbi(part), "<u4").tobytes())
+            out.append(ids)
+        return self._keep(word, b"".join(out))
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= CACHED_LENGTH:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            self.cache[word] = ids
+        return ids
+
     @staticmethod
     def _meet(score: list[float], back: list[tuple[int, int]], base: int, pos: int, reach: int) -> int:
         """The last boundary that the paths to all open boundaries, from pos to reach, run through."""
@@ -121,13 +166,7 @@ class Pieces:
             word = spaces + MARK + word
             spaces = ""
             ids = cache.get(word)
-            if ids is None:
-                ids = np.array(self.viterbi(word), "<u4").tobytes()
-                if len(word) <= CACHED_LENGTH:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[word] = ids
-            out.append(ids)
+            out.append(self._word(word) if ids is None else ids)
         if spaces:
             out.append(np.array(self.viterbi(spaces), "<u4").tobytes())
         return b"".join(out)
