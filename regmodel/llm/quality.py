@@ -16,6 +16,7 @@ results; extra columns are ignored (``judge``) or kept (``keep_good``).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,11 +78,15 @@ def ratios(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     return [math.log(g / all_good) - math.log(r / all_raw) for g, r in zip(good, raw, strict=True)]
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _repeat_words(h: Column) -> Column:
     """Words within windows of WINDOW words that the text holds twice or more."""
     n = F.size(h) - F.lit(WINDOW) + 1
     windows = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
-    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
 
     def covered(pairs: Column) -> Column:
         same = lambda p, k: (F.get(pairs, k - 1)["h"] == p["h"]) | (F.get(pairs, k + 1)["h"] == p["h"])
@@ -105,39 +110,39 @@ def _score(h: Column, table: list[float]) -> Column:
     return F.when(n > 0, total / (2 * n - 1)).otherwise(0.0)
 
 
-def measured(docs: DataFrame, table: list[float], cut: float = CUT, text_col: str = "text") -> DataFrame:
-    """docs and the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept", "word_hashes_"]
-    out = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names or c == text_col], word_hashes(text).alias("word_hashes_"))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    gap = lambda drop: F.translate(text, drop, "")
-    h = F.col("word_hashes_")
-    out = out.select(
-        "*",
-        F.size(h).cast("long").alias("n_words"),
-        F.length(gap(SPACES)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(gap(SYMBOLS))).cast("long").alias("n_symbols"),
-        F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long").alias("n_dup_lines"),
-        _repeat_words(h).alias("n_repeat_words"),
-        _score(h, table).alias("llr"),
-    ).drop("word_hashes_")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= cut))
+def verdict(text: Column, table: list[float], cut: float = CUT) -> Column:
+    """n_words, n_repeat_words, llr, base_failed and kept of a text, as one struct."""
+
+    def measures(h: Column) -> Column:
+        return F.struct(F.size(h).cast("long").alias("n_words"), _repeat_words(h).alias("n_repeat_words"), _score(h, table).alias("llr"))
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
+        return F.struct(*[m[c].alias(c) for c in ("n_words", "n_repeat_words", "llr")], failed.alias("base_failed"), (~failed & (m["llr"] >= cut)).alias("kept"))
+
+    return bind(bind(word_hashes(F.coalesce(text, F.lit(""))), measures), judged)
 
 
 def judge(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the measures and the verdict of every document."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept of every document."""
     table = ratios(docs, trusted(labels, id_col=id_col), id_col, text_col)
-    return measured(common.pick(docs, id_col, text_col), table, cut).drop("text")
+    text = F.col("text")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    gap = lambda drop: F.translate(text, drop, "")
+    out = common.pick(docs, id_col, text_col).select(
+        "doc_id",
+        verdict(text, table, cut).alias("v"),
+        F.length(gap(SPACES)).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(gap(SYMBOLS))).cast("long").alias("n_symbols"),
+        bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+    )
+    return out.select("doc_id", "v.n_words", "word_chars", "n_symbols", "n_dup_lines", "v.n_repeat_words", "v.llr", "v.base_failed", "v.kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, as they are."""
     table = ratios(docs, trusted(labels, id_col=id_col), id_col, text_col)
-    names = docs.columns
-    row = docs.select(F.struct(*[f"`{c}`" for c in names]).alias("row_"), F.col(f"`{text_col}`").alias("text"))
-    return measured(row, table, cut).where("kept").select(*[F.col("row_").getField(c).alias(c) for c in names])
+    return docs.where(verdict(F.col(f"`{text_col}`"), table, cut)["kept"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
