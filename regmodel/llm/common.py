@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 _local: str | None = None
 
@@ -44,3 +48,28 @@ def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
+
+
+#: log2 of the bits of a membership map: 512 KB, and at most 2**MAP_BITS / 32 rows to the driver, whatever its table holds.
+MAP_BITS = 22
+
+
+def map_slot(key: Column) -> Column:
+    return F.xxhash64(key).bitwiseAND((1 << MAP_BITS) - 1)
+
+
+def maybe_in(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that is true for all keys of a table and for few others: it thins out rows before they are shuffled to an exact join.  A
+    full map thins out nothing, and the join is as exact."""
+    slots = keys.select(map_slot(F.col(key)).alias("slot")).groupBy(F.shiftright("slot", 5).alias("k")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 31 AS INT)))").alias("v"))
+    words = np.zeros(1 << (MAP_BITS - 5), np.uint32)
+    for r in slots.collect():
+        words[r["k"]] = r["v"]
+    bits = keys.sparkSession.sparkContext.broadcast(words.astype("<u4").view(np.uint8))
+
+    @F.pandas_udf(BooleanType())
+    def test(slot: pd.Series) -> pd.Series:
+        at = slot.to_numpy(np.int64)
+        return pd.Series((bits.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return lambda c: test(map_slot(c))

@@ -207,7 +207,9 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     centres = known.groupBy("band", "h").agg(F.max(F.struct("mates", "node")).alias("c")).select("band", "h", F.col("c.node").alias("centre"))
     star = known.join(centres, ["band", "h"]).where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
     star = common.materialize(star.distinct(), "pairs")
-    texts = docs.select(_node(F.col("text")).alias("node"), "text").join(mates.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    wanted = known.select("node").distinct()
+    texts = docs.select(_node(F.col("text")).alias("node"), "text").where(common.maybe_in(wanted, "node")(F.col("node")))
+    texts = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = common.materialize(shingle_sets(texts), "shingle-sets")
     links = common.materialize(verified(star, sets, threshold), "links")
     first = components(links)
@@ -251,12 +253,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs from each class, as it is; of rows equal in id and text one stays."""
-    kept = classes(docs, threshold, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
+    """One row of docs from each class, as it is; of rows equal in id and text one stays.  Rows that are alone in their class go
+    straight through; only the others are shuffled."""
+    rows = classes(docs, threshold, id_col, text_col).where("class_size > 1")
+    rows = common.materialize(rows.select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"), "kept").distinct(), "shared-classes")
     keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row_"), F.col(f"`{id_col}`").cast("long").alias("kept_id"), _node(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("kept_node"))
+    keyed = keyed.withColumn("shared_", common.maybe_in(rows, "kept_node")(F.col("kept_node")))
     same = F.col("x.kept_id").eqNullSafe(F.col("y.kept_id")) & (F.col("x.kept_node") == F.col("y.kept_node"))
-    one = keyed.alias("x").join(kept.alias("y"), same, "left_semi").dropDuplicates(["kept_node"])
-    return one.select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])
+    some = keyed.where("shared_").alias("x").join(rows.alias("y"), same, "left").select("x.row_", "x.kept_node", "y.kept")
+    one = some.where("kept").dropDuplicates(["kept_node"]).select("row_")
+    every = keyed.where("NOT shared_").select("row_").union(some.where("kept IS NULL").select("row_")).union(one)
+    return every.select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
