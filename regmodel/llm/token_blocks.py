@@ -135,10 +135,16 @@ def _tokenizer(path: str) -> tuple[object, dict[str, bytes]]:
     return _tokenizers[path]
 
 
-def encode_texts(texts: list[str], path: str, kind: str = "<u4") -> list[bytes]:
-    """Ids of whole texts.  The tokenizer drops white space before it looks at anything else, so what stands between
+def id_kind(path: str, end_id: int = END_ID) -> str:
+    """The narrowest type that holds all ids of a tokenizer."""
+    return "<u2" if max(_tokenizer(path)[0].get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+
+
+def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    """Ids of whole texts, as ``id_kind`` says.  The tokenizer drops white space before it looks at anything else, so what stands between
     spaces and line ends is encoded by itself and kept in a bounded cache."""
     tokenizer, cache = _tokenizer(path)
+    kind = id_kind(path)
     split = [x.replace("\n", " ").split(" ") for x in texts]
     new = list(set().union(*split).difference(cache))
     if len(cache) + len(new) > CACHE_WORDS:
@@ -152,14 +158,16 @@ def encode_texts(texts: list[str], path: str, kind: str = "<u4") -> list[bytes]:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, codes: the ids of the text and ``end_id`` as little-endian unsigned 32-bit integers."""
-    end = np.array([end_id], "<u4").tobytes()
+    """doc_id, codes: the ids of the text and ``end_id``, behind a byte that says how many bytes each takes (2 or 4): what is sorted over
+    the network is as narrow as the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = id_kind(tokenizer_path, end_id)
+        start, end = kind[-1].encode(), np.array([end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                codes = [x + end for x in encode_texts(part.column(1).to_pylist(), tokenizer_path)]
+                codes = [start + x + end for x in encode_texts(part.column(1).to_pylist(), tokenizer_path)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary())], names=["doc_id", "codes"])
 
     return common.pick(docs, id_col, text_col).mapInArrow(run, "doc_id long, codes binary")
@@ -175,14 +183,15 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> pa.RecordBatch:
         nonlocal segment, first, ids, counts, codes, held
-        row = [[part], [segment], [first], [held], [ids], [counts], [encode(np.frombuffer(b"".join(codes), "<u4"))]]
+        row = [[part], [segment], [first], [held], [ids], [counts], [encode(np.concatenate(codes))]]
         segment, first, ids, counts, codes, held = segment + 1, first + held, [], [], [], 0
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     for batch in batches:
         for p, doc, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             part = p
-            n = len(raw) // 4
+            raw = np.frombuffer(raw, "<u" + chr(raw[0]), offset=1).astype(np.uint32)
+            n = len(raw)
             if held and held + n > SEGMENT_IDS:
                 yield close()
             ids.append(doc)
