@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..operators import models, specs
 from .base import fixture, query, table
 
@@ -130,12 +131,24 @@ def h2(spark, d):
     return models.check_openings(doors, fills, voids, walls).select("model", "element")
 
 
-@query("h3_check_wall_connections", "SELECT model, global_id AS element FROM (SELECT *, count(*) OVER (PARTITION BY model) AS n FROM fx_elements WHERE ifc_type = 'IfcWall') t WHERE n >= 2 AND right(global_id, 1) NOT IN ('1', '2')")
-def h3(spark, d):
+def _walls(spark, d):
+    """Walls, and connections that name those whose number ends in 1 or 2."""
     walls = fixture(spark, d, "fx_elements").where("ifc_type = 'IfcWall'").select("model", F.col("global_id").alias("element"))
     one = walls.where("substring(element, -1) = '1'").select("model", F.col("element").alias("a"), F.lit("x").alias("b"))
     two = walls.where("substring(element, -1) = '2'").select("model", F.lit("y").alias("a"), F.col("element").alias("b"))
-    return models.check_wall_connections(walls, one.unionByName(two)).select("model", "element")
+    return walls, one.unionByName(two)
+
+
+@query("h3_check_wall_connections", "SELECT model, global_id AS element FROM (SELECT *, count(*) OVER (PARTITION BY model) AS n FROM fx_elements WHERE ifc_type = 'IfcWall') t WHERE n >= 2 AND right(global_id, 1) NOT IN ('1', '2')")
+def h3(spark, d):
+    return models.check_wall_connections(*_walls(spark, d)).select("model", "element")
+
+
+def _columns(spark, d):
+    """Columns, and the axes of their grid."""
+    li = table(spark, d, "lineitem").where("l_quantity < 5")
+    cols = li.select(F.concat(F.lit("M"), (F.col("l_orderkey") % 60).cast("string")).alias("model"), F.col("l_partkey").alias("element"), (F.col("l_partkey") % 30).cast("double").alias("x"), (F.col("l_suppkey") % 20).cast("double").alias("y"))
+    return cols, fixture(spark, d, "fx_axes")
 
 
 @query("h4_check_columns_on_grid", """WITH c AS (SELECT concat('M', CAST(l_orderkey % 60 AS STRING)) AS model, l_partkey AS element, CAST(l_partkey % 30 AS DOUBLE) AS x, CAST(l_suppkey % 20 AS DOUBLE) AS y FROM lineitem WHERE l_quantity < 5),
@@ -143,15 +156,18 @@ g AS (SELECT u.model, u.ax0 AS gx, v.ay0 AS gy FROM fx_axes u JOIN fx_axes v ON
 n AS (SELECT c.model, c.element, min(sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy))) AS d FROM c JOIN g USING (model) GROUP BY ALL)
 SELECT model, CAST(element AS STRING) AS element FROM n WHERE d * 1000 > 10 UNION ALL SELECT DISTINCT model, NULL FROM c WHERE model NOT IN (SELECT model FROM g)""")
 def h4(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity < 5")
-    cols = li.select(F.concat(F.lit("M"), (F.col("l_orderkey") % 60).cast("string")).alias("model"), F.col("l_partkey").alias("element"), (F.col("l_partkey") % 30).cast("double").alias("x"), (F.col("l_suppkey") % 20).cast("double").alias("y"))
-    return models.check_columns_on_grid(cols, fixture(spark, d, "fx_axes")).select("model", "element")
+    return models.check_columns_on_grid(*_columns(spark, d)).select("model", "element")
+
+
+def _storeys(spark, d):
+    """Storeys, and the spaces that two of them hold."""
+    s = fixture(spark, d, "fx_elements").where("storey <> ''").select("model", F.col("storey").alias("element")).distinct()
+    return s, s.where("element IN ('Tầng 2', 'Tầng 5')").select("model", F.col("element").alias("storey"))
 
 
 @query("h5_check_spaces", "SELECT DISTINCT model, storey AS element FROM fx_elements WHERE storey NOT IN ('', 'Tầng 2', 'Tầng 5')")
 def h5(spark, d):
-    s = fixture(spark, d, "fx_elements").where("storey <> ''").select("model", F.col("storey").alias("element")).distinct()
-    return models.check_spaces(s, s.where("element IN ('Tầng 2', 'Tầng 5')").select("model", F.col("element").alias("storey"))).select("model", "element")
+    return models.check_spaces(*_storeys(spark, d)).select("model", "element")
 
 
 @query("h6_check_extent", "SELECT model, global_id AS element FROM fx_elements WHERE greatest(abs(x1), abs(y1), abs(z1)) * 30 > 1000")
@@ -177,9 +193,14 @@ def h8(spark, d):
 
 
 def _issues(spark, d):
+    """The issues of all checks, each with the inputs of its own query (H6 with another unit)."""
     e = fixture(spark, d, "fx_elements")
     far = e.select("model", F.col("global_id").alias("element"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("z1").alias("z"), F.lit(25).alias("unit_scale"))
-    return models.run_checks({"classes": lambda: models.check_required_classes(e), "extent": lambda: models.check_extent(far)})
+    checks = {
+        "classes": lambda: models.check_required_classes(e), "openings": lambda: models.check_openings(*_parts(spark, d)[1:]), "walls": lambda: models.check_wall_connections(*_walls(spark, d)),
+        "columns": lambda: models.check_columns_on_grid(*_columns(spark, d)), "spaces": lambda: models.check_spaces(*_storeys(spark, d)), "extent": lambda: models.check_extent(far), "clashes": lambda: models.check_clashes(e),
+    }
+    return models.run_checks(checks)
 
 
 _REPORT = f"""WITH i AS ({_H1} UNION ALL SELECT model, 'extent', global_id FROM fx_elements WHERE greatest(abs(x1), abs(y1), abs(z1)) * 25 > 1000), m AS (SELECT DISTINCT model FROM fx_elements)"""
@@ -193,7 +214,7 @@ def h9(spark, d):
 @query("h10_compare_baseline", f"""{_REPORT}, n AS (SELECT model, "check", count(*) AS n FROM i GROUP BY ALL), b AS (SELECT model, "check", CASE WHEN "check" = 'extent' THEN n - 1 ELSE n END AS old FROM n WHERE right(model, 1) <> '3' AND NOT ("check" = 'classes' AND right(model, 1) = '4'))
 SELECT n.model, n."check", b.old, n.n FROM n LEFT JOIN b USING (model, "check") WHERE n.model IN (SELECT model FROM b) AND (b.old IS NULL OR n.n > b.old) UNION ALL SELECT DISTINCT model, NULL, NULL, NULL FROM n WHERE model NOT IN (SELECT model FROM b)""")
 def h10(spark, d):
-    n = _issues(spark, d).groupBy("model", "check").agg(F.count("*").alias("n"))
+    n = stored(_issues(spark, d).groupBy("model", "check").agg(F.count("*").alias("n")), "issues")
     last = F.substring("model", -1, 1)
     base = n.where((last != "3") & ~((F.col("check") == "classes") & (last == "4"))).withColumn("n", F.col("n") - (F.col("check") == "extent").cast("int"))
     return models.compare_baseline(n, base)
