@@ -4,8 +4,9 @@ Fixed patterns find the base spans.  The random field adds more: it tags tokens
 from the token's shape, the words beside it and features of the file, and is decoded by Viterbi.  It is trained in numpy
 by maximum likelihood on a bounded sample of texts whose tags are the base spans.
 
-Tokens that could be secrets have eight characters or more of the secret alphabet and a digit among them; all others are
-outside by definition, so that a chain is a run of such tokens with nothing but white space between.
+Every token of every line is tagged: a token is a run of the secret alphabet, or of characters beyond ASCII; length and
+digits are features.  A chain is a line.  A feature belongs to a token, a gap or a text, so that the scores of each are
+summed once and looked up; all lines of a slice are decoded together, and a long text goes in pieces that end at line breaks.
 
 Defined cases: a null text counts as empty and has no spans; rows are independent, so repeated and null ids, ties and
 extra columns don't matter; an empty table gives an empty result; without a base span in the sample the field adds none.
@@ -13,11 +14,12 @@ extra columns don't matter; an empty table gives an empty result; without a base
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,12 @@ _NAMES = ("passw", "secret", "token", "apikey", "api_key")
 _DIGIT = re.compile(r"[0-9]")
 _RIGHT = re.compile(r"[A-Za-z0-9+/_.=~-]*")
 _ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=~-")
-_WORD = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"([A-Za-z0-9+/_.=~-]+|[^\x00-\x7F\s]+)")
+#: Characters that are decoded together, and slots of a token (of its own, and one for each neighbour's place), gap or text.
+SLICE_CHARS = 1_000_000
+OWN = 11
+#: Entities that are remembered.
+KNOWN = 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,60 +77,151 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 
 def _hash(x: str) -> int:
-    return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") % DIM
+    return zlib.crc32(x.encode("utf-8", "replace")) % DIM
 
 
-_known: dict[str, int] = {}
+_CLASSES = str.maketrans({c: "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in map(chr, range(128))})
+_CONSONANTS = str.maketrans("", "", "".join(c for c in map(chr, range(128)) if c not in "aeiouyAEIOUY"))
+_AGAIN = re.compile(r"([aA0])\1+")
 
 
-def _slot(x: str) -> int:
-    got = _known.get(x)
-    if got is None:
-        if len(_known) > 200_000:
-            _known.clear()
-        got = _known[x] = _hash(x)
-    return got
-
-
-def _shape(token: str) -> str:
-    out = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "0", token)))
+@functools.lru_cache(1 << 14)
+def _shape(classes: str) -> str:
+    out = _AGAIN.sub(r"\1", classes)
     return out if len(out) <= 8 else f"{len(set(out))} kinds, {min(len(out) // 8, 8)}"
 
 
-def features(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Slots of the features of each candidate."""
-    out = []
-    crowd = min(len(spans) * 2000 // max(len(text), 1), 6)
-    code = min((text.count("=") + text.count("{")) * 500 // max(len(text), 1), 4)
-    for start, end in spans:
-        token = text[start:end]
-        n = end - start
-        counts = Counter(token)
-        entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-        before = text[max(0, start - 40) : start]
-        near = _WORD.findall(before.lower())[-2:]
-        after = text[end : end + 24]
-        next_word = _WORD.findall(after.lower())[:1]
-        mark = before.rstrip()[-1:]
-        row = [
-            "bias", f"length {min(n // 4, 16)}", f"entropy {int(entropy * 2)}", f"shape {_shape(token)}", f"start {_shape(token[:4])}",
-            f"digits {sum(map(counts.get, (d for d in '0123456789' if d in counts))) * 5 // n}", f"hex {not re.search('[^0-9a-f]', token)}",
-            f"case {token.lower() != token}{token.upper() != token}", f"sign {next((c for c in '=/+.~_-' if c in counts), '')}",
-            f"mark {mark}", f"quoted {before[-1:]}{after[:1]}", f"crowd {crowd}", f"code {code}", f"size {min(len(text).bit_length(), 18)}",
-            *(f"before {k} {w}" for k, w in enumerate(reversed(near))), *(f"after {w}" for w in next_word),
-        ]
-        out.append([_slot(x) for x in row])
-    return out
-
-
-def chains(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs (first, last + 1) of candidates with nothing but white space between."""
-    out, first = [], 0
-    for i in range(1, len(spans) + 1):
-        if i == len(spans) or text[spans[i - 1][1] : spans[i][0]].strip():
-            out.append((first, i))
-            first = i
-    return out if spans else []
+@functools.lru_cache(1 << 14)
+def _entropy(counts: tuple[int, ...]) -> int:
+    n = sum(counts)
+    return int(-2 * sum(c / n * math.log2(c / n) for c in counts))
+
+
+_OWN = ("bias", "length", "short", "entropy", "shape", "start", "digits", "hex", "case", "sign", "vowels")
+
+
+@functools.lru_cache(1 << 15)
+def _own_slots(values: tuple) -> list[int]:
+    return [_hash(f"{name} {value}") for name, value in zip(_OWN, values, strict=True)]
+
+
+def _token_slots(token: str) -> list[int]:
+    """Slots of the token itself, and as the word before, the one before that and the word after."""
+    n = len(token)
+    classes, low = token.translate(_CLASSES), token.lower()
+    digits = classes.count("0")
+    sign = "" if token.isalnum() else next((c for c in token if c in "=/+.~_-"), "")
+    entropy = _entropy(tuple(sorted(map(token.count, set(token)))))
+    vowels = len(token.translate(_CONSONANTS)) if token.isascii() else 0
+    own = ("", min(n // 4, 16), min(n, 12), entropy, _shape(classes[:64]), _shape(classes[:4]), (digits > 0, digits * 5 // n), not token.strip("0123456789abcdef"), (low != token, token.upper() != token), sign, (vowels * 6 // n, min(n // 4, 8)))
+    h = zlib.crc32(low.encode("utf-8", "replace"))
+    return [*_own_slots(own), h % DIM, (h >> 9) % DIM, (h >> 18) % DIM]
+
+
+def _gap_slots(gap: str) -> list[int]:
+    """Before a token: the last mark and character.  After it: the first character."""
+    return [_hash(f"mark {gap.rstrip()[-1:]}"), _hash(f"left {gap[-1:]}"), _hash(f"right {gap[:1]}")]
+
+
+class _Known(dict):
+    """Numbers of tokens or gaps, and the slots of each."""
+
+    def __init__(self, slots: Callable[[str], list[int]]):
+        super().__init__()
+        self.slots, self.new, self.flags = slots, [], []
+
+    def __missing__(self, x: str) -> int:
+        self[x] = k = len(self.flags)
+        self.new.append(self.slots(x))
+        self.flags.append("\n" in x or (len(x) >= 8 and x[0] in _ALPHABET and _DIGIT.search(x) is not None))
+        return k
+
+    def take(self) -> np.ndarray:
+        """The slots of what came since the last call."""
+        out, self.new = np.array(self.new), []
+        return out
+
+    def of(self, items: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, items), np.int64, len(items))
+
+
+class Lines:
+    """The tokens of some texts: ids of tokens and of the gaps on both sides, text's index, and where chains begin."""
+
+    def __init__(self, texts: list[str], tokens: _Known, gaps: _Known, of_text: list[list[int] | None]):
+        words, between, counts = [], [], []
+        for x in texts:
+            parts = _TOKEN.split(x)
+            words += parts[1::2]
+            between += parts[0::2]
+            counts.append(len(parts) // 2)
+        self.counts = np.array(counts, np.int64)
+        n = len(words)
+        self.token = tokens.of(words)
+        self.text = np.repeat(np.arange(len(texts)), self.counts)
+        g, at = gaps.of(between), np.arange(n) + self.text
+        self.left, self.right = g[at], g[at + 1]
+        begin = np.array(gaps.flags, bool)[self.left]
+        begin[(np.cumsum(self.counts) - self.counts)[self.counts > 0]] = True
+        self.first = np.flatnonzero(begin)
+        # a neighbour within the line, or -1
+        chain = np.cumsum(begin)
+        self.near = []
+        for k in (-1, -2, 1):
+            to = np.arange(n) + k
+            ok = (to >= 0) & (to < n)
+            ok[ok] = chain[to[ok]] == chain[ok]
+            self.near.append(np.where(ok, self.token[np.clip(to, 0, max(n - 1, 0))] if n else 0, -1))
+        crowds = np.bincount(self.text, weights=np.array(tokens.flags, bool)[self.token], minlength=len(texts)) if n else np.zeros(len(texts))
+        self.of_text = [own or _text_slots(x, int(c)) for x, own, c in zip(texts, of_text, crowds, strict=True)]
+
+
+def _text_slots(text: str, crowd: int) -> list[int]:
+    """Slots of a text with so many candidates."""
+    n = max(len(text), 1)
+    return [_hash(x) for x in (f"crowd {min(crowd * 2000 // n, 6)}", f"code {min((text.count('=') + text.count('{')) * 500 // n, 4)}", f"size {min(len(text).bit_length(), 18)}")]
+
+
+def slices(texts: Iterable[str]) -> Iterator[list[tuple[int, int, str, list[int] | None]]]:
+    """Some (index, offset, piece, slots of the whole text where it is in pieces) at a time; a long text is cut after line breaks."""
+    out, size = [], 0
+    for i, text in enumerate(texts):
+        at, own = 0, _text_slots(text, len(candidates(text))) if len(text) > SLICE_CHARS else None
+        while at < len(text):
+            end = len(text) if len(text) - at <= SLICE_CHARS else (text.rfind("\n", at, at + SLICE_CHARS) + 1 or text.find("\n", at) + 1 or len(text))
+            out.append((i, at, text[at:end], own))
+            size += end - at
+            at = end
+            if size >= SLICE_CHARS:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def _alive(first: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
+    """Chains by falling length, and how many have a token at each place."""
+    lengths = np.diff(np.append(first, n))
+    order = np.argsort(-lengths, kind="stable")
+    lengths = lengths[order]
+    return first[order], np.searchsorted(-lengths, -np.arange(lengths[0])).tolist()
+
+
+def viterbi(e: np.ndarray, t: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The best tags of chains that begin at the given rows of e."""
+    start, alive = _alive(first, len(e))
+    back, tags = np.zeros((len(e), 3), np.int8), np.zeros(len(e), np.int8)
+    best = t[0] + e[start]
+    for s, k in enumerate(alive[1:], 1):
+        x = best[:k, :, None] + t
+        back[start[:k] + s] = x.argmax(axis=1)
+        best[:k] = x.max(axis=1) + e[start[:k] + s]
+    tag = (best + t[:, 0]).argmax(axis=1)
+    for s in range(len(alive) - 1, -1, -1):
+        k = alive[s]
+        tags[start[:k] + s] = tag[:k]
+        tag[:k] = back[start[:k] + s, tag[:k]]
+    return tags
 
 
 class Field:
@@ -134,80 +232,134 @@ class Field:
         self.t = np.zeros((3, 3))
         self.t[0, 2] = -1e4  # inside never follows outside
 
+    def __getstate__(self) -> dict:
+        return {"w": self.w, "t": self.t}
+
     def _emissions(self, rows: list[list[int]]) -> np.ndarray:
         return np.stack([self.w[r].sum(axis=0) for r in rows])
 
     def decode(self, rows: list[list[int]]) -> list[int]:
-        """Viterbi."""
-        e = self._emissions(rows)
-        if len(e) == 1:
-            return [int(np.argmax(e[0] + self.t[0] + self.t[:, 0]))]
-        best, back = self.t[0] + e[0], []
-        for x in e[1:]:
-            s = best[:, None] + self.t
-            back.append(s.argmax(axis=0))
-            best = s.max(axis=0) + x
-        tag = int(np.argmax(best + self.t[:, 0]))
-        out = [tag]
-        for b in reversed(back):
-            tag = int(b[tag])
-            out.append(tag)
-        return out[::-1]
-
-    def fit(self, data: list[tuple[list[list[int]], list[int]]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 5) -> None:
-        """Maximum likelihood by stochastic gradients; forward and backward sums give the expected counts."""
+        """Viterbi over one chain."""
+        return viterbi(self._emissions(rows), self.t, np.zeros(1, np.int64)).tolist()
+
+    def tags(self, texts: list[str], of_text: list[list[int] | None]) -> tuple[Lines, np.ndarray]:
+        """The tokens of texts and their best tags."""
+        if not hasattr(self, "tokens") or len(self.tokens) > KNOWN or len(self.gaps) > KNOWN:
+            self.tokens, self.gaps = _Known(_token_slots), _Known(_gap_slots)
+            self.by_token, self.by_gap = np.zeros((0, 4, 3)), np.zeros((0, 2, 3))
+        lines = Lines(texts, self.tokens, self.gaps, of_text)
+        if not len(lines.token):
+            return lines, np.zeros(0, np.int8)
+        if self.tokens.new:
+            x = self.w[self.tokens.take()]
+            self.by_token = np.concatenate([self.by_token, np.concatenate([x[:, :OWN].sum(axis=1, keepdims=True), x[:, OWN:]], axis=1)])
+        if self.gaps.new:
+            x = self.w[self.gaps.take()]
+            self.by_gap = np.concatenate([self.by_gap, np.stack([x[:, 0] + x[:, 1], x[:, 2]], axis=1)])
+        e = self.by_token[lines.token, 0] + self.by_gap[lines.left, 0] + self.by_gap[lines.right, 1] + np.stack([self.w[r].sum(axis=0) for r in lines.of_text])[lines.text]
+        for k, to in enumerate(lines.near, 1):
+            has = to >= 0
+            e[has] += self.by_token[to[has], k]
+        return lines, viterbi(e, self.t, lines.first)
+
+    def fit(self, token: np.ndarray, own: np.ndarray, other: np.ndarray, first: np.ndarray, tags: np.ndarray, epochs: int = 12, rate: float = 0.05, decay: float = 1e-4, seed: int = 5, batch: int = 1 << 15) -> None:
+        """Maximum likelihood by stochastic gradients (Adam) over chains of one length, some tokens at a time; forward and backward
+        sums give the expected counts.  own: slots by token's id; other: further slots at each place, DIM for none; first: where chains begin."""
         rng = np.random.default_rng(seed)
-        sums = lambda x, axis: (m := x.max(axis=axis)) + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis=axis))
-        g_w, g_t = np.full_like(self.w, 1e-6), np.full_like(self.t, 1e-6)
+        lengths = np.append(first[1:], len(token)) - first
+        order = np.argsort(lengths, kind="stable")
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths[order]) // batch)) + 1
+        parts = []
+        for chains in np.split(order, cuts):
+            n = lengths[chains]
+            begin = np.cumsum(n) - n
+            rows = np.repeat(first[chains] - begin, n) + np.arange(n.sum())
+            used, places = np.unique(token[rows], return_inverse=True)
+            parts.append((own[used], places, np.ascontiguousarray(other[rows].T), begin, tags[rows]))
+        w = np.concatenate([self.w, np.zeros((1, 3))])
+        m, v, m_t, v_t, n = np.zeros_like(w), np.zeros_like(w), np.zeros((3, 3)), np.zeros((3, 3)), 0
+        spread = lambda slots, d: np.stack([np.bincount(slots.ravel(), np.repeat(d[:, c], slots.shape[1]), DIM + 1) for c in range(3)], axis=1)
         for _ in range(epochs):
-            for k in rng.permutation(len(data)):
-                rows, tags = data[k]
-                rows = [[x for x in r if rng.random() > 0.2] or r for r in rows]  # no single feature decides
-                e, n = self._emissions(rows), len(rows)
-                a, b = np.zeros((n, 3)), np.zeros((n, 3))
-                a[0] = self.t[0] + e[0]
-                for i in range(1, n):
-                    a[i] = sums(a[i - 1][:, None] + self.t, 0) + e[i]
-                b[-1] = self.t[:, 0]
-                for i in range(n - 2, -1, -1):
-                    b[i] = sums(self.t + (e[i + 1] + b[i + 1])[None, :], 1)
-                z = sums(a[-1] + b[-1], 0)
-                p = np.exp(a + b - z)
-                d_t = np.zeros((3, 3))
-                d_t[0] += p[0]
-                d_t[0, tags[0]] -= 1
-                d_t[:, 0] += p[-1]
-                d_t[tags[-1], 0] -= 1
-                for i in range(1, n):
-                    d_t += np.exp(a[i - 1][:, None] + self.t + (e[i] + b[i])[None, :] - z)
-                    d_t[tags[i - 1], tags[i]] -= 1
+            for k in rng.permutation(len(parts)):
+                mine, places, rest, begin, truth = parts[k]
+                mine = np.where(rng.random(mine.shape, np.float32) > 0.2, mine, DIM)  # no single feature decides
+                rest = rest[rng.random(len(rest)) > 0.2]
+                e = w[mine].sum(axis=1)[places]
+                for slots in rest:
+                    e += w[slots]
+                d_e, d_t = _gradients(e, self.t, begin, truth)
                 d_t[0, 2] = 0
-                g_t += d_t**2
-                self.t -= rate * d_t / np.sqrt(g_t)
-                for i, r in enumerate(rows):
-                    d = p[i].copy()
-                    d[tags[i]] -= 1
-                    d = d + decay * self.w[r]
-                    g_w[r] += d**2
-                    self.w[r] -= rate * d / np.sqrt(g_w[r])
-
-
-def tagged(text: str) -> list[tuple[list[list[int]], list[int]]]:
-    """Chains of a text with the tags that its base spans give: the first token within a span begins, others are inside."""
-    spans = candidates(text)
-    if not spans:
-        return []
-    base, rows, tags, seen = base_spans(text), features(text, spans), [], set()
-    for start, end in spans:
-        within = next((k for k, (s, _, e) in enumerate(base) if s < end and start < e), None)
-        tags.append(0 if within is None else 2 if within in seen and tags[-1:] != [0] else 1)
+                by_token = np.stack([np.bincount(places, d_e[:, c], len(mine)) for c in range(3)], axis=1)
+                d = spread(mine, by_token) + decay * w
+                for slots in rest:
+                    d += np.stack([np.bincount(slots, d_e[:, c], DIM + 1) for c in range(3)], axis=1)
+                d[DIM] = 0
+                n += 1
+                m, v, m_t, v_t = 0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d**2, 0.9 * m_t + 0.1 * d_t, 0.99 * v_t + 0.01 * d_t**2
+                step = lambda m, v, n=n: rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.99**n)) + 1e-4)
+                w -= step(m, v)
+                self.t -= step(m_t, v_t)
+        self.w = w[:DIM]
+
+
+def _gradients(e: np.ndarray, t: np.ndarray, first: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected less observed counts, by token and tag and by tag pair."""
+    start, alive = _alive(first, len(e))
+    x, a = np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -200)), np.exp(t)
+    part = lambda v: v / np.maximum(v.sum(axis=-1, keepdims=True), 1e-300)
+    last = np.append(first[1:], len(e)) - 1
+    f, b = np.zeros_like(x), np.zeros_like(x)
+    f[start] = part(a[0] * x[start])
+    for s, k in enumerate(alive[1:], 1):
+        at = start[:k] + s
+        f[at] = part(f[at - 1] @ a * x[at])
+    b[last] = a[:, 0]
+    for s in range(len(alive) - 1, 0, -1):
+        at = start[: alive[s]] + s
+        b[at - 1] = part((x[at] * b[at]) @ a.T)
+    p = part(f * b)
+    inner = np.ones(len(e), bool)
+    inner[first] = False
+    at = np.flatnonzero(inner)
+    q = f[at - 1][:, :, None] * a * (x[at] * b[at])[:, None, :]
+    d_t = (q / np.maximum(q.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
+    d_t[0] += p[first].sum(axis=0)
+    d_t[:, 0] += p[last].sum(axis=0)
+    for i, j in ((tags[at - 1], tags[at]), (0, tags[first]), (tags[last], 0)):
+        np.subtract.at(d_t, (i, j), 1)
+    p[np.arange(len(e)), tags] -= 1
+    return p, d_t
+
+
+def truth(text: str) -> list[int]:
+    """The tags of a text's tokens that its base spans give, of an assignment its value: the first token begins, others are inside."""
+    base = [(ASSIGN.match(text, s).start(2) if k == 0 else s, e) for s, k, e in base_spans(text)]
+    out, seen = [], set()
+    for m in _TOKEN.finditer(text):
+        within = next((k for k, (s, e) in enumerate(base) if s < m.end() and m.start() < e), None) if base else None
+        out.append(0 if within is None else 2 if within in seen and out[-1:] != [0] else 1)
         seen.add(within)
-    return [(rows[i:j], tags[i:j]) for i, j in chains(text, spans)]
+    return out
+
+
+def fitted(texts: list[str]) -> Field:
+    field = Field()
+    tags = np.array([x for text in texts for x in truth(text)], np.int64)
+    if not tags.any():
+        field.w[:, 1:] = -1
+        return field
+    tokens, gaps = _Known(_token_slots), _Known(_gap_slots)
+    lines = Lines(texts, tokens, gaps, [None] * len(texts))
+    of_token, of_gap = tokens.take(), gaps.take()
+    near = [np.where(to >= 0, of_token[to, OWN + k], DIM)[:, None] for k, to in enumerate(lines.near)]
+    other = np.concatenate([*near, of_gap[lines.left, :2], of_gap[lines.right, 2:], np.array(lines.of_text)[lines.text]], axis=1)
+    field.fit(lines.token, of_token[:, :OWN], other, lines.first, tags)
+    return field
 
 
 def _sample(texts: DataFrame, n: int) -> list[str]:
-    """The n texts of the smallest hashes: only hashes are sorted, then the texts up to the last of them are fetched."""
-    hashes = texts.select(F.xxhash64("text").alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    """The n distinct texts of the smallest hashes: only hashes are sorted, then the texts up to the last of them are fetched."""
+    hashes = texts.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
     if hashes is None:
         return []
     return [r["text"] for r in texts.where(F.xxhash64("text") <= hashes).distinct().collect()]
@@ -221,33 +373,35 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
     for name in ("token", "TOKEN", "secret", "SECRET", "passw", "PASSW", "api_key", "API_KEY", "apikey", "AKIA"):
         marked = marked | F.col("text").contains(name)
     rows = sorted({*_sample(texts.where(marked), SAMPLE_WITH), *_sample(texts.where(~marked), SAMPLE_WITHOUT)})
-    data = [x for text in rows for x in tagged(text)]
-    field = Field()
-    if any(any(tags) for _, tags in data):
-        field.fit(data)
-    else:
-        field.w[:, 1:] = -1
-    return field
+    return fitted(rows)
+
+
+def spans_of_all(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
+    """Of each text its base spans, and those of the field that touch none of them."""
+    base = [base_spans(x) for x in texts]
+    out = [list(x) for x in base]
+    for part in slices(texts):
+        lines, tags = field.tags([x[2] for x in part], [x[3] for x in part])
+        begin = np.cumsum(lines.counts) - lines.counts
+        firsts = set(lines.first.tolist())
+        for d in np.unique(lines.text[tags > 0]).tolist():
+            i, offset, piece, _ = part[d]
+            start = end = None
+            for k, m in enumerate(_TOKEN.finditer(piece), int(begin[d])):
+                s, e = m.start() + offset, m.end() + offset
+                tag = 0 if any(x < e and s < y for x, _, y in base[i]) else int(tags[k])
+                if start is not None and (tag != 2 or k in firsts):
+                    out[i].append((start, 3, end))
+                    start = None
+                if tag:
+                    start, end = s if start is None else start, e
+            if start is not None:
+                out[i].append((start, 3, end))
+    return [sorted(x) for x in out]
 
 
 def spans_of(text: str, field: Field) -> list[tuple[int, int, int]]:
-    """Base spans, and those of the field that touch none of them."""
-    base = base_spans(text)
-    out = list(base)
-    spans = candidates(text)
-    if spans:
-        spans = [x for x in spans if not any(s < x[1] and x[0] < e for s, _, e in base)] if base else spans
-        rows = features(text, spans)
-        for i, j in chains(text, spans):
-            start = None
-            tags = field.decode(rows[i:j])
-            for k, tag in enumerate([*tags, 0]):
-                if start is not None and tag != 2:
-                    out.append((spans[i + start][0], 3, spans[i + k - 1][1]))
-                    start = None
-                if tag == 1:
-                    start = k
-    return sorted(out)
+    return spans_of_all([text], field)[0]
 
 
 def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +412,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [spans_of(x, field) for x in part.column(1).to_pylist()]
+                found = spans_of_all(part.column(1).to_pylist(), field)
                 n = [pa.array([sum(s[1] == k for s in x) for x in found], pa.int64()) for k in range(4)]
                 sha = [hashlib.sha256(say([s for s in x if s[1] < 3]).encode()).hexdigest() for x in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), *n[:3], pa.array(sha), pa.array([say(x) for x in found], pa.string()), n[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_field"])
@@ -275,8 +429,9 @@ def redact(docs: DataFrame, field: Field, mark: str = "<secret>", text_col: str
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
             changed = False
-            for i, text in enumerate(texts):
-                if text and (spans := spans_of(text, field)):
+            for i, spans in enumerate(spans_of_all([x or "" for x in texts], field)):
+                text = texts[i]
+                if spans:
                     out, end = [], 0
                     for s, _, e in spans:
                         if s >= end:
