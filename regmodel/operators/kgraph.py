@@ -116,9 +116,9 @@ def requirements_for_topic(articles: DataFrame, reqs: DataFrame, topic: str, cod
     return rows.join(reqs, "article_id", "left")
 
 
-def related_standards(refs: DataFrame, codes: list[str]) -> DataFrame:
-    """by code, the sorted distinct neighbours by RELATED_TO and by SUPERSEDES; empty lists where there are none."""
-    own = refs.sparkSession.createDataFrame([(c,) for c in codes], "std_id string")
+def related_standards(refs: DataFrame, codes: DataFrame) -> DataFrame:
+    """by code, the sorted distinct neighbours by RELATED_TO and by SUPERSEDES; empty lists where there are none.  codes: std_id."""
+    own = codes.select("std_id").distinct()
     side = lambda rel, name: refs.where(F.col("rel") == rel).groupBy("std_id").agg(F.array_sort(F.collect_set("target")).alias(name))
     out = own.join(side("RELATED_TO", "related"), "std_id", "left").join(side("SUPERSEDES", "superseded"), "std_id", "left")
     empty = F.expr("CAST(array() AS ARRAY<STRING>)")
