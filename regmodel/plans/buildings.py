@@ -146,7 +146,7 @@ def h3(spark, d):
 
 def _columns(spark, d):
     """Columns, and the axes of their grid."""
-    li = table(spark, d, "lineitem").where("l_quantity < 5")
+    li = table(spark, d, "lineitem")
     cols = li.select(F.concat(F.lit("M"), (F.col("l_orderkey") % 60).cast("string")).alias("model"), F.col("l_partkey").alias("element"), (F.col("l_partkey") % 30).cast("double").alias("x"), (F.col("l_suppkey") % 20).cast("double").alias("y"))
     return cols, fixture(spark, d, "fx_axes")
 
