@@ -12,9 +12,10 @@ from .base import fixture, query, table
 # --- G --------------------------------------------------------------------------------------------------------------
 @query("g1_explode_models", "SELECT model AS filename, global_id, ifc_type, storey FROM fx_elements")
 def g1(spark, d):
+    """A model comes in one file for each order, so that a row stays small however many elements the model has."""
     e = fixture(spark, d, "fx_elements")
     row = F.struct("global_id", "ifc_type", F.col("global_id").alias("name"), "storey", "material")
-    nested = e.groupBy(F.col("model").alias("filename")).agg(F.collect_list(row).alias("elements"), F.collect_list(F.struct(F.col("storey").alias("name"), F.col("z0").alias("elevation"))).alias("storeys"), F.collect_list(F.struct("global_id", F.lit(0.0).alias("area"))).alias("spaces"))
+    nested = e.groupBy(F.col("model").alias("filename"), F.substring_index("global_id", "-", 1).alias("file")).agg(F.collect_list(row).alias("elements"), F.collect_list(F.struct(F.col("storey").alias("name"), F.col("z0").alias("elevation"))).alias("storeys"), F.collect_list(F.struct("global_id", F.lit(0.0).alias("area"))).alias("spaces"))
     return models.explode_models(nested)[1].select("filename", "global_id", "ifc_type", "storey")
 
 
