@@ -11,16 +11,24 @@ _local: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a local folder only where the session names none, as in tests."""
+    """What ``spark.checkpoint.dir`` names.  A session on one machine that names none, as in tests, gets a local folder; on a cluster that
+    is an error, as executors would write where nobody else can read."""
     global _local
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = _local = _local or tempfile.mkdtemp(prefix="spark-shared-")
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read again: lineage ends, lost executors don't matter."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
