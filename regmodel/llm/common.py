@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -12,30 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-_local: str | None = None
+from ..functions import storage
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in local tests, a local folder is made and set.
-    """
-    global _local
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _local = _local or tempfile.mkdtemp(prefix="spark-shared-")
-    return path.rstrip("/")
+shared_dir = storage.shared_dir
+materialize = storage.stored
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends, lost executors don't matter."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return storage.new_path(spark, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,26 +33,40 @@ def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-#: log2 of the bits of a membership map: 512 KB, and at most 2**MAP_BITS / 32 rows to the driver, whatever its table holds.
-MAP_BITS = 22
+#: log2 of the bits of a membership map: by the number of its keys, 4 MB at most.
+LEAST_BITS, MOST_BITS = 16, 25
 
 
-def map_slot(key: Column) -> Column:
-    return F.xxhash64(key).bitwiseAND((1 << MAP_BITS) - 1)
+def map_bits(n: int) -> int:
+    """Some 16 bits a key, within the bounds."""
+    return min(max(math.ceil(math.log2(max(n, 1))) + 4, LEAST_BITS), MOST_BITS)
+
+
+def bit_map(hashes: DataFrame, name: str, bits: int) -> np.ndarray:
+    """Bytes whose bits are set where a hash of the column has them as its last ``bits`` bits.  At most 2**bits / 64 rows come to the driver."""
+    slot = F.col(name).bitwiseAND((1 << bits) - 1)
+    rows = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({name} & 63 AS INT))")).alias("v")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[rows.column("k").to_numpy()] = rows.column("v").to_numpy()
+    return words.astype("<i8").view(np.uint8)
 
 
 def maybe_in(keys: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A test that is true for all keys of a table and for few others: it thins out rows before they are shuffled to an exact join.  A
-    full map thins out nothing, and the join is as exact."""
-    slots = keys.select(map_slot(F.col(key)).alias("slot")).groupBy(F.shiftright("slot", 5).alias("k")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 31 AS INT)))").alias("v"))
-    words = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    for r in slots.collect():
-        words[r["k"]] = r["v"]
-    bits = keys.sparkSession.sparkContext.broadcast(words.astype("<u4").view(np.uint8))
+    """A test that is true for all keys of a (stored) table and for few others: it thins out rows before they are shuffled to an exact join.
+    A full map thins out nothing, and the join is as exact."""
+    bits = map_bits(keys.count())
+    packed = keys.sparkSession.sparkContext.broadcast(bit_map(keys.select(F.xxhash64(key).alias("h")), "h", bits))
 
     @F.pandas_udf(BooleanType())
     def test(slot: pd.Series) -> pd.Series:
         at = slot.to_numpy(np.int64)
-        return pd.Series((bits.value[at >> 3] >> (at & 7) & 1).astype(bool))
+        return pd.Series((packed.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return lambda c: test(F.xxhash64(c).bitwiseAND((1 << bits) - 1))
+
 
-    return lambda c: test(map_slot(c))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while any(name.lower() == c.lower() for c in df.columns):
+        name += "_"
+    return name
