@@ -1,6 +1,6 @@
 """Operator 3: benchmark decontamination by greedy string tiling.
 
-Seeds are windows of ``MIN_TILE`` words shared by a document and a benchmark item.  A bit map of fixed size over the
+Seeds are windows of ``MIN_TILE`` words shared by a document and a benchmark item.  A bit map of bounded size over the
 hashes of the items' windows goes to all tasks; documents are read once, and only the regions around possible seeds
 leave a task: they are joined to the items' windows by hash.  For each document and item that share a seed, greedy
 string tiling marks the longest match that overlaps no earlier one, again and again, found by running Karp-Rabin over
@@ -12,11 +12,12 @@ Words are compared lower-cased, by 64-bit hashes.
 Defined cases: a null text counts as empty; items of fewer words than ``MIN_TILE`` match nothing; documents are told
 apart by id and text, so that repeated and null ids are judged each by its own text; without benchmark rows nothing is
 contaminated; equal coverages name the smallest item_id; empty tables give empty results; extra columns are ignored
-(``find``) or kept (``keep_clean``).
+(``find``) or kept (``keep_clean``); a very long text is read whole, and only stretches around possible seeds leave its task.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from . import common, words
 
 MIN_TILE = 5
 THRESHOLD = 0.5
-#: log2 of the bits of the map of seeds: 512 KB whatever the benchmark's size.  A full map costs time, not results.
-MAP_BITS = 22
+#: Tasks that a seed is dealt to.
+SALT = 16
 _ROLL = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -89,36 +90,24 @@ def tiles(item: list[int], text: list[int], bounds: list[int], least: int = MIN_
         if longest > 2 * size:
             size = longest
             continue
-        matches.sort()
-        for k, a, b in matches:
-            k = -k
-            if not (in_item[a] or in_text[b]):
-                live = 0
-                while live < k and not in_item[a + live] and not in_text[b + live]:
-                    live += 1
-                if live < k:  # an earlier tile took its end: it is found again when its new length is due
-                    continue
-                in_item[a : a + k] = [True] * k
-                in_text[b : b + k] = [True] * k
-                found.append((a, b, k))
-        if any(True for _ in _leftover(item, text, in_item, in_text, bounds, size, matches)):
-            continue
+        heapq.heapify(matches)
+        while matches:
+            k, a, b = heapq.heappop(matches)
+            live = 0
+            while live < -k and not in_item[a + live] and not in_text[b + live]:
+                live += 1
+            if live < -k:  # an earlier tile took its end: it waits until its new length is due
+                if live >= size:
+                    heapq.heappush(matches, (-live, a, b))
+                continue
+            in_item[a : a + live] = [True] * live
+            in_text[b : b + live] = [True] * live
+            found.append((a, b, live))
         if size == least:
             return found
         size = max(least, size // 2)
 
 
-def _leftover(item, text, in_item, in_text, bounds, size, matches) -> Iterator[None]:
-    """Whether a match of this pass lost its end to another tile but still has size words: the pass is then repeated."""
-    edges = set(bounds)
-    for _, a, b in matches:
-        k = 0
-        while k < size and a + k < len(item) and b + k < len(text) and not in_item[a + k] and not in_text[b + k] and item[a + k] == text[b + k] and (k == 0 or b + k not in edges):
-            k += 1
-        if k == size:
-            yield None
-
-
 # --- the join -------------------------------------------------------------------------------------------------------
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
@@ -149,33 +138,28 @@ def item_seeds(items: DataFrame, least: int = MIN_TILE) -> DataFrame:
     return items.mapInArrow(run, "item_id long, seed long").distinct()
 
 
-def seed_map(seeds: DataFrame) -> np.ndarray:
-    """A bit for each possible value of the seeds' last MAP_BITS bits, as bytes that are 0 or 1.  At most 2**MAP_BITS / 64
-    rows come to the driver."""
-    slot = F.col("seed").bitwiseAND((1 << MAP_BITS) - 1)
-    rows = seeds.groupBy(F.shiftright(slot, 5).alias("k")).agg(F.expr("bit_or(shiftleft(1L, CAST(seed & 31 AS INT)))").alias("v")).collect()
-    out = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    for r in rows:
-        out[r["k"]] = r["v"]
-    return np.unpackbits(out.astype("<u4").view(np.uint8), bitorder="little")
+def seed_map(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A map of the seeds, and the log2 of its bits."""
+    bits = common.map_bits(seeds.count())
+    return common.bit_map(seeds, "seed", bits), bits
 
 
-def regions(docs: DataFrame, marks: np.ndarray, least: int = MIN_TILE) -> DataFrame:
+def regions(docs: DataFrame, marks: tuple[np.ndarray, int], least: int = MIN_TILE) -> DataFrame:
     """doc_id, text_key, ws, bounds, seeds for the documents that may share a seed: the words of the stretches that
     possible seeds cover, where each stretch starts, and the possible seeds."""
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    bits, packed = marks[1], docs.sparkSession.sparkContext.broadcast(marks[0])
     schema = "doc_id long, text_key binary, ws array<long>, bounds array<int>, seeds array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        live = np.unpackbits(packed.value).view(bool)
-        mask = np.uint64((1 << MAP_BITS) - 1)
+        live, mask = packed.value, np.uint64((1 << bits) - 1)
         for batch in batches:
             rows: list[tuple] = []
             for first, counts, h in words.hashed(batch.column(1)):
                 g, d, place = words.grams(h, counts, least)
-                hit = np.flatnonzero(live[(g & mask).astype(np.int64)])
+                at = (g & mask).astype(np.int64)
+                hit = np.flatnonzero(live[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 begin = np.cumsum(counts) - counts
                 for part in np.split(hit, np.flatnonzero(np.diff(d[hit])) + 1) if len(hit) else ():
                     doc = int(d[part[0]])
@@ -194,7 +178,10 @@ def coverages(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE) -> D
     items = common.materialize(item_words(benchmark), "items")
     seeds = common.materialize(item_seeds(items, least), "item-seeds")
     found = common.materialize(regions(docs, seed_map(seeds), least), "regions")
-    pairs = found.select("doc_id", "text_key", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc_id", "text_key", "item_id").distinct()
+    # a seed may stand in very many documents: it is dealt to SALT tasks by the document, and the benchmark's side goes to all of them
+    left = found.select("doc_id", "text_key", F.pmod(F.xxhash64("text_key"), F.lit(SALT)).cast("int").alias("salt"), F.explode("seeds").alias("seed"))
+    right = seeds.select("item_id", "seed", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    pairs = left.join(right, ["seed", "salt"]).select("doc_id", "text_key", "item_id").distinct()
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
     once = found.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "ws", "bounds")
     full = pairs.alias("a").join(once.alias("b"), same).select("a.doc_id", "a.text_key", "a.item_id", "ws", "bounds").join(items.withColumnRenamed("ws", "item_ws"), "item_id")
@@ -240,9 +227,10 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, le
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = MIN_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, as they are."""
-    bad = _verdicts(common.pick(docs, id_col, text_col), benchmark, threshold, least).where("n > 0").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key"))
+    bad_id, bad_key = common.fresh(docs, "bad_id"), common.fresh(docs, "bad_key")
+    bad = _verdicts(common.pick(docs, id_col, text_col), benchmark, threshold, least).where("n > 0").select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key))
     key = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("bad_id")) & (key == F.col("bad_key")), "left_anti")
+    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(bad_id)) & (key == F.col(bad_key)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
