@@ -10,7 +10,7 @@ read.  Long texts are scored whole, in windows with a running maximum.
 
 Defined cases: a null text counts as empty; empty texts get the score of an empty text; a null doc_id counts as the
 empty text in the held-out rule; labels that are null are left out; with no labels, or of one kind only, every score is
-0; repeated rows are scored alike; extra columns are ignored.
+0; repeated rows are scored alike; extra columns are ignored; a very long text is scored whole, in windows.
 """
 
 from __future__ import annotations
@@ -209,12 +209,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Network:
-    """Fit on at most ``sample_rows`` labelled rows that are not held out, taken in order of a hash of their id; of
-    longer texts than ``sample_words`` words, none is used for training."""
+    """Fit on at most ``sample_rows`` labelled rows that are not held out, taken in order of a hash of their id, one text an id
+    (the first by its hashes) and the larger of its labels; of longer texts than ``sample_words`` words, none is used for training."""
     chosen = (
         labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
         .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
 
@@ -226,9 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 rows = [h[ends[i] - counts[i] : ends[i]].tobytes() for i in small]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + small)), pa.array(rows, pa.binary()), batch.column(2).take(pa.array(first + small))], names=["doc_id", "h", "label"])
 
-    rows = common.pick(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, h binary, label int").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["h"], r["label"]))
-    rows = rows[: 2 * sample_rows]
+    found = common.pick(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, h binary, label int")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("h", "label")).alias("x")).select("doc_id", "x.*").collect()  # one text an id, however often it comes
+    rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in rows])
     net = Network()
     if len(set(y.tolist())) < 2:

@@ -45,3 +45,42 @@ def test_edges(spark):
     got = toxicity.score(docs, toxicity.train(docs, none)).collect()
     assert len(got) == 4 and all(r.score == 0 and r.predicted == 0 for r in got)
     assert toxicity.score(docs.limit(0), toxicity.Network()).count() == 0
+
+
+def test_scores_by_plain_loops(spark, data):
+    """Every whole text of the documents, one place and one filter at a time."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    net = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    assert net.constant is None
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    guess = toxicity._language_table()
+    for r in toxicity.score(docs, net).collect():
+        (_, counts, h), *_ = list(words.hashed(pa.array([texts[r.doc_id]]), prefixes=toxicity.PREFIXES)) or [(0, None, None)]
+        ids = (h % np.uint64(toxicity.BUCKETS)).astype(int).T + np.array([0, 1, 2]) * toxicity.BUCKETS
+        x = np.concatenate([net.p["emb"][ids].sum(axis=1), np.zeros((toxicity.PAD, toxicity.DIM))]) if len(ids) else np.zeros((toxicity.PAD, toxicity.DIM))
+        pool = []
+        for k in toxicity.WIDTHS:
+            best = np.full(toxicity.FILTERS, -np.inf)
+            for i in range(len(x) - k + 1):
+                best = np.maximum(best, sum(x[i + j] @ net.p[f"w{k}"][j] for j in range(k)))
+            pool.append(np.maximum(best + net.p[f"c{k}"], 0))
+        hits = guess[ids[:, 0]].sum(axis=0) if len(ids) else np.zeros(4)
+        z = np.concatenate(pool) @ net.p["out"] + net.p["b"][0] - net.shift[int(hits.argmax()) if hits.max() > 0 else 4]
+        assert abs(1 / (1 + np.exp(-z)) - r.score) < 1e-3 and r.predicted == (r.score >= 0.5)
+
+
+def test_repeated_ids(spark):
+    """Rows and labels that repeat an id count once in training."""
+    docs = spark.createDataFrame([(i, f"text {i} {'bad' if i % 2 else 'good'}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    one, many = toxicity.train(docs, labels), toxicity.train(docs.union(docs).union(docs), labels.union(labels))
+    assert all((one.p[k] == many.p[k]).all() for k in one.p) and (one.shift == many.shift).all()
+
+
+def test_held_out_documents(spark, data):
+    """Labels that training did not read."""
+    data = data.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    rows = [r for r in toxicity.query(spark, data).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    right = [r.predicted == labels[r.doc_id] for r in rows]
+    assert len(rows) > 20 and np.mean(right) > 0.75
