@@ -2,14 +2,17 @@
 
 Fixed patterns find the base spans.  The random field adds more: it tags tokens as begin, inside or outside of a secret
 from the token's shape, the words beside it and features of the file, and is decoded by Viterbi.  It is trained in numpy
-by maximum likelihood on a bounded sample of texts whose tags are the base spans.
+by maximum likelihood on a bounded sample of texts whose tags are the values of base spans, and on disguised copies of the
+texts that hold some: other names before the value, other kinds of values (of several tokens too), and plain words after
+such names, so that it finds secrets that no pattern names.  Its spans stand beside the base spans and may lie within them.
 
 Every token of every line is tagged: a token is a run of the secret alphabet, or of characters beyond ASCII; length and
 digits are features.  A chain is a line.  A feature belongs to a token, a gap or a text, so that the scores of each are
 summed once and looked up; all lines of a slice are decoded together, and a long text goes in pieces that end at line breaks.
 
 Defined cases: a null text counts as empty and has no spans; rows are independent, so repeated and null ids, ties and
-extra columns don't matter; an empty table gives an empty result; without a base span in the sample the field adds none.
+extra columns don't matter; an empty table gives an empty result; without a base span in the sample the field adds none;
+a very long text is tagged whole, in pieces that end at line breaks.
 """
 
 from __future__ import annotations
@@ -331,20 +334,89 @@ def _gradients(e: np.ndarray, t: np.ndarray, first: np.ndarray, tags: np.ndarray
     return p, d_t
 
 
-def truth(text: str) -> list[int]:
-    """The tags of a text's tokens that its base spans give, of an assignment its value: the first token begins, others are inside."""
-    base = [(ASSIGN.match(text, s).start(2) if k == 0 else s, e) for s, k, e in base_spans(text)]
-    out, seen = [], set()
+def values(text: str) -> list[tuple[int, int]]:
+    """The values of a text's base spans, of an assignment what stands after its name; overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((ASSIGN.match(text, s).start(2) if k == 0 else s, e) for s, k, e in base_spans(text)):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def truth(text: str, secret: list[tuple[int, int]]) -> list[int]:
+    """The tags of a text's tokens: of each secret the first token begins, others are inside."""
+    out, at, inside = [], 0, False
     for m in _TOKEN.finditer(text):
-        within = next((k for k, (s, e) in enumerate(base) if s < m.end() and m.start() < e), None) if base else None
-        out.append(0 if within is None else 2 if within in seen and out[-1:] != [0] else 1)
-        seen.add(within)
+        while at < len(secret) and secret[at][1] <= m.start():
+            at, inside = at + 1, False
+        if at < len(secret) and secret[at][0] < m.end():
+            out.append(2 if inside else 1)
+            inside = True
+        else:
+            out.append(0)
     return out
 
 
+#: At least so many disguised copies, and one of each text with a secret.
+DISGUISED = 300
+#: Names that stand before secrets in disguised copies, and what stands between.
+OTHER_NAMES = ("key", "auth", "bearer", "credential", "pwd", "private key", "access key", "signature", "session", "client id", "passphrase", "login")
+BETWEEN = (" = \"", ": ", "=", " ", " is ", ": '", " -> ", "\":\"")
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def invented(rng: np.random.Generator) -> str:
+    """A secret of one of several kinds; the last two are of several tokens."""
+    draw = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+    n, kind = int(rng.integers(16, 49)), int(rng.integers(8))
+    if kind < 2:
+        return draw("0123456789abcdef", n)
+    if kind == 2:
+        return draw(_ALNUM, n)
+    if kind == 3:
+        return draw(_ALNUM + "+/", n) + "=" * (n % 3)
+    if kind == 4:
+        return draw(_ALNUM[:26] + _ALNUM[52:], n)
+    if kind == 5:
+        return draw(_ALNUM[:52], n)
+    return ("!" if kind == 6 else ":").join(draw(_ALNUM, int(rng.integers(4, 9))) for _ in range(int(rng.integers(3, 6))))
+
+
+def disguised(text: str, secret: list[tuple[int, int]], copy: int = 0) -> tuple[str, list[tuple[int, int]]]:
+    """A copy of a text with other secrets, under other names, and a plain word under such a name after each."""
+    rng = np.random.default_rng([zlib.crc32(text.encode("utf-8", "replace")), copy])
+    one = lambda x: x[int(rng.integers(len(x)))]
+    plain = [x for x in _TOKEN.findall(text) if x.isalpha()] or ["none"]
+    out, found, at, length = [], [], 0, 0
+
+    def put(x: str) -> None:
+        nonlocal length
+        out.append(x)
+        length += len(x)
+
+    for s, e in secret:
+        name = re.search(r"[A-Za-z_]*[\"']?\x20*[:=]?\x20*[\"']?$", text[max(at, s - 40) : s])
+        put(text[at : s - len(name[0])])
+        if rng.random() < 0.8:
+            put(one(OTHER_NAMES) + one(BETWEEN))
+        new = invented(rng)
+        found.append((length, length + len(new)))
+        put(new)
+        put(f" and {one(OTHER_NAMES)}{one(BETWEEN)}{one(plain)}")
+        at = e
+    put(text[at:])
+    return "".join(out), found
+
+
 def fitted(texts: list[str]) -> Field:
     field = Field()
-    tags = np.array([x for text in texts for x in truth(text)], np.int64)
+    marked = [(x, values(x)) for x in texts]
+    with_secret = [x for x in marked if x[1]]
+    marked += [disguised(*x, k) for x in with_secret for k in range(-(-DISGUISED // len(with_secret)))]
+    texts = [x for x, _ in marked]
+    tags = np.array([x for text, secret in marked for x in truth(text, secret)], np.int64)
     if not tags.any():
         field.w[:, 1:] = -1
         return field
@@ -377,9 +449,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
 
 
 def spans_of_all(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
-    """Of each text its base spans, and those of the field that touch none of them."""
-    base = [base_spans(x) for x in texts]
-    out = [list(x) for x in base]
+    """Of each text its base spans, and those of the field, which may lie within them."""
+    out = [base_spans(x) for x in texts]
     for part in slices(texts):
         lines, tags = field.tags([x[2] for x in part], [x[3] for x in part])
         begin = np.cumsum(lines.counts) - lines.counts
@@ -388,8 +459,7 @@ def spans_of_all(texts: list[str], field: Field) -> list[list[tuple[int, int, in
             i, offset, piece, _ = part[d]
             start = end = None
             for k, m in enumerate(_TOKEN.finditer(piece), int(begin[d])):
-                s, e = m.start() + offset, m.end() + offset
-                tag = 0 if any(x < e and s < y for x, _, y in base[i]) else int(tags[k])
+                s, e, tag = m.start() + offset, m.end() + offset, int(tags[k])
                 if start is not None and (tag != 2 or k in firsts):
                     out[i].append((start, 3, end))
                     start = None
@@ -424,22 +494,23 @@ def redact(docs: DataFrame, field: Field, mark: str = "<secret>", text_col: str
     """docs with every span, overlapping ones joined, replaced by ``mark``.  A null text stays null; the column with the
     text's length follows where there is one."""
 
+    def hidden(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+        out, end = [], 0
+        for s, _, e in spans:
+            if s >= end:
+                out += [text[end:s], mark]
+            end = max(end, e)
+        return "".join(out) + text[end:] if spans else text
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at).to_pylist()
-            changed = False
-            for i, spans in enumerate(spans_of_all([x or "" for x in texts], field)):
-                text = texts[i]
-                if spans:
-                    out, end = [], 0
-                    for s, _, e in spans:
-                        if s >= end:
-                            out += [text[end:s], mark]
-                        end = max(end, e)
-                    texts[i] = "".join(out) + text[end:]
-                    changed = True
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)) if changed else batch
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                at = batch.schema.get_field_index(text_col)
+                texts = batch.column(at).to_pylist()
+                spans = spans_of_all([x or "" for x in texts], field)
+                new = [hidden(x, found) for x, found in zip(texts, spans, strict=True)]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)) if any(spans) else batch
 
     out = docs.mapInArrow(run, docs.schema)
     if length_col in docs.columns:
