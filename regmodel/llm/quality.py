@@ -6,11 +6,12 @@ is the mean over its n-grams of the logarithm of the ratio of their probabilitie
 document is judged against one fixed cut.  Rules on length and repetition come first.
 
 All of it is DataFrame expressions.  Counting aggregates before it shuffles, to one row a bucket and task at most; scoring
-looks a bucket up in an array of ``BUCKETS`` numbers and doesn't shuffle at all.
+looks a bucket up in an array of ``BUCKETS`` numbers and doesn't shuffle at all.  All trusted rows count, whatever their number: their
+documents are found by a join on the id.
 
 Defined cases: a null text has no words and fails the rules; labels that are null don't count; without trusted rows
 the ratio is that of a uniform target; equal rows are judged alike, null and repeated ids stay; empty tables give empty
-results; extra columns are ignored (``judge``) or kept (``keep_good``).
+results; extra columns are ignored (``judge``) or kept (``keep_good``); a very long text is one row of hashes, judged whole.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 13
-#: At most so many trusted rows make the target, those of the smallest hashes of their ids.
-TRUSTED_ROWS = 50_000
+#: log2 of the most bits of the map of trusted ids: 512 KB.
+MAP_BITS = 22
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -54,28 +55,37 @@ def _buckets(h: Column) -> Column:
     return F.concat(one, two)
 
 
-def trusted(labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", rows: int = TRUSTED_ROWS) -> DataFrame:
-    ids = labels.where(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").cast("long").alias("trusted_id")).where(F.col("trusted_id").isNotNull()).distinct()
-    return ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(rows)
+def trusted(labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
+    return labels.where(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").cast("long").alias("trusted_id")).where(F.col("trusted_id").isNotNull()).distinct()
+
+
+def _maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test that is true for all ids and for few others, by a map of at most 2**MAP_BITS bits: it thins out the rows that are shuffled to an
+    exact join.  A full map thins out nothing, and the join is as exact."""
+    bits = min(max(math.ceil(math.log2(max(ids.count(), 1))) + 4, 10), MAP_BITS)
+    slot = lambda c: F.xxhash64(c).bitwiseAND((1 << bits) - 1)
+    words = [0] * (1 << (bits - 6))
+    at = slot(F.col("trusted_id"))
+    for r in ids.groupBy(F.shiftright(at, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(xxhash64(trusted_id) & {(1 << bits) - 1} & 63 AS INT))")).alias("v")).collect():
+        words[r["k"]] = r["v"]
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return lambda c: F.getbit(F.get(table, F.shiftright(slot(c), 6).cast("int")), slot(c).bitwiseAND(63).cast("int")) == 1
+
+
+def _counts(texts: DataFrame) -> dict[int, int]:
+    """How often each bucket comes: BUCKETS rows at most."""
+    rows = texts.select(F.explode(bind(word_hashes(F.col("text")), _buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect()
+    return {r["bucket"]: r["n"] for r in rows}
 
 
 def ratios(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """By bucket, the logarithm of its probability in the target over that in the raw corpus, each count plus one.
-    target: trusted_id, at most TRUSTED_ROWS rows, which is why it can be broadcast.  The result has BUCKETS numbers."""
-    rows = common.pick(docs, id_col, text_col).join(F.broadcast(target), F.col("doc_id") == F.col("trusted_id"), "left")
-    counts = (
-        rows.select(word_hashes(F.col("text")).alias("h"), F.col("trusted_id").isNotNull().cast("long").alias("good"))
-        .select(F.explode(_buckets(F.col("h"))).alias("bucket"), "good")
-        .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
-        .collect()
-    )
-    raw, good = [1] * BUCKETS, [1] * BUCKETS
-    for r in counts:
-        raw[r["bucket"]] += r["raw"]
-        good[r["bucket"]] += r["good"]
-    all_raw, all_good = sum(raw), sum(good)
-    return [math.log(g / all_good) - math.log(r / all_raw) for g, r in zip(good, raw, strict=True)]
+    target: trusted_id of all trusted rows; the join to them shuffles little more than those rows.  The result has BUCKETS numbers."""
+    rows, target = common.pick(docs, id_col, text_col), common.materialize(target, "trusted")
+    raw = _counts(rows)
+    good = _counts(rows.where(_maybe_in(target)(F.col("doc_id"))).join(target, F.col("doc_id") == F.col("trusted_id"), "left_semi"))
+    all_raw, all_good = sum(raw.values()) + BUCKETS, sum(good.values()) + BUCKETS
+    return [math.log((good.get(b, 0) + 1) / all_good) - math.log((raw.get(b, 0) + 1) / all_raw) for b in range(BUCKETS)]
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

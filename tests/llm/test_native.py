@@ -88,3 +88,38 @@ def test_shards(spark):
     assert keys == sorted(keys) and [r.row_number for r in order] == list(range(503))
     assert {(r.size, r.text_crc32) for r in got if r.doc_id == 7} >= {(20, zlib.crc32(b"same"))}
     assert sharding.assign(docs.limit(0)).count() == 0
+
+
+def test_verdicts_of_all_documents(spark, data):
+    """Counts, ratios, scores and verdicts of every document by plain Python and the hash's reference implementation."""
+    import xxhash
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.quality == 1}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    one = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed)
+    buckets = {}
+    for d, text in docs.items():
+        h = [one(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        buckets[d] = [x % quality.BUCKETS for x in h] + [signed(long(b, long(a, 42))) % quality.BUCKETS for a, b in zip(h, h[1:])]
+    raw, target = Counter(), Counter()
+    for d, b in buckets.items():
+        raw.update(b)
+        target.update(b if d in good else ())
+    n, m = raw.total() + quality.BUCKETS, target.total() + quality.BUCKETS
+    lam = [math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n) for b in range(quality.BUCKETS)]
+    for r in quality.query(spark, data).collect():
+        score = sum(lam[b] for b in buckets[r.doc_id]) / len(buckets[r.doc_id]) if buckets[r.doc_id] else 0.0
+        assert abs(r.llr - score) < 1e-9
+        assert r.kept == (not measures(docs[r.doc_id])[-1] and score >= quality.CUT)
+
+
+def test_all_trusted_rows_count(spark, monkeypatch):
+    """However small the map of ids is, and however often an id comes."""
+    docs = spark.createDataFrame([(i if i % 7 else None, f"w{i % 5} x{i}") for i in range(300)] + [(5, "again w1")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] * 2, "doc_id long, quality int")
+    want = quality.ratios(docs, quality.trusted(labels))
+    monkeypatch.setattr(quality, "MAP_BITS", 6)
+    assert quality.ratios(docs, quality.trusted(labels)) == want
+    assert [math.isclose(x, 0) for x in quality.ratios(docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NOT NULL").selectExpr("doc_id AS trusted_id").distinct())] == [True] * quality.BUCKETS
