@@ -1,14 +1,14 @@
 """Operator 9: license scan by template-markup matching.
 
-A template is a license text with markup: ``<<optional>> ... <<end>>`` may be missing, ``<<any:n>>`` stands for 0 to n
-replaceable words.  Each is compiled into a token automaton; a text is accepted where the mandatory wording matches word
+A template is a license text with markup: ``<<optional>> ... <<end>>`` may be missing (and hold another), ``<<any:n>>`` stands
+for 0 to n replaceable words.  Each is compiled into a token automaton; a text is accepted where the mandatory wording matches word
 for word.  The automata run only from places where a template's first mandatory words stand, found for all texts at once
 by word hashes and then checked by words.
 
 Fixed phrases give the base places and labels besides.
 
 Defined cases: a null text counts as empty: no words, no labels, score 0; rows are independent, so null and repeated ids,
-ties and extra columns don't matter; an empty table gives an empty result.
+ties and extra columns don't matter; an empty table gives an empty result; a very long text is scanned whole, in its own slice.
 """
 
 from __future__ import annotations
@@ -30,14 +30,46 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Label, and template in markup.
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution {} "
+    "this software is provided by <<any:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <<any:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_BSD_NAMES = "neither the name of <<any:15>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+
+#: Label, and template in markup: license notices, and the wording of whole licenses.
 TEMPLATES = [
     ("notice-gpl", "this <<any:3>> is licensed under <<optional>> the terms of <<end>> the gnu general public license <<optional>> as published by the free software foundation <<end>> version <<any:1>>"),
     ("notice-apache", "licensed under the apache license version 2 0"),
     ("notice-mit", "released under <<optional>> the terms of <<end>> the mit license"),
     ("notice-cc-by-nc", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by nc <<optional>> 4 0 <<end>>"),
-    ("text-mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<any:2>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute <<optional>> sublicense <<end>> and or sell copies of the software"),
-    ("text-bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice"),
+    (
+        "text-mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<any:2>> to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute <<optional>> sublicense <<end>> and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall <<any:12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    ("text-bsd-2", _BSD.format("")),
+    ("text-bsd-3", _BSD.format(f"<<optional>> 3 <<end>> {_BSD_NAMES}")),
+    ("text-bsd-4", _BSD.format(f"<<optional>> 3 <<end>> all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by <<any:20>> <<optional>> 4 <<end>> {_BSD_NAMES}")),
+    (
+        "header-apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<any:10>> "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "header-gpl",
+        "this <<any:2>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version <<any:1>> of the license or <<optional>> at your option <<end>> any later version "
+        "this <<any:2>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        "see the gnu general public license for more details <<optional>> you should have received a copy of the gnu general public license along with this <<any:2>> <<optional>> if not see <<any:8>> <<end>> <<end>>",
+    ),
 ]
 
 _SPLIT = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,13 +87,14 @@ class Automaton:
         self.step: list[list[tuple[str | None, int]]] = [[]]
         self.skip: list[list[int]] = [[]]
         self.lead: list[str] = []
-        leading, opened = True, None
+        leading, opened = True, []
         for item in template.split():
             here = len(self.step) - 1
             if item == "<<optional>>":
-                opened, leading = here, False
+                opened.append(here)
+                leading = False
             elif item == "<<end>>":
-                self.skip[opened].append(here)
+                self.skip[opened.pop()].append(here)
             elif item.startswith("<<any:"):
                 leading = False
                 n = int(item[6:-2])
@@ -173,16 +206,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     """The phrases and templates as patterns over a text's words joined by spaces (each word between two of them)."""
     joined = "' ' || array_to_string(ws, '  ') || ' '"
-    flat = lambda words_: "".join(f" {w} " for w in words_.split())
-    any_ = r"(?: [^ ]+ )"
-    patterns = {
-        "notice-gpl": flat("this") + any_ + "{0,3}" + flat("is licensed under") + "(?:" + flat("the terms of") + ")?" + flat("the gnu general public license") + "(?:" + flat("as published by the free software foundation") + ")?" + flat("version"),
-        "notice-apache": flat("licensed under the apache license version 2 0"),
-        "notice-mit": flat("released under") + "(?:" + flat("the terms of") + ")?" + flat("the mit license"),
-        "notice-cc-by-nc": flat("licensed under") + "(?: a )?(?: the )?" + flat("cc by nc"),
-        "text-mit": flat("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the") + any_ + "{0,2}" + flat("to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute") + "(?: sublicense )?" + flat("and or sell copies of the software"),
-        "text-bsd": flat("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met") + "(?: 1 )?" + flat("redistributions of source code must retain the above copyright notice"),
-    }
+
+    def pattern(template: str) -> str:
+        kinds = {"<<optional>>": "(?:", "<<end>>": ")?"}
+        return "".join(kinds.get(x) or (f"(?: [^ ]+ ){{0,{x[6:-2]}}}" if x.startswith("<<any:") else f" {x} ") for x in template.split())
+
+    patterns = {label: pattern(template) for label, template in TEMPLATES}
     places = ", ".join(f"list_filter(range(1, len(ws) + 1), lambda i: {' AND '.join(f'ws[i + {k}] = {w!r}' for k, w in enumerate(p.split()))})" for p in PHRASES)
     return f"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),

@@ -10,7 +10,48 @@ from regmodel.llm import licenses, queries, url_rules
 
 from ..compare import database, rows
 
-MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, and/or sell copies of the Software"
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.{} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS
+IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License."""
+
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+See the GNU General Public License for more details."""
+
+
+@pytest.mark.parametrize("text,label,later", [
+    (MIT, "text-mit", "EVENT"), (BSD.format(""), "text-bsd-2", "DISCLAIMED"), (BSD.format(THIRD), "text-bsd-3", "endorse"), (APACHE, "header-apache", "governing"), (GPL, "header-gpl", "MERCHANTABILITY"),
+])
+def test_whole_wordings(text, label, later):
+    """Only the whole wording is accepted: a changed later word is not."""
+    import pyarrow as pa
+
+    scanner = licenses.Scanner()
+    labels = lambda x: [y for y in next(scanner.scan(pa.array([x])))[5].split(",") if y.startswith(("text", "header"))]
+    assert labels("Copyright 2020.\n" + text) == [label]
+    assert labels(text.replace(later, "other")) == [] and labels(text[: len(text) // 2]) == []
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -48,6 +89,12 @@ def test_automaton_against_pattern():
         assert (a.match(text, 0) is not None) == bool(pattern.match(" ".join(text)))
 
 
+def test_nested_optional_parts():
+    a = licenses.Automaton("go <<optional>> to <<optional>> the <<end>> end <<end>> stop")
+    accepted = [x for x in ("go stop", "go to end stop", "go to the end stop", "go to stop", "go the end stop", "go end stop", "go to the stop") if a.match(x.split(), 0) is not None]
+    assert accepted == ["go stop", "go to end stop", "go to the end stop"]
+
+
 def brute(url, rules, default):
     url = url or ""
     rest = url.split("://", 1)[1] if "://" in url else ""
