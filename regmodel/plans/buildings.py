@@ -126,7 +126,10 @@ def _parts(spark, d):
     return e, doors, fills, voids, walls
 
 
-@query("h2_check_openings", "SELECT model, global_id AS element FROM fx_elements WHERE ifc_type IN ('IfcDoor', 'IfcWindow') AND right(global_id, 1) IN ('2', '3')")
+_H2 = "SELECT model, global_id AS element FROM fx_elements WHERE ifc_type IN ('IfcDoor', 'IfcWindow') AND right(global_id, 1) IN ('2', '3')"
+
+
+@query("h2_check_openings", _H2)
 def h2(spark, d):
     _, doors, fills, voids, walls = _parts(spark, d)
     return models.check_openings(doors, fills, voids, walls).select("model", "element")
@@ -140,7 +143,10 @@ def _walls(spark, d):
     return walls, one.unionByName(two)
 
 
-@query("h3_check_wall_connections", "SELECT model, global_id AS element FROM (SELECT *, count(*) OVER (PARTITION BY model) AS n FROM fx_elements WHERE ifc_type = 'IfcWall') t WHERE n >= 2 AND right(global_id, 1) NOT IN ('1', '2')")
+_H3 = "SELECT model, global_id AS element FROM (SELECT *, count(*) OVER (PARTITION BY model) AS n FROM fx_elements WHERE ifc_type = 'IfcWall') t WHERE n >= 2 AND right(global_id, 1) NOT IN ('1', '2')"
+
+
+@query("h3_check_wall_connections", _H3)
 def h3(spark, d):
     return models.check_wall_connections(*_walls(spark, d)).select("model", "element")
 
@@ -152,10 +158,13 @@ def _columns(spark, d):
     return cols, fixture(spark, d, "fx_axes")
 
 
-@query("h4_check_columns_on_grid", """WITH c AS (SELECT concat('M', CAST(l_orderkey % 60 AS STRING)) AS model, l_partkey AS element, CAST(l_partkey % 30 AS DOUBLE) AS x, CAST(l_suppkey % 20 AS DOUBLE) AS y FROM lineitem WHERE l_quantity < 5),
+_H4 = """WITH c AS (SELECT concat('M', CAST(l_orderkey % 60 AS STRING)) AS model, l_partkey AS element, CAST(l_partkey % 30 AS DOUBLE) AS x, CAST(l_suppkey % 20 AS DOUBLE) AS y FROM lineitem),
 g AS (SELECT u.model, u.ax0 AS gx, v.ay0 AS gy FROM fx_axes u JOIN fx_axes v ON u.model = v.model AND u.axis = 'U' AND v.axis = 'V'),
 n AS (SELECT c.model, c.element, min(sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy))) AS d FROM c JOIN g USING (model) GROUP BY ALL)
-SELECT model, CAST(element AS STRING) AS element FROM n WHERE d * 1000 > 10 UNION ALL SELECT DISTINCT model, NULL FROM c WHERE model NOT IN (SELECT model FROM g)""")
+SELECT model, CAST(element AS STRING) AS element FROM n WHERE d * 1000 > 10 UNION ALL SELECT DISTINCT model, NULL FROM c WHERE model NOT IN (SELECT model FROM g)"""
+
+
+@query("h4_check_columns_on_grid", _H4)
 def h4(spark, d):
     return models.check_columns_on_grid(*_columns(spark, d)).select("model", "element")
 
@@ -166,7 +175,10 @@ def _storeys(spark, d):
     return s, s.where("element IN ('Tầng 2', 'Tầng 5')").select("model", F.col("element").alias("storey"))
 
 
-@query("h5_check_spaces", "SELECT DISTINCT model, storey AS element FROM fx_elements WHERE storey NOT IN ('', 'Tầng 2', 'Tầng 5')")
+_H5 = "SELECT DISTINCT model, storey AS element FROM fx_elements WHERE storey NOT IN ('', 'Tầng 2', 'Tầng 5')"
+
+
+@query("h5_check_spaces", _H5)
 def h5(spark, d):
     return models.check_spaces(*_storeys(spark, d)).select("model", "element")
 
@@ -177,8 +189,11 @@ def h6(spark, d):
     return models.check_extent(e).select("model", "element")
 
 
-@query("h7_check_clashes", """SELECT a.model, a.global_id AS element, b.global_id AS other FROM fx_elements a JOIN fx_elements b ON a.model = b.model AND a.global_id < b.global_id
- AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0.002 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0.002 AND least(a.z1, b.z1) - greatest(a.z0, b.z0) > 0.002""")
+_H7 = """SELECT a.model, a.global_id AS element, b.global_id AS other FROM fx_elements a JOIN fx_elements b ON a.model = b.model AND a.global_id < b.global_id
+ AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0.002 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0.002 AND least(a.z1, b.z1) - greatest(a.z0, b.z0) > 0.002"""
+
+
+@query("h7_check_clashes", _H7)
 def h7(spark, d):
     return models.check_clashes(fixture(spark, d, "fx_elements")).select("model", "element", "other")
 
@@ -204,7 +219,8 @@ def _issues(spark, d):
     return models.run_checks(checks)
 
 
-_REPORT = f"""WITH i AS ({_H1} UNION ALL SELECT model, 'extent', global_id FROM fx_elements WHERE greatest(abs(x1), abs(y1), abs(z1)) * 25 > 1000), m AS (SELECT DISTINCT model FROM fx_elements)"""
+_OTHERS = " ".join(f"UNION ALL SELECT model, '{c}', element FROM ({q}) q_{c}" for c, q in (("openings", _H2), ("walls", _H3), ("columns", _H4), ("spaces", _H5), ("clashes", _H7)))
+_REPORT = f"""WITH i AS ({_H1} {_OTHERS} UNION ALL SELECT model, 'extent', global_id FROM fx_elements WHERE greatest(abs(x1), abs(y1), abs(z1)) * 25 > 1000), m AS (SELECT DISTINCT model FROM fx_elements)"""
 
 
 @query("h9_check_report", f"{_REPORT} SELECT m.model, {', '.join(f'count(*) FILTER (i.\"check\" = {c!r}) AS {c}' for c in models.CHECKS)} FROM m LEFT JOIN i USING (model) GROUP BY m.model")

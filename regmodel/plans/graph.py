@@ -145,7 +145,7 @@ def f9(spark, d):
     return kgraph.requirements_for_topic(rows, reqs, "Lối đi 3").select("standard_code", "article_id", "req_no")
 
 
-@query("f10_related_standards", f"""WITH r AS ({_REFS}), c AS (SELECT CAST(std_id AS STRING) AS std_id FROM fx_standards WHERE family = (SELECT min(family) FROM fx_standards))
+@query("f10_related_standards", f"""WITH r AS ({_REFS}), c AS (SELECT DISTINCT CAST(std_id AS STRING) AS std_id FROM fx_standards)
 SELECT c.std_id, coalesce(string_agg(DISTINCT CAST(target AS STRING), ',' ORDER BY CAST(target AS STRING)) FILTER (rel = 'RELATED_TO'), '') AS related, coalesce(string_agg(DISTINCT CAST(target AS STRING), ',' ORDER BY CAST(target AS STRING)) FILTER (rel = 'SUPERSEDES'), '') AS superseded FROM c LEFT JOIN r ON CAST(r.std_id AS STRING) = c.std_id GROUP BY c.std_id""")
 def f10(spark, d):
     codes = fixture(spark, d, "fx_standards").select(F.col("std_id").cast("string").alias("std_id"))
