@@ -10,17 +10,21 @@ Segments are rows of a Parquet table in the shared folder, so that Spark's commi
 store that Spark writes to will do.  ``decode`` reads one segment, ``decode_block`` a single block by the index.
 
 Defined cases: a null text counts as empty and gives the end id alone; rows with equal doc_id all stay, in order of their
-ids; a null doc_id sorts first; an empty table gives an empty result; extra columns are ignored.
+ids; a null doc_id sorts first; an empty table gives an empty result; extra columns are ignored; a text longer than a segment
+is a segment of its own, whole.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +34,12 @@ BLOCK = 128
 SEGMENT_IDS = 1 << 18
 PERCENTILE = 0.9
 END_ID = 1
-CACHE_WORDS = 1 << 20
+#: Text that is encoded at a time, and words of a line that goes to the tokenizer.
+SLICE_BYTES = 8 << 20
+LINE_WORDS = 1024
 _HEAD = struct.Struct("<4sIII")
 _MAGIC = b"PFR1"
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
+_tokenizers: dict[str, object] = {}
 
 
 # --- the format -----------------------------------------------------------------------------------------------------
@@ -124,37 +130,110 @@ def decode_block(data: bytes, k: int) -> np.ndarray:
 
 
 # --- encoding of texts ----------------------------------------------------------------------------------------------
-def _tokenizer(path: str) -> tuple[object, dict[str, bytes]]:
-    if path not in _tokenizers:
-        import os
+#: Latin letters, then ASCII marks but the apostrophe: a tokenizer by words always parts the two, and writes letters in lower case.  (Of
+#: other letters some get a combining mark in their normal form, which would join the marks.)
+_PLAIN = "^(?P<letters>[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u012F\u0131-\u024F\u1E00-\u1EFF]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+#: What a tokenizer by words does before it looks at letters, and how it splits.
+_BY_WORDS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_WORD_END = "</w>"
+
 
+def tokenizer(path: str):
+    if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
+        _tokenizers[path] = Tokenizer.from_file(path)
     return _tokenizers[path]
 
 
 def id_kind(path: str, end_id: int = END_ID) -> str:
     """The narrowest type that holds all ids of a tokenizer."""
-    return "<u2" if max(_tokenizer(path)[0].get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
-
-
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole texts, as ``id_kind`` says.  The tokenizer drops white space before it looks at anything else, so what stands between
-    spaces and line ends is encoded by itself and kept in a bounded cache."""
-    tokenizer, cache = _tokenizer(path)
-    kind = id_kind(path)
-    split = [x.replace("\n", " ").split(" ") for x in texts]
-    new = list(set().union(*split).difference(cache))
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = list(set().union(*split))
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[word] = np.array(got.ids, kind).tobytes()
-    return [b"".join(map(cache.__getitem__, words)) for words in split]
+    return "<u2" if max(tokenizer(path).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of each of some stretches, one after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+class Encoder:
+    """Ids of whole texts, as ``id_kind`` says.
+
+    A tokenizer by words drops white space before it looks at anything else, so what stands between spaces and line ends can be encoded
+    by itself: of a slice of texts each distinct word is encoded once, and plain words in long lines, whose ids part at the word ends.
+    Any other tokenizer gets whole texts.  Nothing is kept from slice to slice."""
+
+    def __init__(self, path: str, end_id: int = END_ID):
+        self.tokenizer, self.kind, self.end = tokenizer(path), id_kind(path, end_id), end_id
+        about = json.loads(self.tokenizer.to_str())
+        splits = (about.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        self.by_words = (
+            (about.get("normalizer") or {}).get("normalizers") == _BY_WORDS
+            and (splits.get("pattern"), splits.get("behavior"), splits.get("invert")) == ({"Regex": _SPLITS}, "Removed", True)
+            and about["model"].get("end_of_word_suffix") == _WORD_END
+        )
+        if self.by_words:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(_WORD_END)]] = True
+
+    def _single(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], self.kind), np.array([len(x) for x in got], np.int64)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters only."""
+        lines = [" ".join(words[i : i + LINE_WORDS]) for i in range(0, len(words), LINE_WORDS)]
+        ids = np.concatenate([np.zeros(0, self.kind), *(np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            raise ValueError("the tokenizer does not end each word by itself")
+        return ids, np.diff(last, prepend=-1)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct words of any kind."""
+        plain = pc.extract_regex(words, pattern=_PLAIN)
+        fits = plain.is_valid().to_numpy(zero_copy_only=False)
+        plain = plain.filter(pa.array(fits))
+        letters = pc.ascii_lower(plain.field("letters")).dictionary_encode()
+        marks = plain.field("marks").dictionary_encode()
+        found = [self._plain(letters.dictionary.to_pylist()), self._single(marks.dictionary.to_pylist()), self._single(words.filter(pa.array(~fits)).to_pylist())]
+        ids, counts = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        starts = np.cumsum(counts) - counts
+        n, m = len(found[0][1]), len(found[1][1])
+        part = np.full((len(words), 2), -1)  # of each word its one or two parts
+        part[fits, 0], part[fits, 1] = letters.indices.to_numpy(), n + marks.indices.to_numpy()
+        part[~fits, 0] = n + m + np.arange(int((~fits).sum()))
+        size = np.where(part < 0, 0, counts[part]) if len(counts) else np.zeros(part.shape, np.int64)
+        return ids[_spread(starts[part].ravel(), size.ravel())] if len(counts) else ids, size.sum(axis=1)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, the end id behind each text, and how many each text has with it."""
+        if not self.by_words:
+            ids, counts = self._single(texts.to_pylist())
+        else:
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            coded = split.flatten().dictionary_encode()
+            store, sizes = self._words(coded.dictionary)
+            at = coded.indices.to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            ids = store[_spread(starts[at], sizes[at])]
+            bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+            counts = np.diff(np.concatenate([[0], np.cumsum(sizes[at])])[bounds])
+        out = np.full(len(ids) + len(counts), self.end, self.kind)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+        return out, counts + 1
+
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(index of the first text, ids, counts) of about ``SLICE_BYTES`` of texts at a time; a longer text is a slice by itself."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE_BYTES, side="right")))
+            yield i, *self.ids(texts.slice(i, j - i))
+            i = j
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,13 +241,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
     the network is as narrow as the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_kind(tokenizer_path, end_id)
-        start, end = kind[-1].encode(), np.array([end_id], kind).tobytes()
+        encoder = Encoder(tokenizer_path, end_id)
+        start, width = encoder.kind[-1].encode(), int(encoder.kind[-1])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                codes = [start + x + end for x in encode_texts(part.column(1).to_pylist(), tokenizer_path)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary())], names=["doc_id", "codes"])
+            for first, ids, counts in encoder.slices(batch.column(1)):
+                raw, ends = memoryview(ids.tobytes()), (np.cumsum(counts) * width).tolist()
+                codes = [b"".join((start, raw[a:b])) for a, b in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(codes)), pa.array(codes, pa.binary())], names=["doc_id", "codes"])
 
     return common.pick(docs, id_col, text_col).mapInArrow(run, "doc_id long, codes binary")
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -32,13 +33,20 @@ def test_not_a_segment():
         token_blocks.decode(b"nope" + bytes(12))
 
 
+def coded(texts, path=PATH):
+    out = []
+    for _, ids, counts in token_blocks.Encoder(path).slices(pa.array(texts)):
+        ends = counts.cumsum()
+        out += [ids[e - c : e].tolist() for c, e in zip(counts, ends, strict=True)]
+    return out
+
+
 def test_cached_words_equal_whole_texts():
     from tokenizers import Tokenizer
 
     texts = ["", "Don't STOP\u00a0me,\tNOW  12 34!", "a\r\nb <|endoftext|>x é e\u0301", "ÄÖ\u3000ß 'll I'll", "x" * 500, "\u001cstrange\u0085space"]
     whole = Tokenizer.from_file(PATH)
-    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
-    assert token_blocks.encode_texts(texts, PATH) == want
+    assert coded(texts) == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
 def read(spark, rows, schema="doc_id long, text string, lang string"):
@@ -63,3 +71,39 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert read(spark, []) == []
+
+
+def test_words_in_parts(monkeypatch):
+    """Letters and marks are encoded apart only where the tokenizer parts them too; full tables change nothing."""
+    from tokenizers import Tokenizer
+
+    texts = ["It's, don't! THE the, The... x², ΣΑΣ, a<|endoftext|> b<| c's' d_e_ f1, g-h- ǅ, İ!"] * 2 + ["é, = ̸", "one? two?? one?"]
+    whole = Tokenizer.from_file(PATH)
+    assert coded(texts) == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    monkeypatch.setattr(token_blocks, "SLICE_BYTES", 20)
+    monkeypatch.setattr(token_blocks, "LINE_WORDS", 2)
+    assert coded(texts) == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["two  spaces\n and a line", "", " x"]
+    assert not token_blocks.Encoder(path).by_words and token_blocks.Encoder(PATH).by_words
+    assert coded(texts, path) == [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_query_against_the_tokenizer(spark, data):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(PATH)
+    got = {r.doc_id: r for r in token_blocks.query(spark, data).collect()}
+    start = 0
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    for r in rows:
+        ids = np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        g = got[r.doc_id]
+        assert (g.start, g.n_tokens, g.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(rows) == len(got)
