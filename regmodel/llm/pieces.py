@@ -3,9 +3,10 @@
 The best segmentation of a text is the one whose pieces have the largest sum of the model's scores; characters that no
 piece covers become byte pieces.  The search keeps back pointers only since the last committed boundary: the open paths
 end within the longest piece's length, and as soon as all of them run through one boundary the ids up to it are
-committed.  All paths meet between two characters that stand side by side in no piece; so a model none of whose pieces
-holds a space mark after another character commits at every word's start, and words are encoded apart and kept in a
-bounded cache.
+committed.  All paths meet between two characters that stand side by side in no piece: with a model none of whose pieces
+holds a space mark after another character, at every word's start.  There the search of a text may be taken up again by
+itself, so that a task searches a word once and remembers its ids in a table of at most ``CACHE_WORDS``; with any other
+model a text is searched from end to end.  It is the same search for a word, a part of one and a text, of any length.
 
 Ties go to the longest last piece.  Decoding joins pieces, turns byte pieces back into characters and drops the space
 that encoding put in front.
@@ -17,6 +18,8 @@ encoded whole, in memory bounded by the text itself.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +31,11 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-CACHE_WORDS = 3 << 18
-CACHED_LENGTH = 64
+#: Words whose ids a task remembers.
+CACHE_WORDS = 1 << 19
+_WORD = re.compile(f"{MARK}+[^{MARK}]*")
+_IDS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+_MARKS = ".,;:!?#*$%&|<>)"
 #: What a character costs that has to be written as bytes: worse than any piece.
 BYTE_COST = 1e6
 
@@ -55,121 +61,96 @@ class Pieces:
         self.begins.update(self.table)
         #: No piece spans two characters that are not in here: all paths meet between them.
         self.pairs = {x[k : k + 2] for x in self.table for k in range(len(x) - 1)}
-        self.cache: dict[str, bytes] = {}
+        self.commits = 0
         self.reverse = {i: b for b, i in self.bytes.items()}
 
     def viterbi(self, text: str) -> list[int]:
-        """Ids of a text in which spaces are marks already."""
-        if len(text) <= CACHED_LENGTH:
-            return self._short(text)
-        n, longest, begins = len(text), self.longest, self.begins
-        out: list[int] = []
-        base = 0  # the last committed boundary
-        score = [0.0]  # by boundary since base
-        back: list[tuple[int, int]] = [(0, -1)]  # the boundary before, and the piece's id (-1: as bytes)
-        reach = 0  # the last boundary that has a path
-        pos = 0
+        """Ids of a text in which spaces are marks already.  Back pointers reach back to the last committed boundary only."""
+        n, longest, get, byte = len(text), self.longest, self.begins.get, self.bytes
         worst = float("-inf")
+        more, zeros, none = [worst] * (longest + 1), [0] * (longest + 1), [-1] * (longest + 1)
+        out: list[int] = []
+        score, back, ids = [0.0], [0], [-1]  # by boundary since base: best sum, the boundary before, the piece's id (-1: as bytes)
+        base = pos = reach = 0  # the last committed boundary, this one, and the last that has a path
+        due = longest
         while pos < n:
-            here = score[pos - base]
-            end, last = pos + 1, min(n, pos + longest)
-            while len(score) <= last - base:
-                score.append(worst)
-                back.append((0, -1))
-            at = pos + 1 - base
-            if here - BYTE_COST > score[at]:
-                score[at], back[at] = here - BYTE_COST, (pos, -1)
-            reach = max(reach, end)
-            while end <= last and (got := begins.get(text[pos:end], False)) is not False:
+            at = pos - base
+            here = score[at]
+            if len(score) < at + longest + 2:
+                score += more
+                back += zeros
+                ids += none
+            end = pos + 1
+            if here - BYTE_COST > score[at + 1]:
+                score[at + 1], back[at + 1], ids[at + 1] = here - BYTE_COST, pos, -1
+            if end > reach:
+                reach = end
+            while end <= n and (got := get(text[pos:end], False)) is not False:
+                at += 1
                 if got:
-                    at = end - base
                     if here + got[0] > score[at]:
-                        score[at], back[at] = here + got[0], (pos, got[1])
-                    reach = max(reach, end)
+                        score[at], back[at], ids[at] = here + got[0], pos, got[1]
+                    if end > reach:
+                        reach = end
                 end += 1
             pos += 1
-            if reach == pos or (pos - base) % (4 * longest) == 0:
+            if reach == pos or pos - base >= due:
                 meet = pos if reach == pos else self._meet(score, back, base, pos, reach)
+                due = pos - base + longest
                 if meet > base:
-                    path = []
-                    at = meet
+                    path, at = [], meet
                     while at > base:
-                        before, piece = back[at - base]
-                        path.append((before, at, piece))
+                        before = back[at - base]
+                        if ids[at - base] >= 0:
+                            path.append(ids[at - base])
+                        else:
+                            path.extend([byte[b] for b in reversed(text[before:at].encode())])
                         at = before
-                    for before, at, piece in reversed(path):
-                        out.extend([piece] if piece >= 0 else [self.bytes[b] for b in text[before:at].encode()])
-                    score, back = score[meet - base :], back[meet - base :]
-                    base = meet
+                    out += reversed(path)
+                    done = meet - base
+                    del score[:done], back[:done], ids[:done]
+                    base, due = meet, longest
+                    self.commits += 1
         return out
 
-    def _short(self, text: str) -> list[int]:
-        """A text that is no longer than the window: one table, one way back."""
-        n, get = len(text), self.begins.get
-        best, back, ids = [0.0] + [float("-inf")] * n, [0] * (n + 1), [-1] * (n + 1)
-        for pos in range(n):
-            here, end = best[pos], pos + 1
-            if here - BYTE_COST > best[end]:
-                best[end], back[end], ids[end] = here - BYTE_COST, pos, -1
-            while end <= n and (got := get(text[pos:end], False)) is not False:
-                if got and here + got[0] > best[end]:
-                    best[end], back[end], ids[end] = here + got[0], pos, got[1]
-                end += 1
-        out: list[int] = []
-        at = n
-        while at:
-            out.extend([ids[at]] if ids[at] >= 0 else [self.bytes[b] for b in reversed(text[back[at] : at].encode())])
-            at = back[at]
-        return out[::-1]
-
-    def _word(self, word: str) -> bytes:
-        """A word that is not in the cache, cut where no piece goes across; its parts are cached too."""
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
-        out = []
-        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
-            part = word[a:b]
-            ids = self.cache.get(part)
-            if ids is None:
-                ids = self._keep(part, np.array(self.viterbi(part), "<u4").tobytes())
-            out.append(ids)
-        return self._keep(word, b"".join(out))
-
-    def _keep(self, word: str, ids: bytes) -> bytes:
-        if len(word) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = ids
-        return ids
-
     @staticmethod
-    def _meet(score: list[float], back: list[tuple[int, int]], base: int, pos: int, reach: int) -> int:
+    def _meet(score: list[float], back: list[int], base: int, pos: int, reach: int) -> int:
         """The last boundary that the paths to all open boundaries, from pos to reach, run through."""
         open_ = {x for x in range(pos, reach + 1) if score[x - base] != float("-inf")}
         while len(open_) > 1:
             far = max(open_)
             open_.remove(far)
-            open_.add(back[far - base][0])
+            open_.add(back[far - base])
         return open_.pop()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        text = MARK + text.replace(" ", MARK)
+        return self.encode_all([text], {})[0]
+
+    def encode_all(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
+        """Ids of some texts.  ``known`` remembers what the search has found for words, and is emptied when it is full."""
+        marked = [MARK + x.replace(" ", MARK) if x else "" for x in texts]
         if not self.apart:
-            return np.array(self.viterbi(text), "<u4").tobytes()
-        cache, out, spaces = self.cache, [], ""
-        for word in text.split(MARK)[1:]:
-            if not word:
-                spaces += MARK  # a run of marks joins the word after it
-                continue
-            word = spaces + MARK + word
-            spaces = ""
-            ids = cache.get(word)
-            out.append(self._word(word) if ids is None else ids)
-        if spaces:
-            out.append(np.array(self.viterbi(spaces), "<u4").tobytes())
-        return b"".join(out)
+            return [self._bytes(x) for x in marked]
+        split = [_WORD.findall(x) for x in marked]
+        new = set().union(*split)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+        for word in new.difference(known):
+            cut = len(word.rstrip(_MARKS))
+            if 0 < cut < len(word) and word[cut - 1 : cut + 1] not in self.pairs:
+                a, b = word[:cut], word[cut:]
+                for x in (a, b):
+                    if x not in known:
+                        known[x] = self._bytes(x)
+                known[word] = known[a] + known[b]
+            else:
+                known[word] = self._bytes(word)
+        return [b"".join(map(known.__getitem__, x)) for x in split]
+
+    def _bytes(self, text: str) -> bytes:
+        ids = self.viterbi(text)
+        return _IDS[len(ids)](*ids) if len(ids) < len(_IDS) else np.array(ids, "<u4").tobytes()
 
     def decode(self, ids: list[int]) -> str:
         if self.reverse.keys().isdisjoint(ids):
@@ -202,12 +183,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     decoded text), exact (whether decoding gave the text back; marks in a text come back as spaces), token_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model(model_path)
+        pieces, known = model(model_path), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                codes = [pieces.encode(x) for x in texts]
+                codes = pieces.encode_all(texts, known)
                 ids = [np.frombuffer(x, "<u4") for x in codes]
                 back = [pieces.decode(x.tolist()) for x in ids]
                 columns = [

@@ -82,3 +82,51 @@ def test_table(spark):
     back = {r.doc_id: r.text for r in pieces.decode(out, PATH).collect()}
     assert back[1] == "a b" and back[3] == "long " * 5000
     assert pieces.encode(docs.limit(0), PATH).count() == 0
+
+
+def best_ids(model, text):
+    """Ids of the best path by the full table: ties to the longest last piece."""
+    best, back = [0.0] + [float("-inf")] * len(text), [None] * (len(text) + 1)
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - model.longest), end):
+            got = model.table.get(text[start:end])
+            if got and best[start] + got[0] > best[end]:
+                best[end], back[end] = best[start] + got[0], (start, got[1])
+        if best[end - 1] - pieces.BYTE_COST > best[end]:
+            best[end], back[end] = best[end - 1] - pieces.BYTE_COST, (end - 1, None)
+    out, end = [], len(text)
+    while end:
+        start, piece = back[end]
+        out += [piece] if piece is not None else [model.bytes[b] for b in reversed(text[start:end].encode())]
+        end = start
+    return out[::-1]
+
+
+def test_all_documents_against_the_full_table(spark, data):
+    """The query's digests, the streaming search over whole texts, and the full table agree on every document."""
+    import zlib
+
+    import numpy as np
+
+    model = pieces.Pieces(PATH)
+    got = {r.doc_id: r for r in pieces.query(spark, data).collect()}
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        marked = pieces.MARK + r.text.replace(" ", pieces.MARK) if r.text else ""
+        want = best_ids(model, marked)
+        assert model.viterbi(marked) == want
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+    assert model.commits > 10_000
+
+
+def test_a_full_table_of_words_and_long_words(monkeypatch):
+    """Emptying the table in between changes nothing; a text of one long word commits as it goes."""
+    model, known = pieces.Pieces(PATH), {}
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 3)
+    texts = ["one two three, four", "five  two one... ", "x" * 50_000 + " end"]
+    one = [model.encode(t) for t in texts]
+    assert [model.encode_all([t], known)[0] for t in texts] == one
+    before = model.commits
+    model.viterbi("thequickbrownfox" * 3000)
+    assert model.commits - before > 1000
