@@ -1,6 +1,6 @@
 """Operator 6: near duplicates by ProbMinHash, banding and verification.
 
-A document is its set of five-word shingles, each weighted by 1 + ln(occurrences).  ProbMinHash: every shingle has
+A document is its set of five-word shingles, each weighted by ``weights`` of its occurrences.  ProbMinHash: every shingle has
 arrivals of a Poisson process whose rate is its weight, each arrival falls into one of ``REGISTERS`` registers, and a
 register keeps the shingle that arrived first; a shingle is given up as soon as its next arrival is later than all kept
 ones.  Two documents agree in a register with the probability Jaccard similarity of their weighted shingles.
@@ -15,7 +15,8 @@ are the connected components of links, found by spreading the smallest label alo
 
 Defined cases: a null text counts as empty; texts without words are near duplicates only of equal texts; a text of one to four words is one shingle; rows with
 equal texts have one class whatever their ids; class_id is the smallest doc_id of the class (null if all are null);
-an empty table gives an empty result; extra columns are ignored (``classes``) or kept (``keep_one``).
+an empty table gives an empty result; extra columns are ignored (``classes``) or kept (``keep_one``); a very long text is
+hashed and its arrivals drawn in parts, with the same result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, words
@@ -33,6 +34,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
+#: How much weight repetition can add to a shingle.
+SPREAD = 0.1
+#: Shingles, and texts, whose arrivals are drawn together.
+PART, PART_TEXTS = 1 << 15, 1 << 12
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -60,9 +65,15 @@ def hash_all(h: np.ndarray) -> np.uint64:
 
 def prob_min_hash(g: np.ndarray, d: np.ndarray, weight: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
     """Signatures (n, m) of n texts: the shingle of the first arrival in each register.  Texts without shingles: zeros."""
-    first = np.full(n * m, np.inf)
-    sig = np.zeros(n * m, np.uint64)
-    rate = 1.0 / weight
+    first, sig = np.full(n * m, np.inf), np.zeros(n * m, np.uint64)
+    for at in range(0, len(g), PART):
+        part = slice(at, at + PART)
+        _arrive(g[part], d[part], 1.0 / weight[part], first, sig, n, m)
+    return sig.reshape(n, m)
+
+
+def _arrive(g: np.ndarray, d: np.ndarray, rate: np.ndarray, first: np.ndarray, sig: np.ndarray, n: int, m: int) -> None:
+    """The arrivals of some shingles, as long as they may still be the first somewhere."""
     at, done, many = np.zeros(len(g)), 0, 1
     while len(g):
         # the next `many` arrivals of each shingle: exponential gaps, registers drawn by the same hash
@@ -80,8 +91,24 @@ def prob_min_hash(g: np.ndarray, d: np.ndarray, weight: np.ndarray, n: int, m: i
         live = t[:, -1] < latest[d]
         at, g, d, rate = t[live, -1], g[live], d[live], rate[live]
         done += many
-        many = min(32, many * 2)
-    return sig.reshape(n, m)
+        many = min(16, many * 2)
+
+
+def weights(occurrences: np.ndarray) -> np.ndarray:
+    """1 for a shingle that stands once, towards 1 + SPREAD for one that stands often: whatever repeats, the similarity of weighted shingles
+    is at least that of the sets over 1 + SPREAD."""
+    return 1 + SPREAD * (1 - 1 / occurrences)
+
+
+def groups(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Texts first to end (exclusive) of about PART shingles together, and of at most PART_TEXTS; a larger text is alone."""
+    ends = np.cumsum(counts)
+    i = 0
+    while i < len(counts):
+        j = int(np.searchsorted(ends, ends[i] - counts[i] + PART, side="right"))
+        j = min(max(j, i + 1), i + PART_TEXTS, len(counts))
+        yield i, j
+        i = j
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -90,15 +117,17 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, counts, h in words.hashed(batch.column(1)):
-                n = len(counts)
-                g, d, c = shingles(h, counts)
-                sig = prob_min_hash(g, d, 1 + np.log(c), n)
-                bands = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _SEED, n, axis=0)
-                for k in range(ROWS):
-                    bands = words.mix(bands + sig[:, k::ROWS][:, :BANDS])
-                some = counts > 0
-                offsets = pa.array(np.concatenate([[0], np.cumsum(some)]).astype(np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.ListArray.from_arrays(offsets, pa.array(bands[some].ravel().view(np.int64)))], names=["doc_id", "node", "bands"])
+                ends = np.cumsum(counts)
+                for i, j in groups(counts):
+                    mine, n = counts[i:j], j - i
+                    g, d, c = shingles(h[ends[i] - counts[i] : ends[j - 1]], mine)
+                    sig = prob_min_hash(g, d, weights(c), n)
+                    bands = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _SEED, n, axis=0)
+                    for k in range(ROWS):
+                        bands = words.mix(bands + sig[:, k::ROWS][:, :BANDS])
+                    some = mine > 0
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(some)]).astype(np.int32) * BANDS)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first + i, n), batch.column(2).slice(first + i, n), pa.ListArray.from_arrays(offsets, pa.array(bands[some].ravel().view(np.int64)))], names=["doc_id", "node", "bands"])
 
     return docs.select("doc_id", "text", _node(F.col("text")).alias("node")).mapInArrow(run, "doc_id long, node binary, bands array<long>")
 
@@ -108,13 +137,13 @@ def _node(text):
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """node, s: sorted distinct shingles (the upper 32 bits of their hashes), as bytes.  texts: node, text."""
+    """node, s: sorted distinct shingles (64-bit hashes), as bytes.  texts: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, counts, h in words.hashed(batch.column(1)):
                 g, d, _ = shingles(h, counts)
-                g = (g >> np.uint64(32)).astype("<u4")
+                g = g.astype("<u8")
                 ends = np.cumsum(np.bincount(d, minlength=len(counts)))
                 sets = [g[lo:hi].tobytes() for lo, hi in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(sets, pa.binary())], names=["node", "s"])
@@ -130,7 +159,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
             a, b, s, t = (batch.column(k) for k in range(4))
             keep = []
             for x, y in zip(s, t, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 n, m = len(x), len(y)
                 if min(n, m) < threshold * max(n, m):
                     keep.append(False)
@@ -153,9 +182,9 @@ def components(links: DataFrame) -> DataFrame:
     labels = common.materialize(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("l")), "other").groupBy("node").agg(F.min("l").alias("l"))
-        step = labels.join(near, "node").select("node", F.least("label", "l").alias("next"), "label")
+        step = common.materialize(labels.join(near, "node").select("node", F.least("label", "l").alias("next"), "label"), "steps")
         # a label's own label is smaller still: jumping there makes the number of rounds logarithmic in long chains
-        jump = step.groupBy("label").agg(F.min("next").alias("to"))
+        jump = common.materialize(step.groupBy("label").agg(F.min("next").alias("to")), "jumps")
         new = common.materialize(step.join(jump, "label").select("node", F.least("next", "to").alias("label"), (F.least("next", "to") != F.col("label")).alias("moved")), "labels")
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
@@ -169,15 +198,15 @@ def unshared(sets: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">i8").reshape(-1, 2).astype(np.int64)
-            parts = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(1)]
+            parts = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(1)]
             row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-            x = np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.int64)
+            x = np.concatenate([*parts, np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(nodes[row, 0]), pa.array(nodes[row, 1])], schema=schema)
 
     halves = [F.conv(F.hex(F.substring("node", at, 8)), 16, -10).cast("long").alias(name) for at, name in ((1, "hi"), (9, "lo"))]
     single = sets.select("node", "s").mapInArrow(spread, "x long, hi long, lo long").groupBy("x").agg(F.count("*").alias("c"), F.min("hi").alias("hi"), F.min("lo").alias("lo")).where("c = 1")
     own = single.groupBy("hi", "lo").agg(F.count("*").alias("u"))
-    sized = sets.select("node", F.floor(F.octet_length("s") / 4).alias("n"), *halves)
+    sized = sets.select("node", F.floor(F.octet_length("s") / 8).alias("n"), *halves)
     return sized.join(own, ["hi", "lo"], "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("k"))
 
 
@@ -186,13 +215,24 @@ def still_open(rows: DataFrame, sets: DataFrame, threshold: float, rounds: int =
     threshold / (1 + threshold) of both sizes together, and k bounds it from above; each round counts k among what is left."""
     share = threshold / (1 + threshold)
     for _ in range(rounds):
-        size = unshared(sets.join(rows.select("node").distinct(), "node", "left_semi"))
-        sized = rows.select("band", "h", "node", "label").join(size, "node")
-        least = sized.groupBy("band", "h").agg(F.min("n").alias("least"))
-        could = sized.join(least, ["band", "h"]).where(F.col("k") + 1e-9 >= share * (F.col("n") + F.greatest(F.col("least").cast("double"), threshold * F.col("n")))).drop("least")
-        mixed = could.groupBy("band", "h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "h")
-        rows = common.materialize(could.join(mixed, ["band", "h"], "left_semi"), "open-rows")
-    return rows
+        size = unshared(of_nodes(sets, rows))
+        sized = common.materialize(rows.select("band", "h", "node", "label").join(size, "node"), "sized-rows")
+        rows = in_mixed(sized, F.min("n").alias("least")).where(F.col("k") + 1e-9 >= share * (F.col("n") + F.greatest(F.col("least").cast("double"), threshold * F.col("n")))).drop("least")
+        rows = common.materialize(rows, "open-rows")
+    return common.materialize(in_mixed(rows), "open-rows")
+
+
+def of_nodes(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of a table by node whose node is one of rows."""
+    nodes = common.materialize(rows.select("node").distinct(), "some-nodes")
+    return table.where(common.maybe_in(nodes, "node")(F.col("node"))).join(nodes, "node", "left_semi")
+
+
+def in_mixed(rows: DataFrame, *more: Column) -> DataFrame:
+    """The rows (band, h, label, ...) of a stored table whose bucket holds two labels or more, with further aggregates of the bucket.  Aggregates
+    are stored first: a join of two tables as they are is one that Spark splits where a bucket is large."""
+    mixed = rows.groupBy("band", "h").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), *more).where("l0 <> l1").drop("l0", "l1")
+    return rows.join(common.materialize(mixed, "mixed-buckets"), ["band", "h"])
 
 
 def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -200,31 +240,31 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     sig = common.materialize(signatures(docs), "signatures")
     nodes = sig.groupBy("node").agg(F.first("bands").alias("bands"))
     entries = common.materialize(nodes.select("node", F.posexplode("bands").alias("band", "h")), "band-entries")
-    shared = entries.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = common.materialize(entries.join(shared, ["band", "h"]), "buckets")
+    shared = common.materialize(entries.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1"), "shared-buckets")
+    buckets = common.materialize(entries.where(common.maybe_in(shared, "h")(F.col("h"))).join(shared, ["band", "h"]), "buckets")
     mates = buckets.groupBy("node").agg(F.sum("size").alias("mates"))
     known = common.materialize(buckets.select("band", "h", "node").join(mates, "node"), "bucket-mates")
     centres = known.groupBy("band", "h").agg(F.max(F.struct("mates", "node")).alias("c")).select("band", "h", F.col("c.node").alias("centre"))
-    star = known.join(centres, ["band", "h"]).where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+    star = known.join(common.materialize(centres, "centres"), ["band", "h"]).where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
     star = common.materialize(star.distinct(), "pairs")
-    wanted = known.select("node").distinct()
+    wanted = common.materialize(known.select("node").distinct(), "wanted-nodes")
     texts = docs.select(_node(F.col("text")).alias("node"), "text").where(common.maybe_in(wanted, "node")(F.col("node")))
-    texts = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = texts.dropDuplicates(["node"]).join(wanted, "node", "left_semi")  # copies go before anything is shuffled
     sets = common.materialize(shingle_sets(texts), "shingle-sets")
     links = common.materialize(verified(star, sets, threshold), "links")
     first = components(links)
 
     # what shares a bucket and is not connected yet
     own = buckets.select("band", "h", "node").join(first, "node", "left").select("band", "h", "node", F.coalesce("label", "node").alias("label"))
-    mixed = own.groupBy("band", "h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "h")
-    rows = common.materialize(own.join(mixed, ["band", "h"], "left_semi"), "bucket-labels")
-    rows = still_open(rows, sets, threshold).join(nodes.join(rows.select("node").distinct(), "node", "left_semi"), "node")
+    rows = common.materialize(in_mixed(common.materialize(own, "bucket-labels")), "mixed-rows")
+    rows = still_open(rows, sets, threshold)
+    rows = rows.join(of_nodes(sig.select("node", "bands"), rows).groupBy("node").agg(F.first("bands").alias("bands")), "node")
     rows = common.materialize(rows, "open-buckets")
     parts = rows.groupBy("band", "h", "label").agg(F.count("*").alias("size"))
     major = parts.groupBy("band", "h").agg(F.max(F.struct("size", "label")).alias("top")).select("band", "h", F.col("top.label").alias("major"))
-    side = lambda p, df: df.select("band", "h", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "label", "n", "k", "bands")])
-    minor = side("a", rows.join(major, ["band", "h"]).where("label <> major"))
-    other = side("b", rows).join(major, ["band", "h"])
+    rows = common.materialize(rows.join(common.materialize(major, "major-labels"), ["band", "h"]), "major-rows")
+    side = lambda p, df: df.select("band", "h", *["major"] * (p == "b"), *[F.col(c).alias(f"{p}_{c}") for c in ("node", "label", "n", "k", "bands")])
+    minor, other = side("a", rows.where("label <> major")), side("b", rows)
     c = F.col
     earlier = F.exists(F.zip_with(F.slice("a_bands", 1, c("band")), F.slice("b_bands", 1, c("band")), lambda x, y: x == y), lambda x: x)
     fits = (F.least("a_n", "b_n") + 1e-9 >= threshold * F.greatest("a_n", "b_n")) & (F.least("a_k", "b_k") + 1e-9 >= threshold / (1 + threshold) * (c("a_n") + c("b_n")))
@@ -232,7 +272,8 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     pairs = minor.join(other, ["band", "h"]).where((c("a_label") != c("b_label")) & fits & once & ~earlier)
     pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), F.least("a_label", "b_label").alias("la"), F.greatest("a_label", "b_label").alias("lb"))
     pairs = common.materialize(pairs.dropDuplicates(["a", "b"]).join(star, ["a", "b"], "left_anti"), "cross-pairs")
-    more = common.materialize(verified(pairs.select("a", "b"), sets, threshold).join(pairs, ["a", "b"]).select("la", "lb").distinct().toDF("a", "b"), "class-links")
+    open_sets = of_nodes(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    more = common.materialize(verified(pairs.select("a", "b"), common.materialize(open_sets, "open-sets"), threshold).join(pairs, ["a", "b"]).select("la", "lb").distinct().toDF("a", "b"), "class-links")
     if not more.limit(1).count():
         return sig.select("doc_id", "node"), first
     joined = components(more).toDF("label", "joined")
@@ -247,9 +288,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     rows, labels = labelled(common.pick(docs, id_col, text_col), threshold)
     rows = rows.join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
     rows = common.materialize(rows, "labelled")
-    groups = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
+    found = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node"))
-    return rows.join(groups, "label").select("doc_id", "class_id", "class_size", kept.alias("kept"), "node")
+    return rows.join(common.materialize(found, "groups"), "label").select("doc_id", "class_id", "class_size", kept.alias("kept"), "node")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,17 @@ def test_early_end_changes_nothing():
     assert (one[0] == both[0]).all()
 
 
+def test_parts_change_nothing(monkeypatch):
+    """Arrivals of a long text that are drawn in parts, and of texts that are drawn together."""
+    rng = np.random.default_rng(6)
+    g = rng.integers(1, 2**63, 900).astype(np.uint64)
+    d, w = np.repeat([0, 1, 2], [700, 0, 200]), rng.uniform(1, 1.1, 900)
+    whole = near_dups.prob_min_hash(g, d, w, 3)
+    monkeypatch.setattr(near_dups, "PART", 64)
+    assert (near_dups.prob_min_hash(g, d, w, 3) == whole).all()
+    assert list(near_dups.groups(np.array([10, 50, 5, 500, 0, 0, 64, 1]))) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 8)]
+
+
 @pytest.fixture(scope="module")
 def frame(spark):
     rows = [(1, text(0, 200)), (2, text(0, 200)), (3, text(0, 200, {100})), (4, text(0, 200, {50, 150})), (5, text(1000, 200)), (6, None), (7, ""), (8, "one two"), (9, "one two"), (10, "One TWO"), (None, text(5000, 100)), (11, text(5000, 100)), (12, text(0, 100) + " " + text(7000, 100)), (13, text(0, 200).upper())]
@@ -55,7 +66,7 @@ def test_large_group(spark):
 
 def test_unshared(spark):
     """What a text shares with no other is counted for the text that has it."""
-    rows = [(bytes([255] * 8 + [i] * 8), np.array([1, 2, 3, 10 * i], "<u4").tobytes()) for i in range(1, 4)] + [(bytes(16), b"")]
+    rows = [(bytes([255] * 8 + [i] * 8), np.array([1, 2, 3, 2**40 * i], "<u8").tobytes()) for i in range(1, 4)] + [(bytes(16), b"")]
     got = {r.node: (r.n, r.k) for r in near_dups.unshared(spark.createDataFrame(rows, "node binary, s binary")).collect()}
     assert sorted(got.values()) == [(0, 0), (4, 3), (4, 3), (4, 3)]
 
