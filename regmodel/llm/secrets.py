@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bounds of the training sample: texts with a base span, and other texts.
-SAMPLE_WITH, SAMPLE_WITHOUT = 500, 2500
+SAMPLE_WITH, SAMPLE_WITHOUT = 500, 1500
 SAMPLE_CHARS = 20_000
 DIM = 1 << 13
 TAGS = ("O", "B", "I")
@@ -141,11 +141,11 @@ class _Known(dict):
 
     def take(self) -> np.ndarray:
         """The slots of what came since the last call."""
-        out, self.new = np.array(self.new), []
+        out, self.new = np.array(self.new, np.int16), []
         return out
 
     def of(self, items: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, items), np.int64, len(items))
+        return np.fromiter(map(self.__getitem__, items), np.int32, len(items))
 
 
 class Lines:
@@ -161,7 +161,7 @@ class Lines:
         self.counts = np.array(counts, np.int64)
         n = len(words)
         self.token = tokens.of(words)
-        self.text = np.repeat(np.arange(len(texts)), self.counts)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
         g, at = gaps.of(between), np.arange(n) + self.text
         self.left, self.right = g[at], g[at + 1]
         begin = np.array(gaps.flags, bool)[self.left]
@@ -174,7 +174,7 @@ class Lines:
             to = np.arange(n) + k
             ok = (to >= 0) & (to < n)
             ok[ok] = chain[to[ok]] == chain[ok]
-            self.near.append(np.where(ok, self.token[np.clip(to, 0, max(n - 1, 0))] if n else 0, -1))
+            self.near.append(np.where(ok, self.token[np.clip(to, 0, max(n - 1, 0))] if n else np.int32(0), np.int32(-1)))
         crowds = np.bincount(self.text, weights=np.array(tokens.flags, bool)[self.token], minlength=len(texts)) if n else np.zeros(len(texts))
         self.of_text = [own or _text_slots(x, int(c)) for x, own, c in zip(texts, of_text, crowds, strict=True)]
 
@@ -278,7 +278,7 @@ class Field:
             begin = np.cumsum(n) - n
             rows = np.repeat(first[chains] - begin, n) + np.arange(n.sum())
             used, places = np.unique(token[rows], return_inverse=True)
-            parts.append((own[used], places, np.ascontiguousarray(other[rows].T), begin, tags[rows]))
+            parts.append((own[used], places.astype(np.int32), np.ascontiguousarray(other[rows].T), begin, tags[rows]))
         w = np.concatenate([self.w, np.zeros((1, 3))])
         m, v, m_t, v_t, n = np.zeros_like(w), np.zeros_like(w), np.zeros((3, 3)), np.zeros((3, 3)), 0
         spread = lambda slots, d: np.stack([np.bincount(slots.ravel(), np.repeat(d[:, c], slots.shape[1]), DIM + 1) for c in range(3)], axis=1)
@@ -416,15 +416,15 @@ def fitted(texts: list[str]) -> Field:
     with_secret = [x for x in marked if x[1]]
     marked += [disguised(*x, k) for x in with_secret for k in range(-(-DISGUISED // len(with_secret)))]
     texts = [x for x, _ in marked]
-    tags = np.array([x for text, secret in marked for x in truth(text, secret)], np.int64)
+    tags = np.concatenate([np.zeros(0, np.int8), *(np.array(truth(*x), np.int8) for x in marked)])
     if not tags.any():
         field.w[:, 1:] = -1
         return field
     tokens, gaps = _Known(_token_slots), _Known(_gap_slots)
     lines = Lines(texts, tokens, gaps, [None] * len(texts))
     of_token, of_gap = tokens.take(), gaps.take()
-    near = [np.where(to >= 0, of_token[to, OWN + k], DIM)[:, None] for k, to in enumerate(lines.near)]
-    other = np.concatenate([*near, of_gap[lines.left, :2], of_gap[lines.right, 2:], np.array(lines.of_text)[lines.text]], axis=1)
+    near = [np.where(to >= 0, of_token[to, OWN + k], np.int16(DIM))[:, None] for k, to in enumerate(lines.near)]
+    other = np.concatenate([*near, of_gap[lines.left, :2], of_gap[lines.right, 2:], np.array(lines.of_text, np.int16)[lines.text]], axis=1)
     field.fit(lines.token, of_token[:, :OWN], other, lines.first, tags)
     return field
 
