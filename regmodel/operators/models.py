@@ -54,7 +54,7 @@ def _relation(step: DataFrame, kind: str) -> DataFrame:
 def element_storey(step: DataFrame, elements: DataFrame) -> DataFrame:
     """File, id, storey of each element: through containment, else through the parent of what contains it, else ""."""
     contained = _relation(step, "IFCRELCONTAINEDINSPATIALSTRUCTURE").select("file", F.col("related").alias("id"), F.col("relating").alias("place"))
-    parents = step.where(F.col("class") == "IFCRELAGGREGATES").select("file", F.element_at("refs", 2).alias("parent"), F.explode(F.slice("refs", 3, 1 << 20)).alias("place"))
+    parents = step.where(F.col("class") == "IFCRELAGGREGATES").select("file", F.element_at("refs", 2).alias("parent"), F.explode(F.slice("refs", 3, F.greatest(F.size("refs") - 2, F.lit(0)))).alias("place"))
     name = F.regexp_extract("args", r"^'[^']*'\s*,\s*[^,]*,\s*'([^']*)'", 1)
     storeys = step.where(F.col("class") == "IFCBUILDINGSTOREY").select("file", F.col("id").alias("sid"), F.when(name != "", name).otherwise(F.concat(F.lit("Storey_"), F.col("id").cast("string"))).alias("sname"))
     out = elements.select("file", "id").join(contained, ["file", "id"], "left").join(storeys.withColumnRenamed("sid", "place"), ["file", "place"], "left")

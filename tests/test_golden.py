@@ -193,3 +193,9 @@ def test_refresh_stream(spark, tmp_path):
     files = spark.readStream.schema("source_id string, v int").json(str(tmp_path / "in"))
     state.refresh_stream(files, put, str(tmp_path / "log")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_a_chapter_number_takes_no_clause(spark):
+    rows = [(1, 0, "1"), (1, 1, "1.1 PHẠM VI ÁP DỤNG"), (1, 2, "2"), (1, 3, "QUY ĐỊNH CHUNG")]
+    got = corpus.join_split_numbers(spark.createDataFrame(rows, "doc_id int, line_no int, line string")).orderBy("line_no").collect()
+    assert [r.line for r in got] == ["1", "1.1 PHẠM VI ÁP DỤNG", "2 QUY ĐỊNH CHUNG"]
