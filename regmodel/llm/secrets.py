@@ -47,8 +47,10 @@ _RIGHT = re.compile(r"[A-Za-z0-9+/_.=~-]*")
 _ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=~-")
 _TOKEN = re.compile(r"([A-Za-z0-9+/_.=~-]+|[^\x00-\x7F\s]+)")
 #: Characters that are decoded together, and slots of a token (of its own, and one for each neighbour's place), gap or text.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 4_000_000
 OWN = 11
+#: Rows whose texts are in Python at a time.
+ROWS = 1024
 #: Entities that are remembered.
 KNOWN = 200_000
 
@@ -480,8 +482,8 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         say = lambda found: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 found = spans_of_all(part.column(1).to_pylist(), field)
                 n = [pa.array([sum(s[1] == k for s in x) for x in found], pa.int64()) for k in range(4)]
                 sha = [hashlib.sha256(say([s for s in x if s[1] < 3]).encode()).hexdigest() for x in found]
@@ -504,8 +506,8 @@ def redact(docs: DataFrame, field: Field, mark: str = "<secret>", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                batch = whole.slice(first, 256)
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
                 at = batch.schema.get_field_index(text_col)
                 texts = batch.column(at).to_pylist()
                 spans = spans_of_all([x or "" for x in texts], field)
