@@ -5,6 +5,8 @@ Rules are data: each is a condition and the fields of its finding; all are evalu
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,57 +187,60 @@ def check_bridge(specs: DataFrame, key: str = "spec_id") -> DataFrame:
 BUILDING_DEFAULTS = {"wall_thickness": 200.0, "windows_per_storey": 4, "window_sill_height": 900.0, "beam_height": 500.0, "beam_width": 300.0, "has_foundation": True}
 
 
-def _axis(n: str, length: str, spacing: str) -> Column:
-    """Grid lines min(i * spacing, length) up to the far edge."""
-    count = F.ceil(F.col(length) / F.col(spacing)).cast("int")
-    return F.transform(F.sequence(F.lit(0), count), lambda i: F.least(i * F.col(spacing), F.col(length))).alias(n)
-
-
 def expand_building(specs: DataFrame) -> DataFrame:
     """The elements of a building: spec_id, ifc_type, storey (from 1), name, x, y, z and dimensions dx, dy, dz in mm.  Every
-    family is a sequence that is exploded; nothing is shuffled."""
+    family explodes its own index ranges and computes its coordinates after that, as plain arithmetic; nothing is shuffled.  The
+    families are a union, so the narrow specifications are read once for each.  A building without storeys, or whose footprint or
+    column spacing is null, has no elements."""
     full = specs.withColumns({k: F.lit(v) for k, v in BUILDING_DEFAULTS.items() if k not in specs.columns})
-    full = full.select("*", _axis("gx", "footprint_length", "column_spacing_x"), _axis("gy", "footprint_width", "column_spacing_y"))
+    full = full.where("num_storeys >= 1").dropna(subset=["footprint_length", "footprint_width", "column_spacing_x", "column_spacing_y"])
+    last = {a: F.ceil(F.col(length) / F.col(gap)).cast("int") for a, length, gap in (("x", "footprint_length", "column_spacing_x"), ("y", "footprint_width", "column_spacing_y"))}
     per = full.withColumn("s", F.explode(F.sequence(F.lit(1), "num_storeys"))).withColumn("elev", (F.col("s") - 1) * F.col("storey_height"))
     c, s = F.col, F.col("s").cast("string")
-    length, width, wall, slab = c("footprint_length"), c("footprint_width"), c("wall_thickness"), c("slab_thickness")
+    length, width, wall, slab, size = c("footprint_length"), c("footprint_width"), c("wall_thickness"), c("slab_thickness"), c("column_size")
     wall_z, wall_h = c("elev") + slab, c("storey_height") - slab
-
-    def item(kind: str, name: Column, x, y, z, dx, dy, dz) -> Column:
-        return F.struct(F.lit(kind).alias("ifc_type"), name.alias("name"), *[(v if isinstance(v, Column) else F.lit(v)).cast("double").alias(n) for n, v in (("x", x), ("y", y), ("z", z), ("dx", dx), ("dy", dy), ("dz", dz))])
-
-    def row(prefix: str, n: str, build) -> Column:
-        return F.when(c(n) > 0, F.transform(F.sequence(F.lit(1), F.greatest(c(n), F.lit(1))), build)).otherwise(F.array().cast(kind))
-
-    kind = "array<struct<ifc_type:string,name:string,x:double,y:double,z:double,dx:double,dy:double,dz:double>>"
+    line = {"x": lambda i: F.least(i * c("column_spacing_x"), length), "y": lambda i: F.least(i * c("column_spacing_y"), width)}
     title = lambda text, i=None: F.concat(F.lit(text), *([i.cast("string")] if i is not None else []), F.lit(" T"), s)
-    walls = [
-        item("IfcWall", title("Tường Bắc"), 0, 0, wall_z, length, wall, wall_h),
-        item("IfcWall", title("Tường Nam"), 0, width - wall, wall_z, length, wall, wall_h),
-        item("IfcWall", title("Tường Tây"), 0, wall, wall_z, wall, width - 2 * wall, wall_h),
-        item("IfcWall", title("Tường Đông"), length - wall, wall, wall_z, wall, width - 2 * wall, wall_h),
-    ]
-    grid = F.flatten(F.transform("gx", lambda x: F.transform("gy", lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    numbered = F.transform(grid, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), (i + 1).alias("n")))
-    inside = lambda p: (p["x"] >= wall + 1) & (p["x"] <= length - wall - 1) & (p["y"] >= wall + 1) & (p["y"] <= width - wall - 1)
-    columns = F.transform(F.filter(numbered, inside), lambda p: item("IfcColumn", title("Cột C", p["n"]), p["x"], p["y"], c("elev"), c("column_size"), c("column_size"), c("storey_height")))
-    beam_z = c("elev") + c("storey_height") - c("beam_height")
-
-    def beams(along: str, across: str) -> Column:
-        pairs = F.zip_with(F.slice(along, 1, F.size(along) - 1), F.slice(along, 2, F.size(along) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        long_ = F.filter(pairs, lambda p: p["b"] - p["a"] - c("column_size") > 500)
-        at = lambda p, v: (p["a"] + c("column_size") / 2, v) if along == "gx" else (v, p["a"] + c("column_size") / 2)
-        size = lambda p: p["b"] - p["a"] - c("column_size")
-        one = lambda p, v: item("IfcBeam", title("Dầm X" if along == "gx" else "Dầm Y"), *at(p, v), beam_z, *((size(p), c("beam_width")) if along == "gx" else (c("beam_width"), size(p))), c("beam_height"))
-        return F.flatten(F.transform(across, lambda v: F.transform(long_, lambda p: one(p, v))))
-
-    doors = row("D", "doors_per_storey", lambda i: item("IfcDoor", title("Cửa D", i), length / (c("doors_per_storey") + 1) * i - 450, 0, wall_z, 900, wall, 2100))
-    windows = row("W", "windows_per_storey", lambda i: item("IfcWindow", title("Cửa sổ W", i), length / (c("windows_per_storey") + 1) * i - 600, width - wall, wall_z + c("window_sill_height"), 1200, wall, 1500))
-    stairs = row("CT", "num_staircases", lambda i: item("IfcStair", title("Thang CT", i), F.when(i == 1, length - wall - 2600).otherwise(wall + 200), width / 2 - 1000, c("elev"), 2200, 1000, c("storey_height")))
-    ground = F.when((c("s") == 1) & c("has_foundation"), F.transform(numbered, lambda p: item("IfcFooting", F.concat(F.lit("Móng M"), p["n"].cast("string")), p["x"], p["y"], -1000, c("column_size") * 2, c("column_size") * 2, 500))).otherwise(F.array().cast(kind))
-    top = F.when(c("s") == c("num_storeys"), F.array(item("IfcSlab", F.lit("Mái"), -300, -300, c("num_storeys") * c("storey_height"), length + 600, width + 600, 250))).otherwise(F.array().cast(kind))
-    parts = [F.array(item("IfcSlab", title("Sàn"), 0, 0, c("elev"), length, width, slab), *walls), columns, beams("gx", "gy"), beams("gy", "gx"), doors, windows, stairs, ground, top]
-    return per.select("spec_id", c("s").alias("storey"), F.explode(F.concat(*[p.cast(kind) for p in parts])).alias("e")).select("spec_id", "storey", "e.*")
+
+    def span(rows: DataFrame, name: str, first: int, upto: Column) -> DataFrame:
+        return rows.where(upto >= first).withColumn(name, F.explode(F.sequence(F.lit(first), upto)))
+
+    def items(rows: DataFrame, kind: str, name: Column, x, y, z, dx, dy, dz) -> DataFrame:
+        sizes = [(v if isinstance(v, Column) else F.lit(v)).cast("double").alias(n) for n, v in zip(("x", "y", "z", "dx", "dy", "dz"), (x, y, z, dx, dy, dz), strict=True)]
+        return rows.select("spec_id", F.lit(kind).alias("ifc_type"), c("s").alias("storey"), name.alias("name"), *sizes)
+
+    def grid(rows: DataFrame) -> DataFrame:
+        points = span(span(rows, "i", 0, last["x"]), "j", 0, last["y"])
+        return points.select("*", line["x"](c("i")).alias("gx"), line["y"](c("j")).alias("gy"), (c("i") * (last["y"] + 1) + c("j") + 1).alias("n"))
+
+    def beams(along: str, across: str) -> DataFrame:
+        bays = span(per, "i", 1, last[along]).withColumn("a", line[along](c("i") - 1)).withColumn("free", line[along](c("i")) - c("a") - size).where("free > 500")
+        rows = span(bays, "j", 0, last[across])
+        z, begin, row = c("elev") + c("storey_height") - c("beam_height"), c("a") + size / 2, line[across](c("j"))
+        at, dims = ((begin, row), (c("free"), c("beam_width"))) if along == "x" else ((row, begin), (c("beam_width"), c("free")))
+        return items(rows, "IfcBeam", title(f"Dầm {along.upper()}"), *at, z, *dims, c("beam_height"))
+
+    def even(n: str, cut: int) -> Column:
+        return length / (c(n) + 1) * c("i") - cut
+
+    inside = (c("gx") >= wall + 1) & (c("gx") <= length - wall - 1) & (c("gy") >= wall + 1) & (c("gy") <= width - wall - 1)
+    doors, windows, stairs = (span(per, "i", 1, c(n)) for n in ("doors_per_storey", "windows_per_storey", "num_staircases"))
+    families = [
+        items(per, "IfcSlab", title("Sàn"), 0, 0, c("elev"), length, width, slab),
+        items(per, "IfcWall", title("Tường Bắc"), 0, 0, wall_z, length, wall, wall_h),
+        items(per, "IfcWall", title("Tường Nam"), 0, width - wall, wall_z, length, wall, wall_h),
+        items(per, "IfcWall", title("Tường Tây"), 0, wall, wall_z, wall, width - 2 * wall, wall_h),
+        items(per, "IfcWall", title("Tường Đông"), length - wall, wall, wall_z, wall, width - 2 * wall, wall_h),
+        items(grid(per).where(inside), "IfcColumn", title("Cột C", c("n")), c("gx"), c("gy"), c("elev"), size, size, c("storey_height")),
+        beams("x", "y"),
+        beams("y", "x"),
+        items(doors, "IfcDoor", title("Cửa D", c("i")), even("doors_per_storey", 450), 0, wall_z, 900, wall, 2100),
+        items(windows, "IfcWindow", title("Cửa sổ W", c("i")), even("windows_per_storey", 600), width - wall, wall_z + c("window_sill_height"), 1200, wall, 1500),
+        items(stairs, "IfcStair", title("Thang CT", c("i")), F.when(c("i") == 1, length - wall - 2600).otherwise(wall + 200), width / 2 - 1000, c("elev"), 2200, 1000, c("storey_height")),
+        items(grid(full.where("has_foundation").withColumn("s", F.lit(1))), "IfcFooting", F.concat(F.lit("Móng M"), c("n").cast("string")), c("gx"), c("gy"), -1000, size * 2, size * 2, 500),
+        items(full.withColumn("s", c("num_storeys")), "IfcSlab", F.lit("Mái"), -300, -300, c("num_storeys") * c("storey_height"), length + 600, width + 600, 250),
+    ]
+    return functools.reduce(DataFrame.unionAll, families)
 
 
 def expand_bridge(specs: DataFrame, post_spacing: float = 2000.0) -> DataFrame:
