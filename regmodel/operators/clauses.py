@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,34 +121,48 @@ def order_key(number: str) -> tuple:
 
 def _longest_rise(numbers: list[str]) -> list[int]:
     """Places of a longest strictly rising subsequence; ``ends[k]`` is where the best run of k + 1 ends."""
-    keys = [order_key(x) for x in numbers]
+    tops: list[tuple] = []
     ends: list[int] = []
     before: list[int | None] = []
-    for i, key in enumerate(keys):
-        lo, hi = 0, len(ends)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if keys[ends[mid]] < key else (lo, mid)
-        before.append(ends[lo - 1] if lo else None)
-        ends[lo : lo + 1] = [i]
+    for i, key in enumerate(map(order_key, numbers)):
+        k = bisect.bisect_left(tops, key)
+        before.append(ends[k - 1] if k else None)
+        tops[k : k + 1], ends[k : k + 1] = [key], [i]
     out: list[int] = []
     at = ends[-1] if ends else None
     while at is not None:
-        out.insert(0, at)
+        out.append(at)
         at = before[at]
-    return out
+    return out[::-1]
 
 
 def clause_skeleton(candidates: DataFrame) -> DataFrame:
-    """By document, the longest rising run of clause numbers in reading order.  One document's candidates go to one
-    call: they are bounded by its lines."""
-
-    def rise(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("line_no")
-        return part.iloc[_longest_rise(part["number"].tolist())]
+    """By document, the longest rising run of clause numbers in reading order.  Documents are streamed, sorted within
+    partitions; what is held is one document's candidates, which its lines bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held, schema = None, [], None
+
+        def risen() -> list[tuple]:
+            return [held[i] for i in _longest_rise([row[2] for row in held])]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            schema, out = batch.schema, []
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if row[0] != doc:
+                    out += risen()
+                    doc, held = row[0], []
+                held.append(row)
+            if out:
+                yield batch_of(out)
+        if held:
+            yield batch_of(risen())
 
     columns = candidates.select("doc_id", "line_no", "number", "rest")
-    return columns.groupBy("doc_id").applyInPandas(rise, columns.schema)
+    return columns.repartition("doc_id").sortWithinPartitions("doc_id", "line_no", "number").mapInArrow(run, columns.schema)
 
 
 def assign_lines(lines: DataFrame, skeleton: DataFrame) -> DataFrame:
