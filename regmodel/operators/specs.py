@@ -184,17 +184,18 @@ def check_bridge(specs: DataFrame, key: str = "spec_id") -> DataFrame:
 
 
 #: What a building has where its specification says nothing.
-BUILDING_DEFAULTS = {"wall_thickness": 200.0, "windows_per_storey": 4, "window_sill_height": 900.0, "beam_height": 500.0, "beam_width": 300.0, "has_foundation": True}
+BUILDING_DEFAULTS = {"wall_thickness": 200.0, "windows_per_storey": 3, "window_sill_height": 900.0, "beam_height": 400.0, "beam_width": 200.0, "has_foundation": True, "footing_depth": 500.0}
 
 
 def expand_building(specs: DataFrame) -> DataFrame:
     """The elements of a building: spec_id, ifc_type, storey (from 1), name, x, y, z and dimensions dx, dy, dz in mm.  Every
     family explodes its own index ranges and computes its coordinates after that, as plain arithmetic; nothing is shuffled.  The
-    families are a union, so the narrow specifications are read once for each.  A building without storeys, or whose footprint or
-    column spacing is null, has no elements."""
+    families are a union, so the narrow specifications are read once for each.  Grid lines stand at every whole spacing within the
+    footprint, two at least; beams run from line to line.  A building without storeys, or whose footprint or column spacing is null,
+    has no elements."""
     full = specs.withColumns({k: F.lit(v) for k, v in BUILDING_DEFAULTS.items() if k not in specs.columns})
     full = full.where("num_storeys >= 1").dropna(subset=["footprint_length", "footprint_width", "column_spacing_x", "column_spacing_y"])
-    last = {a: F.ceil(F.col(length) / F.col(gap)).cast("int") for a, length, gap in (("x", "footprint_length", "column_spacing_x"), ("y", "footprint_width", "column_spacing_y"))}
+    bays = {a: F.greatest(F.floor(F.col(length) / F.col(gap)).cast("int"), F.lit(1)) for a, length, gap in (("x", "footprint_length", "column_spacing_x"), ("y", "footprint_width", "column_spacing_y"))}
     per = full.withColumn("s", F.explode(F.sequence(F.lit(1), "num_storeys"))).withColumn("elev", (F.col("s") - 1) * F.col("storey_height"))
     c, s = F.col, F.col("s").cast("string")
     length, width, wall, slab, size = c("footprint_length"), c("footprint_width"), c("wall_thickness"), c("slab_thickness"), c("column_size")
@@ -210,15 +211,17 @@ def expand_building(specs: DataFrame) -> DataFrame:
         return rows.select("spec_id", F.lit(kind).alias("ifc_type"), c("s").alias("storey"), name.alias("name"), *sizes)
 
     def grid(rows: DataFrame) -> DataFrame:
-        points = span(span(rows, "i", 0, last["x"]), "j", 0, last["y"])
-        return points.select("*", line["x"](c("i")).alias("gx"), line["y"](c("j")).alias("gy"), (c("i") * (last["y"] + 1) + c("j") + 1).alias("n"))
+        points = span(span(rows, "i", 0, bays["x"]), "j", 0, bays["y"])
+        return points.select("*", line["x"](c("i")).alias("gx"), line["y"](c("j")).alias("gy"), (c("i") * (bays["y"] + 1) + c("j") + 1).alias("n"))
 
     def beams(along: str, across: str) -> DataFrame:
-        bays = span(per, "i", 1, last[along]).withColumn("a", line[along](c("i") - 1)).withColumn("free", line[along](c("i")) - c("a") - size).where("free > 500")
-        rows = span(bays, "j", 0, last[across])
-        z, begin, row = c("elev") + c("storey_height") - c("beam_height"), c("a") + size / 2, line[across](c("j"))
+        # All bays of a direction are equally long, so either all of them get a beam or none.  Numbers go on from X to Y.
+        begin, row = line[along](c("i") - 1), line[across](c("j"))
+        rows = span(span(per, "i", 1, bays[along]).withColumn("free", line[along](c("i")) - begin).where("free > 500"), "j", 0, bays[across])
+        earlier = F.lit(0) if along == "x" else F.when(line["x"](F.lit(1)) > 500, bays["x"] * (bays["y"] + 1)).otherwise(0)
+        name = title(f"Dầm B{along.upper()}", earlier + c("j") * bays[along] + c("i"))
         at, dims = ((begin, row), (c("free"), c("beam_width"))) if along == "x" else ((row, begin), (c("beam_width"), c("free")))
-        return items(rows, "IfcBeam", title(f"Dầm {along.upper()}"), *at, z, *dims, c("beam_height"))
+        return items(rows, "IfcBeam", name, *at, c("elev") + c("storey_height") - c("beam_height"), *dims, c("beam_height"))
 
     def even(n: str, cut: int) -> Column:
         return length / (c(n) + 1) * c("i") - cut
@@ -237,7 +240,7 @@ def expand_building(specs: DataFrame) -> DataFrame:
         items(doors, "IfcDoor", title("Cửa D", c("i")), even("doors_per_storey", 450), 0, wall_z, 900, wall, 2100),
         items(windows, "IfcWindow", title("Cửa sổ W", c("i")), even("windows_per_storey", 600), width - wall, wall_z + c("window_sill_height"), 1200, wall, 1500),
         items(stairs, "IfcStair", title("Thang CT", c("i")), F.when(c("i") == 1, length - wall - 2600).otherwise(wall + 200), width / 2 - 1000, c("elev"), 2200, 1000, c("storey_height")),
-        items(grid(full.where("has_foundation").withColumn("s", F.lit(1))), "IfcFooting", F.concat(F.lit("Móng M"), c("n").cast("string")), c("gx"), c("gy"), -1000, size * 2, size * 2, 500),
+        items(grid(full.where("has_foundation").withColumn("s", F.lit(1))), "IfcFooting", F.concat(F.lit("Móng M"), c("n").cast("string")), c("gx"), c("gy"), -c("footing_depth"), size * 2.5, size * 2.5, c("footing_depth")),
         items(full.withColumn("s", c("num_storeys")), "IfcSlab", F.lit("Mái"), -300, -300, c("num_storeys") * c("storey_height"), length + 600, width + 600, 250),
     ]
     return functools.reduce(DataFrame.unionAll, families)

@@ -288,16 +288,26 @@ def i4(spark, d):
     return specs.check_bridge(fixture(spark, d, "fx_bridges")).select("spec_id", "code")
 
 
-@query("i5_expand_building", """WITH g AS (SELECT *, CAST(ceil(footprint_length / column_spacing_x) AS INT) AS nx, CAST(ceil(footprint_width / column_spacing_y) AS INT) AS ny FROM fx_buildings),
-gx AS (SELECT spec_id, least(i * column_spacing_x, footprint_length) AS x FROM g, range(0, 100) r(i) WHERE i <= nx), gy AS (SELECT spec_id, least(i * column_spacing_y, footprint_width) AS y FROM g, range(0, 100) r(i) WHERE i <= ny),
-bx AS (SELECT spec_id, count(*) AS k FROM (SELECT spec_id, lead(x) OVER (PARTITION BY spec_id ORDER BY x) - x AS s FROM gx) t JOIN g USING (spec_id) WHERE s - column_size > 500 GROUP BY spec_id),
-by_ AS (SELECT spec_id, count(*) AS k FROM (SELECT spec_id, lead(y) OVER (PARTITION BY spec_id ORDER BY y) - y AS s FROM gy) t JOIN g USING (spec_id) WHERE s - column_size > 500 GROUP BY spec_id),
-ix AS (SELECT spec_id, count(*) AS k FROM gx JOIN g USING (spec_id) WHERE x >= 201 AND x <= footprint_length - 201 GROUP BY spec_id), iy AS (SELECT spec_id, count(*) AS k FROM gy JOIN g USING (spec_id) WHERE y >= 201 AND y <= footprint_width - 201 GROUP BY spec_id),
-n AS (SELECT g.spec_id, num_storeys AS s, num_storeys + 1 AS slabs, 4 * num_storeys AS walls, num_storeys * coalesce(ix.k, 0) * coalesce(iy.k, 0) AS cols, num_storeys * (coalesce(bx.k, 0) * (ny + 1) + coalesce(by_.k, 0) * (nx + 1)) AS beams, num_storeys * doors_per_storey AS doors, num_storeys * 4 AS windows, num_storeys * num_staircases AS stairs, (nx + 1) * (ny + 1) AS footings
- FROM g LEFT JOIN bx USING (spec_id) LEFT JOIN by_ USING (spec_id) LEFT JOIN ix USING (spec_id) LEFT JOIN iy USING (spec_id))
-SELECT spec_id, ifc_type, CAST(n AS BIGINT) AS n FROM (SELECT spec_id, 'IfcSlab' AS ifc_type, slabs AS n FROM n UNION ALL SELECT spec_id, 'IfcWall', walls FROM n UNION ALL SELECT spec_id, 'IfcColumn', cols FROM n UNION ALL SELECT spec_id, 'IfcBeam', beams FROM n UNION ALL SELECT spec_id, 'IfcDoor', doors FROM n UNION ALL SELECT spec_id, 'IfcWindow', windows FROM n UNION ALL SELECT spec_id, 'IfcStair', stairs FROM n UNION ALL SELECT spec_id, 'IfcFooting', footings FROM n) t WHERE n > 0""")
+@query("i5_expand_building", """WITH b AS (SELECT *, greatest(2, CAST(floor(footprint_length / column_spacing_x) AS INT) + 1) AS nx, greatest(2, CAST(floor(footprint_width / column_spacing_y) AS INT) + 1) AS ny FROM fx_buildings),
+st AS (SELECT b.*, s, (s - 1) * storey_height AS e, (s - 1) * storey_height + slab_thickness AS wz, storey_height - slab_thickness AS wh FROM b, range(1, 26) r(s) WHERE s <= num_storeys),
+gx AS (SELECT spec_id, i, least(i * column_spacing_x, footprint_length) AS x, least((i + 1) * column_spacing_x, footprint_length) AS x2 FROM b, range(0, 100) r(i) WHERE i < nx),
+gy AS (SELECT spec_id, j, least(j * column_spacing_y, footprint_width) AS y, least((j + 1) * column_spacing_y, footprint_width) AS y2 FROM b, range(0, 100) r(j) WHERE j < ny),
+g AS (SELECT * FROM gx JOIN gy USING (spec_id)),
+e AS (SELECT spec_id, 'IfcSlab' AS ifc_type, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, e AS z, footprint_length AS dx, footprint_width AS dy, slab_thickness AS dz FROM st
+ UNION ALL SELECT spec_id, 'IfcSlab', -300, -300, num_storeys * storey_height, footprint_length + 600, footprint_width + 600, 250 FROM b
+ UNION ALL SELECT spec_id, 'IfcWall', 0, 0, wz, footprint_length, 200, wh FROM st UNION ALL SELECT spec_id, 'IfcWall', 0, footprint_width - 200, wz, footprint_length, 200, wh FROM st
+ UNION ALL SELECT spec_id, 'IfcWall', 0, 200, wz, 200, footprint_width - 400, wh FROM st UNION ALL SELECT spec_id, 'IfcWall', footprint_length - 200, 200, wz, 200, footprint_width - 400, wh FROM st
+ UNION ALL SELECT spec_id, 'IfcColumn', x, y, e, column_size, column_size, storey_height FROM st JOIN g USING (spec_id) WHERE NOT (x < 201 OR x > footprint_length - 201 OR y < 201 OR y > footprint_width - 201)
+ UNION ALL SELECT spec_id, 'IfcBeam', x, y, e + storey_height - 400, x2 - x, 200, 400 FROM st JOIN g USING (spec_id) WHERE i < nx - 1 AND x2 - x > 500
+ UNION ALL SELECT spec_id, 'IfcBeam', x, y, e + storey_height - 400, 200, y2 - y, 400 FROM st JOIN g USING (spec_id) WHERE j < ny - 1 AND y2 - y > 500
+ UNION ALL SELECT spec_id, 'IfcDoor', footprint_length / (doors_per_storey + 1) * i - 450, 0, wz, 900, 200, 2100 FROM st, range(1, 4) r(i) WHERE i <= doors_per_storey
+ UNION ALL SELECT spec_id, 'IfcWindow', footprint_length / 4 * i - 600, footprint_width - 200, wz + 900, 1200, 200, 1500 FROM st, range(1, 4) r(i)
+ UNION ALL SELECT spec_id, 'IfcStair', CASE WHEN i = 1 THEN footprint_length - 2800 ELSE 400 END, footprint_width / 2 - 1000, e, 2200, 1000, storey_height FROM st, range(1, 4) r(i) WHERE i <= num_staircases
+ UNION ALL SELECT spec_id, 'IfcFooting', x, y, -500, column_size * 2.5, column_size * 2.5, 500 FROM g JOIN b USING (spec_id))
+SELECT spec_id, ifc_type, count(*) AS n, CAST(round(sum(x)) AS BIGINT) AS x, CAST(round(sum(y)) AS BIGINT) AS y, CAST(round(sum(z)) AS BIGINT) AS z, CAST(round(sum(dx)) AS BIGINT) AS dx, CAST(round(sum(dy)) AS BIGINT) AS dy, CAST(round(sum(dz)) AS BIGINT) AS dz FROM e GROUP BY ALL""")
 def i5(spark, d):
-    return specs.expand_building(fixture(spark, d, "fx_buildings")).groupBy("spec_id", "ifc_type").agg(F.count("*").alias("n"))
+    sums = [F.round(F.sum(c)).cast("long").alias(c) for c in ("x", "y", "z", "dx", "dy", "dz")]
+    return specs.expand_building(fixture(spark, d, "fx_buildings")).groupBy("spec_id", "ifc_type").agg(F.count("*").alias("n"), *sums)
 
 
 @query("i6_expand_bridge", """SELECT spec_id, part, CAST(n AS BIGINT) AS n FROM (SELECT spec_id, 'abutment' AS part, 2 AS n FROM fx_bridges UNION ALL SELECT spec_id, 'pier', num_spans - 1 FROM fx_bridges UNION ALL SELECT spec_id, 'girder', num_spans * num_girders FROM fx_bridges
