@@ -38,9 +38,9 @@ def empty(c: Column) -> Column:
 
 
 def select_regulations(df: DataFrame, title: str = "title", doc_type: str = "doc_type") -> DataFrame:
-    """B1: rows whose title names a regulation, with what matched; translations go."""
-    found = F.regexp_extract(title, f"({REGULATION})", 1)
-    return df.withColumn("matched_by", found).where((F.col("matched_by") != "") & ~F.lower(F.coalesce(doc_type, F.lit(""))).contains("bản dịch"))
+    """B1: rows whose title names a regulation, with what matched; translations go.  Both columns are compared composed (NFC)."""
+    found = F.regexp_extract(nfc(title), f"({REGULATION})", 1)
+    return df.withColumn("matched_by", found).where((F.col("matched_by") != "") & ~F.lower(nfc(F.coalesce(doc_type, F.lit("")))).contains("bản dịch"))
 
 
 def _tidy(code: Column) -> Column:

@@ -41,6 +41,19 @@ def build_edges(chapters: DataFrame, sections: DataFrame, articles: DataFrame, r
     )
 
 
+def build_nodes(standards: DataFrame, chapters: DataFrame, sections: DataFrame, articles: DataFrame, reqs: DataFrame, order: str | None = None) -> dict[str, DataFrame]:
+    """a node table for each label, one row a key.  Rows written later replace the properties of earlier ones: the largest
+    ``order`` wins where a table has that column, else the largest row."""
+    tables = {"Standard": (standards, "standard_code"), "Chapter": (chapters, "chapter_id"), "Section": (sections, "section_id"), "Article": (articles, "article_id"), "Requirement": (reqs, "req_id")}
+
+    def nodes(df: DataFrame, key: str) -> DataFrame:
+        if order in df.columns:
+            return last_wins(df, [key], order).drop(order)
+        return df.groupBy(key).agg(F.max(F.struct(*df.columns)).alias("n_")).select("n_.*")
+
+    return {label: nodes(*table) for label, table in tables.items()}
+
+
 def domain_nodes(classifies: DataFrame, materials: DataFrame) -> tuple[DataFrame, DataFrame]:
     """material nodes (the last unit weight wins) and the edges CLASSIFIES and FOR_MATERIAL."""
     nodes = last_wins(materials, ["material"], "req_id").select("material", "unit_weight", "unit")
@@ -70,6 +83,17 @@ def prune_standards(standards: DataFrame, chapters: DataFrame, keep: DataFrame,
     return standards.join(owned, key, "left_anti")
 
 
+def prune_content(standards: DataFrame, chapters: DataFrame, sections: DataFrame, articles: DataFrame, reqs: DataFrame, keep: DataFrame, key: str = "standard_code") -> tuple[DataFrame, ...]:
+    """``prune_standards`` and what the standards hold: chapters, sections, articles and requirements go with them.  Each level is
+    one equi-join with the keys that the level above lost."""
+    left = [prune_standards(standards, chapters, keep, key)]
+    gone = chapters.select(key).distinct().join(keep.select(key), key, "left_anti")
+    for level, parent, own in ((chapters, key, "chapter_id"), (sections, "chapter_id", "section_id"), (articles, "section_id", "article_id"), (reqs, "article_id", "req_id")):
+        left.append(level.join(gone, parent, "left_anti").select(*level.columns))
+        gone = level.join(gone, parent, "left_semi").select(own).distinct()
+    return tuple(left)
+
+
 def graph_stats(edges: DataFrame) -> DataFrame:
     """count by relationship and by label of the ends, the largest first."""
     rel = edges.groupBy(F.col("rel").alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("relationship"))

@@ -105,9 +105,10 @@ def label_of(ifc_type: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for p in LABELS.items() for x in p])[ifc_type], F.lit("BIMElement"))
 
 
-def build_bim_graph(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (label, key) and edges (src, rel, dst): building, storey, material and typed elements, each once; an edge needs
-    both its ends, so elements without storey or material have none."""
+def build_bim_graph(elements: DataFrame, spaces: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (label, key) and edges (src, rel, dst): building, storey, material, typed elements and spaces (model, global_id,
+    storey), each once; an edge needs both its ends, so elements without storey or material have none, nor have spaces on a storey
+    that no element names."""
     storey = F.concat("model", F.lit("::"), F.col("storey"))
     nodes = [
         elements.select(F.lit("Building").alias("label"), F.col("model").alias("key")),
@@ -120,6 +121,10 @@ def build_bim_graph(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
         elements.where("storey <> ''").select(storey, F.lit("CONTAINS"), F.col("global_id")),
         elements.where("material <> ''").select(F.col("global_id"), F.lit("MADE_OF"), F.col("material")),
     ]
+    if spaces is not None:
+        nodes.append(spaces.select(F.lit("Space"), F.col("global_id")))
+        storeys = elements.where("storey <> ''").select("model", "storey").distinct()
+        edges.append(spaces.join(storeys, ["model", "storey"], "left_semi").select(storey, F.lit("CONTAINS"), F.col("global_id")))
     return reduce(DataFrame.union, nodes).distinct(), reduce(DataFrame.union, edges).distinct()
 
 

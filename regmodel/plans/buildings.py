@@ -69,10 +69,23 @@ def g6(spark, d):
     return models.space_areas(_step(spark, d)[0])
 
 
+def _with_spaces(spark, d):
+    """The elements, and a space above each slab, some of them on storeys without a name."""
+    e = fixture(spark, d, "fx_elements")
+    return e, e.where("ifc_type = 'IfcSlab'").select("model", F.concat(F.lit("P"), F.col("global_id")).alias("global_id"), "storey")
+
+
 @query("g7_build_bim_graph", """SELECT DISTINCT model AS src, 'HAS_STOREY' AS rel, concat(model, '::', storey) AS dst FROM fx_elements WHERE storey <> ''
-UNION ALL SELECT concat(model, '::', storey), 'CONTAINS', global_id FROM fx_elements WHERE storey <> '' UNION ALL SELECT global_id, 'MADE_OF', material FROM fx_elements WHERE material <> ''""")
+UNION ALL SELECT concat(model, '::', storey), 'CONTAINS', global_id FROM fx_elements WHERE storey <> '' UNION ALL SELECT global_id, 'MADE_OF', material FROM fx_elements WHERE material <> ''
+UNION ALL SELECT concat(model, '::', storey), 'CONTAINS', concat('P', global_id) FROM fx_elements WHERE ifc_type = 'IfcSlab' AND (model, storey) IN (SELECT (model, storey) FROM fx_elements WHERE storey <> '')""")
 def g7(spark, d):
-    return models.build_bim_graph(fixture(spark, d, "fx_elements"))[1]
+    return models.build_bim_graph(*_with_spaces(spark, d))[1]
+
+
+@query("g7_graph_nodes", """SELECT DISTINCT 'Building' AS label, model AS key FROM fx_elements UNION ALL SELECT DISTINCT 'Storey', concat(model, '::', storey) FROM fx_elements WHERE storey <> ''
+UNION ALL SELECT DISTINCT 'Material', material FROM fx_elements WHERE material <> '' UNION ALL SELECT substr(ifc_type, 4), global_id FROM fx_elements UNION ALL SELECT 'Space', concat('P', global_id) FROM fx_elements WHERE ifc_type = 'IfcSlab'""")
+def g7b(spark, d):
+    return models.build_bim_graph(*_with_spaces(spark, d))[0]
 
 
 @query("g8_building_summary", """WITH c AS (SELECT model, substr(ifc_type, 4) AS label, count(*) AS n FROM fx_elements GROUP BY ALL)

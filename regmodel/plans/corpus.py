@@ -135,7 +135,7 @@ def b14(spark, d):
     return corpus.resolve_code(rows).select("id", "code")
 
 
-@query("b15_standard_name")
+@query("b15_standard_name", "SELECT std_id, CASE WHEN std_id % 3 = 0 THEN 'Quy chuẩn kỹ thuật quốc gia về nhà ở và công trình công cộng' ELSE standard_name END AS name FROM fx_standards")
 def b15(spark, d):
     s = fixture(spark, d, "fx_standards")
     text = F.concat(F.lit("BỘ XÂY DỰNG\n"), F.when(F.col("std_id") % 3 == 0, F.lit("QUY CHUẨN KỸ THUẬT QUỐC GIA VỀ NHÀ Ở\nVÀ CÔNG TRÌNH CÔNG CỘNG\n")).otherwise(""), F.col("standard_name"))
@@ -385,7 +385,10 @@ def d6(spark, d):
     return chunks.chunk_bim(e, spaces)
 
 
-@query("d7_model_summary")
+@query("d7_model_summary", """WITH s AS (SELECT model, storey, min(z0) AS z FROM fx_elements WHERE storey <> '' GROUP BY ALL), a AS (SELECT model, count(*) AS n, string_agg(concat('- ', storey, ' (', printf('%.1f', z), ' m)'), chr(10) ORDER BY z, storey) AS t FROM s GROUP BY model),
+c AS (SELECT model, string_agg(concat('- ', ifc_type, ': ', CAST(n AS STRING)), chr(10) ORDER BY ifc_type) AS t FROM (SELECT model, ifc_type, count(*) AS n FROM fx_elements GROUP BY ALL) q GROUP BY model),
+m AS (SELECT model, string_agg(DISTINCT material, ', ' ORDER BY material) AS t FROM fx_elements WHERE material <> '' GROUP BY model)
+SELECT model, concat('Tầng: ', CAST(a.n AS STRING), chr(10), a.t, chr(10), 'Cấu kiện:', chr(10), c.t, chr(10), 'Vật liệu: ', coalesce(m.t, '')) AS text FROM a JOIN c USING (model) LEFT JOIN m USING (model)""")
 def d7(spark, d):
     e = fixture(spark, d, "fx_elements")
     storeys = e.where("storey <> ''").groupBy("model", F.col("storey").alias("name")).agg(F.min("z0").alias("elevation"))

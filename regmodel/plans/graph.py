@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clauses, kgraph, vectors
@@ -19,7 +22,11 @@ def e1(spark, d):
     return rows.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm2"))
 
 
-@query("e2_point_id")
+_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(CASE WHEN std_id % 5 > 0 THEN concat('qcvn|', CAST(std_id AS STRING), '|', CAST(ordinal AS STRING)) ELSE content END))"
+
+
+@query("e2_point_id", f"""SELECT source_id, source_index, text, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', CASE WHEN h[17] IN ('0', '4', '8', 'c') THEN '8' WHEN h[17] IN ('1', '5', '9', 'd') THEN '9' WHEN h[17] IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END, h[18:20], '-', h[21:32]) AS id
+FROM (SELECT CASE WHEN std_id % 5 > 0 THEN CAST(std_id AS STRING) END AS source_id, ordinal AS source_index, content AS text, {_SHA} AS h FROM fx_articles) t""")
 def e2(spark, d):
     a = fixture(spark, d, "fx_articles").select(F.when(F.col("std_id") % 5 > 0, F.col("std_id").cast("string")).alias("source_id"), F.col("ordinal").alias("source_index"), F.col("content").alias("text"))
     return vectors.point_id(a, "qcvn")
@@ -72,6 +79,17 @@ def f1(spark, d):
     return kgraph.build_edges(*_flat(spark, d))
 
 
+@query("f1_node_tables", f"""SELECT 'Standard' AS label, standard_code AS key, standard_name AS value FROM fx_standards
+UNION ALL SELECT DISTINCT 'Chapter', concat(standard_code, '_ch', chapter_number), chapter_number FROM fx_articles JOIN fx_standards USING (std_id)
+UNION ALL SELECT 'Section', concat(standard_code, '_sec', section_number), max(concat(standard_code, '_ch', chapter_number)) FROM fx_articles JOIN fx_standards USING (std_id) GROUP BY standard_code, section_number
+UNION ALL SELECT 'Article', concat(standard_code, '_art', article_number), max(content) FROM fx_articles JOIN fx_standards USING (std_id) GROUP BY standard_code, article_number
+UNION ALL SELECT 'Requirement', dst, src FROM ({_EDGES}) e WHERE rel = 'SPECIFIES'""")
+def f1b(spark, d):
+    nodes = kgraph.build_nodes(fixture(spark, d, "fx_standards"), *_flat(spark, d))
+    shown = {"Standard": ("standard_code", "standard_name"), "Chapter": ("chapter_id", "chapter_number"), "Section": ("section_id", "chapter_id"), "Article": ("article_id", "content"), "Requirement": ("req_id", "article_id")}
+    return functools.reduce(DataFrame.unionAll, [nodes[label].select(F.lit(label).alias("label"), F.col(key).alias("key"), F.col(value).alias("value")) for label, (key, value) in shown.items()])
+
+
 @query("f2_domain_nodes", "SELECT material, arg_max(unit_weight, req_id) AS unit_weight, 'kg/m³' AS unit FROM fx_materials GROUP BY material")
 def f2(spark, d):
     c = fixture(spark, d, "fx_classifies").withColumn("req_id", F.concat_ws("_", "std_id", "req_no"))
@@ -102,6 +120,17 @@ def f5(spark, d):
     return kgraph.prune_standards(s, fixture(spark, d, "fx_articles"), s.where("family % 2 = 0"), "std_id").select("std_id")
 
 
+@query("f5_prune_content", f"""WITH e AS ({_EDGES}), gone AS (SELECT DISTINCT standard_code FROM fx_standards JOIN fx_articles USING (std_id) WHERE family % 2 <> 0),
+lost AS (SELECT DISTINCT e.dst_label AS label, e.dst AS key FROM e JOIN gone ON split_part(e.dst, '_', 1) = gone.standard_code)
+SELECT 'Standard' AS label, standard_code AS key FROM fx_standards WHERE standard_code NOT IN (SELECT standard_code FROM gone)
+UNION ALL SELECT label, key FROM (SELECT DISTINCT dst_label AS label, dst AS key FROM e EXCEPT SELECT label, key FROM lost) t""")
+def f5b(spark, d):
+    s = fixture(spark, d, "fx_standards")
+    left = kgraph.prune_content(s, *_flat(spark, d), s.where("family % 2 = 0"))
+    keys = (("Standard", "standard_code"), ("Chapter", "chapter_id"), ("Section", "section_id"), ("Article", "article_id"), ("Requirement", "req_id"))
+    return functools.reduce(DataFrame.unionAll, [df.select(F.lit(label).alias("label"), F.col(key).alias("key")).distinct() for df, (label, key) in zip(left, keys, strict=True)])
+
+
 @query("f6_graph_stats", f"""WITH e AS ({_EDGES}) SELECT rel AS name, count(*) AS n, 'relationship' AS kind FROM e GROUP BY rel
 UNION ALL SELECT l, count(*), 'label' FROM (SELECT src_label AS l, src AS k FROM e UNION SELECT dst_label, dst FROM e) t GROUP BY l""")
 def f6(spark, d):
