@@ -142,7 +142,7 @@ def check_building(specs: DataFrame, key: str = "spec_id") -> DataFrame:
 
 
 #: What a bridge has where its specification says nothing.
-BRIDGE_DEFAULTS = {"has_sidewalk": True, "sidewalk_width": 1500.0, "girder_web_thickness": 200.0, "barrier_height": 1100.0, "barrier_post_spacing": 2000.0, "pile_diameter": 1000.0, "pile_depth": 15000.0, "num_piles_per_pier": 4, "deck_thickness": 250.0, "bridge_type": "beam"}
+BRIDGE_DEFAULTS = {"has_sidewalk": True, "sidewalk_width": 1500.0, "girder_web_thickness": 200.0, "barrier_height": 1100.0, "barrier_post_spacing": 2000.0, "pile_diameter": 1000.0, "pile_depth": 15000.0, "num_piles_per_pier": 4, "deck_thickness": 250.0, "bridge_type": "beam", "pier_width": 1500.0, "pier_depth": 2000.0}
 
 
 def check_bridge(specs: DataFrame, key: str = "spec_id") -> DataFrame:
@@ -246,10 +246,16 @@ def expand_building(specs: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionAll, families)
 
 
-def expand_bridge(specs: DataFrame, post_spacing: float = 2000.0) -> DataFrame:
-    """Counts as elements: abutments, piers, girders and decks by span, barrier posts on both sides, bearings for each support and
-    girder: spec_id, ifc_type, part, span, x, y in mm."""
+def _bridges(specs: DataFrame) -> DataFrame:
+    """Derived specifications that break no precondition; columns that are missing take the usual values."""
     full = derive_bridge(specs).where("problem IS NULL")
+    return full.withColumns({k: F.lit(v) for k, v in BRIDGE_DEFAULTS.items() if k not in full.columns})
+
+
+def expand_bridge(specs: DataFrame) -> DataFrame:
+    """Counts as elements: abutments, piers, girders and decks by span, barrier posts on both sides, bearings for each support and
+    girder, piles under each support: spec_id, ifc_type, part, span, x, y in mm."""
+    full = _bridges(specs)
     c = F.col
     kind = "array<struct<ifc_type:string,part:string,span:int,x:double,y:double>>"
     item = lambda t, part, span, x, y: F.struct(F.lit(t).alias("ifc_type"), F.lit(part).alias("part"), span.cast("int").alias("span"), (x if isinstance(x, Column) else F.lit(x)).cast("double").alias("x"), (y if isinstance(y, Column) else F.lit(y)).cast("double").alias("y"))
@@ -260,18 +266,33 @@ def expand_bridge(specs: DataFrame, post_spacing: float = 2000.0) -> DataFrame:
     columns = F.when(c("num_piers") > 0, F.transform(piers, lambda i: item("IfcColumn", "pier", i, i * c("span_length"), middle))).otherwise(F.array().cast(kind))
     beams = F.flatten(F.transform(spans, lambda i: F.transform(girders, lambda g: item("IfcBeam", "girder", i, (i - 1) * c("span_length"), g * gap))))
     decks = F.transform(spans, lambda i: item("IfcSlab", "deck", i, (i - 1) * c("span_length"), 0))
-    posts = F.flatten(F.transform(F.array(F.lit(0.0), c("deck_width")), lambda y: F.transform(F.sequence(F.lit(0), F.floor(c("total_length") / post_spacing).cast("int")), lambda k: item("IfcRailing", "post", F.lit(0), k * post_spacing, y))))
+    posts = F.flatten(F.transform(F.array(F.lit(0.0), c("deck_width")), lambda y: F.transform(F.sequence(F.lit(0), F.floor(c("total_length") / c("barrier_post_spacing")).cast("int")), lambda k: item("IfcRailing", "post", F.lit(0), k * c("barrier_post_spacing"), y))))
     bearings = F.flatten(F.transform(F.sequence(F.lit(0), "num_spans"), lambda i: F.transform(girders, lambda g: item("IfcPlate", "bearing", i, i * c("span_length"), g * gap))))
-    parts = [abutments, columns, beams, decks, posts, bearings]
+    piles = F.flatten(F.transform(F.sequence(F.lit(0), "num_spans"), lambda i: F.transform(_piles(i), lambda p: item("IfcPile", "pile", i, p["x"], p["y"]))))
+    parts = [abutments, columns, beams, decks, posts, bearings, piles]
     return full.select("spec_id", F.explode(F.concat(*[p.cast(kind) for p in parts])).alias("e")).select("spec_id", "e.*")
 
 
-def foundation_supports(specs: DataFrame, piles: int = 4, pile_spacing: float = 3000.0) -> DataFrame:
+def _pile(support: Column, i: Column) -> Column:
+    """Where pile i (from 0) of a support stands: two columns along the bridge, rows across its middle."""
+    c = F.col
+    n, cols = c("num_piles_per_pier"), F.least(c("num_piles_per_pier"), F.lit(2))
+    x = support * c("span_length") + (i % cols - (cols - 1) / 2) * c("pier_width") * 2
+    y = c("deck_width") / 2 + (F.floor(i / cols) - (F.ceil(n / cols) - 1) / 2) * c("pier_depth") * 2
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def _piles(support: Column) -> Column:
+    """The piles of a support; none where the specification counts none."""
+    every = F.transform(F.sequence(F.lit(0), F.greatest(F.col("num_piles_per_pier"), F.lit(1)) - 1), lambda i: _pile(support, i))
+    return F.when(F.col("num_piles_per_pier") > 0, every).otherwise(F.slice(every, 1, 0))
+
+
+def foundation_supports(specs: DataFrame) -> DataFrame:
     """A nested record for each support of a bridge: two abutments and the piers, each with its piles in two columns."""
-    full = derive_bridge(specs).where("problem IS NULL")
+    full = _bridges(specs)
     supports = F.sequence(F.lit(0), "num_spans")
-    pile = lambda x: F.transform(F.sequence(F.lit(0), F.lit(piles - 1)), lambda k: F.struct((x + (k % 2 - 0.5) * pile_spacing).alias("x"), (F.col("deck_width") / 2 + (F.floor(k / 2) - (piles / 2 - 1) / 2) * pile_spacing).alias("y")))
-    one = lambda i: F.struct(F.when((i == 0) | (i == F.col("num_spans")), "abutment").otherwise("pier").alias("kind"), (i * F.col("span_length")).cast("double").alias("x"), pile(i * F.col("span_length")).alias("piles"))
+    one = lambda i: F.struct(F.when((i == 0) | (i == F.col("num_spans")), "abutment").otherwise("pier").alias("kind"), (i * F.col("span_length")).cast("double").alias("x"), _piles(i).alias("piles"))
     return full.select("spec_id", F.transform(supports, one).alias("supports"))
 
 

@@ -323,15 +323,36 @@ def i5(spark, d):
     return specs.expand_building(fixture(spark, d, "fx_buildings")).groupBy("spec_id", "ifc_type").agg(F.count("*").alias("n"), *sums)
 
 
-@query("i6_expand_bridge", """SELECT spec_id, part, CAST(n AS BIGINT) AS n FROM (SELECT spec_id, 'abutment' AS part, 2 AS n FROM fx_bridges UNION ALL SELECT spec_id, 'pier', num_spans - 1 FROM fx_bridges UNION ALL SELECT spec_id, 'girder', num_spans * num_girders FROM fx_bridges
-UNION ALL SELECT spec_id, 'deck', num_spans FROM fx_bridges UNION ALL SELECT spec_id, 'post', 2 * (floor(total_length / 2000) + 1) FROM fx_bridges UNION ALL SELECT spec_id, 'bearing', (num_spans + 1) * num_girders FROM fx_bridges) t WHERE n > 0""")
+def _bridges(spark, d):
+    """The bridges, with posts 1.5 to 3 m apart and up to seven piles a support."""
+    return fixture(spark, d, "fx_bridges").withColumns({"barrier_post_spacing": 1500.0 + F.col("spec_id") % 4 * 500, "num_piles_per_pier": (1 + F.col("spec_id") % 7).cast("int"), "pier_width": 1000.0 + F.col("num_lanes") * 250})
+
+
+_BRIDGES = """b AS (SELECT *, total_length / num_spans AS span, 1500 + spec_id % 4 * 500 AS gap, 1 + spec_id % 7 AS np, 1000 + num_lanes * 250 AS pw FROM fx_bridges),
+sup AS (SELECT b.*, i, i * span AS sx FROM b, range(0, 7) r(i) WHERE i <= num_spans),
+piles AS (SELECT spec_id, i, k, sx + (k % least(np, 2) - (least(np, 2) - 1) / 2) * pw * 2 AS x, deck_width / 2 + (floor(k / least(np, 2)) - (ceil(np / least(np, 2)) - 1) / 2) * 4000 AS y FROM sup, range(0, 7) q(k) WHERE k < np)"""
+
+
+@query("i6_expand_bridge", f"""WITH {_BRIDGES},
+e AS (SELECT spec_id, 'abutment' AS part, CAST(i AS DOUBLE) * span AS x, deck_width / 2 AS y FROM sup WHERE i IN (0, num_spans)
+ UNION ALL SELECT spec_id, 'pier', sx, deck_width / 2 FROM sup WHERE i > 0 AND i < num_spans
+ UNION ALL SELECT spec_id, 'girder', sx, g * deck_width / (num_girders + 1) FROM sup, range(1, 10) h(g) WHERE g <= num_girders AND i < num_spans
+ UNION ALL SELECT spec_id, 'deck', sx, 0 FROM sup WHERE i < num_spans
+ UNION ALL SELECT spec_id, 'post', p * gap, y.y * deck_width FROM b, range(0, 200) h(p), (VALUES (0), (1)) y(y) WHERE p * gap <= total_length
+ UNION ALL SELECT spec_id, 'bearing', sx, g * deck_width / (num_girders + 1) FROM sup, range(1, 10) h(g) WHERE g <= num_girders
+ UNION ALL SELECT spec_id, 'pile', x, y FROM piles)
+SELECT spec_id, part, count(*) AS n, round(sum(x), 1) AS x, round(sum(y), 1) AS y FROM e GROUP BY ALL""")
 def i6(spark, d):
-    return specs.expand_bridge(fixture(spark, d, "fx_bridges")).groupBy("spec_id", "part").agg(F.count("*").alias("n"))
+    return specs.expand_bridge(_bridges(spark, d)).groupBy("spec_id", "part").agg(F.count("*").alias("n"), F.round(F.sum("x"), 1).alias("x"), F.round(F.sum("y"), 1).alias("y"))
 
 
-@query("i6_foundation_supports", "SELECT spec_id, i AS support, CASE WHEN i = 0 OR i = num_spans THEN 'abutment' ELSE 'pier' END AS kind, i * (total_length / num_spans) AS x, 4 AS piles FROM fx_bridges, range(0, 7) r(i) WHERE i <= num_spans")
+@query("i6_foundation_supports", f"""WITH {_BRIDGES}
+SELECT s.spec_id, s.i AS support, CASE WHEN s.i = 0 OR s.i = num_spans THEN 'abutment' ELSE 'pier' END AS kind, sx AS x, CAST(np AS INT) AS piles, round(min(p.x), 1) AS x0, round(max(p.x), 1) AS x1, round(min(p.y), 1) AS y0, round(max(p.y), 1) AS y1
+FROM sup s JOIN piles p ON s.spec_id = p.spec_id AND s.i = p.i GROUP BY s.spec_id, s.i, num_spans, sx, np""")
 def i6b(spark, d):
-    return specs.foundation_supports(fixture(spark, d, "fx_bridges")).select("spec_id", F.posexplode("supports").alias("support", "s")).select("spec_id", "support", "s.kind", "s.x", F.size("s.piles").alias("piles"))
+    own = specs.foundation_supports(_bridges(spark, d)).select("spec_id", F.posexplode("supports").alias("support", "s"))
+    ends = [F.round(f(F.col("s.piles")[c]), 1).alias(f"{c}{k}") for c in ("x", "y") for k, f in enumerate((F.array_min, F.array_max))]
+    return own.select("spec_id", "support", "s.kind", "s.x", F.size("s.piles").alias("piles"), *ends)
 
 
 @query("i7_extract_spec", """SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 30000 ELSE 30000 END AS total_length, 3 AS num_spans, 2 AS num_lanes, CASE conv_id % 5 WHEN 1 THEN 5 ELSE 3 END AS num_storeys, CASE conv_id % 5 WHEN 1 THEN 14142 ELSE 9797 END AS footprint_length, CASE conv_id % 5 WHEN 1 THEN 2 ELSE 1 END AS num_staircases
