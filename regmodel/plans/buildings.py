@@ -355,11 +355,14 @@ def i6b(spark, d):
     return own.select("spec_id", "support", "s.kind", "s.x", F.size("s.piles").alias("piles"), *ends)
 
 
-@query("i7_extract_spec", """SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 30000 ELSE 30000 END AS total_length, 3 AS num_spans, 2 AS num_lanes, CASE conv_id % 5 WHEN 1 THEN 5 ELSE 3 END AS num_storeys, CASE conv_id % 5 WHEN 1 THEN 14142 ELSE 9797 END AS footprint_length, CASE conv_id % 5 WHEN 1 THEN 2 ELSE 1 END AS num_staircases
-FROM fx_questions""")
+def _stated(pattern: str, default: int) -> str:
+    return f"coalesce(CAST(nullif(regexp_extract(question, '{pattern}', 1), '') AS INT), {default})"
+
+
+@query("i7_extract_spec", f"""SELECT conv_id, turn, {_stated("(\\d+)\\s*m(?:\\s|,|$)", 30)} * 1000 AS total_length, {_stated("(\\d+)\\s*nhịp", 3)} AS num_spans, {_stated("(\\d+)\\s*làn", 2)} AS num_lanes, {_stated("(\\d+)\\s*tầng", 3)} AS num_storeys,
+CAST(floor(sqrt({_stated("(\\d+)\\s*m[²2]", 96)}) * 1000) AS INT) AS footprint_length, {_stated("(\\d+)\\s*cầu thang", 1)} AS num_staircases FROM fx_questions""")
 def i7(spark, d):
-    q = fixture(spark, d, "fx_questions").withColumn("question", F.substring_index("question", ". ", 1)).withColumn("question", F.concat("question", F.lit(" ")))
-    return specs.extract_spec(q, "question").select("conv_id", "turn", "total_length", "num_spans", "num_lanes", "num_storeys", "footprint_length", "num_staircases")
+    return specs.extract_spec(fixture(spark, d, "fx_questions"), "question").select("conv_id", "turn", "total_length", "num_spans", "num_lanes", "num_storeys", "footprint_length", "num_staircases")
 
 
 @query("i8_material_for_element", "SELECT global_id, CASE ifc_type WHEN 'IfcWall' THEN CASE WHEN x0 = 0 THEN 'Tường gạch sơn ngoài' ELSE 'Tường gạch sơn trong' END WHEN 'IfcSlab' THEN 'Sàn bê tông lát gạch men' WHEN 'IfcDoor' THEN 'Gỗ' WHEN 'IfcWindow' THEN 'Kính' ELSE 'Bê tông cốt thép' END AS material_name, CASE ifc_type WHEN 'IfcWall' THEN 'brick' WHEN 'IfcDoor' THEN 'wood' WHEN 'IfcWindow' THEN 'glass' ELSE 'concrete' END AS category, CASE ifc_type WHEN 'IfcWindow' THEN 0.5 ELSE 0.0 END AS transparency FROM fx_elements")
