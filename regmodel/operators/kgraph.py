@@ -150,10 +150,13 @@ def related_standards(refs: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def material_properties(materials: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """materials whose name holds the text, with requirement, article and standard where the chain reaches them."""
+    """materials whose name holds the text, with req_id, article_id, section_id, chapter_id and standard_code as far as the chain
+    of edges reaches; null beyond."""
     hop = lambda rel, src, dst: edges.where(F.col("rel") == rel).select(F.col("src").alias(src), F.col("dst").alias(dst))
     rows = materials.where(F.lower("material").contains(name.lower()))
-    return rows.join(hop("FOR_MATERIAL", "req_id", "material"), "material", "left").join(hop("SPECIFIES", "article_id", "req_id"), "req_id", "left")
+    rows = rows.join(hop("FOR_MATERIAL", "req_id", "material"), "material", "left").join(hop("SPECIFIES", "article_id", "req_id"), "req_id", "left")
+    rows = rows.join(hop("HAS_ARTICLE", "section_id", "article_id"), "article_id", "left").join(hop("HAS_SECTION", "chapter_id", "section_id"), "section_id", "left")
+    return rows.join(hop("CONTAINS", "standard_code", "chapter_id"), "chapter_id", "left")
 
 
 def cross_reference(articles: DataFrame, types: DataFrame, code1: str, code2: str, topic: str | None = None, k: int = 15) -> DataFrame:

@@ -182,13 +182,21 @@ def f10(spark, d):
     return kgraph.related_standards(refs, codes).select("std_id", F.array_join("related", ",").alias("related"), F.array_join("superseded", ",").alias("superseded"))
 
 
-@query("f11_material_properties", "SELECT m.material, m.unit_weight, CAST(e.req_id AS STRING) AS req_id, CASE WHEN e.req_id % 2 = 0 THEN concat('a', CAST(e.std_id AS STRING)) END AS article_id FROM (SELECT material, arg_max(unit_weight, req_id) AS unit_weight FROM fx_materials GROUP BY material) m JOIN fx_materials e ON m.material = e.material WHERE contains(lower(m.material), 'steel')")
+@query("f11_material_properties", """SELECT m.material, m.unit_weight, CAST(e.req_id AS STRING) AS req_id, CASE WHEN e.req_id % 2 = 0 THEN concat('a', CAST(e.std_id AS STRING)) END AS article_id, CASE WHEN e.req_id % 2 = 0 AND e.std_id % 3 > 0 THEN CAST(e.std_id AS STRING) END AS standard_code
+FROM (SELECT material, arg_max(unit_weight, req_id) AS unit_weight FROM fx_materials GROUP BY material) m JOIN fx_materials e ON m.material = e.material WHERE contains(lower(m.material), 'economy')""")
 def f11(spark, d):
     m = fixture(spark, d, "fx_materials")
     c = fixture(spark, d, "fx_classifies").withColumn("req_id", F.concat_ws("_", "std_id", "req_no"))
     nodes, edges = kgraph.domain_nodes(c, m)
-    own = kgraph.edges_of(m.where("req_id % 2 = 0").withColumn("a", F.concat(F.lit("a"), F.col("std_id").cast("string"))), "Article", "a", "SPECIFIES", "Requirement", "req_id")
-    return kgraph.material_properties(nodes, edges.unionByName(own), "steel").select("material", "unit_weight", "req_id", "article_id")
+    ids = m.select("req_id", F.col("std_id").cast("string").alias("std"), *[F.concat(F.lit(k), F.col("std_id").cast("string")).alias(k) for k in "asc"])
+    reached = ids.where("CAST(std AS INT) % 3 > 0")  # the articles of the others hang in the air
+    own = [
+        kgraph.edges_of(ids.where("req_id % 2 = 0"), "Article", "a", "SPECIFIES", "Requirement", "req_id"),
+        kgraph.edges_of(ids, "Section", "s", "HAS_ARTICLE", "Article", "a"),
+        kgraph.edges_of(ids, "Chapter", "c", "HAS_SECTION", "Section", "s"),
+        kgraph.edges_of(reached, "Standard", "std", "CONTAINS", "Chapter", "c"),
+    ]
+    return kgraph.material_properties(nodes, functools.reduce(DataFrame.unionByName, own, edges), "economy").select("material", "unit_weight", "req_id", "article_id", "standard_code")
 
 
 @query("f12_cross_reference", f"""WITH o AS (SELECT standard_code, row_number() OVER (ORDER BY std_id) AS k FROM fx_standards WHERE std_id IN (SELECT std_id FROM fx_articles)), a AS (SELECT standard_code, concat(standard_code, '_art', article_number) AS article_id, title, content FROM fx_articles JOIN fx_standards USING (std_id)),
