@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, near_dups, pieces, quality, secrets, sharding, token_blocks, toxicity, url_rules
+from . import decontaminate, licenses, near_dups, periodic, pieces, quality, secrets, sharding, token_blocks, toxicity, url_rules
 
 QUERIES = {
     "op1_token_blocks": token_blocks.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_licenses": licenses.query,
     "op10_url_rules": url_rules.query,
+    "op11_periodic_runs": periodic.query,
 }
 
 ORACLES = {
