@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, near_dups, periodic, pieces, quality, secrets, sharding, token_blocks, toxicity, url_rules
+from . import decontaminate, licenses, manifest, near_dups, periodic, pieces, quality, secrets, sharding, token_blocks, toxicity, url_rules
 
 QUERIES = {
     "op1_token_blocks": token_blocks.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_licenses": licenses.query,
     "op10_url_rules": url_rules.query,
     "op11_periodic_runs": periodic.query,
+    "op12_manifest": manifest.query,
 }
 
 ORACLES = {
     "op8_sharding": sharding.ORACLE,
     "op9_licenses": licenses.ORACLE,
     "op10_url_rules": url_rules.ORACLE,
+    "op12_manifest": manifest.ORACLE,
 }
