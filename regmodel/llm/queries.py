@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, manifest, near_dups, periodic, pieces, quality, secrets, sharding, token_blocks, toxicity, url_rules
+from . import decontaminate, languages, licenses, manifest, near_dups, periodic, pieces, quality, secrets, sharding, token_blocks, toxicity, url_rules
 
 QUERIES = {
     "op1_token_blocks": token_blocks.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_rules": url_rules.query,
     "op11_periodic_runs": periodic.query,
     "op12_manifest": manifest.query,
+    "op13_languages": languages.query,
 }
 
 ORACLES = {
