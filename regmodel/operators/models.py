@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
+from ..sources.step import named, references_of, text_of, value_of
 
 # The classes that a complete model holds, in order.
 REQUIRED_CLASSES = ["IfcSite", "IfcBuilding", "IfcBuildingStorey", "IfcSpace", "IfcWall", "IfcSlab", "IfcColumn", "IfcBeam", "IfcDoor", "IfcWindow", "IfcStair"]
-PROPERTY_KEYS = ["IsExternal", "LoadBearing", "FireRating", "ThermalTransmittance", "Height", "Width", "Length", "Area", "Volume", "Thickness"]
+PROPERTY_KEYS = ["Width", "Height", "Length", "Thickness", "Area", "Volume", "FireRating", "IsExternal", "LoadBearing", "Reference"]
+ELEMENT_TYPES = ["IfcWall", "IfcWallStandardCase", "IfcColumn", "IfcBeam", "IfcSlab", "IfcDoor", "IfcWindow", "IfcStair", "IfcRailing", "IfcRoof", "IfcCovering", "IfcCurtainWall", "IfcPlate", "IfcMember", "IfcFooting", "IfcPile"]
 LABELS = {
     "IfcWall": "Wall", "IfcWallStandardCase": "Wall", "IfcColumn": "Column", "IfcBeam": "Beam", "IfcSlab": "Slab", "IfcDoor": "Door", "IfcWindow": "Window",
     "IfcStair": "Stair", "IfcRoof": "Roof", "IfcFooting": "Footing", "IfcRailing": "Railing", "IfcCurtainWall": "CurtainWall", "IfcPlate": "Plate", "IfcMember": "Member",
@@ -40,52 +42,69 @@ def materials(elements: DataFrame) -> DataFrame:
     return elements.groupBy("model").agg(used.alias("materials"))
 
 
-def references(step: DataFrame) -> DataFrame:
-    """file, id, class, pos, ref: the references of each statement in order."""
-    return step.select("file", "id", "class", F.posexplode("refs").alias("pos", "ref"))
+def step_elements(step: DataFrame) -> DataFrame:
+    """file, id, global_id, ifc_type and name (else type and id) of the element classes.  A class counts with its standard and elemented
+    cases; standard-case walls are listed as such too."""
+    kinds = {k: [k] for k in ELEMENT_TYPES}
+    for k in ELEMENT_TYPES:
+        for case in ("StandardCase", "ElementedCase"):
+            if not k.endswith(case):
+                kinds.setdefault(k + case, []).append(k)
+    lookup = F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k.upper()), F.array(*map(F.lit, v)))])
+    rows = step.where(F.col("class").isin([k.upper() for k in kinds])).select("file", "id", F.explode(F.element_at(lookup, F.col("class"))).alias("ifc_type"), *[F.get("attributes", F.lit(p)).alias(n) for n, p in (("g", 0), ("n", 2))])
+    rows = rows.withColumns({"g": text_of(F.col("g")), "n": text_of(F.col("n"))})
+    return rows.select("file", "id", F.coalesce("g", F.lit("")).alias("global_id"), "ifc_type", F.coalesce(F.nullif("n", F.lit("")), F.concat("ifc_type", F.lit("_"), F.col("id").cast("string"))).alias("name"))
 
 
-def _relation(step: DataFrame, kind: str) -> DataFrame:
-    """file, relating (the last reference of a statement) and related (each one before it but the owner's)."""
-    rel = step.where(F.col("class") == kind).select("file", F.element_at("refs", -1).alias("relating"), F.explode(F.slice("refs", 2, F.greatest(F.size("refs") - 2, F.lit(0)))).alias("related"))
-    return rel
+def _relation(step: DataFrame, kind: str, one: str, many: str) -> DataFrame:
+    """file, rel, one, id: a relation's single end, and a row for each reference in its list."""
+    return named(step, kind, one, many).select("file", F.col("id").alias("rel"), F.get(references_of(F.col(one)), F.lit(0)).alias("one"), F.explode(references_of(F.col(many))).alias("id"))
+
+
+def _listed(step: DataFrame, kind: str, attribute: str, name: str) -> DataFrame:
+    """file, (name) id, pos, ref: the references in an attribute, in order."""
+    return named(step, kind, attribute).select("file", F.col("id").alias(name), F.posexplode(references_of(F.col(attribute))).alias("pos", "ref"))
 
 
 def element_storey(step: DataFrame, elements: DataFrame) -> DataFrame:
-    """File, id, storey of each element: through containment, else through the parent of what contains it, else ""."""
-    contained = _relation(step, "IFCRELCONTAINEDINSPATIALSTRUCTURE").select("file", F.col("related").alias("id"), F.col("relating").alias("place"))
-    parents = step.where(F.col("class") == "IFCRELAGGREGATES").select("file", F.element_at("refs", 2).alias("parent"), F.explode(F.slice("refs", 3, F.greatest(F.size("refs") - 2, F.lit(0)))).alias("place"))
-    name = F.regexp_extract("args", r"^'[^']*'\s*,\s*[^,]*,\s*'([^']*)'", 1)
-    storeys = step.where(F.col("class") == "IFCBUILDINGSTOREY").select("file", F.col("id").alias("sid"), F.when(name != "", name).otherwise(F.concat(F.lit("Storey_"), F.col("id").cast("string"))).alias("sname"))
-    out = elements.select("file", "id").join(contained, ["file", "id"], "left").join(storeys.withColumnRenamed("sid", "place"), ["file", "place"], "left")
-    up = out.join(parents, ["file", "place"], "left").join(storeys.select("file", F.col("sid").alias("parent"), F.col("sname").alias("pname")), ["file", "parent"], "left")
-    return up.groupBy("file", "id").agg(F.coalesce(F.min("sname"), F.min("pname"), F.lit("")).alias("storey"))
+    """File, id, storey of each element: of its containments by id, the first in a storey or in a part of one; else ""."""
+    contained = _relation(step, "IFCRELCONTAINEDINSPATIALSTRUCTURE", "RelatingStructure", "RelatedElements").withColumnRenamed("one", "place")
+    parents = _relation(step, "IFCRELAGGREGATES", "RelatingObject", "RelatedObjects").select("file", F.col("id").alias("place"), F.col("one").alias("parent"), F.col("rel").alias("up"))
+    name = named(step, "IFCBUILDINGSTOREY", "Name").withColumn("Name", text_of(F.col("Name")))
+    storeys = name.select("file", "id", F.coalesce(F.nullif("Name", F.lit("")), F.concat(F.lit("Storey_"), F.col("id").cast("string"))).alias("name"))
+    own = storeys.select("file", F.col("id").alias("place"), F.col("name").alias("sname"))
+    # a part of a storey, by the first storey that it is part of
+    part = parents.join(storeys.withColumnRenamed("id", "parent"), ["file", "parent"]).groupBy("file", "place").agg(F.min_by("name", "up").alias("pname"))
+    places = contained.select("file", "place").distinct().join(own, ["file", "place"], "left").join(part, ["file", "place"], "left").select("file", "place", F.coalesce("sname", "pname").alias("storey")).where("storey IS NOT NULL")
+    found = contained.join(places, ["file", "place"]).groupBy("file", "id").agg(F.min_by("storey", "rel").alias("storey"))
+    return elements.select("file", "id").join(found, ["file", "id"], "left").withColumn("storey", F.coalesce("storey", F.lit("")))
 
 
 def element_material(step: DataFrame, elements: DataFrame) -> DataFrame:
-    """File, id, material: a single name, or the names of a layer set or list joined by " + ", in order."""
-    assoc = step.where(F.col("class") == "IFCRELASSOCIATESMATERIAL").select("file", F.col("id").alias("rel"), F.element_at("refs", -1).alias("m"), F.explode(F.slice("refs", 2, F.greatest(F.size("refs") - 2, F.lit(0)))).alias("id"))
-    refs = references(step)
-    name = step.where(F.col("class") == "IFCMATERIAL").select("file", F.col("id").alias("mat"), F.regexp_extract("args", r"^'([^']*)'", 1).alias("name"))
-    use = refs.where(F.col("class") == "IFCMATERIALLAYERSETUSAGE").where("pos = 0").select("file", F.col("id").alias("m"), F.col("ref").alias("set"))
+    """File, id, material by an element's first association with a material, layer set (or its use) or list: the name, or the names
+    joined by " + ", in order; nameless parts are left out."""
+    assoc = _relation(step, "IFCRELASSOCIATESMATERIAL", "RelatingMaterial", "RelatedObjects").withColumnRenamed("one", "m")
+    use = _listed(step, "IFCMATERIALLAYERSETUSAGE", "ForLayerSet", "m").select("file", "m", F.col("ref").alias("set"))
     top = assoc.join(use, ["file", "m"], "left").withColumn("m", F.coalesce("set", "m")).drop("set")
-    layer = refs.where(F.col("class") == "IFCMATERIALLAYER").where("pos = 0").select("file", F.col("id").alias("layer"), F.col("ref").alias("mat"))
-    in_set = refs.where(F.col("class") == "IFCMATERIALLAYERSET").select("file", F.col("id").alias("m"), "pos", F.col("ref").alias("layer")).join(layer, ["file", "layer"]).select("file", "m", "pos", "mat")
-    in_list = refs.where(F.col("class") == "IFCMATERIALLIST").select("file", F.col("id").alias("m"), "pos", F.col("ref").alias("mat"))
-    single = name.select("file", F.col("mat").alias("m"), F.lit(0).alias("pos"), "mat")
-    parts = top.join(in_set.unionByName(in_list).unionByName(single), ["file", "m"]).join(name, ["file", "mat"])
-    joined = parts.groupBy("file", "id", "rel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), " + ").alias("material"))
-    first = joined.groupBy("file", "id").agg(F.min_by("material", "rel").alias("material"))
+    single = named(step, "IFCMATERIAL", "Name").select("file", F.col("id").alias("mat"), text_of(F.col("Name")).alias("name"))
+    layer = _listed(step, "IFCMATERIALLAYER", "Material", "layer").select("file", "layer", F.col("ref").alias("mat"))
+    in_set = _listed(step, "IFCMATERIALLAYERSET", "MaterialLayers", "m").withColumnRenamed("ref", "layer").join(layer, ["file", "layer"], "left").select("file", "m", "pos", "mat")
+    in_list = _listed(step, "IFCMATERIALLIST", "Materials", "m").select("file", "m", "pos", F.col("ref").alias("mat"))
+    parts = in_set.unionByName(in_list).unionByName(single.select("file", F.col("mat").alias("m"), F.lit(0).alias("pos"), "mat"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("name") != "", F.struct("pos", "name"))))
+    names = parts.join(single, ["file", "mat"], "left").groupBy("file", "m").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), " + ").alias("material"))
+    first = top.join(names, ["file", "m"]).groupBy("file", "id").agg(F.min_by("material", "rel").alias("material"))
     return elements.select("file", "id").join(first, ["file", "id"], "left").withColumn("material", F.coalesce("material", F.lit("")))
 
 
 def element_properties(step: DataFrame, elements: DataFrame, keys: list[str] = PROPERTY_KEYS) -> DataFrame:
     """File, id, properties: those of the named keys over all property sets, the later one wins, in the order of the keys."""
-    defines = _relation(step, "IFCRELDEFINESBYPROPERTIES").select("file", F.col("related").alias("id"), F.col("relating").alias("pset"))
-    has = references(step).where(F.col("class") == "IFCPROPERTYSET").where("pos > 0").select("file", F.col("id").alias("pset"), "pos", F.col("ref").alias("prop"))
-    value = F.regexp_extract("args", r"IFC[A-Z]+\(\s*'?([^')]*)'?\s*\)", 1)
-    props = step.where(F.col("class") == "IFCPROPERTYSINGLEVALUE").select("file", F.col("id").alias("prop"), F.regexp_extract("args", r"^'([^']*)'", 1).alias("k"), value.alias("v")).where(F.col("k").isin(keys))
-    rows = defines.join(has, ["file", "pset"]).join(props, ["file", "prop"]).groupBy("file", "id", "k").agg(F.max_by("v", F.struct("pset", "pos")).alias("v"))
+    defines = _relation(step, "IFCRELDEFINESBYPROPERTIES", "RelatingPropertyDefinition", "RelatedObjects").withColumnRenamed("one", "pset")
+    has = _listed(step, "IFCPROPERTYSET", "HasProperties", "pset").withColumnRenamed("ref", "prop")
+    props = named(step, "IFCPROPERTYSINGLEVALUE", "Name", "NominalValue").select("file", F.col("id").alias("prop"), text_of(F.col("Name")).alias("k"), "NominalValue")
+    props = props.where(F.col("k").isin(keys)).select("file", "prop", "k", value_of(F.col("NominalValue")).alias("v")).where("v IS NOT NULL")
+    sets = has.join(props, ["file", "prop"]).groupBy("file", "pset", "k").agg(F.max_by("v", "pos").alias("v"))
+    rows = defines.join(sets, ["file", "pset"]).groupBy("file", "id", "k").agg(F.max_by("v", "rel").alias("v"))
     place = F.array_position(F.array(*map(F.lit, keys)), F.col("k"))
     maps = rows.groupBy("file", "id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "k", "v"))), lambda x: F.struct(x["k"], x["v"]))).alias("properties"))
     return elements.select("file", "id").join(maps, ["file", "id"], "left").withColumn("properties", F.coalesce("properties", F.expr("map()").cast("map<string,string>")))
@@ -94,13 +113,23 @@ def element_properties(step: DataFrame, elements: DataFrame, keys: list[str] = P
 def space_areas(step: DataFrame) -> DataFrame:
     """File, id, area of each space: the last area quantity that is not zero, else 0."""
     spaces = step.where(F.col("class") == "IFCSPACE").select("file", "id")
-    defines = _relation(step, "IFCRELDEFINESBYPROPERTIES").select("file", F.col("related").alias("id"), F.col("relating").alias("q"))
-    has = references(step).where(F.col("class") == "IFCELEMENTQUANTITY").where("pos > 0").select("file", F.col("id").alias("q"), F.col("ref").alias("a"))
-    area = step.where(F.col("class") == "IFCQUANTITYAREA").select("file", F.col("id").alias("a"), F.regexp_extract("args", r",\s*\$\s*,\s*([0-9.Ee+-]+)", 1).cast("double").alias("area")).where("area <> 0")
-    last = defines.join(has, ["file", "q"]).join(area, ["file", "a"]).groupBy("file", "id").agg(F.max_by("area", F.struct("q", "a")).alias("area"))
+    defines = _relation(step, "IFCRELDEFINESBYPROPERTIES", "RelatingPropertyDefinition", "RelatedObjects").withColumnRenamed("one", "q")
+    has = _listed(step, "IFCELEMENTQUANTITY", "Quantities", "q").withColumnRenamed("ref", "a")
+    area = named(step, "IFCQUANTITYAREA", "AreaValue").select("file", F.col("id").alias("a"), F.expr("try_cast(AreaValue AS DOUBLE)").alias("area")).where("area <> 0")
+    sums = has.join(area, ["file", "a"]).groupBy("file", "q").agg(F.max_by("area", "pos").alias("area"))
+    last = spaces.join(defines, ["file", "id"]).join(sums, ["file", "q"]).groupBy("file", "id").agg(F.max_by("area", "rel").alias("area"))
     return spaces.join(last, ["file", "id"], "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
 
 
+def model_elements(step: DataFrame) -> DataFrame:
+    """file, id, global_id, ifc_type, name, storey, material, properties of all elements of model files."""
+    out = step_elements(step)
+    ids = out.select("file", "id").distinct()
+    for part in (element_storey(step, ids), element_material(step, ids), element_properties(step, ids)):
+        out = out.join(part, ["file", "id"])
+    return out
+
+
 def label_of(ifc_type: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for p in LABELS.items() for x in p])[ifc_type], F.lit("BIMElement"))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
+from ..functions.storage import new_path, stored
 from ..operators import models, specs
-from .base import fixture, query, table
+from ..sources.step import read_step
+from .base import fixture, query, sql, table
 
 
 # --- G --------------------------------------------------------------------------------------------------------------
@@ -29,44 +30,91 @@ def g2b(spark, d):
     return models.materials(fixture(spark, d, "fx_elements")).select("model", F.array_join("materials", ",").alias("materials"))
 
 
+_ITEMS = "(SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_orderkey * 1000 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem) t"
+#: Statements of a storey with a space for each order, and of an element with its properties for each of its items: source, class, number
+#: within the order's, attributes, condition.  Half of the orders name an owner, the others don't.
+_STATEMENTS = [
+    ("orders", "IFCOWNERHISTORY", 0, '"#1"', "b % 2000 = 0"),
+    ("orders", "IFCBUILDINGSTOREY", 1, r'''concat("'g',", own, ",", CASE WHEN o_custkey % 5 = 0 THEN "$" ELSE concat(r"'T\X2\1EA7\X0\ng ", CAST(o_custkey % 5 AS STRING), "'") END, ",$,$,$,$,$,.ELEMENT.,0.")''', None),
+    ("orders", "IFCSPACE", 2, '''concat("'s;(''#9,',", own, ",'R, 1',$,$,$,$,$,.ELEMENT.,.INTERNAL.,$")''', None),
+    ("orders", "IFCRELAGGREGATES", 3, '''concat("'r',", own, ",$,$,#", b + 1, ",(#", b + 2, ")")''', None),
+    ("orders", "IFCMATERIAL", 20, '''concat("'M", CAST(o_custkey % 3 AS STRING), "',$,$")''', None),
+    ("orders", "IFCMATERIAL", 21, r'''r"'V\X2\1EEF\X0\a',$,$"''', None),
+    ("orders", "IFCMATERIALLAYER", 22, '''concat("#", b + 20, ",15.,$,$,$,$,$")''', None),
+    ("orders", "IFCMATERIALLAYER", 23, '''concat("#", b + 21, ",170.,$,$,$,$,$")''', None),
+    ("orders", "IFCMATERIALLAYERSET", 24, '''concat("(#", b + 22, ",#", b + 23, "),'W',$")''', None),
+    ("orders", "IFCMATERIALLAYERSETUSAGE", 25, '''concat("#", b + 24, ",.AXIS2.,.POSITIVE.,0.,$")''', None),
+    ("orders", "IFCMATERIALLIST", 26, '''concat("(#", b + 21, ",#", b + 20, ")")''', None),
+    ("orders", "IFCQUANTITYAREA", 80, '''concat("'NetFloorArea',$,$,", CAST(o_custkey % 50 AS STRING), ".5,$")''', None),
+    ("orders", "IFCELEMENTQUANTITY", 81, '''concat("'q',", own, ",'Qto',$,$,(#", b + 80, ")")''', None),
+    ("orders", "IFCRELDEFINESBYPROPERTIES", 82, '''concat("'r',", own, ",$,$,(#", b + 2, "),#", b + 81)''', "o_custkey % 4 > 0"),
+    ("items", "IFCWALL", 100, '''concat("'w',", own, ",$,$,$,$,$,$,$")''', "l_partkey % 2 = 0"),
+    ("items", "IFCDOOR", 100, '''concat("'d',", own, ",'Door',$,$,$,$,$,2.1,0.9,$,$,$")''', "l_partkey % 2 = 1"),
+    ("items", "IFCPROPERTYSET", 200, '''concat("'p',", own, ",'Pset',$,(#", b + 300 + k, ",#", b + 400 + k, ")")''', None),
+    ("items", "IFCPROPERTYSINGLEVALUE", 300, '''concat("'Height',$,IFCREAL(", CAST(CAST(l_quantity AS INT) AS STRING), ".),$")''', None),
+    ("items", "IFCPROPERTYSINGLEVALUE", 400, '''CASE WHEN l_suppkey % 2 = 0 THEN "'IsExternal',$,IFCBOOLEAN(.T.),$" ELSE "'FireRating',$,IFCLABEL('REI (60), #1'),$" END''', None),
+    ("items", "IFCRELDEFINESBYPROPERTIES", 500, '''concat("'r',", own, ",$,$,(#", b + 100 + k, "),#", b + 200 + k)''', None),
+]
+#: Relations with a list of elements: number, class, the single end, and which elements.
+_LISTS = [
+    (4, "IFCRELCONTAINEDINSPATIALSTRUCTURE", 1, "l_suppkey % 3 = 0"), (5, "IFCRELCONTAINEDINSPATIALSTRUCTURE", 2, "l_suppkey % 3 = 1"),
+    (30, "IFCRELASSOCIATESMATERIAL", 25, "l_partkey % 4 = 0"), (31, "IFCRELASSOCIATESMATERIAL", 26, "l_partkey % 4 = 1"), (32, "IFCRELASSOCIATESMATERIAL", 20, "l_partkey % 4 = 2"),
+]
+
+
 def _step(spark, d):
-    """Statements of a model for each order: a storey, its elements, materials, a property set and a space with its area."""
-    o = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("file"), F.col("o_custkey").alias("k"))
-    row = lambda i, kind, args, refs: F.struct(F.lit(i).cast("long").alias("id"), F.lit(kind).alias("class"), (args if not isinstance(args, str) else F.lit(args)).alias("args"), F.array(*[F.lit(r).cast("long") for r in refs]).alias("refs"))
-    name = F.concat(F.lit("'g',#1,'Tầng "), (F.col("k") % 5).cast("string"), F.lit("',$"))
-    area = F.concat(F.lit("'a',$,$,"), (F.col("k") % 50).cast("string"), F.lit(".5"))
-    mat = F.concat(F.lit("'M"), (F.col("k") % 3).cast("string"), F.lit("'"))
-    rows = [
-        row(2, "IFCBUILDINGSTOREY", name, [1]), row(3, "IFCWALL", "'w'", [1]), row(4, "IFCDOOR", "'d'", [1]), row(5, "IFCSPACE", "'s'", [1]),
-        row(6, "IFCRELCONTAINEDINSPATIALSTRUCTURE", "", [1, 3, 5, 2]), row(7, "IFCRELAGGREGATES", "", [1, 2, 5]), row(8, "IFCRELCONTAINEDINSPATIALSTRUCTURE", "", [1, 4, 5]),
-        row(9, "IFCMATERIAL", mat, []), row(10, "IFCMATERIAL", "'Vữa'", []), row(11, "IFCMATERIALLAYER", "", [9]), row(12, "IFCMATERIALLAYER", "", [10]), row(13, "IFCMATERIALLAYERSET", "", [11, 12]),
-        row(14, "IFCMATERIALLAYERSETUSAGE", "", [13]), row(15, "IFCRELASSOCIATESMATERIAL", "", [1, 3, 14]), row(16, "IFCRELASSOCIATESMATERIAL", "", [1, 4, 9]),
-        row(17, "IFCPROPERTYSINGLEVALUE", "'FireRating',$,IFCLABEL('REI 60'),$", []), row(18, "IFCPROPERTYSINGLEVALUE", "'Other',$,IFCLABEL('x'),$", []), row(19, "IFCPROPERTYSET", "", [1, 17, 18]), row(20, "IFCRELDEFINESBYPROPERTIES", "", [1, 3, 19]),
-        row(21, "IFCQUANTITYAREA", area, []), row(22, "IFCELEMENTQUANTITY", "", [1, 21]), row(23, "IFCRELDEFINESBYPROPERTIES", "", [1, 5, 22]),
-    ]
-    step = o.select("file", F.explode(F.array(*rows)).alias("x")).select("file", "x.*")
-    return step, step.where(F.col("class").isin("IFCWALL", "IFCDOOR"))
-
-
-@query("g3_element_storey", "SELECT concat('o', CAST(o_orderkey AS STRING)) AS file, id, concat('Tầng ', CAST(o_custkey % 5 AS STRING)) AS storey FROM orders, (VALUES (3), (4)) v(id)")
+    """Model files made of orders and their items, written to the shared folder and read as such."""
+    own = 'CASE WHEN b % 2000 = 0 THEN concat("#", b) ELSE "$" END AS own'
+    views = {"orders": f"(SELECT *, {own} FROM (SELECT o_custkey, o_orderkey * 1000 AS b FROM orders) x)", "items": f"(SELECT *, {own} FROM {_ITEMS})"}
+    texts = [f'SELECT b, concat("#", b + {n}{" + k" if source == "items" else ""}, "= {kind}(", {args}, ");") AS value FROM {views[source]} v{f" WHERE {cond}" if cond else ""}' for source, kind, n, args, cond in _STATEMENTS]
+    for n, kind, end, cond in _LISTS:
+        ids = 'array_join(array_sort(collect_list(concat("#", b + 100 + k))), ", ")'
+        texts.append(f'SELECT b, concat("#", b + {n}, "={kind}(\'r\',", own, ",$,$,(", {ids}, "),\\n#", b + {end}, ");") FROM {views["items"]} v WHERE {cond} GROUP BY b, own')
+    path = new_path(spark, "step-files")
+    sql(spark, d, " UNION ALL ".join(texts)).repartition("b").select("value").write.text(path)  # an order's statements lie in one file
+    return read_step(spark, path)
+
+
+def _elements(step):
+    return step.where(F.col("class").isin("IFCWALL", "IFCDOOR"))
+
+
+_PLACED = "string_agg(CAST(b + 100 + k AS STRING), ',' ORDER BY CAST(b + 100 + k AS STRING))"
+
+
+@query("a4_read_step", f"""SELECT o_orderkey * 1000 + 1 AS id, 'IFCBUILDINGSTOREY' AS class, 10 AS n, '' AS refs FROM orders UNION ALL SELECT o_orderkey * 1000 + 2, 'IFCSPACE', 11, '' FROM orders
+UNION ALL SELECT o_orderkey * 1000 + 3, 'IFCRELAGGREGATES', 6, concat(o_orderkey * 1000 + 1, ',', o_orderkey * 1000 + 2) FROM orders
+UNION ALL SELECT b + 4, 'IFCRELCONTAINEDINSPATIALSTRUCTURE', 6, concat({_PLACED}, ',', b + 1) FROM {_ITEMS} WHERE l_suppkey % 3 = 0 GROUP BY b
+UNION ALL SELECT b + 5, 'IFCRELCONTAINEDINSPATIALSTRUCTURE', 6, concat({_PLACED}, ',', b + 2) FROM {_ITEMS} WHERE l_suppkey % 3 = 1 GROUP BY b""")
+def a4(spark, d):
+    """Statements of places and of what is placed, with the number of attributes; references without the owner's."""
+    step = _step(spark, d).where(F.col("class").isin("IFCBUILDINGSTOREY", "IFCSPACE", "IFCRELAGGREGATES", "IFCRELCONTAINEDINSPATIALSTRUCTURE"))
+    owner = F.get("attributes", F.lit(1)).startswith("#").cast("int")
+    return step.select("id", "class", F.size("attributes").alias("n"), F.array_join(F.slice("refs", owner + 1, F.lit(1 << 30)), ",").alias("refs"))
+
+
+@query("g3_element_storey", f"SELECT b + 100 + k AS id, CASE WHEN l_suppkey % 3 = 2 THEN '' WHEN o_custkey % 5 = 0 THEN concat('Storey_', CAST(b + 1 AS STRING)) ELSE concat('Tầng ', CAST(o_custkey % 5 AS STRING)) END AS storey FROM {_ITEMS} JOIN orders ON o_orderkey = l_orderkey")
 def g3(spark, d):
-    return models.element_storey(*_step(spark, d))
+    step = _step(spark, d)
+    return models.element_storey(step, _elements(step)).select("id", "storey")
 
 
-@query("g4_element_material", "SELECT concat('o', CAST(o_orderkey AS STRING)) AS file, id, concat('M', CAST(o_custkey % 3 AS STRING), CASE WHEN id = 3 THEN ' + Vữa' ELSE '' END) AS material FROM orders, (VALUES (3), (4)) v(id)")
+@query("g4_element_material", f"SELECT b + 100 + k AS id, CASE l_partkey % 4 WHEN 3 THEN '' WHEN 2 THEN concat('M', CAST(o_custkey % 3 AS STRING)) WHEN 1 THEN concat('Vữa + M', CAST(o_custkey % 3 AS STRING)) ELSE concat('M', CAST(o_custkey % 3 AS STRING), ' + Vữa') END AS material FROM {_ITEMS} JOIN orders ON o_orderkey = l_orderkey")
 def g4(spark, d):
-    return models.element_material(*_step(spark, d))
+    step = _step(spark, d)
+    return models.element_material(step, _elements(step)).select("id", "material")
 
 
-@query("g5_element_properties", "SELECT concat('o', CAST(o_orderkey AS STRING)) AS file, id, CASE WHEN id = 3 THEN 'FireRating=REI 60' ELSE '' END AS properties FROM orders, (VALUES (3), (4)) v(id)")
+@query("g5_element_properties", f"SELECT b + 100 + k AS id, concat('Height=', CAST(CAST(floor(l_quantity) AS INT) AS STRING), '.0,', CASE WHEN l_suppkey % 2 = 0 THEN 'IsExternal=true' ELSE 'FireRating=REI (60), #1' END) AS properties FROM {_ITEMS}")
 def g5(spark, d):
+    step = _step(spark, d)
     pairs = F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return models.element_properties(*_step(spark, d)).select("file", "id", F.array_join(pairs, ",").alias("properties"))
+    return models.element_properties(step, _elements(step)).select("id", F.array_join(pairs, ",").alias("properties"))
 
 
-@query("g6_space_areas", "SELECT concat('o', CAST(o_orderkey AS STRING)) AS file, 5 AS id, o_custkey % 50 + 0.5 AS area FROM orders")
+@query("g6_space_areas", "SELECT o_orderkey * 1000 + 2 AS id, CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE o_custkey % 50 + 0.5 END AS area FROM orders")
 def g6(spark, d):
-    return models.space_areas(_step(spark, d)[0])
+    return models.space_areas(_step(spark, d)).select("id", "area")
 
 
 def _with_spaces(spark, d):

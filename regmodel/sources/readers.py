@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from .step import read_step  # noqa: F401  (A4)
 
 REQUIREMENT = "struct<type:string,description:string,min_value:double,max_value:double,unit:string,building_element:string,applies_to:string,condition:string,exception:string,values:string>"
 ARTICLE = f"struct<number:string,title:string,content:string,requirements:array<{REQUIREMENT}>>"
@@ -61,32 +59,6 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return with_kind(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content"))
 
 
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    r"""``\X2\hhhh\X0\`` holds UTF-16 code units."""
-    run = re.compile(r"\\X2\\([0-9A-Fa-f]*)\\X0\\")
-    return text.map(lambda x: x if x is None or "\\X2\\" not in x else run.sub(lambda m: bytes.fromhex(m[1]).decode("utf-16-be", "replace"), x))
-
-
-def read_step(spark: SparkSession, path: str) -> DataFrame:
-    """A4: file, id, class, args, refs of the statements of building-model files.  Statements end at ``;`` outside of quotes: where a quote is
-    open, the next piece belongs to the statement too."""
-    from pyspark.sql import Window
-
-    raw = spark.read.option("lineSep", ";").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value"))
-    by = Window.partitionBy("file").orderBy("block", "n")
-    quotes = F.sum(F.length("value") - F.length(F.replace("value", F.lit("'"), F.lit("")))).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.when(F.coalesce(quotes, F.lit(0)) % 2 == 0, F.col("n"))
-    pieces = raw.withColumn("s_", start).withColumn("s_", F.last("s_", ignorenulls=True).over(by))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), ";")
-    whole = pieces.groupBy("file", "s_").agg(text.alias("t"))
-    pattern = r"(?s)^\s*#(\d+)\s*=\s*([A-Za-z0-9_]+)\s*\((.*)\)\s*$"
-    rows = whole.select("file", F.regexp_extract("t", pattern, 1).alias("id"), F.upper(F.regexp_extract("t", pattern, 2)).alias("class"), F.regexp_extract("t", pattern, 3).alias("args")).where("id <> ''")
-    bare = F.regexp_replace("args", r"'(?:[^']|'')*'", "''")
-    refs = F.transform(F.regexp_extract_all(bare, F.lit(r"#(\d+)"), 1), lambda x: x.cast("long"))
-    return rows.select("file", F.col("id").cast("long").alias("id"), "class", _unescape("args").alias("args"), refs.alias("refs"))
-
-
 def read_parsed_models(spark: SparkSession, path: str) -> DataFrame:
     """A5: parsed building models as JSON."""
     return spark.read.schema(MODEL).option("multiLine", True).json(path)
