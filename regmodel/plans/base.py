@@ -74,6 +74,21 @@ FROM (SELECT l_orderkey, l_partkey, l_quantity, {_ORDERED_ITEMS}) t""",
   CASE WHEN o_orderkey % 3 = 0 THEN concat('QCVN_07-', CAST(1 + o_orderkey % 9 AS STRING), '.docx') ELSE 'van_ban.docx' END AS file_name FROM orders""",
     "fx_clauses": """SELECT std_id AS doc_id, CAST(ordinal * 2 AS BIGINT) AS line_no, concat(article_number, ' Quy định về lối đi số ', CAST(q AS STRING), CASE WHEN q % 2 = 0 THEN '.' ELSE '' END) AS line FROM fx_articles
 UNION ALL SELECT std_id AS doc_id, CAST(ordinal * 2 + 1 AS BIGINT) AS line_no, CASE q % 5 WHEN 0 THEN concat('Điều ', CAST(q AS STRING), '. Phạm vi') WHEN 1 THEN concat(CAST(q AS STRING), '.5 m chiều cao') WHEN 2 THEN 'a) mục nhỏ' WHEN 3 THEN 'phần tiếp theo của câu' ELSE 'PHỤ LỤC A' END AS line FROM fx_articles""",
+    "fx_tree": f"""WITH k AS (SELECT std_id, n, q, p, CAST(1 + (n - 1) % 2 AS STRING) AS j, CAST((n + 1 - (n - 1) % 2) / 2 AS INT) AS c, count(*) OVER (PARTITION BY std_id) AS items FROM (SELECT l_orderkey AS std_id, CAST(l_quantity AS INT) AS q, l_partkey AS p, CAST(ordinal AS INT) AS n FROM (SELECT l_orderkey, l_quantity, l_partkey, {_ORDERED_ITEMS}) x) y)
+SELECT std_id, n, q, p, j, c, items, concat(CAST(c AS STRING), '.', j) AS s FROM k""",
+    "fx_tree_lines": """SELECT std_id AS doc_id, CAST(1 AS BIGINT) AS line_no, concat('Quyết định số ', CAST(std_id AS STRING)) AS line FROM fx_tree WHERE n = 1
+UNION ALL SELECT std_id, CAST(n * 20 AS BIGINT), concat('Chương ', CAST(c AS STRING), CASE WHEN c % 2 = 0 THEN '. YÊU CẦU ' ELSE ' QUY ĐỊNH ' END, CAST(c AS STRING)) FROM fx_tree WHERE j = '1' AND c % 3 > 0
+UNION ALL SELECT std_id, CAST(n * 20 + 1 AS BIGINT), '(quy định)' FROM fx_tree WHERE j = '1' AND c % 3 = 1
+UNION ALL SELECT std_id, CAST(n * 20 + 2 AS BIGINT), concat('Thân chương ', CAST(q AS STRING), '.') FROM fx_tree WHERE j = '1' AND c % 3 > 0
+UNION ALL SELECT std_id, CAST(n * 20 + 3 AS BIGINT), concat(s, ' Tiêu đề mục ', CAST(q AS STRING)) FROM fx_tree
+UNION ALL SELECT std_id, CAST(n * 20 + 4 AS BIGINT), concat(s, '.1 Nội dung ', CAST(p AS STRING), '.') FROM fx_tree
+UNION ALL SELECT std_id, CAST(n * 20 + 5 AS BIGINT), 'câu sau nối' FROM fx_tree
+UNION ALL SELECT std_id, CAST(n * 20 + 6 AS BIGINT), 'dòng này.' FROM fx_tree
+UNION ALL SELECT std_id, CAST(n * 20 + 7 AS BIGINT), concat(s, '.1.1 Chi tiết ', CAST(q AS STRING), '.') FROM fx_tree WHERE p % 2 = 0
+UNION ALL SELECT std_id, CAST(n * 20 + 8 AS BIGINT), concat(s, '.2 Mục hai ', CAST(q AS STRING), '.') FROM fx_tree WHERE p % 3 = 0
+UNION ALL SELECT std_id, CAST(n * 20 + 10 AS BIGINT), 'PHỤ LỤC C (tham khảo)' FROM fx_tree WHERE n = items AND p % 5 > 0
+UNION ALL SELECT std_id, CAST(n * 20 + 11 AS BIGINT), 'CÁC HÌNH MINH HỌA' FROM fx_tree WHERE n = items AND p % 5 > 0
+UNION ALL SELECT std_id, CAST(n * 20 + 12 AS BIGINT), concat('Hình ', CAST(p AS STRING), '.') FROM fx_tree WHERE n = items AND p % 5 > 0""",
 }
 
 #: This fixture needs a form of its own for each engine.
@@ -105,7 +120,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(text: str) -> str:
     """The SQL text with the fixtures that it names in front."""
-    used = text + (FIXTURES["fx_clauses"] if "fx_clauses" in text else "")
+    used = text + "".join(FIXTURES[n] for n in ("fx_clauses", "fx_tree_lines") if n in text)
     names = [n for n in (*FIXTURES, "fx_lines") if re.search(rf"\b{n}\b", used)]
     views = [f"{n} AS ({LINES_ORACLE if n == 'fx_lines' else FIXTURES[n]})" for n in names]
     text = text.strip()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunks, clauses, corpus, kgraph
+from ..operators import chunks, clauses, corpus, kgraph, structure
 from ..sources import readers
 from .base import fixture, query, table
 
@@ -271,6 +271,21 @@ def c4b(spark, d):
     return clauses.chapter_titles(lines, clauses.clause_skeleton(clauses.clause_candidates(lines)))
 
 
+_TREE_TITLE = "CASE c % 3 WHEN 0 THEN '' ELSE concat(CASE WHEN c % 2 = 0 THEN 'YÊU CẦU ' ELSE 'QUY ĐỊNH ' END, CAST(c AS STRING), CASE WHEN c % 3 = 1 THEN ' (quy định)' ELSE '' END) END"
+_TREE = f"""WITH a AS (SELECT std_id AS doc_id, 1 AS place, '0' AS chapter, 'preamble' AS kind, 'Phần mở đầu' AS chapter_title, '0' AS section, 'Phần mở đầu' AS section_title, '0' AS number, 'Phần mở đầu' AS title, concat('Quyết định số ', CAST(std_id AS STRING)) AS content FROM fx_tree WHERE n = 1
+UNION ALL SELECT std_id, n * 20, CAST(c AS STRING), 'chapter', {_TREE_TITLE}, concat(CAST(c AS STRING), '.0'), {_TREE_TITLE}, concat(CAST(c AS STRING), '.0'), {_TREE_TITLE}, concat('Thân chương ', CAST(q AS STRING), '.') FROM fx_tree WHERE j = '1' AND c % 3 > 0
+UNION ALL SELECT std_id, n * 20 + 4, CAST(c AS STRING), 'chapter', {_TREE_TITLE}, s, concat('Tiêu đề mục ', CAST(q AS STRING)), concat(s, '.1'), concat('Nội dung ', CAST(p AS STRING), '.'),
+  concat(s, '.1 Nội dung ', CAST(p AS STRING), '.', chr(10), 'câu sau nối dòng này.', CASE WHEN p % 2 = 0 THEN concat(chr(10), s, '.1.1 Chi tiết ', CAST(q AS STRING), '.') ELSE '' END) FROM fx_tree
+UNION ALL SELECT std_id, n * 20 + 8, CAST(c AS STRING), 'chapter', {_TREE_TITLE}, s, concat('Tiêu đề mục ', CAST(q AS STRING)), concat(s, '.2'), concat('Mục hai ', CAST(q AS STRING), '.'), concat(s, '.2 Mục hai ', CAST(q AS STRING), '.') FROM fx_tree WHERE p % 3 = 0
+UNION ALL SELECT std_id, n * 20 + 12, 'C', 'annex', 'Phụ lục C (tham khảo) CÁC HÌNH MINH HỌA', 'C.0', 'Phụ lục C (tham khảo) CÁC HÌNH MINH HỌA', 'C.0', 'Phụ lục C (tham khảo) CÁC HÌNH MINH HỌA', concat('Hình ', CAST(p AS STRING), '.') FROM fx_tree WHERE n = items AND p % 5 > 0)
+SELECT doc_id, chapter, kind, chapter_title, section, section_title, number, title, content, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS position FROM a"""
+
+
+@query("c4_c8_regulation_tree", _TREE)
+def c48(spark, d):
+    return structure.parse_regulations(fixture(spark, d, "fx_tree_lines"))
+
+
 @query("c5_parse_articles_by_heading", """WITH h AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^Điều\\s+\\d{1,3}') THEN regexp_extract(line, '^Điều\\s+(\\d{1,3})', 1) ELSE '' END AS head, CASE WHEN regexp_matches(line, '^Điều\\s+\\d{1,3}') THEN 'Phạm vi' ELSE line END AS line FROM fx_clauses),
 o AS (SELECT *, CAST(count(*) FILTER (head <> '') OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS ordinal FROM h)
 SELECT doc_id, ordinal, concat('Điều ', max(head)) AS number, string_agg(line, chr(10) ORDER BY line_no) AS content FROM o WHERE ordinal > 0 GROUP BY doc_id, ordinal""")
