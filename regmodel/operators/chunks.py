@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .models import ELEMENT_TYPES
+
 LIMIT = 1200
 #: The tags of regulations that are not in force.
 STATUS_TAGS = {
@@ -122,22 +124,53 @@ def format_requirements(reqs: Column) -> Column:
     return F.when(F.size(reqs) > 0, F.array_join(F.concat(F.array(F.lit("Yêu cầu kỹ thuật:")), F.flatten(F.transform(reqs, lines))), "\n")).otherwise("")
 
 
-def chunk_bim(elements: DataFrame, spaces: DataFrame) -> DataFrame:
-    """A chunk for each model, element and space: model, chunk_type, key, text."""
+def _plain(number: Column) -> Column:
+    """A number with at least one digit after the point, and no exponent below 1e18."""
+    return F.when((number == F.floor(number)) & (F.abs(number) < 1e18), F.concat(number.cast("long").cast("string"), F.lit(".0"))).otherwise(number.cast("string"))
+
+
+def model_summary(heads: DataFrame, storeys: DataFrame, elements: DataFrame, spaces: DataFrame) -> DataFrame:
+    """A text for each row of heads (model, project_name, building_name, schema): its storeys with their elevations, the number of
+    elements by class, materials and spaces; parts that a model lacks are left out.  storeys: model, position, name, elevation;
+    elements: model, ifc_type, material; spaces: model, position, name, storey, area."""
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def listed(df: DataFrame, name: str, text: Column, *order: Column | str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(*order, text.alias("t_"))))
+        return df.groupBy("model").agg(F.transform(rows, lambda x: x["t_"]).alias(name))
+
+    counts = elements.where(F.col("ifc_type").isin(list(ELEMENT_TYPES))).groupBy("model", "ifc_type").agg(F.count("*").alias("n"))
+    name = F.create_map(*[F.lit(x) for p in ELEMENT_TYPES.items() for x in p])[F.col("ifc_type")]
+    place = F.array_position(F.array(*map(F.lit, ELEMENT_TYPES)), F.col("ifc_type")).alias("p_")
+    area = F.when(F.coalesce("area", F.lit(0.0)) != 0, F.format_string(" — %.1fm²", F.col("area").cast("double"))).otherwise("")
+    parts = [
+        listed(storeys, "s", line("  - ", F.col("name"), " (cao độ ", _plain(F.col("elevation").cast("double")), "m)"), "position"),
+        listed(counts, "c", line("  - ", name, " (", F.col("ifc_type"), "): ", F.col("n").cast("string")), place),
+        listed(elements.where("material <> ''").select("model", "material").distinct(), "m", line("  - ", F.col("material")), "material"),
+        listed(spaces, "r", line("  - ", F.col("name"), area, " [", F.coalesce("storey", F.lit("")), "]"), "position"),
+        counts.groupBy("model").agg(F.sum("n").alias("total")),
+    ]
+    rows = heads
+    for part in parts:
+        rows = rows.join(part, "model", "left")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("string")
+    block = lambda title, c: F.when(F.size(c) > 0, F.concat(F.array(line("\n", title, " (", size(c), "):")), F.col(c)))
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    top = F.array(line("Dự án: ", F.coalesce("project_name", F.lit(""))), line("Công trình: ", F.coalesce("building_name", F.lit(""))), line("Schema: ", F.coalesce("schema", F.lit(""))), line("Số tầng: ", size("s")))
+    total = F.array(line("\nTổng số cấu kiện: ", F.coalesce("total", F.lit(0)).cast("string")))
+    text = F.array_join(F.concat(top, F.coalesce("s", none), total, F.coalesce("c", none), F.coalesce(block("Vật liệu sử dụng", "m"), none), F.coalesce(block("Không gian", "r"), none)), "\n")
+    return rows.select("model", text.alias("text"))
+
+
+def chunk_bim(heads: DataFrame, storeys: DataFrame, elements: DataFrame, spaces: DataFrame) -> DataFrame:
+    """A chunk for each model (its summary), element and space: model, chunk_type, key, text.  As for ``model_summary``; elements: also
+    global_id, name, storey, properties (a map), which are lines of their own in the map's order."""
     named = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), F.col(c)))
-    own = elements.select("model", F.lit("element").alias("chunk_type"), F.col("global_id").alias("key"), F.concat_ws("\n", F.concat(F.lit("Loại: "), F.col("ifc_type")), named("Tầng: ", "storey"), named("Vật liệu: ", "material")).alias("text"))
-    room = spaces.select("model", F.lit("space").alias("chunk_type"), F.col("name").alias("key"), F.concat(F.lit("Không gian: "), F.col("name"), F.lit("\nDiện tích: "), F.format_string("%.1f", "area"), F.lit(" m²")).alias("text"))
-    whole = elements.groupBy("model", "ifc_type").agg(F.count("*").alias("n")).groupBy("model").agg(F.array_sort(F.collect_list(F.concat("ifc_type", F.lit(": "), F.col("n").cast("string")))).alias("t"))
-    whole = whole.select("model", F.lit("building").alias("chunk_type"), F.col("model").alias("key"), F.concat(F.lit("Công trình "), F.col("model"), F.lit("\n"), F.array_join("t", "\n")).alias("text"))
+    building = heads.select("model", F.concat(F.lit("["), F.coalesce("building_name", F.lit("")), F.lit("] ")).alias("b_"))
+    lines = F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    text = F.concat_ws("\n", F.concat("b_", F.col("ifc_type"), F.lit(": "), F.col("name")), named("Tầng: ", "storey"), named("Vật liệu: ", "material"), F.when(F.size("properties") > 0, F.array_join(lines, "\n")))
+    own = elements.join(building, "model").select("model", F.lit("element").alias("chunk_type"), F.col("global_id").alias("key"), text.alias("text"))
+    area = F.format_string("%.1f", F.coalesce(F.col("area").cast("double"), F.lit(0.0)))
+    room = spaces.join(building, "model").select("model", F.lit("space").alias("chunk_type"), F.col("name").alias("key"), F.concat("b_", F.lit("Không gian: "), F.col("name"), F.lit("\nTầng: "), F.coalesce("storey", F.lit("")), F.lit("\nDiện tích: "), area, F.lit(" m²")).alias("text"))
+    whole = model_summary(heads, storeys, elements, spaces).select("model", F.lit("building_summary").alias("chunk_type"), F.col("model").alias("key"), "text")
     return own.unionByName(room).unionByName(whole)
-
-
-def model_summary(storeys: DataFrame, elements: DataFrame) -> DataFrame:
-    """A text for each model: its storeys with elevations, counts by class, and materials."""
-    a = storeys.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("elevation", "name"))).alias("s"))
-    b = elements.groupBy("model", "ifc_type").agg(F.count("*").alias("n")).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("ifc_type", "n"))).alias("c"))
-    m = elements.where("material <> ''").groupBy("model").agg(F.array_sort(F.collect_set("material")).alias("m"))
-    storey = F.transform("s", lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), F.format_string("%.1f", x["elevation"]), F.lit(" m)")))
-    count = F.transform("c", lambda x: F.concat(F.lit("- "), x["ifc_type"], F.lit(": "), x["n"].cast("string")))
-    text = F.concat_ws("\n", F.concat(F.lit("Tầng: "), F.size("s").cast("string")), F.array_join(storey, "\n"), F.lit("Cấu kiện:"), F.array_join(count, "\n"), F.concat(F.lit("Vật liệu: "), F.array_join(F.coalesce("m", F.array()), ", ")))
-    return b.join(a, "model").join(m, "model", "left").select("model", text.alias("text"))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import matching
+
 #: Keywords that a read-only query must not hold, and how it may start.
 BLOCKED = [
     "DELETE", "DETACH", "CREATE", "MERGE", "SET",
@@ -159,17 +161,54 @@ def material_properties(materials: DataFrame, edges: DataFrame, name: str) -> Da
     return rows.join(hop("CONTAINS", "standard_code", "chapter_id"), "chapter_id", "left")
 
 
-def cross_reference(articles: DataFrame, types: DataFrame, code1: str, code2: str, topic: str | None = None, k: int = 15) -> DataFrame:
-    """article pairs of two standards: one's content holds the other's title, or both reach one building type.  types:
-    article_id, building_type.  Only the articles of the two standards are paired."""
-    side = lambda code, n: articles.where(F.col("standard_code") == code).select(F.col("article_id").alias(f"article{n}"), F.col("title").alias(f"title{n}"), F.substring("content", 1, 300).alias(f"content{n}"), F.col("content").alias(f"full{n}"))
-    a, b = side(code1, 1), side(code2, 2)
-    if topic:
-        a = a.where(F.lower("full1").contains(topic.lower()))
-    named = a.join(b, F.col("full1").contains(F.col("title2")) | F.col("full2").contains(F.col("title1")))
-    t1, t2 = (types.select(F.col("article_id").alias(f"article{n}"), "building_type") for n in (1, 2))
-    shared = a.join(t1, "article1").join(b.join(t2, "article2"), "building_type").select(*named.columns)
-    return named.union(shared).select("article1", "title1", "content1", "article2", "title2", "content2").distinct().orderBy("article1", "article2").limit(k)
+def requirements_for_topics(articles: DataFrame, reqs: DataFrame, topics: DataFrame) -> DataFrame:
+    """F9 for many topics at once: topic, standard_code, article_id, with the articles' requirements if there are any.  topics: topic; an
+    empty one names nothing."""
+    columns = [c for c in ("content", "title", "section_title", "chapter_title") if c in articles.columns]
+    text = F.concat_ws("\x00", *[F.lower(c) for c in columns])
+    rows = matching.holds(articles.select(F.lit("").alias("grp"), F.col("article_id").cast("string").alias("key"), text.alias("text")), topics.select(F.lit("").alias("grp"), F.lower("topic").alias("phrase")))
+    named = topics.select("topic", F.lower("topic").alias("phrase")).distinct().join(rows, "phrase").select("topic", F.col("key").alias("article_id"))
+    return named.join(articles.select("article_id", "standard_code"), "article_id").join(reqs, "article_id", "left")
+
+
+def _first_of(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    by = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("r_", F.row_number().over(by)).where(F.col("r_") <= k).drop("r_")
+
+
+def cross_reference(articles: DataFrame, types: DataFrame, pairs: DataFrame, topic: str | None = None, k: int = 15) -> DataFrame:
+    """of each pair of standards the first k article pairs, by article1 and article2, where one's content holds the other's title, or both
+    reach one building type; with a topic, one of the two contents must hold it.  articles: standard_code, article_id, title,
+    content; types: article_id, building_type; pairs: code1, code2.  Empty titles name nothing.
+
+    Titles are found by automata, a pair of standards being a group.  Of the articles that reach a building type, only the
+    first k on either side can be among the first k pairs.  With a topic, pairs are made for articles that hold it and the others apart.
+    """
+    pairs = pairs.select("code1", "code2").distinct().withColumn("grp", F.to_json(F.array("code1", "code2")))
+    about = F.lit(True) if topic is None else F.col("content").contains(topic)
+    own = articles.select(F.col("standard_code").alias("code"), F.col("article_id").cast("string").alias("article_id"), "title", "content", F.coalesce(about, F.lit(False)).alias("about"))
+    side = lambda n: pairs.join(own.withColumnRenamed("code", f"code{n}"), f"code{n}").select("grp", *[F.col(c).alias(f"{c}{n}") for c in ("article_id", "title", "content", "about")])
+    a, b = side(1), side(2)
+    ids = lambda df: df.select("grp", "article_id1", "article_id2")
+    found = []
+    for x, y, n, m in ((a, b, 1, 2), (b, a, 2, 1)):
+        held = matching.holds(x.select("grp", F.col(f"article_id{n}").alias("key"), F.col(f"content{n}").alias("text")), y.select("grp", F.col(f"title{m}").alias("phrase")))
+        met = held.withColumnRenamed("key", f"article_id{n}").join(y.select("grp", F.col(f"title{m}").alias("phrase"), f"article_id{m}", f"about{m}"), ["grp", "phrase"])
+        met = met.join(x.select("grp", f"article_id{n}", f"about{n}"), ["grp", f"article_id{n}"]).where("about1 OR about2")
+        found.append(ids(met))
+    kinds = types.select(F.col("article_id").cast("string").alias("article_id"), "building_type").distinct()
+    reach = lambda df, n: df.select("grp", f"article_id{n}", f"about{n}").join(kinds.withColumnRenamed("article_id", f"article_id{n}"), f"article_id{n}")
+    key = ["grp", "building_type", "about1"]
+    one = _first_of(reach(a, 1), key, ["article_id1"], k)
+    two = reach(b, 2)
+    # an article about the topic goes with all others, another one only with those about it
+    every = _first_of(two, ["grp", "building_type"], ["article_id2"], k).withColumn("about1", F.lit(True))
+    only = _first_of(two.where("about2"), ["grp", "building_type"], ["article_id2"], k).withColumn("about1", F.lit(False))
+    found.append(ids(one.join(every.unionByName(only), key)))
+    first = _first_of(reduce(DataFrame.union, found).distinct(), ["grp"], ["article_id1", "article_id2"], k)
+    text = lambda df, n: df.select("grp", f"article_id{n}", f"title{n}", F.substring(f"content{n}", 1, 300).alias(f"content{n}"))
+    out = first.join(text(a, 1), ["grp", "article_id1"]).join(text(b, 2), ["grp", "article_id2"]).join(pairs, "grp")
+    return out.select("code1", "code2", F.col("article_id1").alias("article1"), "title1", "content1", F.col("article_id2").alias("article2"), "title2", "content2")
 
 
 def check_unique_keys(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

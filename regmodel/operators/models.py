@@ -17,7 +17,10 @@ from ..sources.step import named, references_of, text_of, value_of
 # The classes that a complete model holds, in order.
 REQUIRED_CLASSES = ["IfcSite", "IfcBuilding", "IfcBuildingStorey", "IfcSpace", "IfcWall", "IfcSlab", "IfcColumn", "IfcBeam", "IfcDoor", "IfcWindow", "IfcStair"]
 PROPERTY_KEYS = ["Width", "Height", "Length", "Thickness", "Area", "Volume", "FireRating", "IsExternal", "LoadBearing", "Reference"]
-ELEMENT_TYPES = ["IfcWall", "IfcWallStandardCase", "IfcColumn", "IfcBeam", "IfcSlab", "IfcDoor", "IfcWindow", "IfcStair", "IfcRailing", "IfcRoof", "IfcCovering", "IfcCurtainWall", "IfcPlate", "IfcMember", "IfcFooting", "IfcPile"]
+ELEMENT_TYPES = {
+    "IfcWall": "Tường", "IfcWallStandardCase": "Tường", "IfcColumn": "Cột", "IfcBeam": "Dầm", "IfcSlab": "Sàn", "IfcDoor": "Cửa đi", "IfcWindow": "Cửa sổ", "IfcStair": "Cầu thang",
+    "IfcRailing": "Lan can", "IfcRoof": "Mái", "IfcCovering": "Lớp phủ", "IfcCurtainWall": "Tường rèm", "IfcPlate": "Bản thép", "IfcMember": "Thanh", "IfcFooting": "Móng", "IfcPile": "Cọc",
+}
 LABELS = {
     "IfcWall": "Wall", "IfcWallStandardCase": "Wall", "IfcColumn": "Column", "IfcBeam": "Beam", "IfcSlab": "Slab", "IfcDoor": "Door", "IfcWindow": "Window",
     "IfcStair": "Stair", "IfcRoof": "Roof", "IfcFooting": "Footing", "IfcRailing": "Railing", "IfcCurtainWall": "CurtainWall", "IfcPlate": "Plate", "IfcMember": "Member",

@@ -42,12 +42,16 @@ def source_index(df: DataFrame, source: str = "source_id", order: str = "ordinal
     return df.withColumn("source_index", F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1)
 
 
-def upsert_by_source(index: DataFrame, new: DataFrame, replace: bool = True, source: str = "source_id", key: str = "id") -> DataFrame:
-    """All points of the sources in ``new`` are replaced; points without a source replace those of the same id."""
-    fresh = new.dropDuplicates([key]) if not replace else new
+def upsert_by_source(index: DataFrame, new: DataFrame, replace: bool = True, source: str = "source_id", key: str = "id", order: str | None = None) -> DataFrame:
+    """All points of the sources in ``new`` are replaced (not so without ``replace``), and all points of the same id.  Of new points of one
+    id the last by ``order`` stays, a column of new that says when a point came; without it, or where it is equal, the one with the largest hash."""
+    columns = index.columns
+    place = [F.desc_nulls_last(order)] if order else []
+    last = Window.partitionBy(key).orderBy(*place, F.desc(F.xxhash64(*columns)))
+    fresh = new.withColumn("r_", F.row_number().over(last)).where("r_ = 1")
     kept = index.join(new.select(source).where(F.col(source).isNotNull()).distinct(), source, "left_anti") if replace else index
-    kept = kept.join(fresh.select(key).distinct(), key, "left_anti")
-    return kept.select(*index.columns).unionByName(fresh.select(*index.columns))
+    kept = kept.join(new.select(key).distinct(), key, "left_anti")
+    return kept.select(*columns).unionByName(fresh.select(*columns))
 
 
 def prune_sources(index: DataFrame, keep: list[str] | DataFrame, source: str = "source_id") -> DataFrame:

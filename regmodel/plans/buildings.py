@@ -72,7 +72,7 @@ def _step(spark, d):
         texts.append(f'SELECT b, concat("#", b + {n}, "={kind}(\'r\',", own, ",$,$,(", {ids}, "),\\n#", b + {end}, ");") FROM {views["items"]} v WHERE {cond} GROUP BY b, own')
     path = new_path(spark, "step-files")
     sql(spark, d, " UNION ALL ".join(texts)).repartition("b").select("value").write.text(path)  # an order's statements lie in one file
-    return read_step(spark, path)
+    return stored(read_step(spark, path), "statements")  # every relation reads it
 
 
 def _elements(step):
@@ -311,9 +311,15 @@ _BUILDING = ["num_storeys", "storey_height", "footprint_length", "footprint_widt
 _BRIDGE = ["total_length", "num_spans", "deck_width", "num_lanes", "lane_width", "girder_height", "num_girders", "clearance_height"]
 
 
-@query("i1_validate_bounds", f"SELECT 'building' AS kind, * FROM ({_bounds_sql('building', _BUILDING, 'fx_buildings')}) a UNION ALL SELECT 'bridge', * FROM ({_bounds_sql('bridge', _BRIDGE, 'fx_bridges')}) b")
+#: What is moved out of bounds, on some rows.
+_OFF = {"buildings": {"num_storeys": "num_storeys + 100 * (spec_id % 3)", "storey_height": "storey_height - 900 * (spec_id % 4)", "num_staircases": "num_staircases + 4 * (spec_id % 5)"}, "bridges": {"total_length": "total_length * (1 + spec_id % 7)", "num_lanes": "num_lanes + spec_id % 6"}}
+_OFF_SQL = {k: f"(SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in v.items())}) FROM fx_{k})" for k, v in _OFF.items()}
+
+
+@query("i1_validate_bounds", f"SELECT 'building' AS kind, * FROM ({_bounds_sql('building', _BUILDING, _OFF_SQL['buildings'])}) a UNION ALL SELECT 'bridge', * FROM ({_bounds_sql('bridge', _BRIDGE, _OFF_SQL['bridges'])}) b")
 def i1(spark, d):
-    a, b = (specs.validate_bounds(fixture(spark, d, f"fx_{k}s"), k).select(F.lit(k).alias("kind"), "spec_id", "field", "value") for k in ("building", "bridge"))
+    off = lambda k: fixture(spark, d, f"fx_{k}").withColumns({c: F.expr(e) for c, e in _OFF[k].items()})
+    a, b = (specs.validate_bounds(off(f"{k}s"), k).select(F.lit(k).alias("kind"), "spec_id", "field", "value") for k in ("building", "bridge"))
     return a.unionByName(b)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunks, clauses, corpus, kgraph, structure
+from ..operators import chunks, clauses, corpus, kgraph, models, structure
 from ..sources import readers
 from .base import fixture, query, table
 
@@ -391,23 +391,39 @@ def d5(spark, d):
     return reqs.groupBy("std_id", "article_number").agg(F.array_sort(F.collect_list(row)).alias("r")).select("std_id", "article_number", chunks.format_requirements(F.col("r")).alias("text"))
 
 
-@query("d6_chunk_bim", """SELECT model, 'element' AS chunk_type, global_id AS key, concat('Loại: ', ifc_type, CASE WHEN storey <> '' THEN concat(chr(10), 'Tầng: ', storey) ELSE '' END, CASE WHEN material <> '' THEN concat(chr(10), 'Vật liệu: ', material) ELSE '' END) AS text FROM fx_elements
-UNION ALL SELECT model, 'building', model, concat('Công trình ', model, chr(10), string_agg(concat(ifc_type, ': ', CAST(n AS STRING)), chr(10) ORDER BY concat(ifc_type, ': ', CAST(n AS STRING)))) FROM (SELECT model, ifc_type, count(*) AS n FROM fx_elements GROUP BY ALL) t GROUP BY model
-UNION ALL SELECT DISTINCT model, 'space', concat('P', model), concat('Không gian: P', model, chr(10), 'Diện tích: 12.5 m²') FROM fx_elements""")
+_KINDS = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(models.ELEMENT_TYPES.items()))
+#: Models as read from files: no storey in M7, no materials in M8, spaces in every third one.
+_BIM = f"""h AS (SELECT DISTINCT model, concat('Dự án ', model) AS project_name, concat('Nhà ', model) AS building_name FROM fx_elements), el AS (SELECT * REPLACE (CASE WHEN model = 'M8' THEN '' ELSE material END AS material) FROM fx_elements),
+st AS (SELECT model, storey AS name, min(z0) AS z FROM fx_elements WHERE storey <> '' AND model <> 'M7' GROUP BY ALL), sp AS (SELECT model, concat('P', storey) AS name, storey, count(*) % 5 * 2.5 AS area FROM fx_elements WHERE storey <> '' AND CAST(substr(model, 2) AS INT) % 3 = 0 GROUP BY ALL),
+s AS (SELECT model, count(*) AS n, string_agg(concat(chr(10), '  - ', name, ' (cao độ ', CAST(CAST(z AS INT) AS STRING), '.0m)'), '' ORDER BY z) AS t FROM st GROUP BY model),
+k AS (SELECT model, ifc_type, count(*) AS n FROM el GROUP BY ALL), c AS (SELECT model, sum(n) AS n, string_agg(concat(chr(10), '  - ', v, ' (', ifc_type, '): ', CAST(n AS STRING)), '' ORDER BY i) AS t FROM k JOIN (VALUES {_KINDS}) q(i, ifc_type, v) USING (ifc_type) GROUP BY model),
+m AS (SELECT model, count(*) AS n, string_agg(concat(chr(10), '  - ', material), '' ORDER BY material) AS t FROM (SELECT DISTINCT model, material FROM el WHERE material <> '') z GROUP BY model),
+r AS (SELECT model, count(*) AS n, string_agg(concat(chr(10), '  - ', name, CASE WHEN area > 0 THEN printf(' — %.1fm²', area) ELSE '' END, ' [', storey, ']'), '' ORDER BY name) AS t FROM sp GROUP BY model),
+d7 AS (SELECT model, concat('Dự án: ', project_name, chr(10), 'Công trình: ', building_name, chr(10), 'Schema: IFC4', chr(10), 'Số tầng: ', CAST(coalesce(s.n, 0) AS STRING), coalesce(s.t, ''), chr(10), chr(10), 'Tổng số cấu kiện: ', CAST(c.n AS STRING), c.t,
+  CASE WHEN m.n > 0 THEN concat(chr(10), chr(10), 'Vật liệu sử dụng (', CAST(m.n AS STRING), '):', m.t) ELSE '' END, CASE WHEN r.n > 0 THEN concat(chr(10), chr(10), 'Không gian (', CAST(r.n AS STRING), '):', r.t) ELSE '' END) AS text
+  FROM h JOIN c USING (model) LEFT JOIN s USING (model) LEFT JOIN m USING (model) LEFT JOIN r USING (model))"""
+
+
+def _bim(spark, d):
+    e = fixture(spark, d, "fx_elements").withColumn("material", F.when(F.col("model") == "M8", "").otherwise(F.col("material")))
+    heads = e.select("model").distinct().select("model", F.concat(F.lit("Dự án "), "model").alias("project_name"), F.concat(F.lit("Nhà "), "model").alias("building_name"), F.lit("IFC4").alias("schema"))
+    storeys = e.where("storey <> '' AND model <> 'M7'").groupBy("model", F.col("storey").alias("name")).agg(F.min("z0").alias("elevation")).withColumn("position", F.col("elevation"))
+    spaces = e.where("storey <> '' AND CAST(substr(model, 2) AS INT) % 3 = 0").groupBy("model", "storey").agg((F.count("*") % 5 * 2.5).alias("area")).withColumn("name", F.concat(F.lit("P"), "storey")).withColumn("position", F.col("name"))
+    door = F.col("ifc_type") == "IfcDoor"
+    e = e.withColumns({"name": F.concat(F.lit("N"), "global_id"), "properties": F.when(door, F.create_map(F.lit("Width"), F.lit("0.9"), F.lit("IsExternal"), F.lit("true"))).otherwise(F.expr("CAST(map() AS MAP<STRING, STRING>)"))})
+    return heads, storeys, e, spaces
+
+
+@query("d6_chunk_bim", f"""WITH {_BIM} SELECT model, 'element' AS chunk_type, global_id AS key, concat('[Nhà ', model, '] ', ifc_type, ': N', global_id, CASE WHEN storey <> '' THEN concat(chr(10), 'Tầng: ', storey) ELSE '' END, CASE WHEN material <> '' THEN concat(chr(10), 'Vật liệu: ', material) ELSE '' END,
+  CASE WHEN ifc_type = 'IfcDoor' THEN concat(chr(10), 'Width: 0.9', chr(10), 'IsExternal: true') ELSE '' END) AS text FROM el
+UNION ALL SELECT model, 'space', name, concat('[Nhà ', model, '] Không gian: ', name, chr(10), 'Tầng: ', storey, chr(10), 'Diện tích: ', printf('%.1f', area), ' m²') FROM sp UNION ALL SELECT model, 'building_summary', model, text FROM d7""")
 def d6(spark, d):
-    e = fixture(spark, d, "fx_elements")
-    spaces = e.select("model").distinct().select("model", F.concat(F.lit("P"), F.col("model")).alias("name"), F.lit(12.5).alias("area"))
-    return chunks.chunk_bim(e, spaces)
+    return chunks.chunk_bim(*_bim(spark, d))
 
 
-@query("d7_model_summary", """WITH s AS (SELECT model, storey, min(z0) AS z FROM fx_elements WHERE storey <> '' GROUP BY ALL), a AS (SELECT model, count(*) AS n, string_agg(concat('- ', storey, ' (', printf('%.1f', z), ' m)'), chr(10) ORDER BY z, storey) AS t FROM s GROUP BY model),
-c AS (SELECT model, string_agg(concat('- ', ifc_type, ': ', CAST(n AS STRING)), chr(10) ORDER BY ifc_type) AS t FROM (SELECT model, ifc_type, count(*) AS n FROM fx_elements GROUP BY ALL) q GROUP BY model),
-m AS (SELECT model, string_agg(DISTINCT material, ', ' ORDER BY material) AS t FROM fx_elements WHERE material <> '' GROUP BY model)
-SELECT model, concat('Tầng: ', CAST(a.n AS STRING), chr(10), a.t, chr(10), 'Cấu kiện:', chr(10), c.t, chr(10), 'Vật liệu: ', coalesce(m.t, '')) AS text FROM a JOIN c USING (model) LEFT JOIN m USING (model)""")
+@query("d7_model_summary", f"WITH {_BIM} SELECT * FROM d7")
 def d7(spark, d):
-    e = fixture(spark, d, "fx_elements")
-    storeys = e.where("storey <> ''").groupBy("model", F.col("storey").alias("name")).agg(F.min("z0").alias("elevation"))
-    return chunks.model_summary(storeys, e)
+    return chunks.model_summary(*_bim(spark, d))
 
 
 # --- the flagship -----------------------------------------------------------------------------------------------------
