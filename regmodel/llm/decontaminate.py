@@ -61,9 +61,10 @@ def _rolling(values: list[int], start: int, end: int, size: int, drop: int) -> I
 def tiles(item: list[int], text: list[int], bounds: list[int], least: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in text, words) of the tiles, none of which overlap.
 
-    One pass looks for matches of at least ``size`` words and extends them; a longer match than twice the size starts the
-    pass again at its length; matches are marked from the longest on, then the size is halved.  Of equally long matches
-    the first in the item and then in the text is taken.
+    One pass looks for matches of at least ``size`` words; only such are kept whose words before differ (or are marked, or lie in
+    another region), so that there is one for each stretch that agrees, however often a word repeats.  A longer match than twice the size
+    starts the pass again at its length; matches are marked from the longest on, then the size is halved.  Of equally long
+    matches the first in the item and then in the text is taken.  What earlier tiles leave of a match waits until its own length is due.
     """
     in_item, in_text = [False] * len(item), [False] * len(text)
     found: list[tuple[int, int, int]] = []
@@ -71,18 +72,23 @@ def tiles(item: list[int], text: list[int], bounds: list[int], least: int = MIN_
     while True:
         drop = pow(_ROLL, size - 1, 1 << 64)
         table: dict[int, list[int]] = {}
-        for s, e in _runs(in_text, bounds, size):
+        runs = list(_runs(in_text, bounds, size))
+        for s, e in runs:
             for place, h in _rolling(text, s, e, size, drop):
                 table.setdefault(h, []).append(place)
-        ends = {}
-        for s, e in _runs(in_text, bounds, size):
+        ends, starts = {}, set()
+        for s, e in runs:
             ends.update(dict.fromkeys(range(s, e), e))
+            starts.add(s)
         matches, longest = [], 0
         for s, e in _runs(in_item, [0, len(item)], size):
             for a, h in _rolling(item, s, e, size, drop):
+                before = item[a - 1] if a > s else None
                 for b in table.get(h, ()):
-                    k = 0
-                    while a + k < e and b + k < ends[b] and item[a + k] == text[b + k]:
+                    if before is not None and text[b - 1] == before and b not in starts:
+                        continue  # part of the match that begins a word earlier
+                    k, most = 0, min(e - a, ends[b] - b)
+                    while k < most and item[a + k] == text[b + k]:
                         k += 1
                     if k >= size:
                         matches.append((-k, a, b))
@@ -93,16 +99,20 @@ def tiles(item: list[int], text: list[int], bounds: list[int], least: int = MIN_
         heapq.heapify(matches)
         while matches:
             k, a, b = heapq.heappop(matches)
-            live = 0
-            while live < -k and not in_item[a + live] and not in_text[b + live]:
-                live += 1
-            if live < -k:  # an earlier tile took its end: it waits until its new length is due
-                if live >= size:
-                    heapq.heappush(matches, (-live, a, b))
+            free = [i for i in range(-k) if not (in_item[a + i] or in_text[b + i])]
+            if len(free) == -k:
+                in_item[a : a - k] = [True] * -k
+                in_text[b : b - k] = [True] * -k
+                found.append((a, b, -k))
                 continue
-            in_item[a : a + live] = [True] * live
-            in_text[b : b + live] = [True] * live
-            found.append((a, b, live))
+            at = 0
+            while at < len(free):  # stretches that no earlier tile took
+                to = at
+                while to + 1 < len(free) and free[to + 1] == free[to] + 1:
+                    to += 1
+                if to + 1 - at >= size:
+                    heapq.heappush(matches, (at - to - 1, a + free[at], b + free[at]))
+                at = to + 1
         if size == least:
             return found
         size = max(least, size // 2)

@@ -36,12 +36,16 @@ DEFAULT = "allow"
 SAMPLE_PER_RANGE = 64
 
 
+def lower(host: Column) -> Column:
+    """A-Z only: other letters of a host are told apart."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_path(url: Column) -> tuple[Column, Column]:
     url = F.coalesce(url, F.lit(""))
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    return lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
 def reversed_host(host: Column) -> Column:
@@ -49,31 +53,46 @@ def reversed_host(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
+class _Open:
+    """The rules of an open interval, by their paths: of each path the verdict that comes first, and the paths' lengths, falling."""
+
+    def __init__(self, key: str, host: str):
+        self.key, self.host, self.rules, self.lengths = key, host, {}, []
+
+    def add(self, path: str, verdict: str, rule: str) -> None:
+        at = bisect_left(self.lengths, -len(path))
+        if at == len(self.lengths) or self.lengths[at] != -len(path):
+            self.lengths.insert(at, -len(path))
+        self.rules[path] = min(self.rules.get(path, (verdict, rule)), (verdict, rule))
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        """Verdict and rule of the longest path that a path starts with: one look for each length, however many rules there are."""
+        for n in self.lengths[bisect_left(self.lengths, -len(path)) :]:
+            found = self.rules.get(path[:-n] if n else "")
+            if found:
+                return found
+        return None
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_: list[tuple[str, list[tuple[int, str, str, str]]]] = []  # key of the interval, its rules: longest first
+    open_: list[_Open] = []
     for batch in batches:
         pages, hosts, paths, rules, verdicts = [], [], [], [], []
         for key, kind, path, verdict, rule, page, host in zip(*(batch.column(k).to_pylist() for k in range(1, 8)), strict=True):
-            while open_ and not key.startswith(open_[-1][0]):
+            while open_ and not key.startswith(open_[-1].key):
                 open_.pop()
             if kind == 0:
-                if not open_ or open_[-1][0] != key:
-                    open_.append((key, []))
-                open_[-1][1].append((-len(rule), path, verdict, rule))
-                open_[-1][1].sort()
+                if not open_ or open_[-1].key != key:
+                    open_.append(_Open(key, host))
+                open_[-1].add(path, verdict, rule)
                 continue
-            best = None
-            for _, mine in reversed(open_):
-                for found in mine:
-                    if path.startswith(found[1]):
-                        if best is None or found[0] < best[0]:
-                            best = found
-                        break
+            fits = [(-len(found[1]), mine.host, *found) for mine in open_ if (found := mine.longest(path))]
+            best = min(fits)[2:] if fits else None
             pages.append(page)
             hosts.append(host)
             paths.append(path)
-            rules.append(best and best[3])
-            verdicts.append(best and best[2])
+            rules.append(best and best[1])
+            verdicts.append(best and best[0])
         if pages:
             yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), *(pa.array(x, pa.string()) for x in (hosts, paths, rules, verdicts))], names=["page_id", "host", "path", "rule", "verdict"])
 
@@ -85,7 +104,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_c
     host, path = host_path(F.col(f"`{url_col}`"))
     urls = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("key", reversed_host(F.col("host")))
-    rules = rules.select("verdict", F.lower("host").alias("host"), "path").where(F.col("host") != "").distinct()
+    rules = rules.select("verdict", lower(F.col("host")).alias("host"), "path").where(F.col("host") != "").distinct()
     rules = rules.withColumn("key", reversed_host(F.col("host")))
 
     order = ["key", "path", "page_id"]

@@ -119,3 +119,15 @@ def test_url_rules(spark):
     assert got == Counter((i if i % 50 else None, *brute(u, rules, "allow")) for i, u in enumerate(urls))
     assert url_rules.apply_rules(pages.limit(0), table).count() == 0
     assert url_rules.apply_rules(pages, table.limit(0)).where("verdict <> 'allow'").count() == 0
+
+
+def test_url_rules_of_many_paths_and_other_letters(spark):
+    """Equally long rules of nested hosts go by host; only A-Z are lower-cased; a host of many rules is one look a length."""
+    rules = [("block", "\u00c9x.org", "/"), ("block", "z.org", "/ab"), ("allow", "org", "/abcd"), ("block", "a.org", "/ab"), *(("block", "big.net", f"/p{i}") for i in range(30_000))]
+    urls = ["http://\u00c9X.org/a", "http://\u00e9x.org/a", "http://z.org/abcde", "http://a.org/abcde", "http://big.net/p29999/x", "http://big.net/p2999x", "http://big.net/q"] + [f"http://big.net/p{i}" for i in range(3000)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    table = spark.createDataFrame([(*r, 1, "x") for r in rules], "verdict string, host string, path string, page_id int, url string")
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_rules.apply_rules(pages, table, "none").collect()}
+    assert got[0] == ("\u00c9x.org", "\u00c9x.org/", "block") and got[1][1:] == (None, "none")
+    assert got[2][1:] == ("org/abcd", "allow") and got[3][1:] == ("a.org/ab", "block")
+    assert got[4][1] == "big.net/p29999" and got[5][1] == "big.net/p2999" and got[6][1] is None and all(got[7 + i][1] == f"big.net/p{i}" for i in range(3000))
