@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
@@ -78,22 +78,27 @@ def validate_program(rooms: DataFrame, floors: DataFrame, lots: DataFrame, kinds
     return reduce(DataFrame.unionByName, rows)
 
 
-def floor_connectivity(rooms: DataFrame, first: str = "r1") -> DataFrame:
-    """Rooms that the first room of their floor can't reach over adjacency, in either direction.  rooms: program, room_id,
-    adjacent_to (one a row, or null).  The reached set grows by joins until it stands still."""
-    ids = rooms.select("program", "room_id").distinct()
-    one = rooms.where("adjacent_to IS NOT NULL").select("program", F.col("room_id").alias("a"), F.col("adjacent_to").alias("b"))
-    edges = stored(one.union(one.select("program", "b", "a")).distinct(), "adjacency")
-    # labels spread to the smaller one and jump to the label's label, so that chains take few rounds
-    labels = stored(ids.withColumn("label", F.when(F.col("room_id") == first, F.lit("")).otherwise(F.col("room_id"))), "labels")
+def floor_connectivity(rooms: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+    """Program, floor_idx, room_id of what the first room of its floor (by position) can't reach over adjacency, in either direction.
+    rooms: program, floor_idx, room_id, position, adjacent_to (array); floors: program, floor_idx, has_stair: a stair is a room
+    "stair".  Labels spread to the smaller one and jump to the label's label until nothing moves, which the write itself counts."""
+    c, key = F.col, ["program", "floor_idx"]
+    first = rooms.groupBy(*key).agg(F.min_by("room_id", "position").alias("first"))
+    ids = rooms.select(*key, "room_id").distinct()
+    if floors is not None:
+        ids = ids.unionByName(floors.where("has_stair").select(*key, F.lit("stair").alias("room_id"))).distinct()
+    one = rooms.select(*key, c("room_id").alias("a"), F.explode("adjacent_to").alias("b"))
+    edges = stored(one.union(one.select(*key, "b", "a")).distinct(), "adjacency")
+    labels = stored(ids.join(first, key).select(*key, "room_id", F.when(c("room_id") == c("first"), "").otherwise(c("room_id")).alias("label")), "labels")
     while True:
-        near = edges.join(labels.select("program", F.col("room_id").alias("b"), F.col("label").alias("l")), ["program", "b"]).groupBy("program", F.col("a").alias("room_id")).agg(F.min("l").alias("l"))
-        step = labels.join(near, ["program", "room_id"], "left").select("program", "room_id", "label", F.least("label", "l").alias("next"))
-        jump = step.groupBy("program", "label").agg(F.min("next").alias("to"))
-        new = stored(step.join(jump, ["program", "label"]).select("program", "room_id", F.least("next", "to").alias("label"), (F.least("next", "to") != F.col("label")).alias("moved")), "labels")
-        labels = new.select("program", "room_id", "label")
-        if not new.where("moved").limit(1).count():
-            return labels.where("label <> ''").select("program", "room_id")
+        near = edges.join(labels.select(*key, c("room_id").alias("b"), c("label").alias("l")), [*key, "b"]).groupBy(*key, c("a").alias("room_id")).agg(F.min("l").alias("l"))
+        step = labels.join(near, [*key, "room_id"], "left").select(*key, "room_id", "label", F.least("label", "l").alias("next"))
+        jump = step.groupBy(*key, "label").agg(F.min("next").alias("to"))
+        moved = Observation()
+        new = step.join(jump, [*key, "label"]).select(*key, "room_id", F.least("next", "to").alias("new_"), "label")
+        labels = stored(new.observe(moved, F.count_if(c("new_") != c("label")).alias("n")).select(*key, "room_id", c("new_").alias("label")), "labels")
+        if not moved.get["n"]:
+            return labels.where("label <> ''").select(*key, "room_id")
 
 
 def light_well_continuity(rooms: DataFrame, floors: DataFrame) -> DataFrame:
@@ -110,41 +115,119 @@ def typical_floors(rooms: DataFrame, columns: list[str]) -> DataFrame:
     return signed.withColumn("same_as", F.min("floor_idx").over(Window.partitionBy("program", "sign"))).drop("sign")
 
 
+_RECT = ("room_id", "x_mm", "y_mm", "w_mm", "d_mm")
+
+
 def _pairs(rects: DataFrame) -> DataFrame:
-    a, b = (rects.select("program", "floor_idx", *[F.col(c).alias(f"{p}_{c}") for c in ("room_id", "x_mm", "y_mm", "w_mm", "d_mm")]) for p in "ab")
+    a, b = (rects.select("program", "floor_idx", *[F.col(c).alias(f"{p}_{c}") for c in _RECT]) for p in "ab")
     return a.join(b, ["program", "floor_idx"]).where("a_room_id < b_room_id")
 
 
-def shared_segments(rects: DataFrame) -> DataFrame:
-    """The wall that two rectangles of a floor share: orient, c, lo, hi; an upright one first, positive lengths only."""
+def shared_segment() -> Column:
+    """The wall that rectangles a and b (columns a_x_mm and so on) share: orient, c, lo, hi; an upright one first, positive lengths only, else null."""
     lo = lambda n: F.greatest(f"a_{n}", f"b_{n}")
     hi = lambda n, s: F.least(F.col(f"a_{n}") + F.col(f"a_{s}"), F.col(f"b_{n}") + F.col(f"b_{s}"))
     meet = lambda n, s: F.when(F.col(f"a_{n}") + F.col(f"a_{s}") == F.col(f"b_{n}"), F.col(f"b_{n}")).when(F.col(f"b_{n}") + F.col(f"b_{s}") == F.col(f"a_{n}"), F.col(f"a_{n}"))
     wall = lambda o, n, s, m, t: F.when(meet(n, s).isNotNull() & (lo(m) < hi(m, t)), F.struct(F.lit(o).alias("orient"), meet(n, s).alias("c"), lo(m).alias("lo"), hi(m, t).alias("hi")))
-    found = F.coalesce(wall("v", "x_mm", "w_mm", "y_mm", "d_mm"), wall("h", "y_mm", "d_mm", "x_mm", "w_mm"))
-    return _pairs(rects).withColumn("s", found).where("s IS NOT NULL").select("program", "floor_idx", F.col("a_room_id").alias("room_a"), F.col("b_room_id").alias("room_b"), "s.*")
-
-
-def layout_violations(rects: DataFrame, width_mm: int, depth_mm: int, grid_mm: int = 100, max_aspect: float = 4.0, min_width_mm: int = 1000) -> DataFrame:
-    """Program, floor_idx, rule, room_a, room_b: grid, bounds, least width, aspect, overlaps, and floors that rooms don't cover."""
-    c = F.col
-    row = lambda df, rule, a="room_id", b=None: df.select("program", "floor_idx", F.lit(rule).alias("rule"), (c(a) if a else F.lit(None).cast("string")).alias("room_a"), (c(b) if b else F.lit(None).cast("string")).alias("room_b"))
-    off = reduce(Column.__or__, [c(n) % grid_mm != 0 for n in ("x_mm", "y_mm", "w_mm", "d_mm")])
-    out = (c("x_mm") < 0) | (c("y_mm") < 0) | (c("x_mm") + c("w_mm") > width_mm) | (c("y_mm") + c("d_mm") > depth_mm)
-    narrow = F.least("w_mm", "d_mm") < min_width_mm
-    aspect = F.greatest("w_mm", "d_mm") > max_aspect * F.least("w_mm", "d_mm")
+    return F.coalesce(wall("v", "x_mm", "w_mm", "y_mm", "d_mm"), wall("h", "y_mm", "d_mm", "x_mm", "w_mm"))
+
+
+def shared_segments(rects: DataFrame) -> DataFrame:
+    """The wall that two rectangles of a floor share."""
+    return _pairs(rects).withColumn("s", shared_segment()).where("s IS NOT NULL").select("program", "floor_idx", F.col("a_room_id").alias("room_a"), F.col("b_room_id").alias("room_b"), "s.*")
+
+
+def adjacency(rooms: DataFrame) -> DataFrame:
+    """program, floor_idx, a, b of the rooms that must share a wall, each pair once with a < b.  rooms: adjacent_to (array)."""
+    one = rooms.select("program", "floor_idx", "room_id", F.explode("adjacent_to").alias("o"))
+    return one.select("program", "floor_idx", F.least("room_id", "o").alias("a"), F.greatest("room_id", "o").alias("b")).distinct()
+
+
+def layout_violations(rects: DataFrame, rooms: DataFrame, lots: DataFrame, kinds: DataFrame, connections: DataFrame | None = None, grid_mm: int = 100) -> DataFrame:
+    """Program, floor_idx (null: several floors), rule, room_a, room_b of everything that a layout breaks.
+
+    rects: program, floor_idx, room_id ("stair" for the stair), x_mm, y_mm, w_mm, d_mm; rooms, the program: program, floor_idx, room_id,
+    kind, min_width_m, min_area_m2, max_aspect, needs_daylight, entrance, projecting, adjacent_to (a null limit is none); lots: program,
+    x0_mm, y0_mm, x1_mm, y1_mm (what may be built on; y0 is the street's side), projection_mm, min_shared_mm, stair_w_mm, stair_d_mm
+    (null: no stair); kinds: kind, outdoor, light_well, tens of rows; connections: program, floor_idx, a, b, x0_mm, y0_mm, x1_mm, y1_mm.
+    """
+    c, key = F.col, ["program", "floor_idx"]
+    none = F.lit(None).cast("string")
+    row = lambda df, rule, a=none, b=none, floor=c("floor_idx"): df.select("program", floor.cast("int").alias("floor_idx"), F.lit(rule).alias("rule"), a.alias("room_a"), b.alias("room_b"))
+    rid, many = c("room_id"), F.lit(None)
+    yes = lambda n: F.coalesce(c(n), F.lit(False))
+    known = rooms.join(kinds.select("kind", "outdoor", "light_well"), "kind", "left")
+    floors = rooms.select(*key).distinct()
+    wanted = rooms.select(*key, "room_id").unionByName(floors.join(lots.where("stair_w_mm IS NOT NULL").select("program"), "program").select(*key, F.lit("stair").alias("room_id")))
+    pairs = adjacency(rooms)
+    # a room is lit by a neighbour in the open or over a light well
+    open_ = known.where(yes("outdoor") | yes("light_well")).select(*key, rid.alias("n_"))
+    ways = pairs.select(*key, c("a").alias("room_id"), c("b").alias("n_")).union(pairs.select(*key, "b", "a"))
+    lit = ways.join(open_, [*key, "n_"]).select(*key, "room_id").distinct().withColumn("lit", F.lit(True))
+    at = rects.join(known, [*key, "room_id"], "left").join(lit, [*key, "room_id"], "left").join(lots, "program")
+    front, back, out = c("y_mm") == c("y0_mm"), c("y_mm") + c("d_mm") == c("y1_mm"), yes("projecting")
+    short, long = F.least("w_mm", "d_mm"), F.greatest("w_mm", "d_mm")
+    broken = {
+        "grid": reduce(Column.__or__, [c(n) % grid_mm != 0 for n in ("x_mm", "y_mm", "w_mm", "d_mm")]),
+        "bounds": ~out & ((c("w_mm") <= 0) | (c("d_mm") <= 0) | (c("x_mm") < c("x0_mm")) | (c("y_mm") < c("y0_mm")) | (c("x_mm") + c("w_mm") > c("x1_mm")) | (c("y_mm") + c("d_mm") > c("y1_mm"))),
+        "projection": out & ((c("w_mm") <= 0) | (c("x_mm") < c("x0_mm")) | (c("x_mm") + c("w_mm") > c("x1_mm")) | (c("y_mm") != c("y0_mm") - c("projection_mm")) | (c("d_mm") != c("projection_mm"))),
+        "width": short < F.bround(c("min_width_m") * 1000),
+        "area": c("w_mm").cast("double") * c("d_mm") < c("min_area_m2") * 1e6 - 1,
+        "aspect": long > c("max_aspect") * short + 1e-6,
+        "outdoor": yes("outdoor") & ~(front | back | out),
+        "entrance": yes("entrance") & ~front,
+        "daylight": yes("needs_daylight") & ~yes("outdoor") & ~(yes("lit") | front | back),
+        "stair_size": (rid == "stair") & ((c("w_mm") != c("stair_w_mm")) | (c("d_mm") != c("stair_d_mm"))),
+    }
+    rules = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in broken.items()]))
+    own = at.select("program", c("floor_idx").cast("int").alias("floor_idx"), F.explode(rules).alias("rule"), rid.alias("room_a"), none.alias("room_b"))
+    place = F.struct("x_mm", "y_mm", "w_mm", "d_mm")
+    stairs = rects.where("room_id = 'stair'").groupBy("program").agg(F.count_distinct(place).alias("n")).where("n > 1")
+    wells = rects.join(known.where(yes("light_well")).select(*key, "room_id"), [*key, "room_id"])
+    crooked = wells.groupBy("program", "room_id").agg(F.count_distinct(place).alias("n")).where("n > 1")
     over = _pairs(rects).where("a_x_mm < b_x_mm + b_w_mm AND b_x_mm < a_x_mm + a_w_mm AND a_y_mm < b_y_mm + b_d_mm AND b_y_mm < a_y_mm + a_d_mm")
-    bare = rects.groupBy("program", "floor_idx").agg(F.sum(c("w_mm").cast("long") * c("d_mm")).alias("area")).where(c("area") != width_mm * depth_mm)
-    rows = [row(rects.where(off), "grid"), row(rects.where(out), "bounds"), row(rects.where(narrow), "width"), row(rects.where(aspect), "aspect"), row(over, "overlap", "a_room_id", "b_room_id"), row(bare, "cover", None)]
-    return reduce(DataFrame.unionByName, rows)
+    size = F.when(~out, c("w_mm").cast("long") * c("d_mm"))
+    bare = at.groupBy(*key).agg(F.coalesce(F.sum(size), F.lit(0)).alias("have"), F.first((c("x1_mm") - c("x0_mm")).cast("long") * (c("y1_mm") - c("y0_mm"))).alias("need")).where("have <> need")
+    side = lambda p, n: rects.select(*key, *[c(x).alias(f"{p}_{x}") for x in _RECT]).withColumnRenamed(f"{p}_room_id", n)
+    walls = pairs.join(side("a", "a"), [*key, "a"]).join(side("b", "b"), [*key, "b"]).withColumn("s", shared_segment()).join(lots.select("program", "min_shared_mm"), "program")
+    parts = [
+        own,
+        row(wanted.join(rects, [*key, "room_id"], "left_anti"), "missing", rid),
+        row(rects.join(wanted, [*key, "room_id"], "left_anti"), "unknown", rid),
+        row(over, "overlap", c("a_room_id"), c("b_room_id")),
+        row(bare, "cover"),
+        row(stairs, "stair_aligned", floor=many),
+        row(crooked, "well_aligned", rid, floor=many),
+        row(light_well_continuity(known.where(yes("light_well")), floors), "well_floors", rid),
+        row(walls.where(F.coalesce(c("s.hi") - c("s.lo"), F.lit(0)) < c("min_shared_mm")), "shared", c("a"), c("b")),
+    ]
+    if connections is not None:
+        parts.append(row(pairs.join(connections, [*key, "a", "b"], "left_anti"), "connection_missing", c("a"), c("b")))
+        parts.append(row(connections.join(pairs, [*key, "a", "b"], "left_anti"), "connection_extra", c("a"), c("b")))
+        upright = c("s.orient") == "v"
+        told = F.struct("x0_mm", "y0_mm", "x1_mm", "y1_mm")
+        real = F.struct(F.when(upright, c("s.c")).otherwise(c("s.lo")).alias("x0_mm"), F.when(upright, c("s.lo")).otherwise(c("s.c")).alias("y0_mm"), F.when(upright, c("s.c")).otherwise(c("s.hi")).alias("x1_mm"), F.when(upright, c("s.hi")).otherwise(c("s.c")).alias("y1_mm"))
+        parts.append(row(walls.join(connections, [*key, "a", "b"]).where(c("s").isNotNull() & (told != real)), "connection_wall", c("a"), c("b")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def area_feasibility(rooms: DataFrame, lots: DataFrame) -> DataFrame:
-    """Programs whose least areas don't fit the lot, in m² or in whole cells of 0.1 m.  rooms: program, min_area_m2; lots:
-    program, width_m, depth_m."""
-    need = rooms.groupBy("program").agg(F.sum("min_area_m2").alias("need_m2"), F.sum(F.ceil(F.round(F.col("min_area_m2") * 100, 6))).alias("need_cells"))
-    have = lots.select("program", (F.col("width_m") * F.col("depth_m")).alias("have_m2"), (F.round(F.col("width_m") * 10) * F.round(F.col("depth_m") * 10)).cast("long").alias("have_cells"))
-    return need.join(have, "program").where((F.col("need_m2") > F.col("have_m2") + 1e-9) | (F.col("need_cells") > F.col("have_cells")))
+    """Floors that can't hold their rooms' least areas and the stair, in m² or in whole cells of 0.1 m (rule "area"), lots without ground to
+    build on ("lot") and stairs larger than it ("stair"): program, floor_idx (null for a lot's rule), rule, need_m2, have_m2.
+    rooms: program, floor_idx, min_area_m2, projecting (such a room takes no ground); lots: program, width_m, depth_m, front_setback_m,
+    back_setback_m, stair_width_m, stair_length_m (null: no stair)."""
+    c, g = F.col, lambda x: F.bround(x * 10).cast("long")
+    wide, deep = g(c("width_m")), g(c("depth_m") - c("back_setback_m")) - g(c("front_setback_m"))
+    stair_w, stair_d = (F.coalesce(g(c(n)), F.lit(0)) for n in ("stair_width_m", "stair_length_m"))
+    lots = lots.select("program", wide.alias("wide"), deep.alias("deep"), stair_w.alias("sw"), stair_d.alias("sd"), F.coalesce(c("stair_width_m") * c("stair_length_m"), F.lit(0.0)).alias("stair_m2")).withColumn("cells", c("wide") * c("deep"))
+    area = F.when(~F.coalesce(c("projecting"), F.lit(False)), F.coalesce("min_area_m2", F.lit(0.0)))
+    need = rooms.groupBy("program", "floor_idx").agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("m2"), F.coalesce(F.sum(F.ceil(area * 100 - 1e-9)), F.lit(0)).alias("n"))
+    at = need.join(lots, "program").withColumns({"need_m2": c("m2") + c("stair_m2"), "have_m2": c("cells") / 100})
+    small = at.where((c("cells") > 0) & ((c("need_m2") > c("have_m2") + 1e-9) | (c("n") + c("sw") * c("sd") > c("cells"))))
+    whole = lots.withColumns({"need_m2": c("stair_m2"), "have_m2": c("cells") / 100})
+    row = lambda df, rule, floor: df.select("program", floor.cast("int").alias("floor_idx"), F.lit(rule).alias("rule"), "need_m2", "have_m2")
+    none = (c("wide") <= 0) | (c("deep") <= 0)
+    return row(small, "area", c("floor_idx")).unionByName(row(whole.where(none), "lot", F.lit(None))).unionByName(row(whole.where(~none & ((c("sw") > c("wide")) | (c("sd") > c("deep")))), "stair", F.lit(None)))
 
 
 def merge_intervals(df: DataFrame, group: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -170,40 +253,85 @@ def area_deviation(rects: DataFrame, targets: DataFrame) -> DataFrame:
     return rects.join(targets.select("program", "room_id", "target_area_m2"), ["program", "room_id"]).groupBy("program").agg(F.round(F.sum(F.abs(area - F.col("target_area_m2"))), 6).alias("deviation"))
 
 
-def wall_segments(rects: DataFrame, width_mm: int, depth_mm: int, outer: int = 200, inner: int = 100) -> DataFrame:
-    """Program, floor_idx, orient, c, a, b, is_ext, thick: room edges merged along each line and cut where lines across it
-    reach or cross it."""
-    c = F.col
-    edge = lambda o, at, lo, hi: rects.select("program", "floor_idx", F.lit(o).alias("orient"), at.alias("c"), lo.alias("lo"), hi.alias("hi"))
+def wall_segments(rects: DataFrame, lots: DataFrame, axes: DataFrame | None = None, outer: int = 200, inner: int = 100) -> DataFrame:
+    """Program, floor_idx, orient, c, a, b, is_ext, thick: room edges merged along each line and cut where lines across it reach or
+    cross it, on the outer walls along the depth at the column axes too.  A room in the open has no wall on the front or back edge
+    of what is built on, and one that projects over the street only its back wall.  rects: also outdoor (null: no); lots: program, x0_mm, y0_mm,
+    x1_mm, y1_mm; axes: program, pos_mm along the depth."""
+    c, key = F.col, ["program", "floor_idx"]
+    box = ["x0_mm", "y0_mm", "x1_mm", "y1_mm"]
+    rows = rects.join(lots.select("program", *box), "program")
+    open_ = F.coalesce(c("outdoor"), F.lit(False)) if "outdoor" in rects.columns else F.lit(False)
+    ahead = c("y_mm") < c("y0_mm")
     x, y, xe, ye = c("x_mm"), c("y_mm"), c("x_mm") + c("w_mm"), c("y_mm") + c("d_mm")
-    lines = merge_intervals(reduce(DataFrame.unionByName, [edge("v", x, y, ye), edge("v", xe, y, ye), edge("h", y, x, xe), edge("h", ye, x, xe)]), ["program", "floor_idx", "orient", "c"])
-    across = lines.select("program", "floor_idx", F.when(c("orient") == "v", "h").otherwise("v").alias("orient"), c("c").alias("cut"), c("lo").alias("clo"), c("hi").alias("chi"))
-    cuts = lines.join(across, ["program", "floor_idx", "orient"]).where("cut BETWEEN lo AND hi AND c BETWEEN clo AND chi").select(*lines.columns, "cut")
-    ends = cuts.unionByName(lines.withColumn("cut", c("lo"))).unionByName(lines.withColumn("cut", c("hi"))).distinct()
-    by = Window.partitionBy("program", "floor_idx", "orient", "c", "lo", "hi").orderBy("cut")
-    out = F.when(c("orient") == "v", (c("c") == 0) | (c("c") == width_mm)).otherwise((c("c") == 0) | (c("c") == depth_mm))
-    return ends.withColumn("b", F.lead("cut").over(by)).where("b IS NOT NULL").select("program", "floor_idx", "orient", "c", c("cut").alias("a"), "b", out.alias("is_ext"), F.when(out, outer).otherwise(inner).alias("thick"))
+    edge = lambda o, at, lo, hi, there: F.when(there, F.struct(F.lit(o).alias("orient"), at.alias("c"), lo.alias("lo"), hi.alias("hi")))
+    edges = F.array(
+        edge("h", y, x, xe, ~ahead & ~(open_ & (y == c("y0_mm")))), edge("h", ye, x, xe, ahead | ~(open_ & (ye == c("y1_mm")))),
+        edge("v", x, y, ye, ~ahead), edge("v", xe, y, ye, ~ahead),
+    )
+    raw = rows.select(*key, *box, F.explode(F.array_compact(edges)).alias("e")).select(*key, *box, "e.*")
+    lines = merge_intervals(raw, [*key, *box, "orient", "c"])
+    across = lines.select(*key, F.when(c("orient") == "v", "h").otherwise("v").alias("orient"), c("c").alias("cut"), c("lo").alias("clo"), c("hi").alias("chi"))
+    cuts = lines.join(across, [*key, "orient"]).where("cut BETWEEN lo AND hi AND c BETWEEN clo AND chi").select(*lines.columns, "cut")
+    ends = cuts.unionByName(lines.withColumn("cut", c("lo"))).unionByName(lines.withColumn("cut", c("hi")))
+    if axes is not None:
+        ends = ends.unionByName(lines.where("orient = 'v' AND c IN (x0_mm, x1_mm)").join(axes.select("program", c("pos_mm").cast("int").alias("cut")), "program").where("cut BETWEEN lo AND hi").select(*lines.columns, "cut"))
+    by = Window.partitionBy(*key, "orient", "c", "lo", "hi").orderBy("cut")
+    out = F.when(c("orient") == "v", c("c").isin(c("x0_mm"), c("x1_mm"))).otherwise(c("c").isin(c("y0_mm"), c("y1_mm")))
+    cut = ends.distinct().withColumn("b", F.lead("cut").over(by)).where("b IS NOT NULL")
+    return cut.select(*key, "orient", "c", c("cut").alias("a"), "b", out.alias("is_ext"), F.when(out, outer).otherwise(inner).alias("thick"))
 
 
 def wall_joints(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs of segments that meet at a point, each once; segments that meet none)."""
-    sid = F.concat_ws(":", "orient", "c", "a", "b")
-    seg = segments.withColumn("sid", sid)
+    """(pairs of segments that meet at a point, each once, with the end of either that meets, ATSTART or ATEND; segments that meet none)."""
+    key = ["program", "floor_idx"]
+    seg = segments.withColumn("sid", F.concat_ws(":", "orient", "c", "a", "b"))
     point = lambda e: F.when(F.col("orient") == "v", F.struct(F.col("c").alias("px"), F.col(e).alias("py"))).otherwise(F.struct(F.col(e).alias("px"), F.col("c").alias("py")))
-    ends = seg.select("program", "floor_idx", "sid", point("a").alias("p")).union(seg.select("program", "floor_idx", "sid", point("b")))
-    a, b = ends.withColumnRenamed("sid", "seg_a"), ends.withColumnRenamed("sid", "seg_b")
-    pairs = a.join(b, ["program", "floor_idx", "p"]).where("seg_a < seg_b").dropDuplicates(["program", "floor_idx", "seg_a", "seg_b"]).select("program", "floor_idx", "seg_a", "seg_b")
-    met = pairs.select("program", "floor_idx", F.col("seg_a").alias("sid")).union(pairs.select("program", "floor_idx", "seg_b"))
-    return pairs, seg.select("program", "floor_idx", "sid").join(met, ["program", "floor_idx", "sid"], "left_anti")
+    ends = seg.select(*key, "sid", point("a").alias("p"), F.lit("ATSTART").alias("type")).union(seg.select(*key, "sid", point("b"), F.lit("ATEND")))
+    a, b = (ends.select(*key, "p", F.col("sid").alias(f"seg_{n}"), F.col("type").alias(f"type_{n}")) for n in "ab")
+    pairs = a.join(b, [*key, "p"]).where("seg_a < seg_b").groupBy(*key, "seg_a", "seg_b").agg(F.min(F.struct("p", "type_a", "type_b")).alias("x"))
+    pairs = pairs.select(*key, "seg_a", "seg_b", "x.type_a", "x.type_b")
+    met = pairs.select(*key, F.col("seg_a").alias("sid")).union(pairs.select(*key, "seg_b"))
+    return pairs, seg.select(*key, "sid").join(met, [*key, "sid"], "left_anti")
+
+
+def _hosted(df: DataFrame, segments: DataFrame, ident: list[str]) -> DataFrame:
+    """df (program, floor_idx, orient, c, mid) with a and b of the first segment of its line that holds the middle."""
+    found = df.join(segments.select("program", "floor_idx", "orient", "c", "a", "b"), ["program", "floor_idx", "orient", "c"], "left").withColumn("in_", F.coalesce(F.col("mid").between(F.col("a"), F.col("b")), F.lit(False)))
+    best = found.groupBy(*ident).agg(F.min(F.when(F.col("in_"), F.struct("a", "b"))).alias("s_"))
+    return df.join(best, ident).select(*df.columns, "s_.a", "s_.b")
 
 
 def openings(connections: DataFrame, kinds: DataFrame, segments: DataFrame) -> DataFrame:
-    """Connections (program, floor_idx, room_a, room_b, orient, c, lo, hi) as light-well windows (an upper floor, one side a
-    well) or doors, with the first segment of the line that holds their middle.  kinds: program, room_id, light_well."""
+    """Connections (program, floor_idx, room_a, room_b, orient, c, lo, hi) as light-well windows (an upper floor, a well on either side)
+    or doors, with the first segment of the line that holds their middle.  kinds: program, room_id, light_well."""
     side = lambda n: kinds.select("program", F.col("room_id").alias(f"room_{n}"), F.col("light_well").alias(f"well_{n}"))
     j = connections.join(side("a"), ["program", "room_a"], "left").join(side("b"), ["program", "room_b"], "left").withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
-    one = F.coalesce("well_a", F.lit(False)) != F.coalesce("well_b", F.lit(False))
-    j = j.withColumn("kind", F.when((F.col("floor_idx") > 0) & one, "window").otherwise("door"))
-    host = j.join(segments, ["program", "floor_idx", "orient", "c"], "left").where("a IS NULL OR mid BETWEEN a AND b")
-    by = Window.partitionBy("program", "floor_idx", "room_a", "room_b").orderBy("a", "b")
-    return host.withColumn("r_", F.row_number().over(by)).where("r_ = 1").select("program", "floor_idx", "room_a", "room_b", "kind", "orient", "c", "mid", "a", "b")
+    well = F.coalesce("well_a", F.lit(False)) | F.coalesce("well_b", F.lit(False))
+    j = j.select("program", "floor_idx", "room_a", "room_b", F.when((F.col("floor_idx") > 0) & well, "window").otherwise("door").alias("kind"), "orient", "c", "mid")
+    return _hosted(j, segments, ["program", "floor_idx", "room_a", "room_b"])
+
+
+# Fixed values, in mm: the width of a window, in small rooms and others; what a room's wall and a door beside it must leave.
+SMALL_KINDS, SMALL_WINDOW, WINDOW = ["wc", "kho"], 600.0, 2400.0
+WALL_LEAVES, LEAST_SPAN, SPAN_LEAVES = 600, 1200.0, 400.0
+
+
+def facade_windows(rects: DataFrame, lots: DataFrame, segments: DataFrame, doors: DataFrame | None = None) -> DataFrame:
+    """A window for each edge that an indoor room has on the front or back of what is built on: program, floor_idx, room_id, c, mid, width
+    and the segment (a, b) that holds it.  Beside doors of that edge a window goes to the wider span of the room, if that is wide
+    enough, else there is none.  rects: also kind, outdoor, light_well (the stair has no kind); doors: program, floor_idx, c, lo, hi."""
+    c, key = F.col, ["program", "floor_idx", "room_id", "c"]
+    inside = rects.where("kind IS NOT NULL AND NOT coalesce(outdoor, false) AND NOT coalesce(light_well, false)").join(lots.select("program", "y0_mm", "y1_mm"), "program")
+    edge = inside.withColumn("c", F.explode(F.array_compact(F.array(*[F.when((c("y_mm") == c(y)) | (c("y_mm") + c("d_mm") == c(y)), c(y)) for y in ("y0_mm", "y1_mm")]))))
+    width = F.least(F.when(c("kind").isin(SMALL_KINDS), SMALL_WINDOW).otherwise(WINDOW), (c("w_mm") - WALL_LEAVES).cast("double"))
+    rows = edge.select(*key, c("x_mm").cast("double").alias("r0"), (c("x_mm") + c("w_mm")).cast("double").alias("r1"), width.alias("width"))
+    if doors is None:
+        rows = rows.withColumns({"d0": F.lit(None).cast("double"), "d1": F.lit(None).cast("double")})
+    else:
+        taken = rows.join(doors.select("program", "floor_idx", "c", c("lo").alias("lo_"), c("hi").alias("hi_")), ["program", "floor_idx", "c"]).where(F.greatest("r0", "lo_") < F.least("r1", "hi_"))
+        rows = rows.join(taken.groupBy(*key).agg(F.min("lo_").cast("double").alias("d0"), F.max("hi_").cast("double").alias("d1")), key, "left")
+    left, right, least = c("d0") - c("r0"), c("r1") - c("d1"), F.greatest(F.lit(LEAST_SPAN), c("width") + SPAN_LEAVES)
+    mid = F.when(c("d0").isNull(), (c("r0") + c("r1")) / 2).when((left >= right) & (left >= least), (c("r0") + c("d0")) / 2).when(right >= least, (c("d1") + c("r1")) / 2)
+    placed = rows.withColumn("mid", mid).where("mid IS NOT NULL").select(*key, F.lit("h").alias("orient"), "mid", "width")
+    return _hosted(placed, segments, key).drop("orient")
