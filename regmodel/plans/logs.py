@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.storage import shared_dir, stored
+from ..functions.storage import new_path, shared_dir, stored
 from ..operators import logs
 from ..streaming import state
 from .base import fixture, query, table
@@ -111,14 +111,20 @@ def s7(spark, d):
     return state.step_report(e)
 
 
-def _stream(spark, d, name: str, view):
-    """A stored table as a stream of files."""
-    return view(spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*"))
+def _stream(spark, d, name: str, key: str, view, batches: int = 4):
+    """A table as a stream of files that arrive in order of time, some batches of them; a key's rows of a batch lie in one file."""
+    rows = view(table(spark, d, name)).withColumn("at_", F.unix_seconds(F.col("ts").cast("timestamp")))
+    cuts = [None, *rows.agg(F.percentile_approx("at_", [i / batches for i in range(1, batches)], 1000)).first()[0], None]
+    path = new_path(spark, f"{name}-stream")
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        part = rows.where((F.lit(True) if lo is None else F.col("at_") >= lo) & (F.lit(True) if hi is None else F.col("at_") < hi))
+        part.drop("at_").repartition(2, key).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("at_").schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 @query("s2_rate_limit_stream")
 def s2(spark, d):
-    hits = _stream(spark, d, "events", lambda e: e.select("event_id", F.concat(F.lit("chat:"), F.col("user_id").cast("string")).alias("k"), "ts"))
+    hits = _stream(spark, d, "events", "k", lambda e: e.select("event_id", F.concat(F.lit("chat:"), F.col("user_id").cast("string")).alias("k"), "ts"))
     out = f"{shared_dir(spark)}/hits-{uuid.uuid4().hex}"
     q = state.rate_limit_stream(hits, 3, 86400.0).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-log").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -127,9 +133,20 @@ def s2(spark, d):
 
 @query("s3_feedback_stream", _FOLDED)
 def s3(spark, d):
-    rows = _stream(spark, d, "events", lambda e: e.where("event_type IN ('click', 'error')").select("event_id", F.col("user_id").alias("message_id"), "ts", F.when(F.col("event_type") == "click", "like").otherwise("dislike").alias("feedback")))
+    rows = _stream(spark, d, "events", "message_id", lambda e: e.where("event_type IN ('click', 'error')").select("event_id", F.col("user_id").alias("message_id"), "ts", F.when(F.col("event_type") == "click", "like").otherwise("dislike").alias("feedback")))
     out = f"{shared_dir(spark)}/feedback-{uuid.uuid4().hex}"
     put = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
     q = state.feedback_stream(rows).writeStream.foreachBatch(put).option("checkpointLocation", out + "-log").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).groupBy("message_id").agg(F.max_by("feedback", "batch").alias("feedback"))
+
+
+_TREE_FILES = "SELECT sha256(concat('p', CAST(page_id AS STRING))) AS h, concat('p', CAST(page_id AS STRING), ':', sha256(html)) AS x FROM pages"
+
+
+@query("s1_corpus_tree", f"""WITH f AS ({_TREE_FILES}), b AS (SELECT h[1:2] AS prefix, sha256(string_agg(x, chr(10) ORDER BY x)) AS digest FROM f GROUP BY h[1:2]),
+c AS (SELECT prefix[1:1] AS prefix, sha256(string_agg(concat(prefix, ':', digest), chr(10) ORDER BY prefix)) AS digest FROM b GROUP BY prefix[1:1]) SELECT prefix, 2 AS level, digest FROM b UNION ALL SELECT prefix, 1, digest FROM c UNION ALL SELECT '', 0, sha256(string_agg(concat(prefix, ':', digest), chr(10) ORDER BY prefix)) FROM c""")
+def s1b(spark, d):
+    pages = table(spark, d, "pages")
+    files = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), F.encode("html", "UTF-8").alias("content"))
+    return state.corpus_tree(files, max(1, pages.count() // 200))  # two levels, whatever the table's size
