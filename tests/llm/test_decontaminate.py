@@ -104,7 +104,7 @@ def test_empty(results):
 
 
 def test_one_word_over_and_over():
-    """One match a diagonal, not one a pair of places: the work grows with item and text, and the tiles are the same."""
+    """One match is kept and extended a diagonal, not one a pair of places, and the tiles are the same."""
     assert decontaminate.tiles([7] * 200, [7] * 8000, [0, 8000]) == [(0, 0, 200)]
     item, text = [7] * 30 + [8] + [7] * 20, [7] * 25 + [9] + [7] * 60
     assert sorted(decontaminate.tiles(item, text, [0, 86], 5)) == sorted(brute(item, text, [0, 86], 5))
