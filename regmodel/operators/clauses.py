@@ -21,6 +21,8 @@ NOT_MORE = r"(?:không\s+(?:được\s+)?lớn\s+hơn|không\s+(?:được\s+)?v
 ANNEX_ORDER = "ABCDĐEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_CLAUSES = 3
 BLOCK_CHARS = 1500
+#: Characters of a snippet, and of what it may show behind the match.
+SNIPPET, AFTER = 220, 60
 
 
 def vn_number(text: Column) -> Column:
@@ -35,26 +37,40 @@ def unit_name(unit: Column) -> Column:
 
 
 def _limits(content: Column, kind: str, words: str) -> Column:
-    """Array of the limits of one kind, each with its sentence.  Matches are marked in the text, which is then cut there."""
+    """Array of the limits of one kind, each with its sentence.  Matches are marked in the text, which is then cut there; one pass from the
+    left carries the sentence begun so far, one from the right what follows, both no longer than a snippet can show."""
     pattern = rf"(?iu)({words}\s*{NUMBER}\s*{UNITS})"
     parts = F.split(F.regexp_replace(content, pattern, "\x01$1\x02"), "\x01")
     plain = lambda x: F.replace(x, F.lit("\x02"), F.lit(""))
+    kept = F.expr("CAST(array() AS ARRAY<STRING>)")
+    start = F.struct(F.lit("").alias("text"), kept.alias("all"))
 
-    def one(piece: Column, i: Column) -> Column:
-        found = F.substring_index(piece, "\x02", 1)
-        before = plain(F.array_join(F.slice(parts, 1, i + 1), ""))
-        after = F.concat(F.substring_index(piece, "\x02", -1), plain(F.array_join(F.slice(parts, i + 3, F.size(parts)), "")))
-        text = F.concat(F.regexp_extract(before, r"([^.\n]*)$", 1), found, F.substring(after, 1, 60))
+    def to_the_right(a: Column, piece: Column) -> Column:
+        text = plain(piece)
+        last = F.substring_index(F.substring_index(text, ".", -1), "\n", -1)
+        begun = F.when(F.length(last) < F.length(text), last).otherwise(F.concat(a["text"], text))
+        return F.struct(F.substring(F.regexp_replace(begun, r"\s+", " "), 1, SNIPPET + 2).alias("text"), F.concat(a["all"], F.array(a["text"])).alias("all"))
+
+    def to_the_left(a: Column, piece: Column) -> Column:
+        return F.struct(F.substring(F.concat(F.substring(plain(piece), 1, AFTER), a["text"]), 1, AFTER).alias("text"), F.concat(a["all"], F.array(a["text"])).alias("all"))
+
+    before = F.aggregate(parts, start, to_the_right, lambda a: a["all"])
+    after = F.reverse(F.aggregate(F.reverse(parts), start, to_the_left, lambda a: a["all"]))
+
+    def one(x: Column) -> Column:
+        found = F.substring_index(x["parts"], "\x02", 1)
+        text = F.concat(x["before"], found, F.substring(F.concat(F.substring_index(x["parts"], "\x02", -1), x["after"]), 1, AFTER))
         value = vn_number(F.regexp_extract(found, pattern, 2))
         return F.struct(
             F.lit(f"{kind}_value").alias("type"),
-            F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 220).alias("snippet"),
+            F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, SNIPPET).alias("snippet"),
             (value if kind == "minimum" else F.lit(None).cast("double")).alias("min_value"),
             (value if kind == "maximum" else F.lit(None).cast("double")).alias("max_value"),
             unit_name(F.regexp_extract(found, pattern, 3)).alias("unit"),
         )
 
-    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
+    pieces = F.arrays_zip(parts.alias("parts"), before.alias("before"), after.alias("after"))
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
 
 
 def extract_requirements(df: DataFrame, col: str = "content", number: str = "article_number") -> DataFrame:
