@@ -5,6 +5,7 @@ A check gives rows (model, check, message, element, other).  All models are chec
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -222,17 +223,33 @@ def check_wall_connections(walls: DataFrame, connects: DataFrame) -> DataFrame:
 
 def check_columns_on_grid(columns: DataFrame, axes: DataFrame, tol_mm: float = 10) -> DataFrame:
     """H4: columns (model, element, x, y in m) further than the tolerance from all crossings of a U and a V axis (lines without end,
-    parallel ones skipped); a single row for a model without a crossing."""
-    u = axes.where("axis = 'U'").select("model", *[F.col(c).alias(f"u_{c}") for c in ("ax0", "ay0", "ax1", "ay1")])
-    v = axes.where("axis = 'V'").select("model", *[F.col(c).alias(f"v_{c}") for c in ("ax0", "ay0", "ax1", "ay1")])
+    parallel ones skipped); a single row for a model without a crossing.  A crossing within some distance of a place lies on two lines
+    within that distance.  So a place meets lines, not crossings: where the nearest line of each direction cross bounds the distance, and
+    only lines within this bound are crossed."""
     c = F.col
-    ux, uy, vx, vy = c("u_ax1") - c("u_ax0"), c("u_ay1") - c("u_ay0"), c("v_ax1") - c("v_ax0"), c("v_ay1") - c("v_ay0")
-    det = ux * vy - uy * vx
-    t = ((c("v_ax0") - c("u_ax0")) * vy - (c("v_ay0") - c("u_ay0")) * vx) / det
-    crossings = u.join(v, "model").where(F.abs(det) > 1e-9).select("model", (c("u_ax0") + t * ux).alias("gx"), (c("u_ay0") + t * uy).alias("gy"))
-    near = columns.join(crossings, "model").groupBy("model", "element").agg(F.min(F.hypot(c("x") - c("gx"), c("y") - c("gy"))).alias("d"))
-    off = issue("columns", near.where(c("d") * 1000 > tol_mm), F.concat(F.lit("off grid by "), F.round(c("d") * 1000, 0).cast("long").cast("string"), F.lit(" mm")), c("element"))
-    bare = columns.select("model").distinct().join(crossings.select("model").distinct(), "model", "left_anti")
+    dx, dy = c("ax1") - c("ax0"), c("ay1") - c("ay0")
+    lines = axes.where(c("axis").isin("U", "V") & (F.hypot(dx, dy) > 0)).select("model", "axis", "ax0", "ay0", dx.alias("dx"), dy.alias("dy")).distinct()
+    spots = columns.select("model", "x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct()
+    spot = ["model", "x", "y"]
+    away = F.abs((c("x") - c("ax0")) * c("dy") - (c("y") - c("ay0")) * c("dx")) / F.hypot("dx", "dy")
+    near = spots.join(lines, "model").withColumn("away", away)
+
+    def nearest_crossing(of: DataFrame) -> DataFrame:
+        u, v = (of.where(c("axis") == k).select(*spot, *[c(n).alias(f"{k}_{n}") for n in ("ax0", "ay0", "dx", "dy")]) for k in "UV")
+        det = c("U_dx") * c("V_dy") - c("U_dy") * c("V_dx")
+        t = ((c("V_ax0") - c("U_ax0")) * c("V_dy") - (c("V_ay0") - c("U_ay0")) * c("V_dx")) / det
+        d = F.hypot(c("x") - (c("U_ax0") + t * c("U_dx")), c("y") - (c("U_ay0") + t * c("U_dy")))
+        return u.join(v, spot).where(F.abs(det) > 1e-9).groupBy(*spot).agg(F.min(d).alias("d"))
+
+    line = F.struct("ax0", "ay0", "dx", "dy")
+    direction = F.round(F.pmod(F.atan2("dy", "dx"), F.lit(math.pi)), 6)
+    first = near.groupBy(*spot, "axis", direction.alias("direction")).agg(F.min_by(line, "away").alias("l")).select(*spot, "axis", "l.*")
+    bound = nearest_crossing(first).withColumnRenamed("d", "bound")
+    within = near.join(bound, spot, "left").where(c("bound").isNull() | (c("away") <= c("bound") * (1 + 1e-9) + 1e-6))
+    found = stored(nearest_crossing(within), "grid-distances")
+    off = columns.join(found, spot).groupBy("model", "element").agg(F.min("d").alias("d")).where(c("d") * 1000 > tol_mm)
+    off = issue("columns", off, F.concat(F.lit("off grid by "), F.round(c("d") * 1000, 0).cast("long").cast("string"), F.lit(" mm")), c("element"))
+    bare = columns.select("model").distinct().join(found.select("model").distinct(), "model", "left_anti")
     return off.unionByName(issue("columns", bare, F.lit("no grid"), F.lit(None)))
 
 
@@ -266,25 +283,63 @@ def check_clashes(boxes: DataFrame, hosts: DataFrame | None = None, connects: Da
     return issue("clashes", pairs, F.lit("boxes overlap"), F.col("element"), F.col("other"))
 
 
-def resolve_placements(placements: DataFrame, rounds: int = 64) -> DataFrame:
-    """H8: world position of nested placements.  placements: model, id, parent (null at the top), x, y, z and the angle about z in
-    radians.  Each round folds a placement's parent into it and moves on to the parent's parent, so that depth d takes log2 d
-    rounds; a cycle ends with the last round and is left unresolved."""
+def placement_matrix(place: list[Column], axis: Column | None = None, ref: Column | None = None) -> Column:
+    """The rows of the 3x4 matrix of a placement, as an array of 12: z along axis, x along what of ref stands square on it, y = z x x.
+    Missing or zero directions are (0, 0, 1) and (1, 0, 0); a ref along the axis gives way to the y axis, or z if that is the axis too."""
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    vector = lambda *v: F.array(*[F.lit(float(x)) if isinstance(x, (int, float)) else x for x in v])
+    none = F.lit(None).cast("array<double>")
+
+    def unit(v: Column) -> Column:
+        n = F.sqrt(dot(v, v))
+        return F.when(n > 1e-12, F.transform(v, lambda x: x / n))
+
+    def square(v: Column, z: Column) -> Column:
+        k = dot(v, z)
+        out = vector(*[v[i] - k * z[i] for i in range(3)])
+        return F.when(dot(out, out) > 1e-18, unit(out))
+
+    z = F.coalesce(unit(none if axis is None else axis), vector(0, 0, 1))
+    x = F.coalesce(square(none if ref is None else ref, z), square(vector(1, 0, 0), z), square(vector(0, 1, 0), z))
+    # the array is bound to a name of its own, so that each direction is computed once
+    return F.transform(F.array(F.struct(z.alias("z"), x.alias("x"))), lambda d: vector(
+        d["x"][0], d["z"][1] * d["x"][2] - d["z"][2] * d["x"][1], d["z"][0], place[0],
+        d["x"][1], d["z"][2] * d["x"][0] - d["z"][0] * d["x"][2], d["z"][1], place[1],
+        d["x"][2], d["z"][0] * d["x"][1] - d["z"][1] * d["x"][0], d["z"][2], place[2],
+    ))[0]
+
+
+def compose(a: Column, b: Column) -> Column:
+    """The product of two 3x4 matrices: b first, then a."""
+    cell = lambda r, k: sum((a[4 * r + j] * b[4 * j + k] for j in range(1, 3)), a[4 * r] * b[k])
+    return F.array(*[cell(r, k) + a[4 * r + 3] if k == 3 else cell(r, k) for r in range(3) for k in range(4)])
+
+
+def resolve_placements(placements: DataFrame) -> DataFrame:
+    """H8: world position of nested placements.  placements: model, id, parent (null at the top), x, y, z, and either axis and ref
+    (arrays of three, null where not given) or the angle about z in radians; neither is no rotation.  Returns model, id, x, y, z, matrix
+    (12 numbers, the rows of a 3x4 matrix) and status: ok, missing (a parent on the way up is no row) or cycle, the last two without a
+    position.  Each round folds a placement's parent into it and moves on to the parent's parent, so that depth d takes log2 d rounds.
+    A round closes a placement wherever one without a cycle is open; the first that closes none leaves only cycles."""
     c = F.col
-    rows = placements.select("model", "id", "parent", "x", "y", "z", "angle")
-    for _ in range(rounds):
-        if rows.where("parent IS NOT NULL").limit(1).count() == 0:
-            break
-        up = rows.select("model", c("id").alias("parent"), c("parent").alias("p_parent"), *[c(n).alias(f"p_{n}") for n in ("x", "y", "z", "angle")])
+    place = [c(n).cast("double") for n in "xyz"]
+    if "angle" in placements.columns:
+        sin, cos = F.sin("angle"), F.cos("angle")
+        own = F.array(cos, -sin, F.lit(0.0), place[0], sin, cos, F.lit(0.0), place[1], F.lit(0.0), F.lit(0.0), F.lit(1.0), place[2])
+    else:
+        own = placement_matrix(place, *[c(n) if n in placements.columns else None for n in ("axis", "ref")])
+    rows = placements.select("model", "id", "parent", own.alias("m"), F.lit("ok").alias("status"))
+    still, before = rows.where("parent IS NOT NULL").count(), None
+    while still and still != before:
+        up = rows.select("model", c("id").alias("parent"), c("parent").alias("next"), c("m").alias("above"), c("status").alias("up_status"))
         j = rows.join(up, ["model", "parent"], "left")
-        has = c("p_x").isNotNull()
-        rows = stored(j.select(
-            "model", "id", c("p_parent").alias("parent"),
-            F.when(has, c("p_x") + F.cos("p_angle") * c("x") - F.sin("p_angle") * c("y")).otherwise(c("x")).alias("x"),
-            F.when(has, c("p_y") + F.sin("p_angle") * c("x") + F.cos("p_angle") * c("y")).otherwise(c("y")).alias("y"),
-            F.when(has, c("p_z") + c("z")).otherwise(c("z")).alias("z"), F.when(has, c("p_angle") + c("angle")).otherwise(c("angle")).alias("angle"),
-        ), "placements")
-    return rows.where("parent IS NULL").drop("parent")
+        open_, has = c("parent").isNotNull(), c("above").isNotNull()
+        status = F.when(open_ & ~has, "missing").when(open_, c("up_status")).otherwise(c("status"))
+        rows = stored(j.select("model", "id", c("next").alias("parent"), F.when(has, compose(c("above"), c("m"))).otherwise(c("m")).alias("m"), status.alias("status")), "placements")
+        still, before = rows.where("parent IS NOT NULL").count(), still
+    status = F.when(c("parent").isNotNull(), "cycle").otherwise(c("status"))
+    known = rows.select("model", "id", status.alias("status"), F.when(status == "ok", c("m")).alias("matrix"))
+    return known.select("model", "id", *[c("matrix")[k].alias(n) for n, k in (("x", 3), ("y", 7), ("z", 11))], "matrix", "status")
 
 
 CHECKS = ["classes", "openings", "walls", "columns", "spaces", "extent", "clashes"]
