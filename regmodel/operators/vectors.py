@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import cells
+
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"  # the namespace of URLs in RFC 4122
 
 
@@ -15,12 +19,10 @@ def embed(df: DataFrame, col: str, encoder: Callable[[DataFrame, str], DataFrame
     (df, col) -> df with the column embedding."""
     if encoder:
         return encoder(df, col)
-    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter("slots_", lambda s: s == k)).cast("double"))
-    out = df.withColumn("slots_", slots).withColumn("counts_", counts)
-    norm = F.sqrt(F.aggregate("counts_", F.lit(0.0), lambda a, x: a + x * x))
-    return out.withColumn("norm_", norm).withColumn("embedding", F.transform("counts_", lambda x: F.when(F.col("norm_") > 0, x / F.col("norm_")).otherwise(0.0).cast("float"))).drop("slots_", "counts_", "norm_")
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    counted = HashingTF(numFeatures=dim, inputCol="words_", outputCol="counts_").transform(df.withColumn("words_", words))
+    normal = Normalizer(p=2.0, inputCol="counts_", outputCol="unit_").transform(counted)
+    return normal.withColumn("embedding", vector_to_array("unit_", "float32")).drop("words_", "counts_", "unit_")
 
 
 def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
@@ -65,30 +67,10 @@ def prune_sources(index: DataFrame, keep: list[str] | DataFrame, source: str = "
     return index.join(keep.toDF("k"), F.col(source) == F.col("k"), "left_semi")
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def with_norm(df: DataFrame, vector: str, norm: str) -> DataFrame:
-    return df.withColumn(norm, F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, query_block: int = 4096) -> DataFrame:
-    """The k points of the largest cosine for each query.  index: id, embedding and more; queries: query_id, embedding.
-    The filter comes before the ranking.  Queries are a bounded table: it is counted, and beyond ``query_block`` rows
-    it is dealt over the cluster in blocks instead of being broadcast.  Ties go to the smaller id."""
-    points = with_norm(index if where is None else index.where(where), "embedding", "norm_")
-    q = with_norm(queries.select("query_id", F.col("embedding").alias("q_")), "q_", "q_norm_")
-    if q.limit(query_block + 1).count() <= query_block:
-        pairs = points.join(F.broadcast(q), F.lit(True))
-    else:
-        blocks = 64
-        left = points.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = left.join(q.withColumn("block_", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "block_").drop("block_")
-    score = F.when((F.col("norm_") > 0) & (F.col("q_norm_") > 0), _dot("embedding", "q_") / (F.col("norm_") * F.col("q_norm_"))).otherwise(0.0)
-    ranked = pairs.withColumn("score", score).drop("q_", "q_norm_", "norm_", "embedding")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return ranked.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+def search(index: DataFrame | cells.Cells, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+    """The k points of the largest cosine for each query.  index: id, embedding and more, or its cells (``cells.build``), which can be kept
+    for many searches; queries: query_id, embedding.  The filter comes before the ranking.  Ties go to the smaller id."""
+    return cells.search(index if isinstance(index, cells.Cells) else cells.build(index), queries, k, where)
 
 
 def index_info(index: DataFrame, source: str = "source_id") -> DataFrame:
