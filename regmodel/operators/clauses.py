@@ -54,9 +54,6 @@ def _limits(content: Column, kind: str, words: str) -> Column:
     def to_the_left(a: Column, piece: Column) -> Column:
         return F.struct(F.substring(F.concat(F.substring(plain(piece), 1, AFTER), a["text"]), 1, AFTER).alias("text"), F.concat(a["all"], F.array(a["text"])).alias("all"))
 
-    before = F.aggregate(parts, start, to_the_right, lambda a: a["all"])
-    after = F.reverse(F.aggregate(F.reverse(parts), start, to_the_left, lambda a: a["all"]))
-
     def one(x: Column) -> Column:
         found = F.substring_index(x["parts"], "\x02", 1)
         text = F.concat(x["before"], found, F.substring(F.concat(F.substring_index(x["parts"], "\x02", -1), x["after"]), 1, AFTER))
@@ -69,8 +66,14 @@ def _limits(content: Column, kind: str, words: str) -> Column:
             unit_name(F.regexp_extract(found, pattern, 3)).alias("unit"),
         )
 
-    pieces = F.arrays_zip(parts.alias("parts"), before.alias("before"), after.alias("after"))
-    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+    def all_of(parts: Column) -> Column:
+        before = F.aggregate(parts, start, to_the_right, lambda a: a["all"])
+        after = F.reverse(F.aggregate(F.reverse(parts), start, to_the_left, lambda a: a["all"]))
+        pieces = F.filter(F.arrays_zip(parts.alias("parts"), before.alias("before"), after.alias("after")), lambda _, i: i > 0)
+        return F.transform(pieces, one)
+
+    # within transform the parts have a name of their own: they are cut once
+    return F.flatten(F.transform(F.filter(F.array(parts), lambda p: F.size(p) > 1), all_of))
 
 
 def extract_requirements(df: DataFrame, col: str = "content", number: str = "article_number") -> DataFrame:

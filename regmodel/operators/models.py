@@ -328,7 +328,7 @@ def resolve_placements(placements: DataFrame) -> DataFrame:
         own = F.array(cos, -sin, F.lit(0.0), place[0], sin, cos, F.lit(0.0), place[1], F.lit(0.0), F.lit(0.0), F.lit(1.0), place[2])
     else:
         own = placement_matrix(place, *[c(n) if n in placements.columns else None for n in ("axis", "ref")])
-    rows = placements.select("model", "id", "parent", own.alias("m"), F.lit("ok").alias("status"))
+    rows = stored(placements.select("model", "id", "parent", own.alias("m"), F.lit("ok").alias("status")), "placements")
     still, before = rows.where("parent IS NOT NULL").count(), None
     while still and still != before:
         up = rows.select("model", c("id").alias("parent"), c("parent").alias("next"), c("m").alias("above"), c("status").alias("up_status"))
