@@ -56,16 +56,21 @@ def fit_centroids(index: DataFrame, n_cells: int, sample: int = SAMPLE, rounds:
     return centres[centres.any(axis=1)]
 
 
-def _directions(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors, and whether a row has one."""
+def _rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors, zero where they are not finite or not as long as ``width``, and whether a row has one."""
     fits = pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False)
     out = np.zeros((len(column), width))
     flat = column.filter(pa.array(fits)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
     out[fits] = flat.reshape(int(fits.sum()), width)
-    out = _unit(np.where(np.isfinite(out).all(axis=1, keepdims=True), out, 0))
+    out = np.where(np.isfinite(out).all(axis=1, keepdims=True), out, 0)
     return out, out.any(axis=1)
 
 
+def _directions(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    out, some = _rows(column, width)
+    return _unit(out), some
+
+
 def _norm(vector: str) -> Column:
     n = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when(n < float("inf"), n).otherwise(0.0)
@@ -127,26 +132,58 @@ def probes(cells: Cells, queries: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, f"query_id {id_type}, q_ {q_type}, probes_ array<struct<cell: int, angle: double, blocks: int, best: double, first: boolean>>").withColumn("q_norm_", _norm("q_"))
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _best_of(cell: int, x: pa.Table, q: pa.Table, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, rows of q and scores: for each query the k best of a block.  A product of matrices finds what may be among them; their scores
+    are then summed in the order of the numbers, so that equal vectors score alike everywhere and ties are ties."""
+    (points, _), (asked, some) = (_rows(t.column(c).combine_chunks(), width) for t, c in ((x, "embedding"), (q, "q_")))
+    norm, q_norm, least = (t.column(c).to_numpy() for t, c in ((x, "norm_"), (q, "q_norm_"), (q, "least_")))
+    some &= (q_norm > 0) & (cell >= 0)
+    place = np.empty(len(norm), np.int64)
+    place[pc.sort_indices(x.column("id")).to_numpy()] = np.arange(len(norm))
+    unit, q_unit, found = _unit(points), _unit(asked) * some[:, None], []
+    for at in range(0, len(q_norm), 256):
+        near = unit @ q_unit[at : at + 256].T if cell >= 0 else np.zeros((len(norm), len(q_norm[at : at + 256])))
+        cut = least[at : at + 256]
+        if len(norm) > k:
+            cut = np.maximum(cut, np.partition(near, len(norm) - k, axis=0)[len(norm) - k])
+        i, j = np.nonzero(near >= cut - 1e-9)
+        score, wanted = np.zeros(len(i)), some[at + j]
+        for d in range(width):
+            score += points[i, d] * asked[at + j, d]
+        score = np.divide(score, norm[i] * q_norm[at + j], out=np.zeros(len(i)), where=wanted)
+        order = np.lexsort((place[i], -score, j))
+        i, j, score = i[order], j[order], score[order]
+        rank = np.arange(len(j)) - np.searchsorted(j, j, side="left")
+        found.append((i[rank < k], at + j[rank < k], score[rank < k]))
+    found = found or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
 def search(cells: Cells, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
     """The k points of the largest cosine for each query (query_id, embedding; ids are unique), exactly; ties go to the smaller id, and the
     cosine of a vector without a direction is 0.  The nearest cells that hold k points give each query a cosine that k points reach.  Then
-    only cells, and of these only points, are read whose angle to the centroid allows a cosine as large."""
+    only cells are read whose points' angles to the centroid allow a cosine as large."""
     if where is not None:
         cells = Cells(cells.points.where(where), cells.centroids)
     asked = stored(probes(cells, queries, k), "probes")
-    points = cells.points
+    slices = max(1, -(-asked.count() // BLOCK))
+    points, width = cells.points, cells.centroids.shape[1]
+    plain = [f for f in points.schema.fields if f.name not in ("embedding", "cell_", "block_", "angle_", "norm_")]
+    kind = asked.schema["query_id"].dataType.simpleString()
+    key = ["cell_", "block_", "slice_"]
+
+    def best(group: tuple, x: pa.Table, q: pa.Table) -> pa.Table:
+        i, j, score = _best_of(group[0].as_py(), x, q, width, k)
+        return x.select([f.name for f in plain]).take(pa.array(i)).append_column("query_id", q.column("query_id").take(pa.array(j))).append_column("score", pa.array(score))
 
     def scored(wanted: DataFrame) -> DataFrame:
-        """wanted: query_id, q_, q_norm_, least_, p_ (a probe)."""
-        pairs = wanted.withColumn("block_", F.explode(F.sequence(F.lit(0), F.col("p_.blocks") - 1))).withColumn("cell_", F.col("p_.cell"))
-        pairs = points.join(pairs, ["cell_", "block_"])
-        near = F.when((F.col("cell_") >= 0) & (F.col("q_norm_") > 0), F.cos(F.abs(F.col("angle_") - F.col("p_.angle")))).otherwise(0.0) + SLACK >= F.col("least_")
-        score = F.when((F.col("cell_") >= 0) & (F.col("norm_") > 0) & (F.col("q_norm_") > 0), _dot("embedding", "q_") / (F.col("norm_") * F.col("q_norm_"))).otherwise(0.0)
-        return pairs.where(near).withColumn("score", F.coalesce(score, F.lit(0.0))).drop("q_", "q_norm_", "norm_", "embedding", "cell_", "block_", "angle_", "p_", "least_")
+        """wanted: query_id, q_, q_norm_, least_, p_ (a probe).  Blocks of points meet slices of queries, both of bounded size."""
+        q = wanted.withColumn("block_", F.explode(F.sequence(F.lit(0), F.col("p_.blocks") - 1))).withColumn("cell_", F.col("p_.cell")).drop("p_")
+        q = q.withColumn("slice_", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+        x = points.join(q.select(*key[:2], F.col("slice_").alias("of_")).distinct(), key[:2])
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain)
+        met = lambda g, a, b: best(g, a, b) if a.num_rows and b.num_rows else best(g, a.slice(0, 0), b.slice(0, 0))
+        return x.groupBy(*key[:2], "of_").cogroup(q.groupBy(*key)).applyInArrow(met, f"{fields}, query_id {kind}, score double")
 
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     top = lambda df: df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
