@@ -288,3 +288,24 @@ def coverage(lines: DataFrame, articles: DataFrame) -> DataFrame:
     size = lambda c: F.sum(F.length(F.regexp_replace(c, r"\s", "")))
     given, kept = lines.groupBy("doc_id").agg(size("line").alias("given")), articles.groupBy("doc_id").agg(size("content").alias("kept"))
     return given.join(kept, "doc_id", "left").select("doc_id", "given", F.coalesce("kept", F.lit(0)).alias("kept"), F.when(F.col("given") == 0, 1.0).otherwise(F.coalesce("kept", F.lit(0)) / F.col("given")).alias("coverage"))
+
+
+def nest_articles(articles: DataFrame, key: str = "standard_code", order: str = "ordinal") -> DataFrame:
+    """The inverse of C11: by standard, its chapters with their sections and articles, each in order of its first article.  What comes
+    together is one standard.  articles: key, order, chapter_number, section_number, article_number, title, content."""
+    text = F.lit(None).cast("string")
+    own = F.struct(F.col(order).alias("at"), F.struct(F.col("article_number").alias("number"), "title", "content").alias("x"))
+    inner = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda e: e["x"])
+    sections = articles.groupBy(key, "chapter_number", "section_number").agg(F.min(order).alias("at"), inner(own).alias("articles"))
+    one = F.struct("at", F.struct(F.col("section_number").alias("number"), text.alias("title"), "articles").alias("x"))
+    chapters = sections.groupBy(key, "chapter_number").agg(inner(one).alias("sections"), F.min("at").alias("at"))
+    one = F.struct("at", F.struct(F.col("chapter_number").alias("number"), text.alias("kind"), text.alias("title"), "sections").alias("x"))
+    return chapters.groupBy(key).agg(inner(one).alias("chapters"))
+
+
+def unnest_articles(standards: DataFrame) -> DataFrame:
+    """The articles of nested standards: standard_code, chapter_number, section_number, article_number, title, content."""
+    rows = standards.select("standard_code", F.explode("chapters").alias("c"))
+    rows = rows.select("standard_code", F.col("c.number").alias("chapter_number"), F.explode("c.sections").alias("s"))
+    rows = rows.select("standard_code", "chapter_number", F.col("s.number").alias("section_number"), F.explode("s.articles").alias("a"))
+    return rows.select("standard_code", "chapter_number", "section_number", F.col("a.number").alias("article_number"), "a.title", "a.content")

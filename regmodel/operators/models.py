@@ -188,6 +188,40 @@ def mesh_bounds(meshes: DataFrame, skip: tuple[str, ...] = ("IfcSpace", "IfcOpen
     return rows.select("model", "global_id", "ifc_type", *[f(axis(k)).alias(f"{n}{e}") for e, f in (("0", F.array_min), ("1", F.array_max)) for k, n in enumerate("xyz")])
 
 
+def model_bounds(meshes: DataFrame) -> DataFrame:
+    """By model, the box around its meshes to two decimals, their number and how many each class has (a map, "Ifc" left away)."""
+    box = [f(f"{n}{e}").alias(f"{n}{e}") for e, f in (("0", F.min), ("1", F.max)) for n in "xyz"]
+    classes = mesh_bounds(meshes).groupBy("model", F.regexp_replace("ifc_type", "^Ifc", "").alias("class")).agg(F.count("*").alias("n"), *box)
+    round_box = [F.round(f(f"{n}{e}"), 2).alias(f"{n}{e}") for e, f in (("0", F.min), ("1", F.max)) for n in "xyz"]
+    return classes.groupBy("model").agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "n")))).alias("counts"), *round_box)
+
+
+# Default colour (red, green, blue) and opacity by class.
+COLORS = {
+    "IfcWall": (0.91, 0.88, 0.83), "IfcColumn": (0.69, 0.69, 0.69), "IfcBeam": (0.63, 0.63, 0.63), "IfcSlab": (0.78, 0.75, 0.71), "IfcDoor": (0.43, 0.30, 0.25),
+    "IfcWindow": (0.50, 0.85, 1.00), "IfcStair": (0.74, 0.67, 0.64), "IfcRailing": (0.38, 0.49, 0.55), "IfcFooting": (0.55, 0.43, 0.39), "IfcRoof": (0.47, 0.56, 0.61),
+    "IfcCovering": (0.85, 0.82, 0.78), "IfcSpace": (0.60, 0.80, 0.60), "IfcPile": (0.50, 0.40, 0.30), "IfcCivilElement": (0.60, 0.60, 0.65), "IfcBuildingElementProxy": (0.35, 0.65, 0.65),
+}
+OTHER_COLOR = (0.7, 0.7, 0.7)
+OPACITY = {"IfcWindow": 0.3, "IfcSpace": 0.15, "IfcCovering": 0.6}
+
+
+def mesh_style(df: DataFrame) -> DataFrame:
+    """Color (three decimals) and opacity (two) of each row: a style's own (columns color, transparency, where df has them and they are
+    set), else the class's."""
+    rgb = lambda c: F.array(*[F.lit(x) for x in c])
+    kinds = F.create_map(*[x for k, c in COLORS.items() for x in (F.lit(k), rgb(c))])
+    clear = F.create_map(*[F.lit(x) for kv in OPACITY.items() for x in kv])
+    color, opacity = F.coalesce(kinds[F.col("ifc_type")], rgb(OTHER_COLOR)), F.coalesce(clear[F.col("ifc_type")], F.lit(1.0))
+    if "color" in df.columns:
+        color = F.coalesce("color", color)
+    if "transparency" in df.columns:
+        own = F.col("transparency").cast("double")
+        finite = own.isNotNull() & ~F.isnan(own) & (F.abs(own) != float("inf"))
+        opacity = F.when(finite, 1 - own).otherwise(opacity)
+    return df.withColumns({"color": F.transform(color, lambda x: F.round(x, 3)), "opacity": F.round(opacity, 2)})
+
+
 def quantity_takeoff(elements: DataFrame) -> DataFrame:
     """By model and class: count, volume, footprint area and the rounded percent share of the count."""
     dx, dy, dz = (F.col(f"{n}1") - F.col(f"{n}0") for n in "xyz")

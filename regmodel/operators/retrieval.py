@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kgraph import keyword_search
+
 # The words that route a question.
 DESIGN_WORDS = [
     "thiết kế", "tạo mô hình", "xây dựng mô hình", "tạo tòa nhà",
@@ -67,6 +69,39 @@ def candidates(hits: dict[str, DataFrame], scores: dict[str, float] = SOURCE_SCO
     return reduce(DataFrame.unionByName, [one(k, v) for k, v in hits.items()])
 
 
+def _said(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+# Fixed formats: the texts of hits in the graph.
+def article_text(requirement: str | None = None) -> Column:
+    """K3: the text of an article (standard_code, article_number, title, content), with a requirement where that is set."""
+    text = F.concat(F.lit("["), _said("standard_code"), F.lit("] Điều "), _said("article_number"), F.lit(": "), _said("title"), F.lit("\n"), _said("content"))
+    return text if requirement is None else F.concat(text, F.when(_said(requirement) != "", F.concat(F.lit("\n\nYêu cầu: "), _said(requirement))).otherwise(""))
+
+
+def material_text(requirement: str = "requirement") -> Column:
+    """K3: the text of a material (standard_code, material, unit_weight, unit), with a requirement where that is set; null without a standard."""
+    text = F.concat(F.lit("["), _said("standard_code"), F.lit("] Vật liệu: "), _said("material"), F.lit("\nTrọng lượng riêng: "), _said("unit_weight"), F.lit(" "), _said("unit"))
+    return F.when(_said("standard_code") != "", F.concat(text, F.when(_said(requirement) != "", F.concat(F.lit("\n"), _said(requirement))).otherwise("")))
+
+
+def summary_text(counts: str = "counts") -> Column:
+    """K3: the text of a building (building, project, and a list of class and n)."""
+    lines = F.transform(counts, lambda x: F.concat(F.lit("  - "), x["class"], F.lit(": "), x["n"].cast("string"), F.lit("\n")))
+    return F.concat(F.lit("Tổng quan công trình: "), _said("building"), F.lit("\nDự án: "), _said("project"), F.lit("\n"), F.array_join(lines, ""))
+
+
+def keyword_hits(articles: DataFrame, keywords: DataFrame, per_query: int = 3, per_keyword: int = 3) -> DataFrame:
+    """K3: for the first keywords of each query (query_id, pos, keyword) the first articles of the keyword search: query_id, pos, key, rank, text,
+    score.  Each distinct keyword is searched once.  articles: key, standard_code, article_number, title, content."""
+    by = Window.partitionBy("query_id").orderBy("pos")
+    first = keywords.withColumn("r_", F.row_number().over(by)).where(F.col("r_") <= per_query).drop("r_")
+    asked = first.select(F.col("keyword").alias("query_id"), F.col("keyword").alias("query")).distinct()
+    hits = keyword_search(articles, asked, per_keyword, "key", "content").withColumnRenamed("query_id", "keyword")
+    return first.join(hits, "keyword").join(articles.select("key", article_text().alias("text")), "key").select("query_id", "pos", "key", "rank", "text", "score")
+
+
 def merge_candidates(df: DataFrame, priority: str = "priority", ordinal: str = "ordinal", chars: int = 200) -> DataFrame:
     """K4: of candidates with the same first characters the one of the smallest priority, then ordinal."""
     by = Window.partitionBy("query_id", F.substring("text", 1, chars)).orderBy(priority, ordinal)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import new_path, stored
 from ..operators import models, specs
+from ..sources import readers
 from ..sources.step import read_step
 from .base import fixture, query, sql, table
 
@@ -153,11 +154,28 @@ def g10(spark, d):
     return models.material_usage(fixture(spark, d, "fx_elements"), "liệu 2")
 
 
+def _meshes(spark, d):
+    v = F.array("x0", "y0", "z0", "x1", "y0", "z1", "x0", "y1", "z0")
+    return fixture(spark, d, "fx_elements").select("model", "global_id", "ifc_type", v.alias("v"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("f"))
+
+
 @query("g11_mesh_bounds", "SELECT model, global_id, ifc_type, x0, y0, z0, x1, y1, z1 FROM fx_elements")
 def g11(spark, d):
-    e = fixture(spark, d, "fx_elements")
-    v = F.array("x0", "y0", "z0", "x1", "y0", "z1", "x0", "y1", "z0")
-    return models.mesh_bounds(e.select("model", "global_id", "ifc_type", v.alias("v"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("f")))
+    return models.mesh_bounds(_meshes(spark, d))
+
+
+@query("g11_model_bounds", """WITH c AS (SELECT model, replace(ifc_type, 'Ifc', '') AS class, count(*) AS n FROM fx_elements GROUP BY ALL), l AS (SELECT model, string_agg(concat(class, '=', CAST(n AS STRING)), ',' ORDER BY class) AS counts FROM c GROUP BY model)
+SELECT model, counts, count(*) AS n, round(min(x0), 2) AS x0, round(min(y0), 2) AS y0, round(min(z0), 2) AS z0, round(max(x1), 2) AS x1, round(max(y1), 2) AS y1, round(max(z1), 2) AS z1 FROM l JOIN fx_elements USING (model) GROUP BY model, counts""")
+def g11b(spark, d):
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return models.model_bounds(_meshes(spark, d)).withColumn("counts", listed)
+
+
+@query("g11_mesh_style", """SELECT global_id, coalesce(r, 0.7) AS red, CASE WHEN CAST(x0 AS INT) % 4 = 0 THEN 0.75 WHEN ifc_type = 'IfcWindow' THEN 0.3 ELSE 1.0 END AS opacity FROM fx_elements
+LEFT JOIN (VALUES ('IfcWall', 0.91), ('IfcColumn', 0.69), ('IfcBeam', 0.63), ('IfcSlab', 0.78), ('IfcDoor', 0.43), ('IfcWindow', 0.5), ('IfcStair', 0.74), ('IfcFooting', 0.55)) v(t, r) ON t = ifc_type""")
+def g11c(spark, d):
+    e = fixture(spark, d, "fx_elements").withColumn("transparency", F.when(F.col("x0").cast("int") % 4 == 0, 0.25))
+    return models.mesh_style(e).select("global_id", F.col("color")[0].alias("red"), "opacity")
 
 
 @query("g12_quantity_takeoff", "SELECT model, ifc_type, n, volume, area, CAST(round(100.0 * n / sum(n) OVER (PARTITION BY model)) AS INT) AS share FROM (SELECT model, ifc_type, count(*) AS n, round(sum((x1 - x0) * (y1 - y0) * (z1 - z0)), 6) AS volume, round(sum((x1 - x0) * (y1 - y0)), 6) AS area FROM fx_elements GROUP BY ALL) t")
@@ -400,15 +418,31 @@ def i6(spark, d):
     return specs.expand_bridge(_bridges(spark, d)).groupBy("spec_id", "part").agg(F.count("*").alias("n"), F.round(F.sum("x"), 1).alias("x"), F.round(F.sum("y"), 1).alias("y"))
 
 
-@query("i6_foundation_supports", f"""WITH {_BRIDGES}
+_FOUNDATION = f"""WITH {_BRIDGES}
 SELECT s.spec_id, s.i AS support, CASE WHEN s.i = 0 OR s.i = num_spans THEN 'abutment' ELSE 'pier' END AS kind, sx AS x, CAST(np AS INT) AS piles, round(min(p.x), 1) AS x0, round(max(p.x), 1) AS x1, round(min(p.y), 1) AS y0, round(max(p.y), 1) AS y1
-FROM sup s JOIN piles p ON s.spec_id = p.spec_id AND s.i = p.i GROUP BY s.spec_id, s.i, num_spans, sx, np""")
-def i6b(spark, d):
-    own = specs.foundation_supports(_bridges(spark, d)).select("spec_id", F.posexplode("supports").alias("support", "s"))
+FROM sup s JOIN piles p ON s.spec_id = p.spec_id AND s.i = p.i GROUP BY s.spec_id, s.i, num_spans, sx, np"""
+
+
+def _supports(records):
+    own = records.select("spec_id", F.posexplode("supports").alias("support", "s"))
     ends = [F.round(f(F.col("s.piles")[c]), 1).alias(f"{c}{k}") for c in ("x", "y") for k, f in enumerate((F.array_min, F.array_max))]
     return own.select("spec_id", "support", "s.kind", "s.x", F.size("s.piles").alias("piles"), *ends)
 
 
+@query("i6_foundation_supports", _FOUNDATION)
+def i6b(spark, d):
+    return _supports(specs.foundation_supports(_bridges(spark, d)))
+
+
+@query("a8_write_foundation_json", _FOUNDATION)
+def a8(spark, d):
+    """The records as they are read back from the files."""
+    records = specs.foundation_supports(_bridges(spark, d))
+    path = new_path(spark, "foundations")
+    readers.write_foundation_json(records, path)
+    return _supports(spark.read.schema(records.schema).json(path))
+
+
 def _stated(pattern: str, default: int) -> str:
     return f"coalesce(CAST(nullif(regexp_extract(question, '{pattern}', 1), '') AS INT), {default})"
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval
+from ..operators import models, retrieval
 from .base import fixture, query, table
 
 
@@ -55,6 +55,36 @@ def k3(spark, d):
     return _hits(spark, d).drop("text")
 
 
+@query("k3_hit_texts", """SELECT 'article' AS kind, concat(CAST(a.std_id AS STRING), '-', CAST(ordinal AS STRING)) AS key, concat('[', standard_code, '] Điều ', article_number, ': ', title, chr(10), content, CASE WHEN q % 2 = 0 THEN concat(chr(10), chr(10), 'Yêu cầu: ', CAST(q AS STRING), ' mm') ELSE '' END) AS text FROM fx_articles a JOIN fx_standards USING (std_id)
+UNION ALL SELECT 'material', CAST(req_id AS STRING), concat('[', CAST(std_id AS STRING), '] Vật liệu: ', material, chr(10), 'Trọng lượng riêng: ', CAST(unit_weight AS STRING), ' ', unit, CASE WHEN req_id % 2 = 0 THEN concat(chr(10), 'r', CAST(req_id AS STRING)) ELSE '' END) FROM fx_materials WHERE std_id % 3 > 0
+UNION ALL SELECT 'summary', model, concat('Tổng quan công trình: ', model, chr(10), 'Dự án: ', chr(10), string_agg(concat('  - ', ifc_type, ': ', CAST(n AS STRING), chr(10)), '' ORDER BY ifc_type)) FROM (SELECT model, ifc_type, count(*) AS n FROM fx_elements GROUP BY ALL) c GROUP BY model""")
+def k3b(spark, d):
+    """Texts of articles with and without a requirement, of materials with a standard, and of buildings."""
+    text = lambda c: F.col(c).cast("string")
+    a = fixture(spark, d, "fx_articles").join(fixture(spark, d, "fx_standards").select("std_id", "standard_code"), "std_id")
+    a = a.withColumn("requirement", F.when(F.col("q") % 2 == 0, F.concat(text("q"), F.lit(" mm")))).select(F.lit("article").alias("kind"), F.concat_ws("-", "std_id", "ordinal").alias("key"), retrieval.article_text("requirement").alias("text"))
+    m = fixture(spark, d, "fx_materials").withColumns({"standard_code": F.when(F.col("std_id") % 3 > 0, text("std_id")), "requirement": F.when(F.col("req_id") % 2 == 0, F.concat(F.lit("r"), text("req_id")))})
+    m = m.select(F.lit("material").alias("kind"), text("req_id").alias("key"), retrieval.material_text().alias("text")).where("text IS NOT NULL")
+    b = models.element_counts(fixture(spark, d, "fx_elements")).groupBy("model").agg(F.array_sort(F.collect_list(F.struct(F.col("ifc_type").alias("class"), "n"))).alias("counts"))
+    b = b.withColumns({"building": F.col("model"), "project": F.lit("")}).select(F.lit("summary").alias("kind"), F.col("model").alias("key"), retrieval.summary_text().alias("text"))
+    return a.unionByName(m).unionByName(b)
+
+
+@query("k3_keyword_hits", """WITH k AS (SELECT query_id, pos, keyword FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM (SELECT conv_id AS query_id, CAST(i - 1 AS INT) AS pos, ts[i] AS keyword FROM (SELECT conv_id, string_split_regex(lower(text), '[^\\pL\\pN]+') AS ts FROM conversations WHERE turn = 0) c, generate_series(1, len(ts)) g(i)) x WHERE length(keyword) >= 6) y WHERE r <= 3),
+w AS (SELECT DISTINCT keyword AS term FROM k), s AS (SELECT doc_id, source, lang, text, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda t: t <> '') AS ts FROM documents),
+g AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM s), h AS (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM s),
+tf AS (SELECT term, doc_id, len, count(*) AS tf FROM h WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+r AS (SELECT term, doc_id AS key, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)), 6) AS score FROM tf JOIN df USING (term), g),
+f AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, key) AS rank FROM r)
+SELECT query_id, pos, key, rank, md5(concat('[', source, '] Điều ', CAST(key AS STRING), ': ', lang, chr(10), text)) AS text_md5 FROM k JOIN f ON term = keyword JOIN s ON doc_id = key WHERE rank <= 3""")
+def k3c(spark, d):
+    """Three hits for each of the first three long words of each conversation."""
+    words = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.posexplode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("pos", "keyword"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("standard_code"), F.col("doc_id").alias("article_number"), F.col("lang").alias("title"), F.col("text").alias("content"))
+    hits = retrieval.keyword_hits(docs, words.where(F.length("keyword") >= 6))
+    return hits.select("query_id", "pos", "key", "rank", F.md5("text").alias("text_md5"))
+
+
 _MERGED = f"SELECT *, CASE WHEN source = 'vector' THEN 1 ELSE 0 END AS p FROM ({_HITS}) h QUALIFY row_number() OVER (PARTITION BY query_id, left(text, 200) ORDER BY CASE WHEN source = 'vector' THEN 1 ELSE 0 END, ordinal) = 1"
 
 

@@ -26,10 +26,10 @@ MODEL = (
 )
 
 
-def read_standards(spark: SparkSession, path: str) -> DataFrame:
-    """A1: a folder of standards as JSON; files whose name begins with "_" are reports and not read.  Fails before anything is written if a file
-    is no JSON or has no code, or if there is none."""
-    df = spark.read.schema(STANDARD).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "[!_]*.json").json(path)
+def read_standards(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A1: a folder of standards as JSON, one value (or an array) a file, or with ``lines`` one a line, as A6 writes several of one source; files whose
+    name begins with "_" are reports and not read.  Fails before anything is written if a file is no JSON or has no code, or if there is none."""
+    df = spark.read.schema(STANDARD).option("multiLine", not lines).option("mode", "FAILFAST").option("pathGlobFilter", "[!_]*.json").json(path)
     bad = df.agg(F.count("*").alias("n"), F.count_if(F.coalesce("standard_code", F.lit("")) == "").alias("bad")).first()
     if not bad["n"]:
         raise ValueError(f"no standards in {path}")
@@ -59,13 +59,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return with_kind(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content"))
 
 
-def read_parsed_models(spark: SparkSession, path: str) -> DataFrame:
-    """A5: parsed building models as JSON."""
-    return spark.read.schema(MODEL).option("multiLine", True).json(path)
+def read_parsed_models(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A5: parsed building models as JSON, one value (or an array) a file, or with ``lines`` one a line."""
+    return spark.read.schema(MODEL).option("multiLine", not lines).json(path)
 
 
 def write_standards(df: DataFrame, path: str, report: DataFrame | None = None, report_path: str | None = None) -> None:
-    """The whole corpus anew, one folder for each source, with a report of its own."""
+    """The whole corpus anew, one folder for each source, with a report of its own.  A line holds a standard: read them with ``lines``."""
     safe = F.regexp_replace("source_id", r"[^\p{L}\p{N}._-]+", "_")
     df.withColumn("source_file", safe).repartition("source_file").write.mode("overwrite").partitionBy("source_file").json(path)
     if report is not None and report_path:
