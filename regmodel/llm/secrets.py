@@ -110,9 +110,18 @@ def _own_slots(values: tuple) -> list[int]:
     return [_hash(f"{name} {value}") for name, value in zip(_OWN, values, strict=True)]
 
 
+@functools.lru_cache(1 << 14)
+def _plain_slots(n: int, entropy: int, of_hex: bool, vowels: int) -> list[int]:
+    """What ``_own_slots`` gives for a word of n letters a to z."""
+    return _own_slots(("", min(n // 4, 16), min(n, 12), entropy, "a", "a", (False, 0), of_hex, (False, True), "", (vowels, min(n // 4, 8))))
+
+
 def _token_slots(token: str) -> list[int]:
     """Slots of the token itself, and as the word before, the one before that and the word after."""
     n = len(token)
+    if token.isascii() and token.isalpha() and token.islower():
+        entropy, h = _entropy(tuple(sorted(map(token.count, set(token))))), zlib.crc32(token.encode())
+        return [*_plain_slots(n, entropy, not token.strip("abcdef"), len(token.translate(_CONSONANTS)) * 6 // n), h % DIM, (h >> 9) % DIM, (h >> 18) % DIM]
     classes, low = token.translate(_CLASSES), token.lower()
     digits = classes.count("0")
     sign = "" if token.isalnum() else next((c for c in token if c in "=/+.~_-"), "")
@@ -215,17 +224,23 @@ def _alive(first: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
 def viterbi(e: np.ndarray, t: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The best tags of chains that begin at the given rows of e."""
     start, alive = _alive(first, len(e))
-    back, tags = np.zeros((len(e), 3), np.int8), np.zeros(len(e), np.int8)
-    best = t[0] + e[start]
-    for s, k in enumerate(alive[1:], 1):
-        x = best[:k, :, None] + t
-        back[start[:k] + s] = x.argmax(axis=1)
-        best[:k] = x.max(axis=1) + e[start[:k] + s]
-    tag = (best + t[:, 0]).argmax(axis=1)
-    for s in range(len(alive) - 1, -1, -1):
-        k = alive[s]
-        tags[start[:k] + s] = tag[:k]
-        tag[:k] = back[start[:k] + s, tag[:k]]
+    place = np.concatenate([start[:k] + s for s, k in enumerate(alive)])  # the first tokens of all chains, then the second ones
+    x, back = np.ascontiguousarray(e[place].T), np.zeros((3, len(e)), np.int8)
+    t = t[:, :, None]
+    best, at = t[0] + x[:, : alive[0]], alive[0]
+    for k in alive[1:]:
+        by = [best[i, :k] + t[i] for i in range(3)]
+        most = np.maximum(by[0], by[1])
+        back[:, at : at + k] = np.where(by[2] > most, np.int8(2), by[1] > by[0])
+        best[:, :k] = np.maximum(most, by[2]) + x[:, at : at + k]
+        at += k
+    tag = (best + t[:, 0]).argmax(axis=0)
+    out, tags = np.zeros(len(e), np.int8), np.zeros(len(e), np.int8)
+    for k in reversed(alive):
+        at -= k
+        out[at : at + k] = tag[:k]
+        tag[:k] = back[tag[:k], np.arange(at, at + k)]
+    tags[place] = out
     return tags
 
 
@@ -263,7 +278,7 @@ class Field:
             self.by_gap = np.concatenate([self.by_gap, np.stack([x[:, 0] + x[:, 1], x[:, 2]], axis=1)])
         e = self.by_token[lines.token, 0] + self.by_gap[lines.left, 0] + self.by_gap[lines.right, 1] + np.stack([self.w[r].sum(axis=0) for r in lines.of_text])[lines.text]
         for k, to in enumerate(lines.near, 1):
-            has = to >= 0
+            has = np.flatnonzero(to >= 0)
             e[has] += self.by_token[to[has], k]
         return lines, viterbi(e, self.t, lines.first)
 
