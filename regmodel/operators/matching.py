@@ -8,24 +8,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases that one automaton holds at most, on average, and shares that the texts of a group are dealt into.
-SLICE, SHARES = 2000, 16
+#: Phrases that one automaton holds at most, on average, and texts of a group that one share holds, likewise.
+SLICE, SHARE = 2000, 20_000
 
 
-def holds(texts: DataFrame, phrases: DataFrame, slice_size: int = SLICE) -> DataFrame:
+def holds(texts: DataFrame, phrases: DataFrame, slice_size: int = SLICE, share_size: int = SHARE) -> DataFrame:
     """grp, key, phrase: every text that holds a phrase of its group, each once.  texts: grp, key, text; phrases: grp, phrase (not empty; null
     ones match nothing), all strings.
 
     Phrases of a group are dealt by hash into slices of about ``slice_size``.  A slice is one automaton (Aho-Corasick) that reads each
-    text of the group once, whatever the number of phrases.  Texts of a group are dealt into shares, so that a large group fills
-    many tasks; a task gets a slice's phrases first and then streams the texts by.
+    text of the group once, whatever the number of phrases.  Texts of a group are dealt into shares of about ``share_size``, so that a large
+    group fills many tasks and a small one's phrases go to one place; a task gets a slice's phrases first and then streams the texts by.
     """
     phrases = phrases.where("phrase <> ''").select("grp", "phrase").distinct()
     slices = phrases.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / slice_size), F.lit(1)).cast("int").alias("slices"))
-    dealt = phrases.join(slices, "grp").select("grp", F.pmod(F.xxhash64("phrase"), F.col("slices")).cast("int").alias("slice"), "phrase")
-    sliced = dealt.groupBy("grp", "slice").agg(F.collect_list("phrase").alias("phrases"))
-    everywhere = sliced.select("grp", "slice", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("text"), "phrases")
-    read = texts.where("text IS NOT NULL").join(slices, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("key"), F.lit(SHARES)).cast("int").alias("share"), F.lit(1).alias("kind"), "key", "text", F.lit(None).cast("array<string>").alias("phrases"))
+    texts = texts.where("text IS NOT NULL")
+    slices = slices.join(texts.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / share_size), F.lit(1)).cast("int").alias("shares")), "grp")
+    dealt = phrases.join(slices, "grp").select("grp", F.pmod(F.xxhash64("phrase"), F.col("slices")).cast("int").alias("slice"), "shares", "phrase")
+    sliced = dealt.groupBy("grp", "slice", "shares").agg(F.collect_list("phrase").alias("phrases"))
+    everywhere = sliced.select("grp", "slice", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("text"), "phrases")
+    read = texts.join(slices, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"), "key", "text", F.lit(None).cast("array<string>").alias("phrases"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick

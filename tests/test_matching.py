@@ -43,3 +43,13 @@ def test_the_last_point_of_an_id_stays(spark):
     assert rows(True) == [("a", 5), ("b", 3), ("d", 6)] and rows(False) == [("a", 5), ("b", 3), ("c", 1), ("d", 6)]
     once = vectors.upsert_by_source(index, new, order="came")
     assert sorted(map(tuple, vectors.upsert_by_source(once, new, order="came").collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
+
+
+def test_shares_follow_the_texts(spark):
+    """A group's phrases go to as many places as its texts need, not to a fixed number; small shares give the same rows."""
+    texts = spark.createDataFrame([("x", f"x{i}", "abc") for i in range(40)] + [("y", "y0", "b")], "grp string, key string, text string")
+    phrases = spark.createDataFrame([("x", "b"), ("y", "b"), ("y", "c"), ("w", "b")], "grp string, phrase string")
+    every = {("x", f"x{i}", "b") for i in range(40)} | {("y", "y0", "b")}
+    for size in (1, 7, 1000):
+        got = matching.holds(texts, phrases, share_size=size).collect()
+        assert len(got) == len(every) and {tuple(r) for r in got} == every
