@@ -103,3 +103,10 @@ def test_facade(spark):
     got = {(r.floor_idx, r.room_id, r.c, r.mid, r.width, r.a) for r in layouts.facade_windows(rects, lots, segments, doors).collect()}
     assert got == {(0, "hall", 6000, 2000.0, 2400.0, 0), (1, "bed", 0, 2450.0, 2400.0, 0)}  # the door in the middle of the back leaves 1.5 m on either side
     assert segments.where(F.col("is_ext") != (F.col("thick") == 200)).count() == 0
+
+
+def test_equal_intervals_stay_together(spark):
+    """Equal intervals that begin a union are one with it, however often they come."""
+    rows = [("g", lo, hi) for lo, hi in [(0, 2), (5, 9), (5, 9), (9, 10), (12, 13)] for _ in range(20)]
+    got = layouts.merge_intervals(spark.createDataFrame(rows, "k string, lo int, hi int").repartition(7), ["k"]).collect()
+    assert sorted((r.lo, r.hi) for r in got) == [(0, 2), (5, 10), (12, 13)]
