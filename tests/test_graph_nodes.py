@@ -41,3 +41,12 @@ def test_decomposed_titles(spark):
     title = unicodedata.normalize("NFD", "Quy chuẩn xây dựng")
     rows = spark.createDataFrame([(1, title, "Thông tư"), (2, title, unicodedata.normalize("NFD", "Bản dịch")), (3, None, None)], "id int, title string, doc_type string")
     assert [(r.id, r.matched_by) for r in corpus.select_regulations(rows).collect()] == [(1, "Quy chuẩn xây dựng")]
+
+
+def test_stats_read_stored_edges(spark):
+    from regmodel.operators import kgraph
+
+    rows = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c")], "x string, y string")
+    stats = kgraph.graph_stats(kgraph.edges_of(rows, "A", "x", "R", "B", "y"))
+    assert [tuple(r) for r in stats.collect()] == [("B", 2, "label"), ("A", 1, "label"), ("R", 2, "relationship")]
+    assert "ExistingRDD" not in stats._jdf.queryExecution().executedPlan().toString()
