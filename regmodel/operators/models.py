@@ -317,6 +317,61 @@ def check_clashes(boxes: DataFrame, hosts: DataFrame | None = None, connects: Da
     return issue("clashes", pairs, F.lit("boxes overlap"), F.col("element"), F.col("other"))
 
 
+def _overlaps(boxes: DataFrame, group: list[str], tol: float, cell: float) -> DataFrame:
+    """group, n: how many pairs of a group's boxes overlap deeper than the tolerance, without making them.  Every box is deeper than that itself.
+
+    Boxes of one extent in y and z lie in one lane, cut into cells along x; only lanes are paired.  Of two lanes, or a lane and itself, in a
+    cell, all pairs with a box that starts there are taken, less those where one box ends before the other starts: a running sum of
+    ends, met by starts.  Ends and starts are counted by place first, so that equal boxes cost one row."""
+    c = F.col
+    lane, shape = [*group, "cx"], ["y0", "y1", "z0", "z1"]
+    cells = lambda n: F.sequence(F.floor(c(f"{n}0") / cell), F.floor(c(f"{n}1") / cell))
+    spread = boxes.select(*group, "x0", "x1", *shape, F.explode(cells("x")).alias("cx")).withColumn("here", (F.floor(c("x0") / cell) == c("cx")).cast("long"))
+    # a1 - b0 <= tol is a1 <= b0 + tol, where the sum is rounded down: what rounding added tells on which side of an equal end a start stands
+    sum_ = c("x0") + F.lit(tol)
+    back = sum_ - c("x0")
+    lost = (c("x0") - (sum_ - back)) + (F.lit(tol) - back)
+    ends = F.array(F.struct(c("x1").alias("at"), F.lit(0).alias("side")), F.struct(sum_.alias("at"), F.when(lost < 0, -1).otherwise(1).alias("side")))
+    events = spread.select(*lane, *shape, "here", F.explode(ends).alias("e")).groupBy(*lane, *shape, "e.at", "e.side").agg(F.count("*").alias("n"), F.sum("here").alias("here"))
+    events = stored(events, "clash-events")
+    lanes = events.where("side <> 0").groupBy(*lane, *shape).agg(F.sum("n").alias("n"), F.sum("here").alias("here"))
+    filed = stored(lanes, "clash-lanes").withColumn("cy", F.explode(cells("y"))).withColumn("cz", F.explode(cells("z")))
+    a, b = (filed.select(*lane, "cy", "cz", *[c(k).alias(f"{p}_{k}") for k in (*shape, "n", "here")]) for p in "ab")
+    corner = [F.floor(F.greatest(f"a_{k}0", f"b_{k}0") / cell) == c(f"c{k}") for k in "yz"]
+    depth = [F.least(f"a_{k}1", f"b_{k}1") - F.greatest(f"a_{k}0", f"b_{k}0") > tol for k in "yz"]
+    pairs = stored(a.join(b, [*lane, "cy", "cz"]).where(reduce(Column.__and__, [*corner, *depth])).drop("cy", "cz"), "clash-pairs")  # either way round, and a lane with itself
+    own = reduce(Column.__and__, [c(f"a_{k}") == c(f"b_{k}") for k in shape])
+    twice = c("a_n") * c("b_n") - (c("a_n") - c("a_here")) * (c("b_n") - c("b_here")) - F.when(own, c("a_here")).otherwise(0)
+    side = lambda p, kind: events.where(f"side {kind} 0").select(*lane, *[c(k).alias(f"{p}_{k}") for k in shape], "at", "side", "n", "here")
+    names = [*lane, *[f"{p}_{k}" for p in "ab" for k in shape]]
+    keys = pairs.select(*names)
+    met = keys.join(side("a", "="), [*lane, *[f"a_{k}" for k in shape]]).unionByName(keys.join(side("b", "<>"), [*lane, *[f"b_{k}" for k in shape]]))
+    before = Window.partitionBy(*names).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gone = lambda k: F.sum(F.when(c("side") == 0, c(k)).otherwise(0)).over(before)
+    apart = met.withColumns({"ended": gone("n"), "ended_here": gone("here")}).where("side <> 0").select(*group, (-2 * (c("here") * c("ended") + (c("n") - c("here")) * c("ended_here"))).alias("m"))
+    return pairs.select(*group, twice.alias("m")).unionByName(apart).groupBy(*group).agg(F.expr("sum(m) DIV 2").alias("n"))
+
+
+def count_clashes(boxes: DataFrame, hosts: DataFrame | None = None, connects: DataFrame | None = None, tol: float = 0.002, cell: float = 4.0) -> DataFrame:
+    """H7 counted: model, n, the number of rows that ``check_clashes`` gives by model, where there are any.  Rows of one id are no pair."""
+    c = F.col
+    deep = reduce(Column.__and__, [c(f"{n}1") - c(f"{n}0") > tol for n in "xyz"])
+    own = boxes.where((c("ifc_type") != "IfcOpeningElement") & c("model").isNotNull() & c("global_id").isNotNull() & deep).select("model", "global_id", *[c(f"{n}{e}").cast("double").alias(f"{n}{e}") for n in "xyz" for e in "01"])
+    parts = [_overlaps(own, ["model"], tol, cell)]
+    again = stored(own.groupBy("model", "global_id").agg(F.count("*").alias("n_")).where("n_ > 1").drop("n_"), "repeated-ids")
+    if not again.isEmpty():
+        same = _overlaps(own.join(again, ["model", "global_id"]), ["model", "global_id"], tol, cell)
+        parts.append(same.select("model", (-c("n")).alias("n")))
+    known = [df.select("model", F.least(x, y).alias("element"), F.greatest(x, y).alias("other")) for df, x, y in ((hosts, "element", "wall"), (connects, "a", "b")) if df is not None]
+    if known:
+        ends = reduce(DataFrame.union, known).where("element < other").distinct()
+        side = lambda p, name: own.select("model", c("global_id").alias(name), *[c(f"{n}{e}").alias(f"{p}_{n}{e}") for n in "xyz" for e in "01"])
+        depth = [F.least(f"a_{n}1", f"b_{n}1") - F.greatest(f"a_{n}0", f"b_{n}0") > tol for n in "xyz"]
+        left_out = ends.join(side("a", "element"), ["model", "element"]).join(side("b", "other"), ["model", "other"]).where(reduce(Column.__and__, depth))
+        parts.append(left_out.groupBy("model").agg((-F.count("*")).alias("n")))
+    return reduce(DataFrame.unionByName, parts).groupBy("model").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def placement_matrix(place: list[Column], axis: Column | None = None, ref: Column | None = None) -> Column:
     """The rows of the 3x4 matrix of a placement, as an array of 12: z along axis, x along what of ref stands square on it, y = z x x.
     Missing or zero directions are (0, 0, 1) and (1, 0, 0); a ref along the axis gives way to the y axis, or z if that is the axis too."""
@@ -379,10 +434,20 @@ def resolve_placements(placements: DataFrame) -> DataFrame:
 CHECKS = ["classes", "openings", "walls", "columns", "spaces", "extent", "clashes"]
 
 
+def count_issues(issues: DataFrame, *counted: DataFrame) -> DataFrame:
+    """model, check, n of issue rows, with checks that were counted without their rows (also model, check, n)."""
+    return reduce(DataFrame.unionByName, counted, issues.groupBy("model", "check").agg(F.count("*").alias("n")))
+
+
+def report_of(counts: DataFrame, models: DataFrame, checks: list[str] = CHECKS) -> DataFrame:
+    """H9: a row a model with the number of issues by check, zeros included, checks in a fixed order.  counts: model, check, n."""
+    wide = counts.groupBy("model").pivot("check", checks).agg(F.sum("n"))
+    return models.select("model").distinct().join(wide, "model", "left").na.fill(0, checks).select("model", *checks)
+
+
 def check_report(issues: DataFrame, models: DataFrame, checks: list[str] = CHECKS) -> DataFrame:
-    """H9: a row a model with the number of issues by check, zeros included, checks in a fixed order."""
-    counts = issues.groupBy("model").pivot("check", checks).agg(F.count(F.lit(1)))
-    return models.select("model").distinct().join(counts, "model", "left").na.fill(0, checks).select("model", *checks)
+    """H9 of issue rows."""
+    return report_of(count_issues(issues), models, checks)
 
 
 def compare_baseline(report: DataFrame, baseline: DataFrame) -> DataFrame:
