@@ -270,7 +270,7 @@ def wall_segments(rects: DataFrame, lots: DataFrame, axes: DataFrame | None = No
         edge("v", x, y, ye, ~ahead), edge("v", xe, y, ye, ~ahead),
     )
     raw = rows.select(*key, *box, F.explode(F.array_compact(edges)).alias("e")).select(*key, *box, "e.*")
-    lines = merge_intervals(raw, [*key, *box, "orient", "c"])
+    lines = stored(merge_intervals(raw, [*key, *box, "orient", "c"]), "wall-lines")  # read five times
     across = lines.select(*key, F.when(c("orient") == "v", "h").otherwise("v").alias("orient"), c("c").alias("cut"), c("lo").alias("clo"), c("hi").alias("chi"))
     cuts = lines.join(across, [*key, "orient"]).where("cut BETWEEN lo AND hi AND c BETWEEN clo AND chi").select(*lines.columns, "cut")
     ends = cuts.unionByName(lines.withColumn("cut", c("lo"))).unionByName(lines.withColumn("cut", c("hi")))

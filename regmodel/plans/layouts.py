@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..operators import layouts
 from .base import fixture, query
 
@@ -187,7 +188,7 @@ sg AS (SELECT program, floor_idx, orient, c, cut AS a, lead(cut) OVER (PARTITION
 def _walls(spark, d):
     """(rects with kinds, lots, segments)."""
     rects, _, lots = _placed(spark, d)
-    rects = rects.join(kinds(spark).select("kind", "outdoor", "light_well"), "kind", "left")
+    rects = stored(rects.join(kinds(spark).select("kind", "outdoor", "light_well"), "kind", "left"), "rects")  # walls, their segments and what stands in them read them
     axes = lots.select("program", F.explode(F.array(F.lit(2500), F.lit(4100))).alias("pos_mm"))
     return rects, lots, layouts.wall_segments(rects, lots, axes)
 
