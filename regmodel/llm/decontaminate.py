@@ -236,11 +236,15 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, le
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = MIN_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, as they are."""
+    """The rows of docs that are not contaminated, as they are.  A bit map of the contaminated rows' keys lets the others pass where they lie:
+    only rows that may be among them are shuffled, to an exact join."""
     bad_id, bad_key = common.fresh(docs, "bad_id"), common.fresh(docs, "bad_key")
     bad = _verdicts(common.pick(docs, id_col, text_col), benchmark, threshold, least).where("n > 0").select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key))
+    bad = common.materialize(bad, "contaminated")
     key = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(bad_id)) & (key == F.col(bad_key)), "left_anti")
+    maybe = common.maybe_in(bad, bad_key)(key)
+    exact = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(bad_id)) & (key == F.col(bad_key))
+    return docs.where(~maybe).unionAll(docs.where(maybe).join(bad, exact, "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
