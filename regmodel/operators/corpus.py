@@ -138,13 +138,12 @@ def join_split_numbers(lines: DataFrame) -> DataFrame:
     a chapter number a title in capitals (unless that is a clause).
     A line that was taken can't take: in a run of such lines every other one takes."""
     by = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = lines.where((F.col("line") != "") & ~F.col("line").rlike(TOC_LEADER)).withColumn("next_", F.lead("line").over(by))
+    rows = lines.where((F.col("line") != "") & ~F.col("line").rlike(TOC_LEADER)).withColumns({"next_": F.lead("line").over(by), "n_": F.row_number().over(by)})
     alone = F.col("line").rlike(r"^(?:\d{1,2}|[A-ZĐ])(?:\.\d{1,3}){1,5}\.?$")
     measure = F.col("next_").rlike(r"^(?:\d|(?:mm|cm|m|ha|km|lux|dB|giờ|phút|lần)(?![\p{L}\p{N}_])|m2|m²|m3|m³|%|kg|kN|MPa|°)")
     head = F.col("line").rlike(r"^\d{1,2}\.?$") & F.col("next_").rlike(r"\p{Lu}.*\p{Lu}.*\p{Lu}") & ~F.col("next_").rlike(r"\p{Ll}|^(?:\d{1,2}|[A-ZĐ])(?:\.\d{1,3})+")
     rows = rows.withColumn("wants_", F.col("next_").isNotNull() & ((alone & ~measure) | head))
-    fresh = (F.col("wants_") & ~F.coalesce(F.lag("wants_").over(by), F.lit(False))).cast("int")
-    rows = rows.withColumn("run_", F.sum(fresh).over(by)).withColumn("k_", F.row_number().over(Window.partitionBy("doc_id", "run_", "wants_").orderBy("line_no")))
+    rows = rows.withColumn("k_", F.col("n_") - F.coalesce(F.max(F.when(~F.col("wants_"), F.col("n_"))).over(by), F.lit(0)))  # place in its run
     rows = rows.withColumn("takes_", F.col("wants_") & (F.col("k_") % 2 == 1)).withColumn("taken_", F.coalesce(F.lag("takes_").over(by), F.lit(False)))
     joined = F.when(F.col("takes_"), F.concat(F.regexp_replace("line", r"\.$", ""), F.lit(" "), F.col("next_"))).otherwise(F.col("line"))
     return rows.where("NOT taken_").select("doc_id", "line_no", joined.alias("line"))
