@@ -207,9 +207,20 @@ def clause_skeleton(candidates: DataFrame, together: bool = False) -> DataFrame:
     return (columns if together else columns.repartition("doc_id")).sortWithinPartitions("doc_id", "line_no", "number").mapInArrow(run, columns.schema)
 
 
+def _numbered(lines: DataFrame, skeleton: DataFrame) -> DataFrame:
+    """Lines (doc_id, line_no, line) with number and rest of their row of the skeleton, null where there is none.  The row goes before its line
+    in one order by document, so that rows are shuffled once and come out by document."""
+    none, own = F.lit(None).cast("string"), F.col("own_")
+    both = lines.select("doc_id", "line_no", "line", none.alias("number"), none.alias("rest"), F.lit(True).alias("own_"))
+    both = both.unionByName(skeleton.select("doc_id", "line_no", none.alias("line"), "number", "rest", F.lit(False).alias("own_")))
+    last = F.last(F.when(~own, F.struct("line_no", "number", "rest")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line_no", "own_"))
+    found = F.when(F.col("s_.line_no") == F.col("line_no"), F.col("s_"))
+    return both.withColumn("s_", last).where(own).withColumn("s_", found).select("doc_id", "line_no", "line", "s_.number", "s_.rest")
+
+
 def assign_lines(lines: DataFrame, skeleton: DataFrame) -> DataFrame:
     """C4 (lines to clauses): each line belongs to the clause being read; those before the first make the preamble "0"."""
-    at = lines.join(skeleton.select("doc_id", "line_no", "number", "rest"), ["doc_id", "line_no"], "left")
+    at = _numbered(lines, skeleton)
     by = Window.partitionBy("doc_id").orderBy("line_no")
     return at.select("doc_id", "line_no", F.coalesce("rest", "line").alias("line"), F.coalesce(F.last("number", ignorenulls=True).over(by), F.lit("0")).alias("clause"), F.coalesce(F.split(F.last("number", ignorenulls=True).over(by), r"\.")[0], F.lit("0")).alias("chapter"))
 
@@ -238,13 +249,14 @@ def heading_title(line: Column, top: Column) -> Column:
 def chapter_titles(lines: DataFrame, skeleton: DataFrame, reach: int = 6) -> DataFrame:
     """C4 (headings): doc_id, chapter, kind, title, first_line, last_line of each chapter whose heading is among the last ``reach`` lines
     before its first clause.  Upper-case lines and lines in brackets right after the heading belong to the title."""
-    top = F.split("number", r"\.")[0]
-    by = Window.partitionBy("doc_id").orderBy("line_no")
-    starts = skeleton.select("doc_id", F.col("line_no").alias("at"), top.alias("chapter")).withColumn("before", F.lag("chapter").over(Window.partitionBy("doc_id").orderBy("at")))
-    first = starts.where("before IS NULL OR before <> chapter").groupBy("doc_id", "chapter").agg(F.min("at").alias("at"))
-    marked = lines.join(skeleton.select("doc_id", "line_no", "number"), ["doc_id", "line_no"], "left")
-    nxt = F.first(F.when(F.col("number").isNotNull(), F.col("line_no")), ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
-    pending = marked.withColumn("at", nxt).where("number IS NULL AND at IS NOT NULL").join(first, ["doc_id", "at"])
+    doc, top, at = Window.partitionBy("doc_id"), F.split("number", r"\.")[0], F.col("line_no")
+    before = F.last("top_", ignorenulls=True).over(doc.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    marked = _numbered(lines, skeleton).withColumn("top_", top)
+    marked = marked.withColumn("start_", F.when(F.col("top_").isNotNull() & (before.isNull() | (before != F.col("top_"))), at))
+    marked = marked.withColumn("first_", F.min("start_").over(Window.partitionBy("doc_id", "top_")))
+    clause = F.when(F.col("top_").isNotNull(), F.struct(at.alias("at"), F.when(F.col("start_") == F.col("first_"), F.col("top_")).alias("chapter")))
+    pending = marked.withColumn("next_", F.last(clause, ignorenulls=True).over(doc.orderBy(at.desc())))  # the frame grows; one that shrinks is computed anew for every row
+    pending = pending.where("top_ IS NULL AND next_.chapter IS NOT NULL").select("doc_id", "line_no", "line", "next_.at", "next_.chapter")
     near = pending.withColumn("r_", F.row_number().over(Window.partitionBy("doc_id", "at").orderBy(F.desc("line_no")))).where(F.col("r_") <= reach)
     rows = near.groupBy("doc_id", "chapter").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     found = F.get(F.filter(F.transform("ls", lambda x, i: F.struct(heading_title(x["line"], F.col("chapter")).alias("title"), i.alias("i"))), lambda x: x["title"].isNotNull()), F.lit(0))
