@@ -41,8 +41,9 @@ SELECT source_file, source_id, count(*) AS written, count(*) AS reported, count(
 def a6(spark, d):
     """By source, the folder that it lies in and how many standards were written there, beside what the report says."""
     path, report = new_path(spark, "standards"), new_path(spark, "report")
-    readers.write_standards(_corpus(spark, d), path)
-    readers.write_standards(_corpus(spark, d), path, _report(_corpus(spark, d)), report)  # anew: nothing comes twice
+    corpus = stored(_corpus(spark, d), "corpus")  # read three times
+    readers.write_standards(corpus, path)
+    readers.write_standards(corpus, path, _report(corpus), report)  # anew: nothing comes twice
     back = readers.read_standards(spark, path, lines=True).groupBy("source_file", "source_id").agg(F.count("*").alias("written"))
     said = spark.read.schema("source_id string, standards long, parsed long").json(report)
     return back.join(said, "source_id").select("source_file", "source_id", "written", F.col("standards").alias("reported"), "parsed")

@@ -14,6 +14,8 @@ STANDARD = (
     "standard_code string, standard_name string, year int, issuing_body string, status string, eff_status string, expired boolean, effective_date string, "
     f"doc_num string, doc_title string, vbpl_url string, source_id string, full_text boolean, scope string, supersedes string, related_standards array<string>, chapters {CHAPTERS}"
 )
+#: Shares of a source, and the most standards of a file: what a task writes and reads, as compressed files are read whole.
+SHARES, FILE_RECORDS = 32, 20_000
 FILE = "struct<fileName:string,kind:string,size:bigint,sha256:string,pages:int,text_chars:int,scanned:boolean,path:string,skipped:string>"
 CATALOG = (
     "documents array<struct<id:string,docNum:string,title:string,qcvnCodes:array<string>,docType:string,issueDate:string,effFrom:string,effTo:string,effStatus:string,expired:boolean,"
@@ -29,7 +31,7 @@ MODEL = (
 def read_standards(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A1: a folder of standards as JSON, one value (or an array) a file, or with ``lines`` one a line, as A6 writes several of one source; files whose
     name begins with "_" are reports and not read.  Fails before anything is written if a file is no JSON or has no code, or if there is none."""
-    df = spark.read.schema(STANDARD).option("multiLine", not lines).option("mode", "FAILFAST").option("pathGlobFilter", "[!_]*.json").json(path)
+    df = spark.read.schema(STANDARD).option("multiLine", not lines).option("mode", "FAILFAST").option("pathGlobFilter", "{[!_]*.json,[!_]*.json.gz}").json(path)
     bad = df.agg(F.count("*").alias("n"), F.count_if(F.coalesce("standard_code", F.lit("")) == "").alias("bad")).first()
     if not bad["n"]:
         raise ValueError(f"no standards in {path}")
@@ -65,9 +67,11 @@ def read_parsed_models(spark: SparkSession, path: str, lines: bool = False) -> D
 
 
 def write_standards(df: DataFrame, path: str, report: DataFrame | None = None, report_path: str | None = None) -> None:
-    """The whole corpus anew, one folder for each source, with a report of its own.  A line holds a standard: read them with ``lines``."""
+    """The whole corpus anew, one folder for each source, with a report of its own.  A line holds a standard: read them with ``lines``.  Large sources are dealt
+    over several tasks and files; files are compressed."""
     safe = F.regexp_replace("source_id", r"[^\p{L}\p{N}._-]+", "_")
-    df.withColumn("source_file", safe).repartition("source_file").write.mode("overwrite").partitionBy("source_file").json(path)
+    rows = df.withColumn("source_file", safe).repartition("source_file", F.pmod(F.xxhash64("standard_code"), F.lit(SHARES)))
+    rows.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).partitionBy("source_file").json(path)
     if report is not None and report_path:
         report.write.mode("overwrite").json(report_path)
 
