@@ -155,6 +155,7 @@ def layout_violations(rects: DataFrame, rooms: DataFrame, lots: DataFrame, kinds
     none = F.lit(None).cast("string")
     row = lambda df, rule, a=none, b=none, floor=c("floor_idx"): df.select("program", floor.cast("int").alias("floor_idx"), F.lit(rule).alias("rule"), a.alias("room_a"), b.alias("room_b"))
     rid, many = c("room_id"), F.lit(None)
+    rects, rooms, lots = (stored(df, name) for df, name in ((rects, "rects"), (rooms, "rooms"), (lots, "lots")))  # read many times below
     yes = lambda n: F.coalesce(c(n), F.lit(False))
     known = rooms.join(kinds.select("kind", "outdoor", "light_well"), "kind", "left")
     floors = rooms.select(*key).distinct()
