@@ -254,23 +254,36 @@ def _bridges(specs: DataFrame) -> DataFrame:
 
 def expand_bridge(specs: DataFrame) -> DataFrame:
     """Counts as elements: abutments, piers, girders and decks by span, barrier posts on both sides, bearings for each support and
-    girder, piles under each support: spec_id, ifc_type, part, span, x, y in mm."""
+    girder, piles under each support: spec_id, ifc_type, part, span, x, y in mm.  As in I5 each family explodes index ranges and computes
+    places after that, as arrays of structs are not compiled; nothing is shuffled."""
     full = _bridges(specs)
     c = F.col
-    kind = "array<struct<ifc_type:string,part:string,span:int,x:double,y:double>>"
-    item = lambda t, part, span, x, y: F.struct(F.lit(t).alias("ifc_type"), F.lit(part).alias("part"), span.cast("int").alias("span"), (x if isinstance(x, Column) else F.lit(x)).cast("double").alias("x"), (y if isinstance(y, Column) else F.lit(y)).cast("double").alias("y"))
-    spans, piers, girders = F.sequence(F.lit(1), "num_spans"), F.sequence(F.lit(1), F.greatest(c("num_piers"), F.lit(1))), F.sequence(F.lit(1), "num_girders")
-    middle = c("deck_width") / 2
-    gap = c("deck_width") / (c("num_girders") + 1)
-    abutments = F.array(item("IfcFooting", "abutment", F.lit(0), 0, middle), item("IfcFooting", "abutment", c("num_spans"), c("total_length"), middle))
-    columns = F.when(c("num_piers") > 0, F.transform(piers, lambda i: item("IfcColumn", "pier", i, i * c("span_length"), middle))).otherwise(F.array().cast(kind))
-    beams = F.flatten(F.transform(spans, lambda i: F.transform(girders, lambda g: item("IfcBeam", "girder", i, (i - 1) * c("span_length"), g * gap))))
-    decks = F.transform(spans, lambda i: item("IfcSlab", "deck", i, (i - 1) * c("span_length"), 0))
-    posts = F.flatten(F.transform(F.array(F.lit(0.0), c("deck_width")), lambda y: F.transform(F.sequence(F.lit(0), F.floor(c("total_length") / c("barrier_post_spacing")).cast("int")), lambda k: item("IfcRailing", "post", F.lit(0), k * c("barrier_post_spacing"), y))))
-    bearings = F.flatten(F.transform(F.sequence(F.lit(0), "num_spans"), lambda i: F.transform(girders, lambda g: item("IfcPlate", "bearing", i, i * c("span_length"), g * gap))))
-    piles = F.flatten(F.transform(F.sequence(F.lit(0), "num_spans"), lambda i: F.transform(_piles(i), lambda p: item("IfcPile", "pile", i, p["x"], p["y"]))))
-    parts = [abutments, columns, beams, decks, posts, bearings, piles]
-    return full.select("spec_id", F.explode(F.concat(*[p.cast(kind) for p in parts])).alias("e")).select("spec_id", "e.*")
+    full = full.dropna(subset=["num_spans", "num_girders", "total_length", "barrier_post_spacing"])  # without these a bridge has no elements
+    support, middle, gap = F.sequence(F.lit(0), "num_spans"), c("deck_width") / 2, c("deck_width") / (c("num_girders") + 1)
+    upto = lambda n: F.sequence(F.lit(1), n)
+
+    def each(rows: DataFrame, name: str, numbers: Column) -> DataFrame:
+        return rows.select("*", F.explode(numbers).alias(name))
+
+    def items(rows: DataFrame, kind: str, part: str, span, x, y) -> DataFrame:
+        col = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return rows.select("spec_id", F.lit(kind).alias("ifc_type"), F.lit(part).alias("part"), col(span).cast("int").alias("span"), col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
+
+    spans, supports, girders = each(full, "i", upto("num_spans")), each(full, "i", support), upto("num_girders")
+    last = F.floor(c("total_length") / c("barrier_post_spacing")).cast("int")
+    piles = each(supports.where("num_piles_per_pier > 0"), "k", F.sequence(F.lit(0), c("num_piles_per_pier") - 1))
+    at = _pile(c("i"), c("k"))
+    families = [
+        items(full, "IfcFooting", "abutment", 0, 0, middle),
+        items(full, "IfcFooting", "abutment", c("num_spans"), c("total_length"), middle),
+        items(each(full.where("num_piers > 0"), "i", upto("num_piers")), "IfcColumn", "pier", c("i"), c("i") * c("span_length"), middle),
+        items(each(spans, "g", girders), "IfcBeam", "girder", c("i"), (c("i") - 1) * c("span_length"), c("g") * gap),
+        items(spans, "IfcSlab", "deck", c("i"), (c("i") - 1) * c("span_length"), 0),
+        items(each(each(full, "side", F.array(F.lit(0.0), c("deck_width"))), "k", F.sequence(F.lit(0), last)), "IfcRailing", "post", 0, c("k") * c("barrier_post_spacing"), c("side")),
+        items(each(supports, "g", girders), "IfcPlate", "bearing", c("i"), c("i") * c("span_length"), c("g") * gap),
+        items(piles, "IfcPile", "pile", c("i"), at["x"], at["y"]),
+    ]
+    return functools.reduce(DataFrame.unionAll, families)
 
 
 def _pile(support: Column, i: Column) -> Column:

@@ -32,3 +32,15 @@ def test_nothing_to_expand(spark):
     rows = [{**SPEC, "num_storeys": 0}, {**SPEC, "footprint_length": None}]
     assert specs.expand_building(spark.createDataFrame(rows, schema)).isEmpty()
     assert specs.expand_building(spark.createDataFrame([], schema)).isEmpty()
+
+
+def test_expand_bridge(spark):
+    """F32: families are exploded index ranges; no arrays of structs, which are not compiled, hold a bridge's elements."""
+    one = {"spec_id": 1, "bridge_function": "Đường bộ", "total_length": 40000.0, "num_spans": 2, "deck_width": 9000.0, "num_lanes": 2, "lane_width": 3500.0, "girder_height": 1200.0, "num_girders": 3, "clearance_height": 4500.0, "barrier_post_spacing": 2000.0, "num_piles_per_pier": 3, "pier_width": 1500.0}
+    got = specs.expand_bridge(spark.createDataFrame([one]))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan and "flatten(" not in plan
+    rows = got.collect()
+    counts = {p: sum(r.part == p for r in rows) for p in {r.part for r in rows}}
+    assert counts == {"abutment": 2, "pier": 1, "girder": 6, "deck": 2, "post": 42, "bearing": 9, "pile": 9}
+    assert {(r.x, r.y) for r in rows if r.part == "pier"} == {(20000.0, 4500.0)}
