@@ -46,11 +46,12 @@ _DIGIT = re.compile(r"[0-9]")
 _RIGHT = re.compile(r"[A-Za-z0-9+/_.=~-]*")
 _ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=~-")
 _TOKEN = re.compile(r"([A-Za-z0-9+/_.=~-]+|[^\x00-\x7F\s]+)")
-#: Characters that are decoded together, and slots of a token (of its own, and one for each neighbour's place), gap or text.
-SLICE_CHARS = 4_000_000
+#: Characters of a long text's pieces, those of texts that are decoded together, and slots of a token (of its own, and one for each neighbour's
+#: place), gap or text.
+SLICE_CHARS, TOGETHER = 4_000_000, 1_000_000
 OWN = 11
 #: Rows whose texts are in Python at a time.
-ROWS = 1024
+ROWS = 256
 #: Entities that are remembered.
 KNOWN = 200_000
 
@@ -206,7 +207,7 @@ def slices(texts: Iterable[str]) -> Iterator[list[tuple[int, int, str, list[int]
             out.append((i, at, text[at:end], own))
             size += end - at
             at = end
-            if size >= SLICE_CHARS:
+            if size >= TOGETHER:
                 yield out
                 out, size = [], 0
     if out:

@@ -70,3 +70,15 @@ def test_long_texts_go_in_lines(monkeypatch):
 def test_sample_of_distinct_texts(spark):
     docs = spark.createDataFrame([(f"text {i // 90 * i}",) for i in range(100)], "text string")
     assert len(secrets._sample(docs, 5)) == 5
+
+
+def test_texts_go_in_small_slices():
+    """Many texts are decoded some million characters at a time, whatever a piece of a long text may have, with the same spans."""
+    text = "a line with token = abcdefgh12345678 in it\nand a plain one, to fill\n" * 1500
+    texts = [f"{i} {text}" for i in range(40)]
+    parts = list(secrets.slices(texts))
+    assert max(sum(len(x[2]) for x in part) for part in parts) < 2_000_000
+    assert [x[0] for part in parts for x in part] == list(range(40)) and all(x[2] == texts[x[0]] for part in parts for x in part)
+    field = secrets.fitted([x[:140] for x in texts[:3]])
+    some = texts[:12]
+    assert secrets.spans_of_all(some, field) == [secrets.spans_of(x, field) for x in some]
