@@ -78,16 +78,50 @@ def validate_program(rooms: DataFrame, floors: DataFrame, lots: DataFrame, kinds
     return reduce(DataFrame.unionByName, rows)
 
 
-def floor_connectivity(rooms: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+#: Rooms and adjacencies of a floor that is one row; larger ones are labelled round by round.
+SMALL_FLOOR = 32
+
+
+def floor_connectivity(rooms: DataFrame, floors: DataFrame | None = None, small: int = SMALL_FLOOR) -> DataFrame:
     """Program, floor_idx, room_id of what the first room of its floor (by position) can't reach over adjacency, in either direction.
     rooms: program, floor_idx, room_id, position, adjacent_to (array); floors: program, floor_idx, has_stair: a stair is a room
-    "stair".  Labels spread to the smaller one and jump to the label's label until nothing moves, which the write itself counts."""
+    "stair".  Floors are counted first: those of at most ``small`` rooms and adjacencies become one row each, the others are labelled in rounds."""
     c, key = F.col, ["program", "floor_idx"]
-    first = rooms.groupBy(*key).agg(F.min_by("room_id", "position").alias("first"))
-    ids = rooms.select(*key, "room_id").distinct()
+    rows = rooms.select(*key, "room_id", "position", c("adjacent_to").cast("array<string>").alias("adjacent_to"), F.lit(True).alias("own"))
     if floors is not None:
-        ids = ids.unionByName(floors.where("has_stair").select(*key, F.lit("stair").alias("room_id"))).distinct()
-    one = rooms.select(*key, c("room_id").alias("a"), F.explode("adjacent_to").alias("b"))
+        rows = rows.unionByName(floors.where("has_stair").select(*key, F.lit("stair").alias("room_id"), F.lit(False).alias("own")), allowMissingColumns=True)
+    rows = stored(rows.where("program IS NOT NULL AND floor_idx IS NOT NULL"), "floor-rows")
+    size = F.sum(F.greatest(F.size("adjacent_to"), F.lit(0)) + 1)
+    large = stored(rows.groupBy(*key).agg(size.alias("n")).where(c("n") > small).select(*key), "large-floors")
+    if large.isEmpty():
+        return _small_floors(rows)
+    return _small_floors(rows.join(large, key, "left_anti")).unionByName(_large_floors(rows.join(large, key, "left_semi")))
+
+
+def _small_floors(rows: DataFrame) -> DataFrame:
+    """J3 by floors, a row each: what is reached grows by one adjacency a step, as often as there are further rooms."""
+    c, key = F.col, ["program", "floor_idx"]
+    ends = F.transform("adjacent_to", lambda b: F.struct(c("room_id").alias("a"), b.alias("b")))
+    one = rows.groupBy(*key).agg(F.min_by("room_id", "position").alias("first"), F.bool_or("own").alias("own"), F.collect_set("room_id").alias("ids"), F.flatten(F.collect_list(ends)).alias("ends"))
+    known = F.filter("ends", lambda e: F.array_contains("ids", e["a"]) & F.array_contains("ids", e["b"]))
+    one = one.where("own").select(*key, "first", "ids", known.alias("ends"))
+
+    def further(found: Column, _: Column) -> Column:
+        to = lambda x, y: F.transform(F.filter("ends", lambda e: F.array_contains(found, e[x])), lambda e: e[y])
+        return F.array_union(found, F.array_union(to("a", "b"), to("b", "a")))
+
+    steps = F.when(F.size("ends") > 0, F.slice("ids", 2, F.size("ids"))).otherwise(F.slice("ids", 1, 0))
+    found = F.aggregate(steps, F.array("first"), further)
+    return one.select(*key, F.explode(F.array_except("ids", found)).alias("room_id"))
+
+
+def _large_floors(rows: DataFrame) -> DataFrame:
+    """J3 for floors of any size.  Labels spread to the smaller one and jump to the label's label until nothing moves, which the write itself counts."""
+    c, key = F.col, ["program", "floor_idx"]
+    rows = stored(rows, "large-floor-rows")
+    first = rows.where("own").groupBy(*key).agg(F.min_by("room_id", "position").alias("first"))
+    ids = rows.select(*key, "room_id").distinct()
+    one = rows.select(*key, c("room_id").alias("a"), F.explode("adjacent_to").alias("b"))
     edges = stored(one.union(one.select(*key, "b", "a")).distinct(), "adjacency")
     labels = stored(ids.join(first, key).select(*key, "room_id", F.when(c("room_id") == c("first"), "").otherwise(c("room_id")).alias("label")), "labels")
     while True:
