@@ -10,6 +10,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+
 # The least and largest allowed value of each parameter, in mm where it is a length.
 BOUNDS = {
     "building": {
@@ -189,12 +191,14 @@ BUILDING_DEFAULTS = {"wall_thickness": 200.0, "windows_per_storey": 3, "window_s
 
 def expand_building(specs: DataFrame) -> DataFrame:
     """The elements of a building: spec_id, ifc_type, storey (from 1), name, x, y, z and dimensions dx, dy, dz in mm.  Every
-    family explodes its own index ranges and computes its coordinates after that, as plain arithmetic; nothing is shuffled.  The
-    families are a union, so the narrow specifications are read once for each.  Grid lines stand at every whole spacing within the
+    family explodes its own index ranges and computes its coordinates after that, as plain arithmetic.  The families are a union that
+    reads the narrow specifications once for each, so these are dealt over all tasks and stored first: a few bytes of a
+    specification become hundreds of elements, and tasks cut by its bytes would be few and long.  Grid lines stand at every whole spacing within the
     footprint, two at least; beams run from line to line.  A building without storeys, or whose footprint or column spacing is null,
     has no elements."""
     full = specs.withColumns({k: F.lit(v) for k, v in BUILDING_DEFAULTS.items() if k not in specs.columns})
     full = full.where("num_storeys >= 1").dropna(subset=["footprint_length", "footprint_width", "column_spacing_x", "column_spacing_y"])
+    full = stored(full.repartition("spec_id"), "building-specs")
     bays = {a: F.greatest(F.floor(F.col(length) / F.col(gap)).cast("int"), F.lit(1)) for a, length, gap in (("x", "footprint_length", "column_spacing_x"), ("y", "footprint_width", "column_spacing_y"))}
     per = full.withColumn("s", F.explode(F.sequence(F.lit(1), "num_storeys"))).withColumn("elev", (F.col("s") - 1) * F.col("storey_height"))
     c, s = F.col, F.col("s").cast("string")
