@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import values
+
 #: Phrases that one automaton holds at most, on average, and texts of a group that one share holds, likewise.
 SLICE, SHARE = 2000, 20_000
 
@@ -35,7 +37,7 @@ def holds(texts: DataFrame, phrases: DataFrame, slice_size: int = SLICE, share_s
         automaton, at = None, None
         for batch in batches:
             found: list[tuple[str, str, str]] = []
-            for grp, part, share, kind, key, text, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for grp, part, share, kind, key, text, words in zip(*map(values, batch.columns), strict=True):
                 if kind == 0:
                     at, automaton = (grp, part, share), ahocorasick.Automaton()
                     for w in words:
@@ -47,3 +49,55 @@ def holds(texts: DataFrame, phrases: DataFrame, slice_size: int = SLICE, share_s
 
     rows = everywhere.unionByName(read).repartition("grp", "slice", "share").sortWithinPartitions("grp", "slice", "share", "kind")
     return rows.select("grp", "slice", "share", "kind", "key", "text", "phrases").mapInArrow(run, "grp string, key string, phrase string")
+
+
+#: Titles that are looked for one by one; more become an automaton.
+FEW = 8
+
+
+def places(n: int, m: int, own: Column, other: Column, slice_size: int = SLICE, share_size: int = SHARE) -> Column:
+    """Where ``titles_met`` needs an article (article_id, title, content) of side n of a pair of sides, which have ``own`` and ``other`` articles: an array of
+    structs.  Its content meets every slice of the other side's titles, its title every share of the other side's contents."""
+    parts = lambda count, size: F.greatest(F.ceil(count / size), F.lit(1)).cast("int")
+    dealt = lambda count, size: F.pmod(F.xxhash64("article_id"), parts(count, size)).cast("int")
+    place = lambda side, part, share, reads, text: F.struct(F.lit(side).alias("side"), part.alias("slice"), share.alias("share"), F.lit(reads).alias("reads"), text.alias("text"))
+    as_text = F.transform(F.sequence(F.lit(0), parts(other, slice_size) - 1), lambda i: place(n, i, dealt(own, share_size), True, F.col("content")))
+    as_title = F.transform(F.sequence(F.lit(0), parts(other, share_size) - 1), lambda i: place(m, dealt(own, slice_size), i, False, F.col("title")))
+    return F.filter(F.concat(as_text, as_title), lambda p: p["text"] != "")
+
+
+def titles_met(rows: DataFrame) -> DataFrame:
+    """grp, article_id1, article_id2: of two sides of a group the articles of which one's content holds the other's title, if one of the two is ``about`` the topic.
+    rows: grp, article_id, about, and the columns of ``places``.
+
+    Titles and contents of a group, slice and share come to one task, titles first, and go by there: nothing is joined back.  A pair that is met
+    both ways comes twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        at, titles, automaton = None, {}, None
+        for batch in batches:
+            found: list[tuple[int, str, str]] = []
+            for grp, side, part, share, reads, key, text, about in zip(*map(values, batch.columns), strict=True):
+                if at != (grp, side, part, share):
+                    at, titles, automaton = (grp, side, part, share), {}, None
+                if not reads:
+                    titles.setdefault(text, []).append((key, about))
+                    continue
+                if len(titles) <= FEW:
+                    hits = [t for t in titles if t in text]
+                else:
+                    if automaton is None:
+                        automaton = ahocorasick.Automaton()
+                        for t in titles:
+                            automaton.add_word(t, t)
+                        automaton.make_automaton()
+                    hits = {t for _, t in automaton.iter(text)}
+                for t in hits:
+                    found += [(grp, key, other) if side == 1 else (grp, other, key) for other, too in titles[t] if about or too]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["grp", "article_id1", "article_id2"])
+
+    order = ["grp", "side", "slice", "share"]
+    rows = rows.repartition(*order).sortWithinPartitions(*order, "reads")
+    return rows.select(*order, "reads", "article_id", "text", "about").mapInArrow(run, "grp long, article_id1 string, article_id2 string")
