@@ -295,26 +295,32 @@ def wall_segments(rects: DataFrame, lots: DataFrame, axes: DataFrame | None = No
     x1_mm, y1_mm; axes: program, pos_mm along the depth."""
     c, key = F.col, ["program", "floor_idx"]
     box = ["x0_mm", "y0_mm", "x1_mm", "y1_mm"]
-    rows = rects.join(lots.select("program", *box), "program")
+    lots = lots.select("program", *box)
+    if axes is None:
+        lots = lots.withColumn("axes_", F.array().cast("array<int>"))
+    else:
+        lots = lots.join(axes.groupBy("program").agg(F.collect_set(c("pos_mm").cast("int")).alias("axes_")), "program", "left")
+    rows = rects.repartition("program").join(lots, "program")  # dealt by program, edges need no further shuffle to become lines
     open_ = F.coalesce(c("outdoor"), F.lit(False)) if "outdoor" in rects.columns else F.lit(False)
     ahead = c("y_mm") < c("y0_mm")
     x, y, xe, ye = c("x_mm"), c("y_mm"), c("x_mm") + c("w_mm"), c("y_mm") + c("d_mm")
-    edge = lambda o, at, lo, hi, there: F.when(there, F.struct(F.lit(o).alias("orient"), at.alias("c"), lo.alias("lo"), hi.alias("hi")))
+    edge = lambda o, at, lo, hi, there, axes=F.lit(None).cast("array<int>"): F.when(there, F.struct(F.lit(o).alias("orient"), at.alias("c"), lo.alias("lo"), hi.alias("hi"), axes.alias("axes_")))
+    outer_axes = lambda at: F.when(at.isin(c("x0_mm"), c("x1_mm")), c("axes_"))
     edges = F.array(
         edge("h", y, x, xe, ~ahead & ~(open_ & (y == c("y0_mm")))), edge("h", ye, x, xe, ahead | ~(open_ & (ye == c("y1_mm")))),
-        edge("v", x, y, ye, ~ahead), edge("v", xe, y, ye, ~ahead),
+        edge("v", x, y, ye, ~ahead, outer_axes(x)), edge("v", xe, y, ye, ~ahead, outer_axes(xe)),
     )
     raw = rows.select(*key, *box, F.explode(F.array_compact(edges)).alias("e")).select(*key, *box, "e.*")
-    lines = stored(merge_intervals(raw, [*key, *box, "orient", "c"]), "wall-lines")  # read five times
-    across = lines.select(*key, F.when(c("orient") == "v", "h").otherwise("v").alias("orient"), c("c").alias("cut"), c("lo").alias("clo"), c("hi").alias("chi"))
-    cuts = lines.join(across, [*key, "orient"]).where("cut BETWEEN lo AND hi AND c BETWEEN clo AND chi").select(*lines.columns, "cut")
-    ends = cuts.unionByName(lines.withColumn("cut", c("lo"))).unionByName(lines.withColumn("cut", c("hi")))
-    if axes is not None:
-        ends = ends.unionByName(lines.where("orient = 'v' AND c IN (x0_mm, x1_mm)").join(axes.select("program", c("pos_mm").cast("int").alias("cut")), "program").where("cut BETWEEN lo AND hi").select(*lines.columns, "cut"))
-    by = Window.partitionBy(*key, "orient", "c", "lo", "hi").orderBy("cut")
+    lines = stored(merge_intervals(raw, [*key, *box, "axes_", "orient", "c"]), "wall-lines")  # read twice
+    across = lines.select(c("program").alias("p_"), c("floor_idx").alias("f_"), F.when(c("orient") == "v", "h").otherwise("v").alias("o_"), c("c").alias("cut"), c("lo").alias("clo"), c("hi").alias("chi")).hint("merge")
+    meets = (c("program") == c("p_")) & (c("floor_idx") == c("f_")) & (c("orient") == c("o_")) & c("cut").between(c("lo"), c("hi")) & c("c").between(c("clo"), c("chi"))
+    # a line's cuts come together where it has met the lines across it
+    cuts = F.concat(F.collect_list("cut"), F.array("lo", "hi"), F.coalesce(F.filter("axes_", lambda p: p.between(c("lo"), c("hi"))), F.array().cast("array<int>")))
+    cut = lines.join(across, meets, "left").groupBy(*lines.columns).agg(F.array_sort(F.array_distinct(cuts)).alias("cuts_"))
+    parts = F.arrays_zip(F.slice("cuts_", F.lit(1), F.size("cuts_") - 1).alias("a"), F.slice("cuts_", F.lit(2), F.size("cuts_")).alias("b"))
     out = F.when(c("orient") == "v", c("c").isin(c("x0_mm"), c("x1_mm"))).otherwise(c("c").isin(c("y0_mm"), c("y1_mm")))
-    cut = ends.distinct().withColumn("b", F.lead("cut").over(by)).where("b IS NOT NULL")
-    return cut.select(*key, "orient", "c", c("cut").alias("a"), "b", out.alias("is_ext"), F.when(out, outer).otherwise(inner).alias("thick"))
+    cut = cut.select(*key, "orient", "c", F.explode(parts).alias("s"), out.alias("is_ext")).select(*key, "orient", "c", c("s")["a"].alias("a"), c("s")["b"].alias("b"), "is_ext")
+    return cut.where("b IS NOT NULL").withColumn("thick", F.when(c("is_ext"), outer).otherwise(inner))
 
 
 def wall_joints(segments: DataFrame) -> tuple[DataFrame, DataFrame]:

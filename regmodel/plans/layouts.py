@@ -121,9 +121,12 @@ def _placed(spark, d):
     there = q.select("program", "floor_idx", F.col("room_id").alias("o"), F.array("room_id").alias("adjacent")).distinct()
     rooms = q.where("room_id <> 'stair'").join(there, ["program", "floor_idx", "o"], "left").join(kinds(spark).drop("outdoor", "light_well"), "kind")
     rooms = rooms.select("program", "floor_idx", "room_id", "kind", "min_width_m", "min_area_m2", "max_aspect", "needs_daylight", (F.col("room_id") == "r1").alias("entrance"), ((F.col("kind") == "san") & (F.col("floor_idx") > 0) & (F.col("program") % 4 == 0)).alias("projecting"), F.coalesce("adjacent", F.array().cast("array<string>")).alias("adjacent_to"))
+    return rects, rooms, _lots(q)
+
+
+def _lots(rows):
     size = F.when(F.col("program") % 3 == 0, 2000)
-    lots = q.select("program").distinct().withColumns({"x0_mm": F.lit(0), "y0_mm": (1000 * (F.col("program") % 2)).cast("int"), "x1_mm": F.lit(7000), "y1_mm": F.lit(6000), "projection_mm": F.lit(1000), "min_shared_mm": F.lit(1500), "stair_w_mm": size, "stair_d_mm": size})
-    return rects, rooms, lots
+    return rows.select("program").distinct().withColumns({"x0_mm": F.lit(0), "y0_mm": (1000 * (F.col("program") % 2)).cast("int"), "x1_mm": F.lit(7000), "y1_mm": F.lit(6000), "projection_mm": F.lit(1000), "min_shared_mm": F.lit(1500), "stair_w_mm": size, "stair_d_mm": size})
 
 
 _OWN = {
@@ -187,8 +190,8 @@ sg AS (SELECT program, floor_idx, orient, c, cut AS a, lead(cut) OVER (PARTITION
 
 def _walls(spark, d):
     """(rects with kinds, lots, segments)."""
-    rects, _, lots = _placed(spark, d)
-    rects = stored(rects.join(kinds(spark).select("kind", "outdoor", "light_well"), "kind", "left"), "rects")  # walls, their segments and what stands in them read them
+    rects = stored(_placed(spark, d)[0].join(kinds(spark).select("kind", "outdoor", "light_well"), "kind", "left"), "rects")  # walls, their segments and what stands in them read them
+    lots = stored(_lots(rects), "lots")
     axes = lots.select("program", F.explode(F.array(F.lit(2500), F.lit(4100))).alias("pos_mm"))
     return rects, lots, layouts.wall_segments(rects, lots, axes)
 
