@@ -51,6 +51,28 @@ def holds(texts: DataFrame, phrases: DataFrame, slice_size: int = SLICE, share_s
     return rows.select("grp", "slice", "share", "kind", "key", "text", "phrases").mapInArrow(run, "grp string, key string, phrase string")
 
 
+def held_of(texts: DataFrame, phrases: list[str]) -> DataFrame:
+    """texts with an array of the phrases that a text holds, in place of the text; rows without any are left out.  texts: text comes last.  For phrases that are few
+    (counted first): they go to all tasks as one automaton, and no text is shuffled."""
+    phrases = sorted({p for p in phrases if p})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in phrases:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [sorted({p for _, p in automaton.iter(t)}) if t and phrases else [] for t in values(batch.columns[-1])]
+            kept = pa.array([bool(f) for f in found], pa.bool_())
+            columns = [*batch.columns[:-1], pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "phrases"]).filter(kept)
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema][:-1]
+    return texts.mapInArrow(run, ", ".join([*kinds, "phrases array<string>"]))
+
+
 #: Titles that are looked for one by one; more become an automaton.
 FEW = 8
 
