@@ -193,13 +193,16 @@ def layout_violations(rects: DataFrame, rooms: DataFrame, lots: DataFrame, kinds
     yes = lambda n: F.coalesce(c(n), F.lit(False))
     known = rooms.join(kinds.select("kind", "outdoor", "light_well"), "kind", "left")
     floors = rooms.select(*key).distinct()
-    wanted = rooms.select(*key, "room_id").unionByName(floors.join(lots.where("stair_w_mm IS NOT NULL").select("program"), "program").select(*key, F.lit("stair").alias("room_id")))
+    stairs = rooms.groupBy(*key).agg(F.bool_or(rid == "stair").alias("named_")).where("NOT named_").join(lots.where("stair_w_mm IS NOT NULL").select("program"), "program").select(*key, F.lit("stair").alias("room_id"))
+    wanted = known.unionByName(stairs, allowMissingColumns=True).withColumn("wanted_", F.lit(True))
     pairs = adjacency(rooms)
     # a room is lit by a neighbour in the open or over a light well
     open_ = known.where(yes("outdoor") | yes("light_well")).select(*key, rid.alias("n_"))
     ways = pairs.select(*key, c("a").alias("room_id"), c("b").alias("n_")).union(pairs.select(*key, "b", "a"))
     lit = ways.join(open_, [*key, "n_"]).select(*key, "room_id").distinct().withColumn("lit", F.lit(True))
-    at = rects.join(known, [*key, "room_id"], "left").join(lit, [*key, "room_id"], "left").join(lots, "program")
+    # what is placed meets what is wanted once: where one is missing that is a rule of its own
+    at = rects.select(*key, *_RECT, F.lit(True).alias("placed_")).join(wanted, [*key, "room_id"], "full").join(lit, [*key, "room_id"], "left").join(lots.withColumn("lot_", F.lit(True)), "program", "left")
+    at = stored(at.drop("adjacent_to"), "at")
     front, back, out = c("y_mm") == c("y0_mm"), c("y_mm") + c("d_mm") == c("y1_mm"), yes("projecting")
     short, long = F.least("w_mm", "d_mm"), F.greatest("w_mm", "d_mm")
     broken = {
@@ -214,24 +217,24 @@ def layout_violations(rects: DataFrame, rooms: DataFrame, lots: DataFrame, kinds
         "daylight": yes("needs_daylight") & ~yes("outdoor") & ~(yes("lit") | front | back),
         "stair_size": (rid == "stair") & ((c("w_mm") != c("stair_w_mm")) | (c("d_mm") != c("stair_d_mm"))),
     }
+    here = c("placed_") & c("lot_")
+    broken = {name: here & test for name, test in broken.items()} | {"missing": c("placed_").isNull(), "unknown": c("wanted_").isNull()}
     rules = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in broken.items()]))
     own = at.select("program", c("floor_idx").cast("int").alias("floor_idx"), F.explode(rules).alias("rule"), rid.alias("room_a"), none.alias("room_b"))
     place = F.struct("x_mm", "y_mm", "w_mm", "d_mm")
-    stairs = rects.where("room_id = 'stair'").groupBy("program").agg(F.count_distinct(place).alias("n")).where("n > 1")
-    wells = rects.join(known.where(yes("light_well")).select(*key, "room_id"), [*key, "room_id"])
+    moved = rects.where("room_id = 'stair'").groupBy("program").agg(F.count_distinct(place).alias("n")).where("n > 1")
+    wells = at.where(c("placed_") & yes("light_well"))
     crooked = wells.groupBy("program", "room_id").agg(F.count_distinct(place).alias("n")).where("n > 1")
     over = _pairs(rects).where("a_x_mm < b_x_mm + b_w_mm AND b_x_mm < a_x_mm + a_w_mm AND a_y_mm < b_y_mm + b_d_mm AND b_y_mm < a_y_mm + a_d_mm")
     size = F.when(~out, c("w_mm").cast("long") * c("d_mm"))
-    bare = at.groupBy(*key).agg(F.coalesce(F.sum(size), F.lit(0)).alias("have"), F.first((c("x1_mm") - c("x0_mm")).cast("long") * (c("y1_mm") - c("y0_mm"))).alias("need")).where("have <> need")
+    bare = at.where(here).groupBy(*key).agg(F.coalesce(F.sum(size), F.lit(0)).alias("have"), F.first((c("x1_mm") - c("x0_mm")).cast("long") * (c("y1_mm") - c("y0_mm"))).alias("need")).where("have <> need")
     side = lambda p, n: rects.select(*key, *[c(x).alias(f"{p}_{x}") for x in _RECT]).withColumnRenamed(f"{p}_room_id", n)
     walls = pairs.join(side("a", "a"), [*key, "a"]).join(side("b", "b"), [*key, "b"]).withColumn("s", shared_segment()).join(lots.select("program", "min_shared_mm"), "program")
     parts = [
         own,
-        row(wanted.join(rects, [*key, "room_id"], "left_anti"), "missing", rid),
-        row(rects.join(wanted, [*key, "room_id"], "left_anti"), "unknown", rid),
         row(over, "overlap", c("a_room_id"), c("b_room_id")),
         row(bare, "cover"),
-        row(stairs, "stair_aligned", floor=many),
+        row(moved, "stair_aligned", floor=many),
         row(crooked, "well_aligned", rid, floor=many),
         row(light_well_continuity(known.where(yes("light_well")), floors), "well_floors", rid),
         row(walls.where(F.coalesce(c("s.hi") - c("s.lo"), F.lit(0)) < c("min_shared_mm")), "shared", c("a"), c("b")),

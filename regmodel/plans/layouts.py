@@ -116,7 +116,7 @@ def _placed(spark, d):
     """rects, rooms and lots of the fixture."""
     q = fixture(spark, d, "fx_rects").join(fixture(spark, d, "fx_rooms").select("program", "room_id", "kind", "adjacent_to"), ["program", "room_id"])
     stair = lambda c: F.when((F.col("program") % 3 == 0) & (F.col(c) == "r2"), "stair").otherwise(F.col(c))
-    q = q.withColumns({"room_id": stair("room_id"), "o": stair("adjacent_to")})
+    q = stored(q.withColumns({"room_id": stair("room_id"), "o": stair("adjacent_to")}), "placed")  # all that is returned reads it
     rects = q.select("program", "floor_idx", "room_id", "x_mm", "y_mm", "w_mm", "d_mm", F.when(F.col("room_id") != "stair", F.col("kind")).alias("kind"))
     there = q.select("program", "floor_idx", F.col("room_id").alias("o"), F.array("room_id").alias("adjacent")).distinct()
     rooms = q.where("room_id <> 'stair'").join(there, ["program", "floor_idx", "o"], "left").join(kinds(spark).drop("outdoor", "light_well"), "kind")
@@ -190,7 +190,7 @@ sg AS (SELECT program, floor_idx, orient, c, cut AS a, lead(cut) OVER (PARTITION
 
 def _walls(spark, d):
     """(rects with kinds, lots, segments)."""
-    rects = stored(_placed(spark, d)[0].join(kinds(spark).select("kind", "outdoor", "light_well"), "kind", "left"), "rects")  # walls, their segments and what stands in them read them
+    rects = _placed(spark, d)[0].join(F.broadcast(kinds(spark).select("kind", "outdoor", "light_well")), "kind", "left")
     lots = stored(_lots(rects), "lots")
     axes = lots.select("program", F.explode(F.array(F.lit(2500), F.lit(4100))).alias("pos_mm"))
     return rects, lots, layouts.wall_segments(rects, lots, axes)
